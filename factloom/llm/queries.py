@@ -36,8 +36,65 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), limit=1024)
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_templates import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import toxicity as tox
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~tox.held_out("doc_id"))
+    scored = tox.scores(docs, tox.fit(docs, labels))
+    return scored.select("doc_id", tox.held_out("doc_id").alias("held_out"), "score", F.col("predicted"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cdc_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    return langid.predict(docs, model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_crf as crf
+
+    docs = table(spark, sf_dir, "documents")
+    model = crf.fit(docs, table(spark, sf_dir, "labels"))
+    return crf.quality(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_encoding_decoding, op6_simhash_near_dedup, op7_token_counts)}
+    made = (
+        op1_secret_scans, op2_bpe_encoding_decoding, op3_url_filters, op4_toxicity, op5_benchmark_decontamination,
+        op6_simhash_near_dedup, op7_token_counts, op8_substring_dedup, op9_language_id, op10_quality_rules,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -141,7 +141,7 @@ def frequent(docs: DataFrame, specials: list[str], text_col: str = "text", entri
         n = -(-n // FAN_IN)
         made = made.repartition(n).mapInArrow(merge, "summary binary")
     total = Counter()
-    for row in made.toLocalIterator():
+    for row in made.collect():  # at most FAN_IN summaries of bounded size
         total.update(pickle.loads(row.summary))
         total = _kept(total, 4 * entries)
     return [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:entries]]
