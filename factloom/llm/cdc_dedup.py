@@ -18,12 +18,12 @@ from pyspark.sql.window import Window
 
 from .common import id_type, slices
 
-#: One position in DIVISOR is a cut on average; chunks have MIN to MAX bytes (the last may be shorter).
-DIVISOR, MIN, MAX = 40, 16, 1024
+#: One position in DIVISOR is a cut on average; chunks have MIN to MAX bytes (a text's last may be shorter).
+DIVISOR, MIN, MAX = 40, 16, 160
 #: Bytes that the hash looks back on.
 REACH = 16
 #: A repeated passage has at least so many bytes of whole repeated chunks.
-LEAST_BYTES = 120
+LEAST_BYTES = 96
 
 #: The gear table: a fixed rule gives each byte its 32-bit number.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2024) for b in range(256)], dtype=np.uint32)
@@ -39,23 +39,23 @@ def cuts(raw: bytes) -> list[int]:
     while width < REACH:  # the sum over the last 2 * width bytes from two sums over width bytes
         h[width:] = h[width:] + (h[:-width] << np.uint32(width))
         width *= 2
-    # Bits from REACH - 1 up depend on REACH bytes.
-    small = ((h >> np.uint32(4)) & np.uint32(0xFFF)) < np.uint32(4096 // DIVISOR)
+    # Bits 4 to 15 depend on at most REACH bytes.
+    key = (h >> np.uint32(4)) & np.uint32(0xFFF)
+    small = (np.flatnonzero(key < 4096 // DIVISOR) + 1).tolist()
     out, last = [], 0
-    for at in (np.flatnonzero(small) + 1).tolist():
-        if at - last < MIN:
-            continue
+
+    def forced(last: int) -> int:
+        """Where no hash is small: the last place with the window's smallest hash, so periodic text is cut in phase."""
+        window = key[last + MIN - 1 : last + MAX]
+        return last + MIN + len(window) - 1 - int(window[::-1].argmin())
+
+    for at in [*small, n]:
         while at - last > MAX:
-            last += MAX
+            last = forced(last)
             out.append(last)
-        if at - last >= MIN:
+        if at - last >= MIN or (at == n and at > last):
             out.append(at)
             last = at
-    while n - last > MAX:
-        last += MAX
-        out.append(last)
-    if last < n:
-        out.append(n)
     return out
 
 
