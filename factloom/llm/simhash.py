@@ -224,5 +224,16 @@ def near_duplicates(
         roots.select(F.col("root").alias("fp"), "root").distinct()
     ).join(lows, "root").select("fp", "component_id")
     # Fingerprints without a link have their own smallest id.
-    names = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    names = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")).checkpoint()
+    # Both sides are plain exchanges now, so a fingerprint that very many rows share is split by the skew join.
     return fps.join(names, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, the one with the smallest id; all columns stay.
+
+    Of rows that repeat an id one stays. Rows with a null id are kept: nothing names them.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
