@@ -310,9 +310,6 @@ class ByteText:
         return self.state.decode(b"", True)
 
 
-_ENCODED = "ids binary, n_tokens bigint"
-
-
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (array of int), ``n_tokens``.
 
@@ -355,8 +352,8 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
     return map_batches(encoded, [id_col, ids_col], make, f"`{id_col}` {id_type(encoded, id_col)}, text string")
 
 
-def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode each whole text in one pass and return only digests of both.
+def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode each whole text in one pass and return digests of both (and ``ids``, if asked for).
 
     ``id_col``, ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers)
     and ``decoded_sha256`` (UTF-8 of the decoded token text). Null text: as an empty one.
@@ -367,17 +364,19 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         back = TokenText(words.v)
 
         def work(ids, texts):
-            n, enc, dec = [], [], []
+            n, enc, dec, lists = [], [], [], []
             for t in texts:
                 blocks = words(t or "")
                 back.reset()
                 raw = b"".join(blocks)
                 n.append(len(raw) // 4)
+                if with_ids:
+                    lists.append(np.frombuffer(raw, dtype="<u4").astype(np.int32))
                 enc.append(hashlib.sha256(raw).hexdigest())
                 dec.append(hashlib.sha256("".join(map(back.feed, blocks)).encode()).hexdigest())
-            return ids, n, enc, dec
+            return (ids, n, enc, dec, *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []))
 
         return work
 
-    schema = f"`{id_col}` {id_type(docs, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"`{id_col}` {id_type(docs, id_col)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_batches(docs, [id_col, text_col], make, schema)

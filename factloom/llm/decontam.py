@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 
 #: Windows of tokens; 1 is hashed, 0 is ignored.
 MASKS = ("1101011", "11100101")
@@ -19,6 +21,7 @@ MASKS = ("1101011", "11100101")
 AROUND, SIMILARITY = 20, 0.8
 #: Benchmarks with more seeds than this are joined by a shuffle instead of a broadcast.
 BROADCAST_SEEDS = 500_000
+BROADCAST_IDS = 1_000_000
 #: Bits of the table for each seed.
 BITS_PER_SEED = 128
 #: Words are what stands between white space and ASCII punctuation, lower-cased.
@@ -130,7 +133,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item; all their columns.
 
-    Rows with a null id are kept.
+    Rows with a null id are kept. The ids to drop are written once in the shared folder and
+    broadcast only up to BROADCAST_IDS of them; beyond that the join is a shuffle.
     """
-    bad = overlaps(docs, benchmark, id_col, text_col, **options).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    shared_dir(docs.sparkSession)
+    bad = overlaps(docs, benchmark, id_col, text_col, **options).select(id_col).distinct().checkpoint()
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, id_col, "left_anti")

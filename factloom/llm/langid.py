@@ -152,6 +152,19 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return map_batches(docs, [id_col, text_col], make, f"`{id_col}` {id_type(docs, id_col)}, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that language identification rejects: no letter in the text (or
+    no text), or a score under ``least``. All columns stay, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def keep(texts):
+        model = shared.value
+        return pa.array([(found := model.predict(t))[0] != UNKNOWN and found[1] >= least for t in texts.to_pylist()], pa.bool_())
+
+    return docs.where(keep(F.col(text_col)))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that never train: crc32 of the id as text, modulo 3, is 1 (a null id isn't held out)."""
     from .common import crc32_mod
