@@ -29,6 +29,11 @@ WAIVER = (
 WAIVER_NEGATED = r"\b(?:ucretsiz|masrafsiz)\s+degil\b|\bucret\s+alinmaz\s+degil\b"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: repeated use of a long expression would copy it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def outcome(checks: list[tuple[Column, str, str]], value: Column, reason: Column | str) -> Column:
     """struct<status, reason_code, value> by the first check that holds, else normalized."""
     failed = None
@@ -36,9 +41,9 @@ def outcome(checks: list[tuple[Column, str, str]], value: Column, reason: Column
         entry = F.struct(F.lit(status).alias("status"), F.lit(why).alias("reason_code"))
         failed = F.when(condition, entry) if failed is None else failed.when(condition, entry)
     done = F.struct(F.lit("normalized").alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason_code"))
-    verdict = failed.otherwise(done) if failed is not None else done
-    return F.struct(
-        verdict["status"].alias("status"), verdict["reason_code"].alias("reason_code"), F.when(verdict["status"] == "normalized", value).alias("value")
+    return let(
+        failed.otherwise(done),
+        lambda v: F.struct(v["status"].alias("status"), v["reason_code"].alias("reason_code"), F.when(v["status"] == "normalized", value).alias("value")),
     )
 
 
@@ -49,19 +54,21 @@ def decimal_number(token: Column, currency: Column, to: str = MONEY_TYPE) -> Col
     three; one comma is the decimal sign; one dot before three digits groups thousands, else it
     is the decimal sign, but not for TRY.
     """
-    raw = F.regexp_replace(F.regexp_replace(token, r"\s", ""), r"^\+", "")
     groups_dot, groups_comma = r"^\d{1,3}(?:\.\d{3})+", r"^\d{1,3}(?:,\d{3})+"
-    plain = (
-        F.when(raw.rlike(r"^\d+$"), raw)
-        .when(raw.rlike(r"^\d+,\d+$"), F.translate(raw, ",", "."))
-        .when(raw.rlike(groups_dot + "$"), F.translate(raw, ".", ""))
-        .when(raw.rlike(groups_comma + "$"), F.translate(raw, ",", ""))
-        .when(raw.rlike(groups_dot + r",\d+$"), F.translate(F.translate(raw, ".", ""), ",", "."))
-        .when(raw.rlike(groups_comma + r"\.\d+$"), F.translate(raw, ",", ""))
-        .when(raw.rlike(r"^\d+\.\d{3}$"), F.translate(raw, ".", ""))
-        .when(raw.rlike(r"^\d+\.\d+$") & ~currency.eqNullSafe(F.lit("TRY")), raw)
-    )
-    return plain.try_cast(to)
+
+    def plain(raw: Column) -> Column:
+        return (
+            F.when(raw.rlike(r"^\d+$"), raw)
+            .when(raw.rlike(r"^\d+,\d+$"), F.translate(raw, ",", "."))
+            .when(raw.rlike(groups_dot + "$"), F.translate(raw, ".", ""))
+            .when(raw.rlike(groups_comma + "$"), F.translate(raw, ",", ""))
+            .when(raw.rlike(groups_dot + r",\d+$"), F.translate(F.translate(raw, ".", ""), ",", "."))
+            .when(raw.rlike(groups_comma + r"\.\d+$"), F.translate(raw, ",", ""))
+            .when(raw.rlike(r"^\d+\.\d{3}$"), F.translate(raw, ".", ""))
+            .when(raw.rlike(r"^\d+\.\d+$") & ~currency.eqNullSafe(F.lit("TRY")), raw)
+        ).try_cast(to)
+
+    return let(F.regexp_replace(F.regexp_replace(token, r"\s", ""), r"^\+", ""), plain)
 
 
 def _currency_code(marker: Column, hint: Column) -> Column:
@@ -74,38 +81,49 @@ def _currency_code(marker: Column, hint: Column) -> Column:
 def money(raw: Column, hint: Column | None = None, fee_context: bool = False) -> Column:
     """One amount with its currency: value struct<amount, currency, inferred>."""
     hint = F.lit(None).cast("string") if hint is None else hint
-    text = search_text(F.trim(raw))
-    found = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
-    marks = F.regexp_extract_all(text, F.lit(f"({CURRENCY})"), 1)
-    codes = F.array_distinct(F.transform(marks, lambda m: _currency_code(m, hint)))
     before, behind, bare = rf"({CURRENCY})\s*({NUMBER}){SCALE}", rf"({NUMBER}){SCALE}\s*({CURRENCY})", rf"({NUMBER}){SCALE}"
-    by_mark = F.when(text.rlike(behind), F.struct(F.regexp_extract(text, behind, 1).alias("token"), F.regexp_extract(text, behind, 2).alias("scale"), F.regexp_extract(text, behind, 3).alias("mark"))).when(
-        text.rlike(before), F.struct(F.regexp_extract(text, before, 2).alias("token"), F.regexp_extract(text, before, 3).alias("scale"), F.regexp_extract(text, before, 1).alias("mark"))
-    )
-    by_hint = F.when(F.size(marks) == 0, F.struct(F.regexp_extract(text, bare, 1).alias("token"), F.regexp_extract(text, bare, 2).alias("scale"), F.lit(None).cast("string").alias("mark")))
-    candidate = F.coalesce(by_mark, by_hint)
-    code = F.coalesce(_currency_code(candidate["mark"], hint), hint)
-    factor = F.lit(1).cast("decimal(10,0)")
-    for name, times in SCALES.items():
-        factor = F.when(candidate["scale"] == name, F.lit(times).cast("decimal(10,0)")).otherwise(factor)
-    amount = (decimal_number(candidate["token"], code) * factor).try_cast(MONEY_TYPE)
-    waived = text.rlike(WAIVER)
-    checks = [
-        (is_missing(raw), "missing", "money_missing"),
-        (text.rlike(WAIVER_NEGATED), "invalid", "fee_waiver_negated"),
-        (waived & F.lit(not fee_context), "unsupported", "fee_waiver_requires_fee_context"),
-        (waived & hint.isNull(), "ambiguous", "money_currency_unknown"),
-        (~waived & F.array_contains(marks, "$") & ~hint.eqNullSafe(F.lit("USD")), "ambiguous", "currency_symbol_ambiguous"),
-        (~waived & hint.isNotNull() & F.exists(codes, lambda c: c != hint), "ambiguous", "currency_hint_conflict"),
-        (~waived & (F.size(marks) == 0) & hint.isNull(), "ambiguous", "money_currency_unknown"),
-        (~waived & ((F.size(found) > 1) | (F.size(codes) > 1)), "ambiguous", "multiple_money_values"),
-        (~waived & ((F.size(found) == 0) | candidate.isNull()), "invalid", "money_value_not_found"),
-        (~waived & amount.isNull(), "invalid", "invalid_money_number"),
-    ]
-    value = F.struct(
-        F.when(waived, F.lit(0).cast(MONEY_TYPE)).otherwise(amount).alias("amount"), F.when(waived, hint).otherwise(code).alias("currency"), waived.alias("inferred")
-    )
-    return outcome(checks, value, F.when(waived, "explicit_fee_waiver_normalized").otherwise("money_normalized"))
+
+    def parts(text: Column) -> Column:
+        """What the text holds: its numbers, currency marks and the number next to a mark."""
+
+        def picked(pattern: str, token: int, scale: int, mark: int | None) -> Column:
+            g = lambda k: F.regexp_extract(text, pattern, k)
+            return F.struct(g(token).alias("token"), g(scale).alias("scale"), (g(mark) if mark else F.lit(None).cast("string")).alias("mark"))
+
+        marks = F.regexp_extract_all(text, F.lit(f"({CURRENCY})"), 1)
+        candidate = F.when(text.rlike(behind), picked(behind, 1, 2, 3)).when(text.rlike(before), picked(before, 2, 3, 1)).when(F.size(marks) == 0, picked(bare, 1, 2, None))
+        return F.struct(
+            text.alias("text"), F.size(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)).alias("numbers"), marks.alias("marks"), candidate.alias("candidate"),
+            F.array_distinct(F.transform(marks, lambda m: _currency_code(m, hint))).alias("codes"), text.rlike(WAIVER).alias("waived"),
+        )
+
+    def priced(p: Column) -> Column:
+        code = F.coalesce(_currency_code(p["candidate"]["mark"], hint), hint)
+        factor = F.lit(1).cast("decimal(10,0)")
+        for name, times in SCALES.items():
+            factor = F.when(p["candidate"]["scale"] == name, F.lit(times).cast("decimal(10,0)")).otherwise(factor)
+        return let(F.struct(code.alias("code"), factor.alias("factor"), p.alias("p")), lambda c: judged(c["p"], c["code"], (decimal_number(c["p"]["candidate"]["token"], c["code"]) * c["factor"]).try_cast(MONEY_TYPE)))
+
+    def judged(p: Column, code: Column, amount: Column) -> Column:
+        waived, marks = p["waived"], p["marks"]
+        checks = [
+            (is_missing(raw), "missing", "money_missing"),
+            (p["text"].rlike(WAIVER_NEGATED), "invalid", "fee_waiver_negated"),
+            (waived & F.lit(not fee_context), "unsupported", "fee_waiver_requires_fee_context"),
+            (waived & hint.isNull(), "ambiguous", "money_currency_unknown"),
+            (~waived & F.array_contains(marks, "$") & ~hint.eqNullSafe(F.lit("USD")), "ambiguous", "currency_symbol_ambiguous"),
+            (~waived & hint.isNotNull() & F.exists(p["codes"], lambda c: c != hint), "ambiguous", "currency_hint_conflict"),
+            (~waived & (F.size(marks) == 0) & hint.isNull(), "ambiguous", "money_currency_unknown"),
+            (~waived & ((p["numbers"] > 1) | (F.size(p["codes"]) > 1)), "ambiguous", "multiple_money_values"),
+            (~waived & ((p["numbers"] == 0) | p["candidate"].isNull()), "invalid", "money_value_not_found"),
+            (~waived & amount.isNull(), "invalid", "invalid_money_number"),
+        ]
+        value = F.struct(
+            F.when(waived, F.lit(0).cast(MONEY_TYPE)).otherwise(amount).alias("amount"), F.when(waived, hint).otherwise(code).alias("currency"), waived.alias("inferred")
+        )
+        return outcome(checks, value, F.when(waived, "explicit_fee_waiver_normalized").otherwise("money_normalized"))
+
+    return let(let(search_text(F.trim(raw)), parts), priced)
 
 
 # Fixed values of the rate grammar (folded text); first match wins.

@@ -1,9 +1,15 @@
 """Registered queries and the SQL that has to give the same rows."""
 
+from __future__ import annotations
+
+from . import comparison, history, quality, selection
+
+_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ENTRIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ENTRIES.items() if sql}
