@@ -160,7 +160,7 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col
     @F.arrow_udf("boolean")
     def keep(texts):
         model = shared.value
-        return pa.array([(found := model.predict(t))[0] != UNKNOWN and found[1] >= least for t in texts.to_pylist()], pa.bool_())
+        return pa.array([(found := model.predict(t.as_py()))[0] != UNKNOWN and found[1] >= least for t in texts], pa.bool_())
 
     return docs.where(keep(F.col(text_col)))
 

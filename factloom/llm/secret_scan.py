@@ -183,6 +183,6 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFra
     def clean(texts):
         import pyarrow as pa
 
-        return pa.array([None if t is None else masked(t, mask) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if (t := x.as_py()) is None else masked(t, mask) for x in texts], pa.string())
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
