@@ -113,7 +113,7 @@ def _mapped(df: DataFrame, columns: list[str], schema: T.StructType, rows) -> Da
 
 def html_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(``id_col``, ordinal, locator, kind, text, sha256): the blocks of each page in order."""
-    schema = T.StructType([pages.schema[id_col]]).add("ordinal", "int").add("locator", "string").add("kind", "string").add("text", "string").add("sha256", "string")
+    schema = T.StructType([pages.schema[id_col]]).add("ordinal", "integer").add("locator", "string").add("kind", "string").add("text", "string").add("sha256", "string")
 
     def rows(html):
         return [(k, *b, hashlib.sha256(b[2].encode("utf-8", "replace")).hexdigest()) for k, b in enumerate(blocks_of(html))]
@@ -129,7 +129,7 @@ def sentences(blocks: DataFrame, id_col: str, text_col: str, most: int = 500) ->
 
     Longer sentences are cut in pieces, so no text is lost.
     """
-    schema = T.StructType([blocks.schema[id_col]]).add("no", "int").add("quote", "string").add("start", "int").add("end", "int")
+    schema = T.StructType([blocks.schema[id_col]]).add("no", "integer").add("quote", "string").add("start", "integer").add("end", "integer")
 
     def rows(text):
         text, out, at = text or "", [], 0

@@ -164,38 +164,46 @@ def rate(raw: Column, kind_hint: Column | None = None, period_hint: Column | Non
     Per mille and basis points become percent. Bounds ("up to", "from") are ambiguous unless
     they belong to a date.
     """
-    text = search_text(F.trim(raw))
+    def parts(text: Column) -> Column:
+        def found(pattern: str, divisor: int) -> Column:
+            return F.transform(
+                F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: (F.translate(x, ",", ".").try_cast("decimal(20,8)") / divisor).cast("decimal(20,8)")
+            )
 
-    def found(pattern: str, divisor: int) -> Column:
-        return F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.struct(x.alias("raw"), (F.translate(x, ",", ".").try_cast("decimal(20,8)") / divisor).cast("decimal(20,8)").alias("v"))
+        gross, net = text.rlike(r"\bbrut\b"), text.rlike(r"\bnet\b")
+        financing = F.when(text.rlike(FINANCING_RATE) & (text.rlike(r"\bkar\b") | ~text.rlike(AMOUNT_NEAR)), "financing_profit_rate").otherwise("unknown")
+        return F.struct(
+            F.concat(
+                found(rf"(?:%|\byuzde)\s*({PLAIN})", 1), found(rf"(?<![\d.,])({PLAIN})\s*%(?!\s*\d)", 1), found(rf"(?:‰|\bbinde)\s*({PLAIN})", 10),
+                found(rf"({PLAIN})\s*‰", 10), found(rf"({PLAIN})\s*(?:baz\s+puan|bps)\b", 100),
+            ).alias("every"),
+            _first(text, RATE_KINDS, financing).alias("kind"), _first(text, RATE_PERIODS, "unspecified").alias("period"),
+            F.when(gross & ~net, "gross").when(net & ~gross, "net").otherwise("unspecified").alias("basis"),
+            F.array_compact(F.array(*(F.when(text.rlike(p), label) for p, label in RATE_LABELS))).alias("labels"),
+            F.regexp_replace(text, DATE_FROM, " ").rlike(RATE_BOUND).alias("bound"),
         )
 
-    percent = F.concat(found(rf"(?:%|\byuzde)\s*({PLAIN})", 1), found(rf"(?<![\d.,])({PLAIN})\s*%(?!\s*\d)", 1))
-    every = F.concat(percent, found(rf"(?:‰|\bbinde)\s*({PLAIN})", 10), found(rf"({PLAIN})\s*‰", 10), found(rf"({PLAIN})\s*(?:baz\s+puan|bps)\b", 100))
-    value = F.get(every, F.lit(0))["v"]
-    kar = text.rlike(r"\bkar\b")
-    financing = F.when(text.rlike(FINANCING_RATE) & (kar | ~text.rlike(AMOUNT_NEAR)), "financing_profit_rate").otherwise("unknown")
-    kind, kind_conflict = _hinted(_first(text, RATE_KINDS, financing), kind_hint, "unknown")
-    period, period_conflict = _hinted(_first(text, RATE_PERIODS, "unspecified"), period_hint, "unspecified")
-    gross, net = text.rlike(r"\bbrut\b"), text.rlike(r"\bnet\b")
-    basis, basis_conflict = _hinted(F.when(gross & ~net, "gross").when(net & ~gross, "net").otherwise("unspecified"), gross_net_hint, "unspecified")
-    labels = F.array_compact(F.array(*(F.when(text.rlike(p), label) for p, label in RATE_LABELS)))
-    bad = F.exists(every, lambda m: m["v"].isNull() | (m["v"] < 0) | (m["v"] > 1000))
-    checks = [
-        (is_missing(raw), "missing", "rate_missing"),
-        (bad, "invalid", "invalid_rate_number"),
-        (F.size(every) == 0, "invalid", "rate_value_not_found"),
-        ((F.size(every) > 1) | F.regexp_replace(text, DATE_FROM, " ").rlike(RATE_BOUND), "ambiguous", "non_exact_or_multiple_rates"),
-        (kind_conflict, "ambiguous", "rate_kind_hint_conflict"),
-        (period_conflict, "ambiguous", "rate_period_hint_conflict"),
-        (basis_conflict, "ambiguous", "gross_net_hint_conflict"),
-    ]
-    made = F.struct(
-        value.cast(RATE_TYPE).alias("value_percent"), kind.alias("kind"), period.alias("period"), basis.alias("gross_net_basis"),
-        F.when(F.size(labels) == 1, F.get(labels, F.lit(0))).alias("basis_label"),
-    )
-    return outcome(checks, made, "rate_normalized")
+    def judged(p: Column) -> Column:
+        every = p["every"]
+        kind, kind_conflict = _hinted(p["kind"], kind_hint, "unknown")
+        period, period_conflict = _hinted(p["period"], period_hint, "unspecified")
+        basis, basis_conflict = _hinted(p["basis"], gross_net_hint, "unspecified")
+        checks = [
+            (is_missing(raw), "missing", "rate_missing"),
+            (F.exists(every, lambda v: v.isNull() | (v < 0) | (v > 1000)), "invalid", "invalid_rate_number"),
+            (F.size(every) == 0, "invalid", "rate_value_not_found"),
+            ((F.size(every) > 1) | p["bound"], "ambiguous", "non_exact_or_multiple_rates"),
+            (kind_conflict, "ambiguous", "rate_kind_hint_conflict"),
+            (period_conflict, "ambiguous", "rate_period_hint_conflict"),
+            (basis_conflict, "ambiguous", "gross_net_hint_conflict"),
+        ]
+        made = F.struct(
+            F.get(every, F.lit(0)).cast(RATE_TYPE).alias("value_percent"), kind.alias("kind"), period.alias("period"), basis.alias("gross_net_basis"),
+            F.when(F.size(p["labels"]) == 1, F.get(p["labels"], F.lit(0))).alias("basis_label"),
+        )
+        return outcome(checks, made, "rate_normalized")
+
+    return let(let(search_text(F.trim(raw)), parts), judged)
 
 
 TERM_NUMBER, TERM_UNIT = r"\d+(?:[.,]\d+)?", r"(?:aylik|ay|yillik|yil|senelik|sene)"
@@ -209,52 +217,63 @@ def _months(number: Column, unit: Column) -> Column:
 
 def term(raw: Column) -> Column:
     """Months: value array<struct<minimum_months, maximum_months>>, one entry for each discrete option."""
-    text = search_text(F.trim(raw))
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    one = lambda low, high: F.array(F.struct(low.alias("minimum_months"), high.alias("maximum_months")))
     span = rf"({TERM_NUMBER})\s*({TERM_UNIT})?\s*(?:-|ile|ila)\s*({TERM_NUMBER})\s*({TERM_UNIT})\b"
     suffix = rf"({TERM_NUMBER})\s*(ay|yil|sene)dan\s+({TERM_NUMBER})\s*(ay|yil|sene)a\s+kadar"
     most = rf"(?:en\s+fazla|azami)\s+({TERM_NUMBER})\s*({TERM_UNIT})\b"
     upto = rf"({TERM_NUMBER})\s*(ay|yil|sene)a\s+(?:kadar|varan)\b"
-    mixed = rf"(\d+)\s*(?:yil|sene)\s*(?:ve\s*)?(\d+)\s*ay\b"
+    mixed = r"(\d+)\s*(?:yil|sene)\s*(?:ve\s*)?(\d+)\s*ay\b"
     single = rf"({TERM_NUMBER})\s*({TERM_UNIT})\b"
-    singles = F.regexp_extract_all(text, F.lit(single), 0)
-    options = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d+)\b"), 1), lambda x: x.try_cast("int")))
-    discrete = text.rlike(r"\b(?:secenek|taksit)\w*\b") & text.rlike(r"[,/]\s*\d|\d\s+ve\s+\d") & (F.size(options) >= 2) & F.forall(options, lambda x: x.isNotNull() & (x > 0) & (x <= 1200))
-    unit = F.when(part(span, 2) == "", part(span, 4)).otherwise(part(span, 2))
-    ranges = F.when(text.rlike(span), F.struct(_months(part(span, 1), unit).alias("a"), _months(part(span, 3), part(span, 4)).alias("b"))).when(
-        text.rlike(suffix), F.struct(_months(part(suffix, 1), part(suffix, 2)).alias("a"), _months(part(suffix, 3), part(suffix, 4)).alias("b"))
-    )
-    has_most = text.rlike(most) | text.rlike(upto)
-    top = F.when(text.rlike(most), _months(part(most, 1), part(most, 2))).otherwise(_months(part(upto, 1), part(upto, 2)))
-    has_mixed = text.rlike(mixed)
-    years = F.coalesce(part(mixed, 1).try_cast("int"), F.lit(0)) * 12 + F.coalesce(part(mixed, 2).try_cast("int"), F.lit(0))
-    exact = _months(part(single, 1), part(single, 2))
-    free = ~discrete
-    checks = [
-        (is_missing(raw), "missing", "term_missing"),
-        (text.rlike(r"\b(?:gun|hafta)\b"), "unsupported", "non_month_term_unit"),
-        (text.rlike(r"\b(?:ve\s+uzeri|den\s+fazla|asgariden\s+itibaren)\b"), "unsupported", "open_ended_term_not_representable"),
-        (text.rlike(rf"{TERM_NUMBER}\s*taksit") & text.rlike(r"\btaksit\b") & ~text.rlike(rf"{TERM_NUMBER}\s*ay\s+taksit"), "unsupported", "installment_count_is_not_term"),
-        (text.contains("erteleme") & (text.contains("taksit") | text.contains("vade")), "ambiguous", "multiple_term_roles"),
-        (free & ranges.isNotNull() & (ranges["a"].isNull() | ranges["b"].isNull()), "invalid", "invalid_term_range"),
-        (free & ranges.isNotNull() & (ranges["a"] > ranges["b"]), "invalid", "reversed_term_range"),
-        (free & ranges.isNull() & has_most & top.isNull(), "invalid", "invalid_term_maximum"),
-        (free & ranges.isNull() & ~has_most & has_mixed & ((years < 1) | (years > 1200)), "invalid", "term_out_of_range"),
-        (free & ranges.isNull() & ~has_most & ~has_mixed & (F.size(singles) == 0), "invalid", "term_value_not_found"),
-        (free & ranges.isNull() & ~has_most & ~has_mixed & (F.size(F.array_distinct(singles)) > 1), "ambiguous", "multiple_term_values"),
-        (free & ranges.isNull() & ~has_most & ~has_mixed & exact.isNull(), "invalid", "invalid_term_number"),
-    ]
-    value = (
-        F.when(discrete, F.transform(options, lambda x: F.struct(x.alias("minimum_months"), x.alias("maximum_months"))))
-        .when(ranges.isNotNull(), one(ranges["a"], ranges["b"])).when(has_most, one(F.lit(None).cast("int"), top))
-        .when(has_mixed, one(years, years)).otherwise(one(exact, exact))
-    )
-    reason = (
-        F.when(discrete, "discrete_terms_normalized").when(ranges.isNotNull(), "term_range_normalized").when(has_most, "maximum_term_normalized")
-        .when(has_mixed, "mixed_term_normalized").otherwise("exact_term_normalized")
-    )
-    return outcome(checks, value, reason)
+    pair = lambda low, high: F.struct(low.alias("minimum_months"), high.alias("maximum_months"))
+
+    def parts(text: Column) -> Column:
+        g = lambda pattern, k: F.regexp_extract(text, pattern, k)
+        options = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d+)\b"), 1), lambda x: x.try_cast("int")))
+        unit = F.when(g(span, 2) == "", g(span, 4)).otherwise(g(span, 2))
+        years = F.coalesce(g(mixed, 1).try_cast("int"), F.lit(0)) * 12 + F.coalesce(g(mixed, 2).try_cast("int"), F.lit(0))
+        return F.struct(
+            text.alias("text"), options.alias("options"), F.array_distinct(F.regexp_extract_all(text, F.lit(single), 0)).alias("singles"),
+            (text.rlike(r"\b(?:secenek|taksit)\w*\b") & text.rlike(r"[,/]\s*\d|\d\s+ve\s+\d")).alias("listed"),
+            F.when(text.rlike(span), pair(_months(g(span, 1), unit), _months(g(span, 3), g(span, 4))))
+            .when(text.rlike(suffix), pair(_months(g(suffix, 1), g(suffix, 2)), _months(g(suffix, 3), g(suffix, 4)))).alias("range"),
+            (text.rlike(most) | text.rlike(upto)).alias("has_most"),
+            F.when(text.rlike(most), _months(g(most, 1), g(most, 2))).otherwise(_months(g(upto, 1), g(upto, 2))).alias("top"),
+            text.rlike(mixed).alias("has_mixed"), years.alias("years"), _months(g(single, 1), g(single, 2)).alias("exact"),
+        )
+
+    def form(p: Column) -> Column:
+        """The first form that the text has; later forms don't count then."""
+        discrete = p["listed"] & (F.size(p["options"]) >= 2) & F.forall(p["options"], lambda x: x.isNotNull() & (x > 0) & (x <= 1200))
+        name = F.when(discrete, "discrete").when(p["range"].isNotNull(), "range").when(p["has_most"], "most").when(p["has_mixed"], "mixed").otherwise("single")
+        return F.struct(name.alias("form"), p.alias("p"))
+
+    def judged(f: Column) -> Column:
+        name, p = f["form"], f["p"]
+        text, low, high = p["text"], p["range"]["minimum_months"], p["range"]["maximum_months"]
+        checks = [
+            (is_missing(raw), "missing", "term_missing"),
+            (text.rlike(r"\b(?:gun|hafta)\b"), "unsupported", "non_month_term_unit"),
+            (text.rlike(r"\b(?:ve\s+uzeri|den\s+fazla|asgariden\s+itibaren)\b"), "unsupported", "open_ended_term_not_representable"),
+            (text.rlike(rf"{TERM_NUMBER}\s*taksit") & text.rlike(r"\btaksit\b") & ~text.rlike(rf"{TERM_NUMBER}\s*ay\s+taksit"), "unsupported", "installment_count_is_not_term"),
+            (text.contains("erteleme") & (text.contains("taksit") | text.contains("vade")), "ambiguous", "multiple_term_roles"),
+            ((name == "range") & (low.isNull() | high.isNull()), "invalid", "invalid_term_range"),
+            ((name == "range") & (low > high), "invalid", "reversed_term_range"),
+            ((name == "most") & p["top"].isNull(), "invalid", "invalid_term_maximum"),
+            ((name == "mixed") & ((p["years"] < 1) | (p["years"] > 1200)), "invalid", "term_out_of_range"),
+            ((name == "single") & (F.size(p["singles"]) == 0), "invalid", "term_value_not_found"),
+            ((name == "single") & (F.size(p["singles"]) > 1), "ambiguous", "multiple_term_values"),
+            ((name == "single") & p["exact"].isNull(), "invalid", "invalid_term_number"),
+        ]
+        value = (
+            F.when(name == "discrete", F.transform(p["options"], lambda x: pair(x, x))).when(name == "range", F.array(pair(low, high)))
+            .when(name == "most", F.array(pair(F.lit(None).cast("int"), p["top"]))).when(name == "mixed", F.array(pair(p["years"], p["years"]))).otherwise(F.array(pair(p["exact"], p["exact"])))
+        )
+        reasons = {"discrete": "discrete_terms", "range": "term_range", "most": "maximum_term", "mixed": "mixed_term", "single": "exact_term"}
+        reason = F.lit(None).cast("string")
+        for own, label in reasons.items():
+            reason = F.when(name == own, f"{label}_normalized").otherwise(reason)
+        return outcome(checks, value, reason)
+
+    return let(let(let(search_text(F.trim(raw)), parts), form), judged)
 
 
 # Month names (folded), January first.
@@ -300,71 +319,87 @@ def dates_in(text: Column, reference: Column) -> Column:
 def date(raw: Column, reference: Column | None = None) -> Column:
     """One calendar date. "bugün" and "yarın" and dates without a year need a reference."""
     reference = F.lit(None).cast("date") if reference is None else reference
-    text = search_text(F.trim(raw))
-    relative = text.rlike(r"\b(?:bugun|yarin)\b")
-    found = dates_in(text, reference)
-    first = F.get(found, F.lit(0))
-    month_only = text.rlike(rf"\b{MONTH}\b|\b(?:19|20)\d\d\b")
-    checks = [
-        (is_missing(raw), "missing", "date_missing"),
-        (relative & reference.isNull(), "ambiguous", "relative_date_needs_reference"),
-        (~relative & (F.size(found) > 1), "ambiguous", "multiple_dates"),
-        (~relative & (F.size(found) == 0) & month_only, "ambiguous", "date_precision_ambiguous"),
-        (~relative & (F.size(found) == 0), "invalid", "date_value_not_found"),
-        (~relative & first["yearless"] & reference.isNull(), "ambiguous", "date_year_missing"),
-        (~relative & first["date"].isNull(), "invalid", "invalid_calendar_date"),
-    ]
-    shifted = F.date_add(reference, F.when(text.rlike(r"\byarin\b"), 1).otherwise(0))
-    return outcome(checks, F.when(relative, shifted).otherwise(first["date"]), F.when(relative, "relative_date_normalized").otherwise("date_normalized"))
+    def parts(text: Column) -> Column:
+        return F.struct(
+            text.rlike(r"\b(?:bugun|yarin)\b").alias("relative"), text.rlike(r"\byarin\b").alias("tomorrow"), dates_in(text, reference).alias("found"),
+            text.rlike(rf"\b{MONTH}\b|\b(?:19|20)\d\d\b").alias("rough"),
+        )
+
+    def judged(p: Column) -> Column:
+        relative, found = p["relative"], p["found"]
+        first = F.get(found, F.lit(0))
+        checks = [
+            (is_missing(raw), "missing", "date_missing"),
+            (relative & reference.isNull(), "ambiguous", "relative_date_needs_reference"),
+            (~relative & (F.size(found) > 1), "ambiguous", "multiple_dates"),
+            (~relative & (F.size(found) == 0) & p["rough"], "ambiguous", "date_precision_ambiguous"),
+            (~relative & (F.size(found) == 0), "invalid", "date_value_not_found"),
+            (~relative & first["yearless"] & reference.isNull(), "ambiguous", "date_year_missing"),
+            (~relative & first["date"].isNull(), "invalid", "invalid_calendar_date"),
+        ]
+        shifted = F.date_add(reference, F.when(p["tomorrow"], 1).otherwise(0))
+        return outcome(checks, F.when(relative, shifted).otherwise(first["date"]), F.when(relative, "relative_date_normalized").otherwise("date_normalized"))
+
+    return let(let(search_text(F.trim(raw)), parts), judged)
 
 
 def validity(raw: Column, reference: Column | None = None) -> Column:
     """A validity window: value struct<starts_on, ends_on>."""
     reference = F.lit(None).cast("date") if reference is None else reference
-    text = search_text(F.trim(raw))
-    this_month = text.rlike(r"\bbu\s+ay\s+sonuna\s+kadar\b")
     within = rf"(?<!\d)(\d{{1,2}})\s*(?:-|ile|ila)\s*(\d{{1,2}})\s+{MONTH}(?:\s+(\d{{4}}))?"
     whole = rf"^\s*{MONTH}\s+(?:ayi\s+)?(\d{{4}})(?:\s+(?:ayi|boyunca|ayi\s+boyunca))?\s*$"
-    g = lambda p, k: F.regexp_extract(text, p, k)
-    is_within, is_whole = text.rlike(within), text.rlike(whole)
-    year = F.when(g(within, 4) == "", F.year(reference).cast("string")).otherwise(g(within, 4))
-    a, b = _date_of(year, _month_number(g(within, 3)), g(within, 1)), _date_of(year, _month_number(g(within, 3)), g(within, 2))
-    month_start = _date_of(g(whole, 2), _month_number(g(whole, 1)), F.lit("1"))
-    found = dates_in(text, reference)
-    n = F.size(found)
-    x, y = F.get(found, F.lit(0)), F.get(found, F.lit(1))
-    # A yearless first date after a second one belongs to the year before.
-    start = F.when(x["yearless"] & (x["date"] > y["date"]), F.add_months(x["date"], -12)).otherwise(x["date"])
-    connected = text.rlike(r"-|\bile\b|\bila\b|\barasi(?:nda)?\b|(?:dan|den|tan|ten|itibaren)\b.*(?:kadar|dek)\b")
-    until, since = text.rlike(r"\b(?:kadar|dek|son(?:a)?\s+er|sonuna)\b|\bson\s+(?:gun|tarih)\b"), text.rlike(r"\b(?:itibaren|baslayan|basla)\w*\b")
-    special = this_month | is_within | is_whole
-    checks = [
-        (is_missing(raw), "missing", "validity_missing"),
-        (text.rlike(r"\b(?:saat\s*)?\d{1,2}[:.]\d{2}\s*(?:'?(?:e|a|ye|ya)\s+kadar)|\bsaat\s+\d"), "unsupported", "time_of_day_not_representable"),
-        (this_month & reference.isNull(), "ambiguous", "relative_date_needs_reference"),
-        (is_within & (g(within, 4) == "") & reference.isNull(), "ambiguous", "validity_year_missing"),
-        (~this_month & is_within & (a.isNull() | b.isNull()), "invalid", "invalid_validity_window"),
-        (~this_month & is_within & (a > b), "invalid", "reversed_validity_window"),
-        (~special & (n > 2), "ambiguous", "multiple_validity_dates"),
-        (~special & (n == 2) & ~connected, "ambiguous", "multiple_validity_roles"),
-        (~special & (n > 0) & F.exists(found, lambda d: d["yearless"]) & reference.isNull(), "ambiguous", "validity_year_missing"),
-        (~special & (n > 0) & F.exists(found, lambda d: d["date"].isNull()), "invalid", "invalid_validity_window"),
-        (~special & (n == 2) & (start > y["date"]), "invalid", "reversed_validity_window"),
-        (~special & (n == 0) & text.rlike(rf"\b{MONTH}\b|\b(?:19|20)\d\d\b"), "ambiguous", "validity_precision_ambiguous"),
-        (~special & (n == 0), "invalid", "validity_date_not_found"),
-        (~special & (n == 1) & (until == since), "ambiguous", "validity_boundary_role_unknown"),
-    ]
-    window = lambda s, e: F.struct(s.alias("starts_on"), e.alias("ends_on"))
-    none = F.lit(None).cast("date")
-    value = (
-        F.when(this_month, window(none, F.last_day(reference))).when(is_within, window(a, b)).when(is_whole, window(month_start, F.last_day(month_start)))
-        .when(n == 2, window(start, y["date"])).when(until, window(none, x["date"])).otherwise(window(x["date"], none))
-    )
-    reason = (
-        F.when(this_month, "relative_validity_normalized").when(is_whole, "full_month_validity_normalized")
-        .when(is_within | (n == 2), "validity_range_normalized").otherwise("open_validity_normalized")
-    )
-    return outcome(checks, value, reason)
+    connected = r"-|\bile\b|\bila\b|\barasi(?:nda)?\b|(?:dan|den|tan|ten|itibaren)\b.*(?:kadar|dek)\b"
+    until = r"\b(?:kadar|dek|son(?:a)?\s+er|sonuna)\b|\bson\s+(?:gun|tarih)\b"
+    since = r"\b(?:itibaren|baslayan|basla)\w*\b"
+    clock = r"\b(?:saat\s*)?\d{1,2}[:.]\d{2}\s*(?:'?(?:e|a|ye|ya)\s+kadar)|\bsaat\s+\d"
+
+    def parts(text: Column) -> Column:
+        g = lambda p, k: F.regexp_extract(text, p, k)
+        year = F.when(g(within, 4) == "", F.year(reference).cast("string")).otherwise(g(within, 4))
+        form = F.when(text.rlike(r"\bbu\s+ay\s+sonuna\s+kadar\b"), "this_month").when(text.rlike(within), "within").when(text.rlike(whole), "whole").otherwise("dates")
+        return F.struct(
+            form.alias("form"), (g(within, 4) == "").alias("yearless"), dates_in(text, reference).alias("found"), text.rlike(clock).alias("clock"),
+            _date_of(year, _month_number(g(within, 3)), g(within, 1)).alias("a"), _date_of(year, _month_number(g(within, 3)), g(within, 2)).alias("b"),
+            _date_of(g(whole, 2), _month_number(g(whole, 1)), F.lit("1")).alias("month"), text.rlike(connected).alias("connected"),
+            text.rlike(until).alias("until"), text.rlike(since).alias("since"), text.rlike(rf"\b{MONTH}\b|\b(?:19|20)\d\d\b").alias("rough"),
+        )
+
+    def judged(p: Column) -> Column:
+        form, found, a, b = p["form"], p["found"], p["a"], p["b"]
+        free, n = form == "dates", F.size(found)
+        x, y = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        # A yearless first date after a second one belongs to the year before.
+        start = F.when(x["yearless"] & (x["date"] > y["date"]), F.add_months(x["date"], -12)).otherwise(x["date"])
+        checks = [
+            (is_missing(raw), "missing", "validity_missing"),
+            (p["clock"], "unsupported", "time_of_day_not_representable"),
+            ((form == "this_month") & reference.isNull(), "ambiguous", "relative_date_needs_reference"),
+            ((form == "within") & p["yearless"] & reference.isNull(), "ambiguous", "validity_year_missing"),
+            ((form == "within") & (a.isNull() | b.isNull()), "invalid", "invalid_validity_window"),
+            ((form == "within") & (a > b), "invalid", "reversed_validity_window"),
+            (free & (n > 2), "ambiguous", "multiple_validity_dates"),
+            (free & (n == 2) & ~p["connected"], "ambiguous", "multiple_validity_roles"),
+            (free & F.exists(found, lambda d: d["yearless"]) & reference.isNull(), "ambiguous", "validity_year_missing"),
+            (free & F.exists(found, lambda d: d["date"].isNull()), "invalid", "invalid_validity_window"),
+            (free & (n == 2) & (start > y["date"]), "invalid", "reversed_validity_window"),
+            (free & (n == 0) & p["rough"], "ambiguous", "validity_precision_ambiguous"),
+            (free & (n == 0), "invalid", "validity_date_not_found"),
+            (free & (n == 1) & (p["until"] == p["since"]), "ambiguous", "validity_boundary_role_unknown"),
+        ]
+        window = lambda s, e: F.struct(s.alias("starts_on"), e.alias("ends_on"))
+        none = F.lit(None).cast("date")
+        value = (
+            F.when(form == "this_month", window(none, F.last_day(reference))).when(form == "within", window(a, b))
+            .when(form == "whole", window(p["month"], F.last_day(p["month"]))).when(n == 2, window(start, y["date"]))
+            .when(p["until"], window(none, x["date"])).otherwise(window(x["date"], none))
+        )
+        reason = (
+            F.when(form == "this_month", "relative_validity_normalized").when(form == "whole", "full_month_validity_normalized")
+            .when((form == "within") | (n == 2), "validity_range_normalized").otherwise("open_validity_normalized")
+        )
+        return outcome(checks, value, reason)
+
+    return let(let(search_text(F.trim(raw)), parts), judged)
 
 
 # Fixed values of the fee grammar (folded text).
@@ -383,15 +418,21 @@ FEE_KINDS = (
 def fee(raw: Column) -> Column:
     """What a sentence says about a fee: struct<kind, basis, waived, waiver_limit, money, rate>, null
     where it says none or its polarity is open. A waiver is decided before any amount is read."""
-    text = search_text(raw)
-    kind = _first(text, [(p, k) for p, k, _ in FEE_KINDS], "other")
-    basis = _first(text, [(p, b) for p, _, b in FEE_KINDS], "one_time")
-    waived = text.rlike(FEE_WAIVED)
-    amount, percent = money(raw), rate(raw)
-    has_amount, has_rate = amount["status"] == "normalized", percent["status"] == "normalized"
-    ceiling = F.when(text.rlike(r"\bkadar\b"), money(F.regexp_extract(raw, r"(?i)^(.*?)\bkadar\b", 1))["value"])
-    made = F.struct(
-        kind.alias("kind"), F.when(~waived & ~has_amount & has_rate, "percent_of_amount").otherwise(basis).alias("basis"), waived.alias("waived"),
-        F.when(waived, ceiling).alias("waiver_limit"), F.when(~waived, amount["value"]).alias("money"), F.when(~waived & ~has_amount, percent["value"]).alias("rate"),
-    )
-    return F.when(text.rlike(FEE_MARK) & (waived | (~text.rlike(FEE_DOUBT) & (has_amount | has_rate))), made)
+    ceiling = money(F.regexp_extract(raw, r"(?i)^(.*?)\bkadar\b", 1))["value"]
+
+    def parts(text: Column) -> Column:
+        return F.struct(
+            _first(text, [(p, k) for p, k, _ in FEE_KINDS], "other").alias("kind"), _first(text, [(p, b) for p, _, b in FEE_KINDS], "one_time").alias("basis"),
+            text.rlike(FEE_MARK).alias("marked"), text.rlike(FEE_WAIVED).alias("waived"), text.rlike(FEE_DOUBT).alias("doubt"), text.rlike(r"\bkadar\b").alias("limited"),
+            money(raw)["value"].alias("money"), rate(raw)["value"].alias("rate"),
+        )
+
+    def judged(p: Column) -> Column:
+        waived, amount, percent = p["waived"], p["money"], p["rate"]
+        made = F.struct(
+            p["kind"].alias("kind"), F.when(~waived & amount.isNull() & percent.isNotNull(), "percent_of_amount").otherwise(p["basis"]).alias("basis"), waived.alias("waived"),
+            F.when(waived & p["limited"], ceiling).alias("waiver_limit"), F.when(~waived, amount).alias("money"), F.when(~waived & amount.isNull(), percent).alias("rate"),
+        )
+        return F.when(p["marked"] & (waived | (~p["doubt"] & (amount.isNotNull() | percent.isNotNull()))), made)
+
+    return let(let(search_text(raw), parts), judged)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, history, quality, selection
+from . import comparison, history, quality, selection, texts
 
-_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES
+_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES
 
 
 def queries() -> dict:

@@ -181,8 +181,8 @@ def normalize_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", normalizers.term(raw).alias("m"))
     return found.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "m.status", "m.reason_code", F.get("m.value", F.lit(0))["minimum_months"].cast("bigint").alias("low"),
-        F.element_at("m.value", -1)["maximum_months"].cast("bigint").alias("high"),
+        "l_orderkey", "l_linenumber", "l_partkey", "m.status", "m.reason_code", F.get("m.value", F.lit(0))["minimum_months"].cast("double").alias("low"),
+        F.element_at("m.value", -1)["maximum_months"].cast("double").alias("high"),
     )
 
 
@@ -219,7 +219,7 @@ def read_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", normalizers.fee(raw).alias("f"))
     return found.select(
-        "l_orderkey", "l_linenumber", "l_partkey", "f.kind", "f.basis", "f.waived", F.col("f.money.amount").cast("double").alias("amount"), F.col("f.rate.value_percent").cast("double").alias("percent"),
+        "l_orderkey", "l_linenumber", "l_partkey", "f.kind", "f.basis", F.col("f.waived").cast("string").alias("waived"), F.col("f.money.amount").cast("double").alias("amount"), F.col("f.rate.value_percent").cast("double").alias("percent"),
         F.col("f.waiver_limit.amount").cast("double").alias("ceiling"),
     )
 
@@ -255,8 +255,8 @@ ENTRIES = {
     "search_ranked": (
         search_ranked,
         f"""WITH t AS (SELECT doc_id, n_chars, {_TOKENS} AS t FROM documents), f AS (SELECT * FROM t WHERE list_has_all(t, ['stupid', 'clown'])),
-        p AS (SELECT doc_id, n_chars, list_filter(range(1, len(t) + 1), lambda i: t[i] IN ('stupid', 'clown')) AS at FROM f),
-        s AS (SELECT doc_id, n_chars, len(at) / (list_max(at) - list_min(at) + 1) AS score FROM p)
+        p AS (SELECT doc_id, n_chars, list_filter(range(1, len(t) + 1), lambda i: t[i] IN ('stupid', 'clown')) AS pos FROM f),
+        s AS (SELECT doc_id, n_chars, len(pos) / (list_max(pos) - list_min(pos) + 1) AS score FROM p)
         SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, n_chars DESC, doc_id LIMIT 20""",
     ),
     "relaxation_ladder": (relaxation_ladder, "SELECT doc_id, CAST(1 AS BIGINT) AS attempt FROM documents WHERE lang = 'fr' AND source = 'src3'"),
@@ -336,7 +336,7 @@ ENTRIES = {
         f"""WITH l AS (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
         SELECT {_LINE}, {_CASES(*["'normalized'"] * 4, "'unsupported'", "'unsupported'", "'normalized'")} AS status,
         {_CASES("'exact_term_normalized'", "'term_range_normalized'", "'exact_term_normalized'", "'maximum_term_normalized'", "'non_month_term_unit'", "'installment_count_is_not_term'", "'discrete_terms_normalized'")} AS reason_code,
-        {_CASES("q", "1", "q * 12", "NULL", "NULL", "NULL", "3")} AS low, {_CASES("q", "q", "q * 12", "q", "NULL", "NULL", "12")} AS high FROM l""",
+        {_CASES("q", "1", "q * 12", "NULL", "NULL", "NULL", "3")}::DOUBLE AS low, {_CASES("q", "q", "q * 12", "q", "NULL", "NULL", "12")}::DOUBLE AS high FROM l""",
     ),
     "normalize_date": (
         normalize_date,
@@ -355,7 +355,7 @@ ENTRIES = {
     "read_fee": (
         read_fee,
         f"""SELECT {_LINE}, {_CASES("'allocation'", "'annual'", "'other'", "NULL", "'other'", "NULL", "'allocation'")} AS kind, {_CASES("'one_time'", "'per_year'", "'one_time'", "NULL", "'percent_of_amount'", "NULL", "'one_time'")} AS basis,
-        {_CASES("false", "true", "true", "NULL", "false", "NULL", "true")} AS waived, CASE WHEN l_linenumber = 1 THEN floor(l_extendedprice) END AS amount, CASE WHEN l_linenumber = 5 THEN 2.0::DOUBLE END AS percent,
+        {_CASES("'false'", "'true'", "'true'", "NULL", "'false'", "NULL", "'true'")} AS waived, CASE WHEN l_linenumber = 1 THEN floor(l_extendedprice) END AS amount, CASE WHEN l_linenumber = 5 THEN 2.0::DOUBLE END AS percent,
         CASE WHEN l_linenumber = 7 THEN 50000.0::DOUBLE END AS ceiling FROM lineitem""",
     ),
     "number_grounding": (number_grounding, "SELECT l_orderkey, l_orderkey % 4 >= 2 AS grounded FROM lineitem GROUP BY 1"),
