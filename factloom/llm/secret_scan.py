@@ -49,23 +49,21 @@ DATE = re.compile(
 WALK_MIN, REPEAT_BLOCK, DATE_MAX, SPAN = 3, 8, 10, 64
 
 
-def _neighbours() -> dict[str, frozenset[str]]:
-    """Keys next to each other in a row or in adjoining rows, and letters next in the alphabet."""
-    near: dict[str, set[str]] = {}
-    for row in KEYBOARD:
-        for a, b in zip(row, row[1:], strict=False):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    for upper, lower in zip(KEYBOARD[:3], KEYBOARD[1:4], strict=True):
-        for k, c in enumerate(upper):
-            for j in (k - 1, k):
-                if 0 <= j < len(lower):
-                    near.setdefault(c, set()).add(lower[j])
-                    near.setdefault(lower[j], set()).add(c)
-    return {k: frozenset(v) for k, v in near.items()}
+#: Key -> (row, column); each row of the keyboard lies half a key right of the one above.
+PLACE = {c: (r, k) for r, row in enumerate(KEYBOARD[:4]) for k, c in enumerate(row)}
+#: Steps between neighbouring keys: along a row, and to the two keys below or above.
+STEPS = frozenset([(0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)])
 
 
-NEAR = _neighbours()
+def step(a: str, b: str) -> tuple | None:
+    """The direction from a key to a neighbouring one, or along the alphabet; else null."""
+    if a in PLACE and b in PLACE:
+        (r, k), (s, j) = PLACE[a], PLACE[b]
+        if (s - r, j - k) in STEPS:
+            return s - r, j - k
+    if a.isascii() and b.isascii() and a.isalpha() and b.isalpha() and abs(ord(b) - ord(a)) == 1:
+        return "abc", ord(b) - ord(a)
+    return None
 
 
 def _alphabet(value: str) -> float:
@@ -87,6 +85,7 @@ def guess_cost(value: str, enough: float = float("inf")) -> float:
     best = [0.0] + [float("inf")] * n
     walk = [1] * (n + 1)  # length of the keyboard walk that ends here
     turns = [0] * (n + 1)
+    heading = None
     for j in range(1, n + 1):
         cost = best[j - 1] + single
         for k in range(max(0, j - LONGEST_WORD), j - 2):
@@ -103,13 +102,15 @@ def guess_cost(value: str, enough: float = float("inf")) -> float:
             for k in range(max(0, j - DATE_MAX), j - 3):
                 if DATE.fullmatch(low, k, j):
                     cost = min(cost, best[k] + (log10(200) if j - k == 4 else log10(365 * 120 * 4)))
-        if j > 1 and low[j - 2] in NEAR.get(low[j - 1], ()):
+        if j > 1 and (now := step(low[j - 2], low[j - 1])):
             walk[j] = walk[j - 1] + 1
-            same = j > 2 and walk[j] > 2 and ord(low[j - 1]) - ord(low[j - 2]) == ord(low[j - 2]) - ord(low[j - 3])
-            turns[j] = turns[j - 1] + (not same)
+            turns[j] = turns[j - 1] + (now != heading)
+            heading = now
+        else:
+            heading = None
         for size in range(WALK_MIN, min(walk[j], SPAN) + 1):
             k = j - size
-            cost = min(cost, best[k] + log10(47) + log10(size) + (turns[j] - turns[k + 1]) * log10(4))
+            cost = min(cost, best[k] + log10(47) + log10(size) + (turns[j] - turns[k + 2]) * log10(4))
         for block in range(1, min(REPEAT_BLOCK, j // 2) + 1):
             times, unit = 1, low[j - block : j]
             while (times + 1) * block <= min(j, SPAN) and low[j - (times + 1) * block : j - times * block] == unit:
