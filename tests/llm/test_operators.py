@@ -116,7 +116,7 @@ def test_bpe_matches_library(docs, odd, none):
 def test_bpe_round_trip(spark):
     df = spark.createDataFrame([(1, "Hello  Wörld 😀, it's 42"), (2, None), (3, "")], "doc_id int, text string")
     back = {r.doc_id: r.text for r in bpe_stream.decode(bpe_stream.encode(df, WORD), WORD).collect()}
-    assert back == {1: "hello wörld 😀 , it 's 4 2 ", 2: "", 3: ""}
+    assert back == {1: "hello wörld 😀, it 's 4 2 ", 2: "", 3: ""}
 
 
 def test_lookahead_is_enough():
@@ -134,7 +134,7 @@ def test_lookahead_is_enough():
         for _ in range(6):
             text = [rng.choice("abc") for _ in range(rng.randrange(1, 400))]
             t = bpe_stream.Transducer(v)
-            t.window = v.reach + 3
+            t.window = v.reach + max(map(len, symbols)) + 2
             out = []
             for c in text:
                 out += t.feed([c])
