@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Turkish letters and signs, and what they fold to.
 FOLD_FROM, FOLD_TO = "ÇĞİIÖŞÜÂÎÛçğıöşüâîû−–—’`", "CGIIOSUAIUcgiosuaiu---''"
@@ -15,13 +16,13 @@ MISSING = ("", "-", "n a", "na", "none", "null", "unknown", "bilinmiyor", "bilin
 MISSING_FIELD = r"\b(?:bilgi(?:si)?|oran(?:i)?|tutar(?:i)?|vade(?:si)?|tarih(?:i)?|ucret(?:i)?)\s+(?:belirtilmemis|bulunmuyor|bulunamadi|bilinmiyor|yok)\b"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfkc(texts: pa.Array) -> pa.Array:
     """Compatibility composition: Spark has no such function. Plain ASCII passes untouched."""
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def casefold(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.lower() if t.isascii() else t.casefold() for t in texts.to_pylist()], pa.string())
 
