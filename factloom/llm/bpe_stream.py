@@ -32,8 +32,7 @@ from .common import id_type, map_batches
 from .token_counts import _tokenizer, byte_symbols, settled
 
 #: Entries of a worker's cache of words (one older cache of that size is kept), and the longest word in it.
-CACHE, CACHED = 1 << 17, 64
-_SPACES = regex.compile(r"\s+")
+CACHE, CACHED = 1 << 18, 64
 
 
 def lookahead(merges: list[tuple[str, str]]) -> int:
@@ -186,8 +185,9 @@ class Transducer:
 
 
 def normalized(text: str) -> str:
-    """NFC, white space runs to one space, lower case character by character."""
-    text = _SPACES.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
+    """NFC and lower case, character by character. The file's replacement of white-space runs by
+    one space is left out: the pre-tokenizer drops white space whatever it is."""
+    text = text if text.isascii() else unicodedata.normalize("NFC", text)
     # str.lower() lowers a final sigma by its context; the tokenizer doesn't.
     return text.replace("Σ", "σ").lower()
 
@@ -246,28 +246,31 @@ class WordEncoder(dict):
         return out
 
 
-class TokenText:
+class TokenText(dict):
     """Ids to text for a file without a decoder: the tokens' strings, joined by spaces.
 
-    State: whether anything came before.
+    State: whether anything came before. The dict keeps the text of short blocks of ids.
     """
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v, self.begun = vocabulary, False
-        self.cache: dict[bytes, str] = {}
+
+    def __missing__(self, ids: bytes) -> str:
+        text = " ".join([self.v.token(i) for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        if len(ids) <= 4 * CACHED:
+            if len(self) >= CACHE:
+                self.clear()
+            self[ids] = text
+        return text
 
     def reset(self) -> None:
         self.begun = False
 
-    def feed(self, ids: bytes) -> str:
-        text = self.cache.get(ids)
-        if text is None:
-            text = " ".join([self.v.token(i) for i in np.frombuffer(ids, dtype="<u4").tolist()])
-            if len(ids) <= 4 * CACHED:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[ids] = text
-        if not ids:
+    def feed(self, blocks: list[bytes]) -> str:
+        """Text of some blocks of ids; empty blocks add nothing."""
+        text = " ".join(map(self.__getitem__, filter(None, blocks)))
+        if not text:
             return ""
         if self.begun:
             return " " + text
@@ -303,8 +306,9 @@ class ByteText:
             self.cache[i] = known
         return known
 
-    def feed(self, ids: bytes) -> str:
-        return "".join([self.state.decode(self._bytes(i)) for i in np.frombuffer(ids, dtype="<u4").tolist()])
+    def feed(self, blocks: list[bytes]) -> str:
+        """Text of some blocks of ids, but for an incomplete character at the end."""
+        return "".join([self.state.decode(self._bytes(i)) for ids in blocks for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
     def finish(self) -> str:
         return self.state.decode(b"", True)
@@ -344,7 +348,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
         def one(x):
             machine.reset()
             block = np.array(x or [], dtype="<u4")
-            text = "".join([machine.feed(block[k : k + 64].tobytes()) for k in range(0, len(block), 64)])
+            text = "".join([machine.feed([block[k : k + 64].tobytes()]) for k in range(0, len(block), 64)])
             return text if as_tokens else text + machine.finish()
 
         return lambda ids, lists: (ids, [one(x) for x in lists])
@@ -373,7 +377,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                 if with_ids:
                     lists.append(np.frombuffer(raw, dtype="<u4").astype(np.int32))
                 enc.append(hashlib.sha256(raw).hexdigest())
-                dec.append(hashlib.sha256("".join(map(back.feed, blocks)).encode()).hexdigest())
+                dec.append(hashlib.sha256(back.feed(blocks).encode()).hexdigest())
             return (ids, n, enc, dec, *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []))
 
         return work
