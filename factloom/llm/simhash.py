@@ -218,11 +218,10 @@ def near_duplicates(
     fps = fingerprints(docs, id_col, text_col, shingle).checkpoint()
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
     roots = components(links(distinct.select("fp"), radius, block))
-    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    moved = roots.select(F.col("node").alias("fp"), "root").unionByName(
-        roots.select(F.col("root").alias("fp"), "root").distinct()
-    ).join(lows, "root").select("fp", "component_id")
+    linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select("root").distinct().select(F.col("root").alias("fp"), "root"))
+    # One row per group of linked fingerprints. Written, so that a very large group's side of the next join can be split.
+    lows = linked.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_id")).checkpoint()
+    moved = linked.join(lows, "root").select("fp", "component_id")
     # Fingerprints without a link have their own smallest id.
     names = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")).checkpoint()
     # Both sides are plain exchanges now, so a fingerprint that very many rows share is split by the skew join.
