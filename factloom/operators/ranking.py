@@ -66,10 +66,11 @@ def selected_values(facts: DataFrame, common: DataFrame, request: str, record: s
     return joined.select(request, record, F.when(reason.isNull(), F.col("value")).alias("value"), reason.alias("reason"))
 
 
-def first_reason(*checks: tuple[Column, str]) -> Column:
+def first_reason(*checks: tuple[Column, Column | str | None]) -> Column:
     """The reason of the first check that holds, else null: order is part of the contract."""
     out = None
     for condition, reason in checks:
+        reason = reason if isinstance(reason, Column) else F.lit(reason).cast("string")
         out = F.when(condition, reason) if out is None else out.when(condition, reason)
     return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import comparison, ranking
 from .tables import table
 
 
@@ -99,6 +99,19 @@ def reward_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.dense_ranked(own, ["request", "l_returnflag"], F.col("value"), True).select("request", "record", "l_returnflag", "value", "rank")
 
 
+def compare_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole comparison of rates: a customer's dearest orders, whose lines are the rates."""
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("request"), F.col("o_orderkey").alias("record"))
+    none = F.lit(None)
+    rates = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("record")).select(
+        "request", "record", F.col("l_linenumber").alias("index"), F.lit("stated").alias("status"), F.col("l_quantity").alias("value_percent"), F.col("l_returnflag").alias("kind"),
+        F.col("l_linestatus").alias("period"), F.lit("unspecified").alias("gross_net_basis"), none.cast("date").alias("reference_starts_on"), none.cast("date").alias("reference_ends_on"),
+        F.lit(12).alias("term_months"), none.cast("string").alias("basis_label"), F.array(F.col("l_partkey").cast("string")).alias("evidence_ids"),
+    )
+    found = comparison.compared(orders, comparison.rate_facts(rates), comparison.RATE)
+    return found.select("request", "record", "comparable", F.coalesce("rank", F.lit(0)).alias("rank"), "reason_code")
+
+
 def _dense(order: str, part: str) -> str:
     return f"CAST(dense_rank() OVER (PARTITION BY {part} ORDER BY {order}) AS BIGINT)"
 
@@ -150,6 +163,21 @@ ENTRIES = {
         own_and_peer_reason,
         """SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'rate_missing' WHEN bool_or(o_totalprice < 100000) OVER (PARTITION BY o_custkey) THEN 'peer_rate_missing' END AS reason FROM orders""",
     ),
+    "compare_rates": (
+        compare_rates,
+        f"""WITH m AS (SELECT o_custkey AS request, o_orderkey AS record FROM orders WHERE o_totalprice > 350000), n AS (SELECT request, count(*) AS n FROM m GROUP BY 1),
+        f AS (SELECT request, record, l_returnflag AS k, l_linestatus AS p, l_quantity AS v FROM lineitem JOIN m ON l_orderkey = record),
+        c1 AS (SELECT request, k FROM f JOIN n USING (request) GROUP BY ALL HAVING count(DISTINCT record) = any_value(n)),
+        c2 AS (SELECT request, k, p FROM f JOIN n USING (request) GROUP BY ALL HAVING count(DISTINCT record) = any_value(n)),
+        s AS (SELECT n.request, (SELECT count(*) FROM c1 WHERE c1.request = n.request) AS kinds, (SELECT count(*) FROM c2 WHERE c2.request = n.request) AS common FROM n),
+        v AS (SELECT request, record, count(DISTINCT v) AS vals, min(v) AS v FROM f JOIN c2 USING (request, k, p) GROUP BY ALL),
+        h AS (SELECT DISTINCT request, record, true AS has FROM f),
+        j AS (SELECT m.request, m.record, has, kinds, common, v, bool_or(has IS NULL) OVER w AS gap, max(coalesce(vals, 0)) OVER w AS worst
+        FROM m LEFT JOIN h USING (request, record) JOIN s USING (request) LEFT JOIN v USING (request, record) WINDOW w AS (PARTITION BY m.request)),
+        r AS (SELECT *, CASE WHEN has IS NULL THEN 'rate_missing' WHEN gap THEN 'peer_rate_missing' WHEN common = 0 AND kinds = 0 THEN 'rate_kind_mismatch' WHEN common = 0 THEN 'rate_period_mismatch'
+        WHEN common > 1 THEN 'multiple_rate_signatures' WHEN worst > 1 THEN 'multiple_rate_values_for_signature' END AS why FROM j)
+        SELECT request, record, why IS NULL AS comparable, CASE WHEN why IS NULL THEN {_dense('v', 'request')} ELSE 0 END AS rank, coalesce(why, 'ranked_lower_is_better') AS reason_code FROM r""",
+    ),
     "term_comparison": (
         term_comparison,
         f"""SELECT request, record, months, {_dense('months DESC', 'request')} AS rank FROM (SELECT request, record, max(value) AS months FROM {_FACTS_SQL} GROUP BY ALL)""",
