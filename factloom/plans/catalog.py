@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, extraction, history, quality, selection, texts
+from . import comparison, extraction, history, operations, quality, selection, texts
 
-_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES
+_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES
 
 
 def queries() -> dict:
