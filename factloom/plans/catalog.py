@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparison, extraction, history, operations, projections, quality, selection, texts
+from . import comparison, extraction, history, operations, projections, quality, selection, texts, wording
 
-_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES
+_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES | wording.ENTRIES
 
 
 def queries() -> dict:
