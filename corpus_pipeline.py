@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe_stream, decontam, langid, secret_scan, simhash
-from factloom.llm.common import written
+from factloom.llm.common import small_batches, written
 from factloom.llm.queries import WORD_BPE, table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language is uncertain, go."""
+    small_batches(spark)
     return langid.accepted(docs, langid.fit(docs.where(~langid.held_out("doc_id"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
+    small_batches(spark)
     return simhash.deduplicated(docs)
 
 
@@ -32,11 +34,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; n_chars follows."""
+    small_batches(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.col("n_chars")))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and digests of the ids and of the text they decode to."""
+    small_batches(spark)
     return bpe_stream.digests(docs, tokenizer_path(WORD_BPE), with_ids=True)
 
 

@@ -32,7 +32,7 @@ from .common import id_type, map_batches
 from .token_counts import _tokenizer, byte_symbols, settled
 
 #: Entries of a worker's cache of words (one older cache of that size is kept), and the longest word in it.
-CACHE, CACHED = 1 << 18, 64
+CACHE, CACHED = 1 << 16, 64
 
 
 def lookahead(merges: list[tuple[str, str]]) -> int:

@@ -16,6 +16,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_ROWS = 256
 
 
+#: Rows of whole texts that Spark hands to a Python worker in one Arrow batch.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session: rows hold whole texts, and a batch is in memory at once on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
