@@ -284,7 +284,10 @@ ISO, DOTTED, NAMED, DAY_MONTH = r"(?<!\d)(\d{4})-(\d{1,2})-(\d{1,2})(?!\d)", r"(
 
 def _date_of(year: Column, month: Column, day: Column) -> Column:
     """A calendar date, null where there is no such day."""
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+    stated = year.isNotNull() & (F.length(year.cast("string")) > 0) & month.isNotNull() & (month.try_cast("int") > 0) & (F.length(day.cast("string")) > 0)
+    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    # Parts that aren't stated never reach the parser, whose failures cost much more than a test.
+    return F.when(stated, F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def _month_number(name: Column) -> Column:
