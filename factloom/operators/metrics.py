@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ids of a class of equal texts that are ordered in one task.
+SLICE = 1024
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b, and ``empty`` where b is 0 (0.0 in reports, null in the gold score)."""
@@ -80,6 +85,11 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -
     sets = df.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("set"))
     named = sets.groupBy("set").agg(F.min("id").alias("rep"))
     copies = sets.join(named, "set").where("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("score"))
+    return linked(named, threshold).unionByName(copies)
+
+
+def linked(named: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, score) of all pairs of representatives, (set, rep), left before right."""
     reps = named.where(F.size("set") > 0)
     long = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("token"))
     rare = long.groupBy("token").agg(F.count("*").alias("df"))
@@ -96,4 +106,56 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -
     a, b = reps.select(F.col("rep").alias("left_id"), F.col("set").alias("_a")), reps.select(F.col("rep").alias("right_id"), F.col("set").alias("_b"))
     both = candidates.join(a, "left_id").join(b, "right_id").withColumn("_common", F.size(F.array_intersect("_a", "_b")))
     score = F.col("_common") / (F.size("_a") + F.size("_b") - F.col("_common"))
-    return both.select("left_id", "right_id", score.alias("score")).where(F.col("score") >= threshold).unionByName(copies)
+    return both.select("left_id", "right_id", score.alias("score")).where(F.col("score") >= threshold)
+
+
+def _ordered(rows: DataFrame, part: list[str], order: str, splits: list) -> DataFrame:
+    """(split_a, split_b, n) of the pairs of a left and a right member whose first one comes strictly earlier.
+
+    ``rows`` have l, r, split and the numbers of left and right members nl and nr; where l and r
+    are one class, each member is both and a pair counts once.
+    """
+    before = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+
+    def earlier(side: str, s) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("split") == s, F.col(side))).over(before), F.lit(0))
+
+    n = [F.col("nr") * earlier("nl", s) + F.when(F.col("l") == F.col("r"), 0).otherwise(F.col("nl") * earlier("nr", s)) for s in splits]
+    long = rows.select("split", *(x.alias(f"_{k}") for k, x in enumerate(n)))
+    pairs = F.array(*(F.struct(F.lit(s).alias("split_a"), F.col(f"_{k}").alias("n")) for k, s in enumerate(splits)))
+    return long.select(F.explode(pairs).alias("p"), F.col("split").alias("split_b")).where("p.n > 0 AND p.split_a <> split_b").select("p.split_a", "split_b", "p.n")
+
+
+def leakage(df: DataFrame, id_col: str, text_col: str, threshold: float, split: Callable[[Column], Column], splits: list) -> DataFrame:
+    """(split_a, split_b, n): all pairs of rows of different splits whose token sets have a Jaccard
+    similarity of at least ``threshold``; split_a is the split of the smaller id.
+
+    ``split`` gives the split of an integer id, one of ``splits``. Pairs of copies aren't expanded:
+    members are counted by class of equal token sets, slice of ids and split. Products of these
+    counts give the pairs across slices; only ids of one slice are ordered one by one.
+    """
+    slot = F.floor(F.col("id") / SLICE).cast("bigint")
+    sets = df.select(F.col(id_col).cast("bigint").alias("id"), F.array_sort(tokens(F.col(text_col))).alias("set"))
+    # The digest stands for the set, so a large class needs no join by its set.
+    members = sets.select("id", F.sha2(F.to_json("set"), 256).alias("key"), slot.alias("slot"), split(F.col("id")).alias("split"))
+    named = sets.groupBy("set").agg(F.min("id").alias("rep"))
+    counts = members.groupBy("key", "slot", "split").agg(F.count("*").alias("n"))
+    size = counts.groupBy("key").agg(F.sum("n").alias("size"))
+    classes = named.select("rep", F.sha2(F.to_json("set"), 256).alias("key")).join(size, "key")
+    left, right = (classes.select(F.col("rep").alias(f"{x}_id"), F.col("key").alias(x[0]), F.col("size").alias(f"{x}_size")) for x in ("left", "right"))
+    links = linked(named, threshold).join(left, "left_id").join(right, "right_id").select("left_id", "right_id", "l", "r", (F.greatest("left_size", "right_size") > 1).alias("many")).persist()
+    single = links.where("NOT many").select(split(F.col("left_id")).alias("split_a"), split(F.col("right_id")).alias("split_b"), F.lit(1).cast("bigint").alias("n")).where("split_a <> split_b")
+    many = links.where("many").select("l", "r").unionByName(size.where("size > 1").select(F.col("key").alias("l"), F.col("key").alias("r")))
+
+    def sides(pairs: DataFrame, rows: DataFrame, *also: str) -> DataFrame:
+        """Each pair of classes with the rows of both; a class with itself has its rows once."""
+        n, none, own = F.col("n"), F.lit(0).cast("bigint"), F.col("l") == F.col("r")
+        a = pairs.join(rows.withColumnRenamed("key", "l"), ["l", *also]).withColumns({"nl": n, "nr": F.when(own, n).otherwise(none)})
+        b = pairs.where(~own).join(rows.withColumnRenamed("key", "r"), ["r", *also]).withColumns({"nl": none, "nr": n})
+        return a.unionByName(b)
+
+    across = sides(many, counts)
+    met = across.groupBy("l", "r", "slot").agg(F.sum("nl").alias("a"), F.sum("nr").alias("b"), F.min("split").alias("s"), F.max("split").alias("t")).where("a > 0 AND b > 0 AND s <> t")
+    within = sides(met.select("l", "r", "slot"), members.withColumn("n", F.lit(1).cast("bigint")), "slot")
+    found = single.unionByName(_ordered(across, ["l", "r"], "slot", splits)).unionByName(_ordered(within, ["l", "r", "slot"], "id", splits))
+    return found.groupBy("split_a", "split_b").agg(F.sum("n").alias("n"))

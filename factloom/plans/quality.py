@@ -111,9 +111,8 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near duplicates whose documents are in different splits (the id modulo 3)."""
-    pairs = near_duplicate_pairs(spark, sf_dir)
-    return pairs.where("left_id % 3 <> right_id % 3").groupBy((F.col("left_id") % 3).alias("split_a"), (F.col("right_id") % 3).alias("split_b")).agg(F.count("*").alias("n"))
+    """All pairs of near duplicates whose documents are in different splits (the id modulo 3), copies included."""
+    return metrics.leakage(table(spark, sf_dir, "documents"), "doc_id", "text", 0.85, lambda i: i % 3, [0, 1, 2])
 
 
 _F1 = """round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 9) AS recall,

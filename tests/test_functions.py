@@ -141,3 +141,32 @@ def test_axis_absent_on_one_side_blocks(spark):
 def test_empty_texts_are_equal(spark):
     df = spark.createDataFrame([(1, ""), (2, None), (3, "a b c d e f g"), (4, "g f e d c b a x"), (5, "z")], "id int, t string")
     assert {(r.left_id, r.right_id, r.score) for r in metrics.jaccard_pairs(df, "id", "t", 0.85).collect()} == {(1, 2, 1.0), (3, 4, 7 / 8)}
+
+
+def test_leaks_between_all_copies(spark):
+    words = "a b c d e f g h"
+    texts = {3: words, 4: words, 5: words, 1030: words, 6: words + " x", 2050: words + " x", 10: words + " y", 7: "", 8: None, 9: "q", 11: "a b", 12: "q"}
+    df = spark.createDataFrame(list(texts.items()), "id bigint, t string").repartition(3)
+    own = {k: set((t or "").split()) for k, t in texts.items()}
+    want = {}
+    for a in texts:
+        for b in texts:
+            if a < b and a % 3 != b % 3 and (not own[a] | own[b] or len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.85):
+                want[a % 3, b % 3] = want.get((a % 3, b % 3), 0) + 1
+    got = metrics.leakage(df, "id", "t", 0.85, lambda i: i % 3, [0, 1, 2])
+    assert {(r.split_a, r.split_b): r.n for r in got.collect()} == want
+
+
+def test_split_leakage_counts_all_pairs(spark):
+    from itertools import combinations
+
+    from factloom.plans import quality
+
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", metrics.tokens(F.col("text")).alias("s")).collect()
+    sets = sorted((r.doc_id, frozenset(r.s)) for r in rows)
+    want = {}
+    for (a, s), (b, t) in combinations(sets, 2):
+        if a % 3 != b % 3 and min(len(s), len(t)) >= 0.85 * max(len(s), len(t)) and (not s | t or len(s & t) / len(s | t) >= 0.85):
+            want[a % 3, b % 3] = want.get((a % 3, b % 3), 0) + 1
+    assert {(r.split_a, r.split_b): r.n for r in quality.split_leakage(spark, sf).collect()} == want
