@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from math import log10
 
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Wider credential contexts; the value is group 1.
 CONTEXT = re.compile(
     r"(?ai)(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?|login)"
-    r"(?:[\"']?\x20{0,3}(?:=>|->|[:=]{1,2})\x20{0,3}|\x20is\x20{1,3}|(?<=bearer)\x20)[\"']?([^\s\"'<>]{6,})"
+    r"(?:[\"']?[\x20\t]*(?:=>|->|[:=]{1,2})[\x20\t]*|[\x20\t]+is[\x20\t]+|(?<=bearer)[\x20\t]+)[\"']?([^\s\"'<>]{6,})"
 )
 
 # Common password words, most common first; a word's rank is its cost in guesses.
@@ -127,19 +129,26 @@ def guess_cost(value: str, enough: float = float("inf")) -> float:
 def spans(text: str, costly: float = COSTLY) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets in code points, end exclusive, by start and kind.
 
-    The fixed kinds are leftmost and non-overlapping within each kind. "guess" spans are
-    credential contexts outside those whose value costs at least 10^costly guesses.
+    The fixed kinds are leftmost and non-overlapping within each kind. "guess" spans are the
+    values of credential contexts that cost at least 10^costly guesses and aren't wholly inside
+    one of the fixed spans; they may overlap those.
     """
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base = sorted(found)
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(s < b and a < e for s, e, _ in base):
-            value = m.group(1).rstrip(".,;:!?)]}")
-            if len(value) >= 6 and guess_cost(value, costly) >= costly:
-                found.append((m.start(), a + len(value), "guess"))
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+    at = 0
+    while m := CONTEXT.search(text, at):
+        a = m.start(1)
+        value = m.group(1).rstrip(".,;:!?)]}")
+        b = a + len(value)
+        at = a  # a cheap value can be the next context: "login: password: ..."
+        if len(value) >= 6 and guess_cost(value, costly) >= costly:
+            at = b
+            k = bisect_right(starts, a)
+            if not (k and ends[k - 1] >= b):
+                found.append((m.start(), b, "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -98,6 +98,26 @@ def test_context_values():
     assert secret_scan.masked("") == ""
 
 
+@pytest.mark.parametrize("text,kinds,left", [
+    ("a password = hunter22!kX$9q#Vw b", ["assign", "guess"], "a [SECRET] b"),
+    ("password:     S3cr#t!9xQz", ["guess"], "[SECRET]"),
+    ("passphrase \t=\t kX9vQ2mZ7pLw.", ["guess"], "[SECRET]."),
+    ("login: password: kX9v!Q2m#Z7pLw", ["guess"], "login: [SECRET]"),
+    ("token = 0123456789abcdef01234567", ["assign", "hex"], "[SECRET]"),
+    ("password = hunter22!", ["assign"], "[SECRET]!"),
+])
+def test_costly_values_over_fixed_spans(text, kinds, left):
+    assert [k for _, _, k in secret_scan.spans(text)] == kinds
+    assert secret_scan.masked(text) == left
+
+
+def test_every_context_value_is_costed(monkeypatch):
+    seen, cost = [], secret_scan.guess_cost
+    monkeypatch.setattr(secret_scan, "guess_cost", lambda v, e: seen.append(v) or cost(v, e))
+    secret_scan.spans("token = 0123456789abcdef01234567 and password: S3cr#t!9xQz")
+    assert seen == ["0123456789abcdef01234567", "S3cr#t!9xQz"]
+
+
 # 2 and 7. Tokens
 
 def test_bpe_matches_library(docs, odd, none):
