@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, normalizers, text, urls
 from ..operators import filters, search
 from .tables import table
 
+#: Slices of a host's addresses, so that a large host's sitemaps aren't made in one task.
+SITEMAP_SLICES = 256
+
 
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold(F.col("text")).cast("binary")).alias("folded"))
@@ -121,10 +124,16 @@ def slug_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemap_locs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sitemaps made from each host's pages, read back."""
-    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL").withColumn("host", urls.host(F.col("url")))
-    maps = pages.groupBy("host").agg(F.concat_ws("", F.array_sort(F.collect_list(F.concat(F.lit("<url><loc> "), F.regexp_replace("url", "[?#].*$", ""), F.lit("</loc></url>"))))).alias("xml"))
-    return maps.select("host", F.size(urls.sitemap_locations(F.col("xml"))).cast("bigint").alias("n"))
+    """Sitemaps of at most 5,000 addresses made from each host's distinct ones, read back and summed.
+
+    An address always falls in the same slice of its host, so the counts of the slices add up.
+    """
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL").select(urls.host(F.col("url")).alias("host"), F.regexp_replace("url", "[?#].*$", "").alias("address")).distinct()
+    sliced = pages.withColumn("slice", F.pmod(F.xxhash64("address"), F.lit(SITEMAP_SLICES)))
+    place = F.row_number().over(Window.partitionBy("host", "slice").orderBy("address"))
+    filed = sliced.withColumn("file", F.floor((place - 1) / urls.SITEMAP_LOCS))
+    maps = filed.groupBy("host", "slice", "file").agg(F.concat_ws("", F.array_sort(F.collect_list(F.concat(F.lit("<url><loc> "), "address", F.lit("</loc></url>"))))).alias("xml"))
+    return maps.groupBy("host").agg(F.sum(F.size(urls.sitemap_locations(F.col("xml"))).cast("bigint")).alias("n"))
 
 
 def robots_directives(spark: SparkSession, sf_dir: str) -> DataFrame:

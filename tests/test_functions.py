@@ -170,3 +170,13 @@ def test_split_leakage_counts_all_pairs(spark):
         if a % 3 != b % 3 and min(len(s), len(t)) >= 0.85 * max(len(s), len(t)) and (not s | t or len(s & t) / len(s | t) >= 0.85):
             want[a % 3, b % 3] = want.get((a % 3, b % 3), 0) + 1
     assert {(r.split_a, r.split_b): r.n for r in quality.split_leakage(spark, sf).collect()} == want
+
+
+def test_sitemaps_of_a_large_host_are_read_whole(spark, tmp_path, monkeypatch):
+    from factloom.plans import texts
+
+    made = [(k, f"https://A.example/p/{k % 12001}?q={k}") for k in range(13000)] + [(k, f"https://b.example/{k % 2}") for k in range(13000, 13005)] + [(99999, None)]
+    spark.createDataFrame(made, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    for slices in (texts.SITEMAP_SLICES, 1):
+        monkeypatch.setattr(texts, "SITEMAP_SLICES", slices)
+        assert {r.host: r.n for r in texts.sitemap_locs(spark, str(tmp_path)).collect()} == {"a.example": 12001, "b.example": 2}
