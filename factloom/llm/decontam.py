@@ -17,6 +17,8 @@ from .common import shared_dir
 
 #: Windows of tokens; 1 is hashed, 0 is ignored.
 MASKS = ("1101011", "11100101")
+#: Items of fewer tokens have no masked window; they are found as a whole.
+SHORTEST = min(map(len, MASKS))
 #: Tokens compared around a hit, and the share of them that has to be equal.
 AROUND, SIMILARITY = 20, 0.8
 #: Benchmarks with more seeds than this are joined by a shuffle instead of a broadcast.
@@ -34,29 +36,46 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _offsets(mask: str) -> list[int]:
-    return [k for k, c in enumerate(mask) if c == "1"]
+def _patterns(lengths: list[int]) -> list[tuple[int, list[int], int]]:
+    """(number, hashed places, tokens of a window) of each mask, and of whole items of these lengths."""
+    masks = [(k, [j for j, c in enumerate(m) if c == "1"], len(m)) for k, m in enumerate(MASKS)]
+    return masks + [(len(MASKS) + n, list(range(n)), n) for n in lengths]
 
 
-def _seed(tokens: Column, at: Column, number: int) -> Column:
-    return F.xxhash64(F.lit(number), *(F.get(tokens, at + o) for o in _offsets(MASKS[number])))
+def _seed(tokens: Column, at: Column, number: int, offsets: list[int]) -> Column:
+    return F.xxhash64(F.lit(number), *(F.get(tokens, at + o) for o in offsets))
 
 
-def _starts(tokens: Column, mask: str) -> Column:
+def _starts(tokens: Column, width: int) -> Column:
     n = F.size(tokens)
-    return F.when(n >= len(mask), F.sequence(F.lit(0), n - len(mask))).otherwise(F.array().cast("array<int>"))
+    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
 
 
 def seeds(items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, item_tokens, seed, item_at): all masked windows of the benchmark's texts."""
+    """(item_id, seed, item_at, first, near, whole): all masked windows of the benchmark's texts.
+
+    ``near`` are the at most AROUND tokens to be compared, from ``first`` on. An item shorter than
+    the masks has one seed of all its tokens, and ``whole`` is their number (else null).
+    """
     own = items.select(F.col(item_id).alias("item_id"), token_hashes(F.col(text_col)).alias("item_tokens"))
     tokens = F.col("item_tokens")
+    length = F.size(tokens)
+
+    def masked(number: int, offsets: list[int], width: int) -> Column:
+        whole = number >= len(MASKS)
+        at = F.when(length == width, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")) if whole else _starts(tokens, width)
 
-    def masked(k: int, mask: str) -> Column:
-        return F.transform(_starts(tokens, mask), lambda i: F.struct(_seed(tokens, i, k).alias("seed"), i.alias("item_at")))
+        def row(i: Column) -> Column:
+            first = F.greatest(F.lit(0), F.least(i - 6, length - AROUND))
+            return F.struct(
+                _seed(tokens, i, number, offsets).alias("seed"), i.alias("item_at"), first.alias("first"), F.slice(tokens, first + 1, AROUND).alias("near"),
+                F.lit(width if whole else None).cast("int").alias("whole"),
+            )
 
-    made = F.concat(*(masked(k, m) for k, m in enumerate(MASKS)))
-    return own.select("item_id", "item_tokens", F.explode(made).alias("s")).select("item_id", "item_tokens", "s.seed", "s.item_at")
+        return F.transform(at, row)
+
+    made = F.concat(*(masked(*p) for p in _patterns(list(range(1, SHORTEST)))))
+    return own.select("item_id", F.explode(made).alias("s")).select("item_id", "s.*")
 
 
 def _bit_table(found: DataFrame, words: int) -> DataFrame:
@@ -73,8 +92,8 @@ def _in_table(bits: Column, seed: Column, words: int) -> Column:
     return F.getbit(word, seed.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, bits: Column | None, words: int) -> DataFrame:
-    """(id, seed, at, around): masked windows of the texts whose seed is in the bit table (all, without one).
+def _windows(docs: DataFrame, id_col: str, text_col: str, bits: Column | None, words: int, lengths: list[int]) -> DataFrame:
+    """(id, seed, at, around): masked windows of the texts, and windows of these lengths, whose seed is in the bit table (all, without one).
 
     ``around`` are the tokens from AROUND before the window's start to AROUND after it,
     with 0 where the text has none.
@@ -85,15 +104,15 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, bits: Column | None, w
     def around(i):
         return F.slice(F.concat(pad, t, pad), i + 1, 2 * AROUND)
 
-    def made(k: int, mask: str) -> Column:
-        at = _starts(t, mask)
+    def made(number: int, offsets: list[int], width: int) -> Column:
+        at = _starts(t, width)
         if bits is not None:
-            at = F.filter(at, lambda i: _in_table(F.col("_bits"), _seed(t, i, k), words))
-        return F.transform(at, lambda i: F.struct(_seed(t, i, k).alias("seed"), i.alias("at"), around(i).alias("around")))
+            at = F.filter(at, lambda i: _in_table(F.col("_bits"), _seed(t, i, number, offsets), words))
+        return F.transform(at, lambda i: F.struct(_seed(t, i, number, offsets).alias("seed"), i.alias("at"), around(i).alias("around")))
 
     # Higher-order functions can't hold a subquery, so the table is a column next to the tokens.
     tokens = docs.select(F.col(id_col).alias("_id"), token_hashes(F.col(text_col)).alias("_tokens"), *([bits.alias("_bits")] if bits is not None else []))
-    return tokens.select("_id", F.explode(F.concat(*(made(k, m) for k, m in enumerate(MASKS)))).alias("w")).select("_id", "w.seed", "w.at", "w.around")
+    return tokens.select("_id", F.explode(F.concat(*(made(*p) for p in _patterns(lengths)))).alias("w")).select("_id", "w.seed", "w.at", "w.around")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -102,31 +121,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     share of equal tokens).
 
     A hit is verified if at least ``similarity`` of the AROUND tokens about it (all of the
-    item's, if it has fewer) are equal place by place. Null and empty texts, texts shorter than
-    a mask and rows with a null id give no row; rows that repeat an id count as that document.
+    item's, if it has fewer) are equal place by place. An item shorter than the masks has to be
+    there whole. Null and empty texts and rows with a null id give no row; rows that repeat an id
+    count as that document.
     """
     items = benchmark.where(F.col(item_id).isNotNull())
     found = seeds(items, item_id, item_text)
-    n = found.count()
+    n, lengths = found.agg(F.count("*"), F.array_sort(F.collect_set("whole"))).first()
     docs = docs.where(F.col(id_col).isNotNull())
     if n <= broadcast_seeds:
         words = 1 << max(4, (max(1, n) * BITS_PER_SEED // 64).bit_length())
-        hits = _windows(docs, id_col, text_col, _bit_table(found, words).scalar(), words).join(F.broadcast(found), "seed")
+        hits = _windows(docs, id_col, text_col, _bit_table(found, words).scalar(), words, lengths).join(F.broadcast(found), "seed")
     else:
-        hits = _windows(docs, id_col, text_col, None, 0).join(found, "seed")
-    length = F.size("item_tokens")
-    first = F.greatest(F.lit(0), F.least(F.col("item_at") - 6, length - AROUND))
-    n_around = F.least(F.lit(AROUND), length)
+        hits = _windows(docs, id_col, text_col, None, 0, lengths).join(found, "seed")
+    n_around = F.size("near")
     # ``around`` starts AROUND tokens before the hit.
-    shift = F.lit(AROUND) - F.col("item_at")
-    equal = F.aggregate(
-        F.sequence(F.lit(0), n_around - 1), F.lit(0),
-        lambda acc, k: acc + (F.get("item_tokens", F.col("_first") + k) == F.get("around", F.col("_first") + shift + k)).cast("int"),
-    )
-    checked = hits.withColumn("_first", first).withColumn("_share", equal / n_around).where(F.col("_share") >= similarity)
+    shift = F.lit(AROUND) - F.col("item_at") + F.col("first")
+    equal = F.aggregate(F.sequence(F.lit(0), n_around - 1), F.lit(0), lambda acc, k: acc + (F.get("near", k) == F.get("around", shift + k)).cast("int"))
+    checked = hits.withColumn("_share", equal / n_around).where(F.col("_share") >= similarity)
     return (
         checked.groupBy(F.col("_id").alias(id_col), F.col("item_id"))
-        .agg(F.count("*").alias("n_hits"), F.min(F.greatest(F.lit(0), F.col("at") - F.col("item_at") + F.col("_first"))).alias("first_token"), F.max("_share").alias("overlap"))
+        .agg(F.count("*").alias("n_hits"), F.min(F.greatest(F.lit(0), F.col("at") - F.col("item_at") + F.col("first"))).alias("first_token"), F.max("_share").alias("overlap"))
     )
 
 

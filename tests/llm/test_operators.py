@@ -258,6 +258,25 @@ def test_decontamination_finds_planted_passages(spark):
     assert planted and planted <= got and len(got - planted) <= 0.1 * len(planted)
 
 
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "so what is two plus two?"), (2, "what is two"), (3, "Yes"), (4, "a yes man"), (5, "two plus what is"), (6, "")], "doc_id int, text string")
+    bench = spark.createDataFrame([(1, "What is two plus two"), (2, "yes!"), (3, "..."), (4, None)], "item_id int, text string")
+    for most in (500_000, 0):
+        got = {(r.doc_id, r.item_id, r.first_token, r.overlap) for r in decontam.overlaps(docs, bench, broadcast_seeds=most).collect()}
+        assert got == {(1, 1, 1, 1.0), (3, 2, 0, 1.0), (4, 2, 1, 1.0)}
+
+
+def test_seed_rows_are_bounded(spark):
+    words = [f"w{k}" for k in range(20_000)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")
+    found = decontam.seeds(bench)
+    assert found.count() == 2 * 20_000 - 6 - 7
+    longs = [f.name for f in found.schema if f.dataType.simpleString() == "array<bigint>"]
+    assert found.agg(F.max(F.greatest(*(F.size(c) for c in longs), F.lit(0)))).first()[0] == decontam.AROUND
+    docs = spark.createDataFrame([(1, " ".join(words[19_950:])), (2, " ".join(words[5:19_000:40]))], "doc_id int, text string")
+    assert [(r.doc_id, r.first_token, r.overlap) for r in decontam.overlaps(docs, bench).collect()] == [(1, 0, 1.0)]
+
+
 def test_decontamination_is_native(spark):
     plan = queries.op5_benchmark_decontamination(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
