@@ -96,8 +96,8 @@ def grounded(answer: Column, evidence: Column) -> Column:
 
 
 def span_holds(text: Column, start: Column, end: Column, quote: Column, digest: Column) -> Column:
-    """Whether text[start:end] is the quote and the quote has the digest (code points, end exclusive)."""
-    return F.coalesce((F.substr(text, start + 1, end - start) == quote) & (F.sha2(quote, 256) == digest), F.lit(False))
+    """Whether text[start:end] is the quote, as long as the span, and the quote has the digest (code points, end exclusive)."""
+    return F.coalesce((F.length(quote) == end - start) & (F.substr(text, start + 1, end - start) == quote) & (F.sha2(quote, 256) == digest), F.lit(False))
 
 
 def short(text: Column, most: int = 500) -> Column:

@@ -59,8 +59,8 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def referential_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of the events against the first 200 customers: missing and unknown ones."""
-    required = table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"))
+    """Users of the events against all customers: missing and unknown ones."""
+    required = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     present = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
     return metrics.uncovered(required, present, ["id"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof, facets, filters, paging, versioning
@@ -154,13 +154,20 @@ def left_join_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type = 'signup'").join(titles, "user_id", "left").select("event_id", F.coalesce("c_name", F.lit("…")).alias("title"))
 
 
-def known_url_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose address isn't known yet, the last slash apart; known are those of the even ids."""
+def _key(url: Column) -> Column:
     from ..functions.urls import trimmed
 
-    pages = table(spark, sf_dir, "pages").withColumn("key", trimmed(F.regexp_replace("url", r"[?#].*$", "")))
-    known = pages.where("page_id % 2 = 0").select("key").distinct()
-    return pages.where("page_id % 2 = 1").join(known, "key", "left_anti").select("page_id", "key")
+    return trimmed(F.regexp_replace(url, r"[?#].*$", ""))
+
+
+def known_url_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose address isn't known yet, the last slash apart; known are those that the pages link to."""
+    from ..functions.urls import absolute, host, links
+
+    pages = table(spark, sf_dir, "pages")
+    linked = pages.select(host(F.col("url")).alias("host"), F.explode(links(F.col("html"))).alias("link")).select(absolute(F.col("link"), F.col("host")).alias("link"))
+    known = linked.select(_key(F.col("link")).alias("key")).distinct()
+    return pages.withColumn("key", _key(F.col("url"))).join(known, "key", "left_anti").select("page_id", "key")
 
 
 def union_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:

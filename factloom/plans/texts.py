@@ -53,8 +53,8 @@ def keyword_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_hash_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated spans: every third quote is wrong in one way or another."""
-    docs = table(spark, sf_dir, "documents").where("n_chars > 60").select("doc_id", "text", (F.col("doc_id") % 17).cast("int").alias("a"), (F.col("doc_id") % 17 + 30).cast("int").alias("b"))
+    """Generated spans of all documents: every third quote is wrong in one way or another, and spans past a text's end don't hold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 17).cast("int").alias("a"), (F.col("doc_id") % 17 + 30).cast("int").alias("b"))
     quote = F.substr("text", F.col("a") + 1, F.col("b") - F.col("a"))
     given = F.when(F.col("doc_id") % 3 == 0, F.upper(quote)).otherwise(quote)
     digest = F.when(F.col("doc_id") % 5 == 0, F.sha2(F.col("text"), 256)).otherwise(F.sha2(quote, 256))
