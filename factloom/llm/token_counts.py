@@ -158,12 +158,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     pieces = frequent(docs, specials, text_col, entries)
     encode = piece_encoder(tokenizer)
     # The table's size is bounded by entries * LONGEST characters.
-    table = docs.sparkSession.sparkContext.broadcast(("\x00".join(pieces), bytes(min(255, encode(p)) for p in pieces)))
+    table = docs.sparkSession.sparkContext.broadcast((pieces, [encode(p) for p in pieces]))
 
     def make():
-        text, lengths = table.value
+        frequent_pieces, lengths = table.value
         pre, own = Pretokenizer(specials), _tokenizer(tokenizer)
-        look = Lengths(zip(text.split("\x00"), lengths, strict=True) if lengths else (), piece_encoder(tokenizer)).__getitem__
+        look = Lengths(zip(frequent_pieces, lengths, strict=True), piece_encoder(tokenizer)).__getitem__
 
         def work(ids, texts):
             n_bytes, n_tokens = [], []

@@ -19,6 +19,7 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 ODD = [
     None, "", " \n\t ", "a", "Z z", "the same text here again", "the same text here again", "İstanbul ΣΑΣ ὈΔΥΣΣΕΎΣ don't I'LL 12345 é é 日本語 😀😀",
     "x" * 40_000, "ab " * 9_000, "<|endoftext|> b<|startoftext|>c", "token = \"abcdefabcdefabcdefabcdefabcdef\"", "\x1c\x85  odd spaces", "﻿…!!!???",
+    "abc \x00\x00 def \x00", "".join(map(chr, range(1, 300))), "\x00",
 ]
 
 
@@ -379,6 +380,78 @@ def test_repeated_passages(spark, none):
     assert cdc_dedup.repeated_passages(none).count() == 0
 
 
+def pieces_of(text):
+    raw = (text or "").encode()
+    ends = cdc_dedup.cuts(raw)
+    return [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def passages_by_hand(rows, least):
+    """(id, text, start, end, kept) of all stretches, from plain dictionaries."""
+    texts = sorted({(i, t) for i, t in rows if i is not None and t})
+    places = defaultdict(set)
+    for i, t in texts:
+        for a, b, raw in pieces_of(t):
+            places[raw].add((i, t, a))
+    out = []
+    for i, t in texts:
+        run = []
+        for a, b, raw in [*pieces_of(t), (0, 0, None)]:
+            if raw is not None and len(places[raw]) > 1:
+                run.append((a, b, raw))
+                continue
+            if run and run[-1][1] - run[0][0] >= least:
+                out.append((i, t, run))
+            run = []
+    return out, places
+
+
+def test_every_repeated_text_has_an_owner(spark):
+    """Random documents of shared passages, with repeated ids, repeated rows, repeats inside a text and nulls."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopäß日") for _ in range(rng.randrange(3, 9)))
+    blocks = [" ".join(word() for _ in range(rng.randrange(30, 60))) for _ in range(6)]
+    rows = []
+    for k in range(40):
+        rows.append((rng.randrange(30), " ".join(rng.choice([*blocks, word(), word()]) for _ in range(rng.randrange(1, 5)))))
+    a, b = blocks[0], blocks[1]
+    rows += [(103, a), (105, a + " " + b), (107, a + " " + b), (110, b + " x " + b), (111, None), (112, ""), (None, a), (113, "ab " * 4000), (7, rows[0][1]), (7, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs, places = passages_by_hand(rows, cdc_dedup.LEAST_BYTES)
+    found = cdc_dedup.repeated_passages(df).collect()
+    covered = {(r.doc_id, r.row): set() for r in found}
+    for r in found:
+        covered[r.doc_id, r.row] |= set(range(r.start, r.end))
+    hashes = {t: h for t, h in df.where("text is not null").select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    assert covered == {(i, hashes[t]): {x for j, u, run in runs if (j, u) == (i, t) for a, b, _ in run for x in range(a, b)} for i, t, _ in runs}
+    owners = defaultdict(list)
+    for r in found:
+        text = next(t for i, t in rows if i == r.doc_id and t and hashes[t] == r.row)
+        for a, b, raw in pieces_of(text):
+            if r.start <= a and b <= r.end:
+                owners[raw].append(((r.doc_id, r.row, a), r.kept))
+    for raw, seen in owners.items():
+        kept = [p for p, k in seen if k]
+        first = min((i, hashes[t], a) for i, t, a in places[raw])
+        assert len(kept) <= 1 and all(p == first for p in kept)
+    left = [r.text for r in cdc_dedup.deduplicated(df).collect()]
+    assert len(left) == len(rows)
+    whole = "\n".join(t for t in left if t)
+    assert "\ufffd" not in whole
+    for raw in places:
+        if len(places[raw]) > 1:
+            assert raw.decode() in whole
+    for block in blocks:
+        assert sum(t.count(block) for t in left if t) <= sum(t.count(block) for i, t in rows if i is None) + 2
+
+
+def test_substring_dedup_on_odd_rows(odd):
+    found = collected(cdc_dedup.repeated_passages(odd))
+    assert set(found) <= {8, 9} and all(r.first_id == r.doc_id for rows in found.values() for r in rows)
+    assert [r.kept for r in sorted(found[8], key=lambda r: r.start)] == [True, False]
+    assert sorted(map(str, (r.doc_id for r in cdc_dedup.deduplicated(odd).collect()))) == sorted(map(str, (r.doc_id for r in odd.collect())))
+
+
 def test_long_repeats_are_found(spark):
     """Documents that share 51 words in a row, against a search of all windows."""
     sf = "/root/testdata/sf0.01"
