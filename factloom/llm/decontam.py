@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
 Fixed masks select some of a window's tokens and ignore the others, so a substituted word under
-a hole leaves the window's hash unchanged. Training windows are tested against a bit table of
-the benchmark's hashes inside the row; only survivors become rows, with the tokens around them,
-and are joined with the benchmark's seeds. Around each hit the two token sequences are laid on
-each other and compared place by place. No text is shuffled.
+a hole leaves the window's hash unchanged. The benchmark's windows are a hash table of bounded
+size in every task; training texts are cut into slices of so many tokens, and a slice's windows
+are made, looked up and laid on the item's tokens one after another, so memory is bounded
+whatever a text repeats. Neither windows nor texts are shuffled; only overlaps leave the task.
 """
 
 from __future__ import annotations
@@ -14,143 +14,151 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-
 #: Windows of tokens; 1 is hashed, 0 is ignored.
 MASKS = ("1101011", "11100101")
 #: Items of fewer tokens have no masked window; they are found as a whole.
 SHORTEST = min(map(len, MASKS))
 #: Tokens compared around a hit, and the share of them that has to be equal.
 AROUND, SIMILARITY = 20, 0.8
-#: Benchmarks with more seeds than this are joined by a shuffle instead of a broadcast.
-BROADCAST_SEEDS = 500_000
+#: Windows made of one slice of a text's tokens.
+SLICE = 256
+#: Stands for the windows that would go beyond the text's end; no item has it.
+NO_SEED = 0
+#: Seeds of one broadcast (at most 300 bytes each); a larger benchmark is searched in so many passes.
+BLOCK_SEEDS = 200_000
 BROADCAST_IDS = 1_000_000
-#: Bits of the table for each seed.
-BITS_PER_SEED = 128
-#: Words are what stands between white space and ASCII punctuation, lower-cased.
-SEPARATORS = r"[\s\p{Punct}]+"
+#: Words are what stands between white space and punctuation, lower-cased.
+SEPARATORS = r"[\s\p{Punct}\p{P}\p{Z}]+"
+#: In scripts written without spaces (Thai, Lao, Burmese, Khmer, Han and kana) every character is a word.
+UNSPACED = r"[฀-໿က-႟ក-៿⺀-鿿豈-﫿\x{20000}-\x{3FFFF}]"
 
 
 def token_hashes(text: Column) -> Column:
     """64-bit hashes of a text's words; null text: no words."""
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.when(F.rlike(low, F.lit(UNSPACED)), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
+    return F.transform(F.array_remove(F.split(low, SEPARATORS), ""), lambda w: F.xxhash64(w))
 
 
-def _patterns(lengths: list[int]) -> list[tuple[int, list[int], int]]:
+def _kinds(lengths: list[int]) -> list[tuple[int, list[int], int]]:
     """(number, hashed places, tokens of a window) of each mask, and of whole items of these lengths."""
     masks = [(k, [j for j, c in enumerate(m) if c == "1"], len(m)) for k, m in enumerate(MASKS)]
     return masks + [(len(MASKS) + n, list(range(n)), n) for n in lengths]
 
 
-def _seed(tokens: Column, at: Column, number: int, offsets: list[int]) -> Column:
-    return F.xxhash64(F.lit(number), *(F.get(tokens, at + o) for o in offsets))
-
-
-def _starts(tokens: Column, width: int) -> Column:
-    n = F.size(tokens)
-    return F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-
+def _windows(tokens: DataFrame, lengths: list[int], begin: Column, count: Column) -> DataFrame:
+    """``tokens`` (a table with the array _tokens) with one row per window: at, seed, number.
 
-def seeds(items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, seed, item_at, first, near, whole): all masked windows of the benchmark's texts.
-
-    ``near`` are the at most AROUND tokens to be compared, from ``first`` on. An item shorter than
-    the masks has one seed of all its tokens, and ``whole`` is their number (else null).
+    There are windows of each kind at ``count`` places from ``begin`` on. They are numbered by one
+    generated sequence, so the array is only referred to; the outer explode keeps the optimizer
+    from counting the tokens once more in a filter.
     """
-    own = items.select(F.col(item_id).alias("item_id"), token_hashes(F.col(text_col)).alias("item_tokens"))
-    tokens = F.col("item_tokens")
-    length = F.size(tokens)
-
-    def masked(number: int, offsets: list[int], width: int) -> Column:
-        whole = number >= len(MASKS)
-        at = F.when(length == width, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")) if whole else _starts(tokens, width)
-
-        def row(i: Column) -> Column:
-            first = F.greatest(F.lit(0), F.least(i - 6, length - AROUND))
-            return F.struct(
-                _seed(tokens, i, number, offsets).alias("seed"), i.alias("item_at"), first.alias("first"), F.slice(tokens, first + 1, AROUND).alias("near"),
-                F.lit(width if whole else None).cast("int").alias("whole"),
-            )
-
-        return F.transform(at, row)
-
-    made = F.concat(*(masked(*p) for p in _patterns(list(range(1, SHORTEST)))))
-    return own.select("item_id", F.explode(made).alias("s")).select("item_id", "s.*")
-
-
-def _bit_table(found: DataFrame, words: int) -> DataFrame:
-    """One row: an array of ``words`` longs in which each seed sets a bit."""
-    set_bits = found.groupBy(F.shiftrightunsigned("seed", 6).bitwiseAND(F.lit(words - 1)).alias("id")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("seed").bitwiseAND(F.lit(63)).cast("int"))).alias("v")
-    )
-    full = found.sparkSession.range(words).join(set_bits, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("bigint")).alias("v"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("bits"))
-
-
-def _in_table(bits: Column, seed: Column, words: int) -> Column:
-    word = F.get(bits, F.shiftrightunsigned(seed, 6).bitwiseAND(F.lit(words - 1)).cast("int"))
-    return F.getbit(word, seed.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
-def _windows(docs: DataFrame, id_col: str, text_col: str, bits: Column | None, words: int, lengths: list[int]) -> DataFrame:
-    """(id, seed, at, around): masked windows of the texts, and windows of these lengths, whose seed is in the bit table (all, without one).
-
-    ``around`` are the tokens from AROUND before the window's start to AROUND after it,
-    with 0 where the text has none.
+    kinds, t = _kinds(lengths), F.col("_tokens")
+    n = F.size(t)
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count * len(kinds) - 1))
+    rows = tokens.select("*", F.explode_outer(numbers).alias("_k"))
+    at, number, seed = (F.col("_k") / len(kinds)).cast("int") + begin, F.col("_k") % len(kinds), F.lit(NO_SEED).cast("bigint")
+    for k, (mark, offsets, width) in enumerate(kinds):
+        fits = (number == k) & (F.col("at") + width <= n)
+        seed = F.when(fits, F.xxhash64(F.lit(mark), *(F.get(t, F.col("at") + o) for o in offsets))).otherwise(seed)
+    return rows.withColumn("at", at).withColumn("seed", seed).withColumn("number", number)
+
+
+def seeds(items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
+    """(seed, item_id, offset, near) of the benchmark's windows, and the lengths of the items shorter than the masks.
+
+    ``near`` are the at most AROUND tokens to be compared, ``offset`` the window's place in them.
+    Windows alike in all of this are one row, so a text of one word repeated has a few rows only.
     """
-    t = F.col("_tokens")
-    pad = F.array_repeat(F.lit(0).cast("bigint"), AROUND)
-
-    def around(i):
-        return F.slice(F.concat(pad, t, pad), i + 1, 2 * AROUND)
-
-    def made(number: int, offsets: list[int], width: int) -> Column:
-        at = _starts(t, width)
-        if bits is not None:
-            at = F.filter(at, lambda i: _in_table(F.col("_bits"), _seed(t, i, number, offsets), words))
-        return F.transform(at, lambda i: F.struct(_seed(t, i, number, offsets).alias("seed"), i.alias("at"), around(i).alias("around")))
-
-    # Higher-order functions can't hold a subquery, so the table is a column next to the tokens.
-    tokens = docs.select(F.col(id_col).alias("_id"), token_hashes(F.col(text_col)).alias("_tokens"), *([bits.alias("_bits")] if bits is not None else []))
-    return tokens.select("_id", F.explode(F.concat(*(made(*p) for p in _patterns(lengths)))).alias("w")).select("_id", "w.seed", "w.at", "w.around")
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """One row per (document, benchmark item) that overlap: ``id_col``, ``item_id``, n_hits,
+    own = items.select(F.col(item_id).alias("item_id"), token_hashes(F.col(text_col)).alias("_tokens"))
+    short = own.select(F.size("_tokens").alias("n")).where((F.col("n") > 0) & (F.col("n") < SHORTEST)).distinct()
+    lengths = sorted(r.n for r in short.collect())  # at most SHORTEST - 1 numbers
+    n = F.size("_tokens")
+    first = F.greatest(F.lit(0), F.least(F.col("at") - 6, n - AROUND))
+    of_item = F.lit(False)
+    for k, (mark, _, width) in enumerate(_kinds(lengths)):
+        of_item = of_item | ((F.col("number") == k) & (F.col("at") + width <= n if mark < len(MASKS) else (n == width) & (F.col("at") == 0)))
+    made = _windows(own, lengths, F.lit(0), n).where(of_item)
+    return made.select("seed", "item_id", (F.col("at") - first).alias("offset"), F.slice("_tokens", first + 1, AROUND).alias("near")).distinct(), lengths
+
+
+def _verified(docs: DataFrame, keys: list[Column], text_col: str, items: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(_key0, _key1 ..., item_id, first_token, overlap): keys and items with a verified hit."""
+    names = [f"_key{k}" for k in range(len(keys))]
+    found, lengths = seeds(items)
+    blocks = max(1, -(-found.count() // block))
+    texts = docs.select(*(c.alias(n) for c, n in zip(keys, names, strict=True)), token_hashes(F.col(text_col)).alias("_all"))
+    # A slice has the tokens of its windows and those compared around them; its first window is at ``_lead``.
+    n = F.size("_all")
+    cut = lambda i: F.struct(i.alias("base"), F.slice("_all", F.greatest(i - AROUND, F.lit(0)) + 1, SLICE + 3 * AROUND).alias("tokens"))
+    parts = texts.select(*names, F.explode_outer(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(SLICE)), cut))).alias("_part"))
+    parts = parts.select(*names, F.col("_part.base").alias("_base"), F.col("_part.tokens").alias("_tokens"))
+    lead = F.least(F.lit(AROUND), F.col("_base"))
+    windows = _windows(parts, lengths, lead, F.least(F.lit(SLICE), F.size("_tokens") - lead))
+    start = F.col("at") - F.col("offset")
+    # Only AROUND tokens leave the loop with a hit; ``lead`` of the item's tokens come before the text begins.
+    laid = [(start - lead + F.col("_base")).alias("start"), F.col("near"), F.slice("_tokens", F.greatest(start, F.lit(0)) + 1, AROUND).alias("around"), F.greatest(-start, F.lit(0)).alias("lead")]
+    hits = None
+    for b in range(blocks):
+        some = found if blocks == 1 else found.where(F.pmod("seed", F.lit(blocks)) == b)
+        of_block = windows.join(F.broadcast(some), "seed").select(*names, "item_id", *laid)
+        hits = of_block if hits is None else hits.unionByName(of_block)
+    alike = F.filter(F.sequence(F.lit(0), F.size("near") - 1), lambda k: (k - F.col("lead") < F.size("around")) & (F.get("near", k) == F.get("around", k - F.col("lead"))))
+    shared = hits.select(*names, "item_id", "start", (F.size(alike) / F.size("near")).alias("share"))
+    first = F.min(F.when(F.col("share") >= similarity, F.greatest(F.lit(0), F.col("start"))))
+    return shared.groupBy(*names, "item_id").agg(first.alias("first_token"), F.max("share").alias("overlap")).where(F.col("overlap") >= similarity)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+    """One row per (document, benchmark item) that overlap: ``id_col``, ``item_id``,
     first_token (smallest start of a verified overlap in the document's tokens), overlap (largest
     share of equal tokens).
 
     A hit is verified if at least ``similarity`` of the AROUND tokens about it (all of the
     item's, if it has fewer) are equal place by place. An item shorter than the masks has to be
     there whole. Null and empty texts and rows with a null id give no row; rows that repeat an id
-    count as that document.
+    count as that document; items that repeat an id count as that item.
     """
-    items = benchmark.where(F.col(item_id).isNotNull())
-    found = seeds(items, item_id, item_text)
-    n, lengths = found.agg(F.count("*"), F.array_sort(F.collect_set("whole"))).first()
-    docs = docs.where(F.col(id_col).isNotNull())
-    if n <= broadcast_seeds:
-        words = 1 << max(4, (max(1, n) * BITS_PER_SEED // 64).bit_length())
-        hits = _windows(docs, id_col, text_col, _bit_table(found, words).scalar(), words, lengths).join(F.broadcast(found), "seed")
-    else:
-        hits = _windows(docs, id_col, text_col, None, 0, lengths).join(found, "seed")
-    n_around = F.size("near")
-    # ``around`` starts AROUND tokens before the hit.
-    shift = F.lit(AROUND) - F.col("item_at") + F.col("first")
-    equal = F.aggregate(F.sequence(F.lit(0), n_around - 1), F.lit(0), lambda acc, k: acc + (F.get("near", k) == F.get("around", shift + k)).cast("int"))
-    checked = hits.withColumn("_share", equal / n_around).where(F.col("_share") >= similarity)
-    return (
-        checked.groupBy(F.col("_id").alias(id_col), F.col("item_id"))
-        .agg(F.count("*").alias("n_hits"), F.min(F.greatest(F.lit(0), F.col("at") - F.col("item_at") + F.col("first"))).alias("first_token"), F.max("_share").alias("overlap"))
-    )
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that overlap a benchmark item; all their columns.
-
-    Rows with a null id are kept. The ids to drop are written once in the shared folder and
-    broadcast only up to BROADCAST_IDS of them; beyond that the join is a shuffle.
+    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    hits = _verified(docs.where(F.col(id_col).isNotNull()), [F.col(id_col)], text_col, items, similarity, block_seeds)
+    return hits.select(F.col("_key0").alias(id_col), "item_id", "first_token", "overlap")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+    """``docs`` without the rows whose text overlaps a benchmark item; all their columns.
+
+    Rows are matched by a 128-bit hash of their text, so ids may be null or repeated. The hashes
+    to drop are written once in the shared folder and broadcast only up to BROADCAST_IDS of
+    them; beyond that the join is a shuffle.
     """
     shared_dir(docs.sparkSession)
-    bad = overlaps(docs, benchmark, id_col, text_col, **options).select(id_col).distinct().checkpoint()
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, id_col, "left_anti")
+    marks = [F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col))]
+    items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text).alias("text"))
+    bad = _verified(docs, marks, text_col, items, similarity, block_seeds).select("_key0", "_key1").checkpoint()
+    same = (marks[0] == F.col("_key0")) & (marks[1] == F.col("_key1"))
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, same, "left_anti")
+
+
+def overlaps_sql(similarity: float = SIMILARITY) -> str:
+    """DuckDB SQL for overlaps() of documents and benchmark: windows are compared as text instead of by hashes."""
+    words = r"""list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]', ' \0 ', 'g'), '[\s\x0B[:punct:]\p{P}\p{Z}]+'), lambda x: x <> '')"""
+
+    def windows(table: str, key: str, of_item: bool) -> str:
+        made = []
+        for mark, offsets, width in _kinds(list(range(1, SHORTEST))):
+            text = " || ' ' || ".join(f"w[pos + {o + 1}]" for o in offsets)
+            bound = f"len(w) - {width} + 1" if mark < len(MASKS) or not of_item else f"CASE WHEN len(w) = {width} THEN 1 ELSE 0 END"
+            made.append(f"SELECT {key}, w, pos, '{mark}: ' || {text} AS seed FROM (SELECT {key}, w, unnest(range({bound})) AS pos FROM {table})")
+        return " UNION ALL ".join(made)
+
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
+        b AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        seeds AS (SELECT DISTINCT seed, item_id, pos - lo AS shift, w[lo + 1:lo + {AROUND}] AS near
+            FROM (SELECT *, greatest(0, least(pos - 6, len(w) - {AROUND})) AS lo FROM ({windows("b", "item_id", True)}))),
+        hits AS (SELECT doc_id, item_id, pos - shift AS s, near, w FROM ({windows("d", "doc_id", False)}) JOIN seeds USING (seed)),
+        laid AS (SELECT doc_id, item_id, s,
+            CAST(len(list_filter(range(len(near)), lambda k: s + k >= 0 AND s + k < len(w) AND w[s + k + 1] = near[k + 1])) AS DOUBLE) / len(near) AS share FROM hits)
+        SELECT doc_id, item_id, CAST(min(greatest(0, s)) AS INTEGER) AS first_token, max(share) AS overlap
+        FROM laid WHERE share >= {similarity} GROUP BY doc_id, item_id
+    """

@@ -101,4 +101,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontam import overlaps_sql
+
+    return {"op5_benchmark_decontamination": overlaps_sql()}
