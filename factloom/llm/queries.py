@@ -42,7 +42,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), words=tokenizer_path(WORD_BPE))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

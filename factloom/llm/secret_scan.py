@@ -2,7 +2,9 @@
 
 A value that stands behind a credential word is a secret if guessing it is expensive. The cost
 is the cheapest segmentation of the value into dictionary words, dates, repeats, keyboard walks
-and brute-force spans, found by dynamic programming over positions.
+and brute-force spans, found by dynamic programming over positions. Walks and repeats are cut
+from maximal ones, whose length enters their cost, so any length and any period is one step of
+the program and its work stays near to proportional to the value's length.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 from math import log10
 
@@ -26,12 +29,15 @@ MASK = "[SECRET]"
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Wider credential contexts; the value is group 1.
+#: Wider credential contexts. After "is" or "bearer", as prose has it, only a value with a digit or a
+#: capital inside counts.
 CONTEXT = re.compile(
     r"(?ai)(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?|login)"
-    r"(?:[\"']?[\x20\t]*(?:=>|->|[:=]{1,2})[\x20\t]*|[\x20\t]+is[\x20\t]+|(?<=bearer)[\x20\t]+)[\"']?([^\s\"'<>]{6,})"
+    r"(?:[\"']?[\x20\t]*(?:=>|->|[:=]{1,2})[\x20\t]*|(?P<prose>[\x20\t]+is[\x20\t]+|(?<=bearer)[\x20\t]+))[\"']?(?P<value>[^\s\"'<>]{6,})"
 )
 
+MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
+
 # Common password words, most common first; a word's rank is its cost in guesses.
 WORDS = (
     "password qwerty admin welcome login letmein dragon master monkey shadow sunshine princess football baseball iloveyou trustno "
@@ -41,92 +47,225 @@ WORDS = (
     "freedom whatever starwars matrix phoenix mustang corvette ferrari mercedes maggie ginger jessica ashley nicole amanda "
     "hello world example sample company office manager service system network database backup oracle mysql cisco"
 ).split()
-RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+
+
+class Ranks(dict):
+    """word -> its place in a list of words, from 1."""
+
+    def __init__(self, words):
+        super().__init__((w, k + 1) for k, w in enumerate(words))
+        self.longest = max(map(len, self), default=1)
+
+
+RANK = Ranks(WORDS)
+
+
+@lru_cache(maxsize=2)
+def dictionary(path: str | None) -> Ranks:
+    """word -> rank: the password words above, then the whole words of three letters or more of a
+    public vocabulary file, which lists them from frequent to rare. Without a path the former only."""
+    if path is None:
+        return RANK
+    from .bpe_stream import Vocabulary
+
+    v = Vocabulary.load(path)
+    whole = sorted((i, t.removesuffix(v.suffix)) for t, i in v.ids.items() if v.suffix and t.endswith(v.suffix))
+    return Ranks(dict.fromkeys([*WORDS, *(w for _, w in whole if len(w) >= 3 and w.isascii() and w.isalpha())]))
+
+
 LEET = str.maketrans("013457@$!", "oleastasi")
-KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
+KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(
     r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d"
 )
-WALK_MIN, REPEAT_BLOCK, DATE_MAX, SPAN = 3, 8, 10, 64
+WALK_MIN, DATE_MAX = 3, 10
+#: Characters of the first look at a value; each further look takes four times as many.
+LOOK = 32
 
 
 #: Key -> (row, column); each row of the keyboard lies half a key right of the one above.
-PLACE = {c: (r, k) for r, row in enumerate(KEYBOARD[:4]) for k, c in enumerate(row)}
+PLACE = {c: (r, k) for r, row in enumerate(KEYBOARD) for k, c in enumerate(row)}
 #: Steps between neighbouring keys: along a row, and to the two keys below or above.
 STEPS = frozenset([(0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)])
 
 
-def step(a: str, b: str) -> tuple | None:
-    """The direction from a key to a neighbouring one, or along the alphabet; else null."""
+def on_keys(a: str, b: str) -> tuple | None:
+    """The direction from a key to a neighbouring one; else null."""
     if a in PLACE and b in PLACE:
         (r, k), (s, j) = PLACE[a], PLACE[b]
         if (s - r, j - k) in STEPS:
             return s - r, j - k
-    if a.isascii() and b.isascii() and a.isalpha() and b.isalpha() and abs(ord(b) - ord(a)) == 1:
-        return "abc", ord(b) - ord(a)
     return None
 
 
+def in_alphabet(a: str, b: str) -> int | None:
+    """1 or -1 from a letter to the next or the one before; else null."""
+    return ord(b) - ord(a) if "a" <= a <= "z" and "a" <= b <= "z" and abs(ord(b) - ord(a)) == 1 else None
+
+
+#: What a walk may follow.
+WAYS = (on_keys, in_alphabet)
+
+
 def _alphabet(value: str) -> float:
     """log10 of the characters a brute-force guess would try at each place."""
     n = 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value)
     return log10(max(10, n + 33 * any(not c.isalnum() for c in value)))
 
 
-def guess_cost(value: str, enough: float = float("inf")) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``; "": 0.
+def _alike(value: str, i: int, j: int, way: int) -> int:
+    """How many characters from i on and from j on are equal (way 1), or before i and before j (way -1); i < j."""
+    most = len(value) - j if way > 0 else i
+    m, size, grows = 0, 8, True
+    while m < most:
+        size = min(size, most - m)
+        same = value[i + m : i + m + size] == value[j + m : j + m + size] if way > 0 else value[i - m - size : i - m] == value[j - m - size : j - m]
+        if same:
+            m += size
+            size *= 2 if grows else 1
+        elif size == 1:
+            break
+        else:
+            size, grows = size // 2, False
+    return m
 
-    Stops once every continuation costs at least ``enough`` and then returns a lower bound
-    that is at least ``enough``. Work grows in proportion to the length.
+
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, period) of all maximal stretches that hold their smallest period twice or more.
+
+    Such a stretch has two places a period apart at multiples of the period, so only these are
+    tried: n/1 + n/2 + ... places in all.
     """
-    n = len(value)
-    low = value.lower()
+    n, found, longest = len(value), {}, (0, 0, 1)
+    for p in range(1, n // 2 + 1):
+        k = 0
+        while k + p < n:
+            if value[k] != value[k + p]:
+                k += p
+                continue
+            a, e, q = longest
+            if p % q == 0 and a <= k and k + p < e:  # a multiple of a known period, in the same stretch
+                k = ((e - p - 1) // p + 1) * p
+                continue
+            a, e = k - _alike(value, k, k + p, -1), k + p + _alike(value, k, k + p, 1)
+            if e - a >= 2 * p and (a, e) not in found:
+                found[a, e] = p
+                longest = max(longest, (a, e, p), key=lambda r: r[1] - r[0])
+            k = max(k + p, ((e - p) // p + 1) * p)
+    return [(a, e, p) for (a, e), p in found.items()]
+
+
+def walks(low: str, step) -> list[tuple[int, int, list[int]]]:
+    """(start, end, turns) of all maximal walks of WALK_MIN keys or more by ``step``; ``turns`` counts the
+    changes of direction up to each of its keys."""
+    out, start, turns, heading = [], 0, [0], None
+    for k in range(1, len(low) + 1):
+        now = step(low[k - 1], low[k]) if k < len(low) else None
+        if now is None:
+            if k - start >= WALK_MIN:
+                out.append((start, k, turns))
+            start, turns, heading = k, [0], None
+        else:
+            turns.append(turns[-1] + (heading is not None and now != heading))
+            heading = now
+    return out
+
+
+def _word_cost(piece: str, low: str, plain: str, ranks: Ranks) -> float:
+    rank, extra = ranks.get(low), 0.0
+    if rank is None and (rank := ranks.get(plain)) is not None:
+        extra = log10(4)
+    if rank is None:
+        return float("inf")
+    if piece != low:
+        extra += log10(2 if piece in (low.capitalize(), low.upper()) else 2 ** min(8, len(low)))
+    return log10(rank + 1) + extra
+
+
+def _date_cost(low: str, k: int, j: int) -> float:
+    return (log10(200) if j - k == 4 else log10(365 * 120 * 4)) if j - k >= 4 and DATE.fullmatch(low, k, j) else float("inf")
+
+
+WALK, TURN = log10(47), log10(4)
+
+
+def _lower(value: str) -> str:
+    """Lower case, character by character, so that places stay the same."""
+    return value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
+def _cheapest(value: str, single: float, ranks: Ranks) -> list[float]:
+    """Least cost of each beginning of ``value``."""
+    n, low = len(value), _lower(value)
     plain = low.translate(LEET)
-    single = _alphabet(value)
     best = [0.0] + [float("inf")] * n
-    walk = [1] * (n + 1)  # length of the keyboard walk that ends here
-    turns = [0] * (n + 1)
-    heading = None
+    known = iter(sorted(repeats(low), key=lambda r: r[0] + 2 * r[2]))
+    coming, active = next(known, None), []
+    ahead = sorted((w for way in WAYS for w in walks(low, way)), key=lambda w: w[0], reverse=True)
+    walking: list[list] = []  # walk and the least cost before it, less the turns up to there
     for j in range(1, n + 1):
         cost = best[j - 1] + single
-        for k in range(max(0, j - LONGEST_WORD), j - 2):
-            word = low[k:j]
-            rank = RANK.get(word)
-            extra = 0.0
-            if rank is None and (rank := RANK.get(plain[k:j])) is not None:
-                extra = log10(4)
-            if rank is not None:
-                if value[k:j] != word:
-                    extra += log10(2 if value[k:j] in (word.capitalize(), word.upper()) else 2 ** min(8, len(word)))
-                cost = min(cost, best[k] + log10(rank + 1) + extra)
+        for k in range(max(0, j - ranks.longest), j - 2):
+            if best[k] < cost:
+                cost = min(cost, best[k] + _word_cost(value[k:j], low[k:j], plain[k:j], ranks))
         if low[j - 1].isdigit():
             for k in range(max(0, j - DATE_MAX), j - 3):
-                if DATE.fullmatch(low, k, j):
-                    cost = min(cost, best[k] + (log10(200) if j - k == 4 else log10(365 * 120 * 4)))
-        if j > 1 and (now := step(low[j - 2], low[j - 1])):
-            walk[j] = walk[j - 1] + 1
-            turns[j] = turns[j - 1] + (now != heading)
-            heading = now
-        else:
-            heading = None
-        for size in range(WALK_MIN, min(walk[j], SPAN) + 1):
-            k = j - size
-            cost = min(cost, best[k] + log10(47) + log10(size) + (turns[j] - turns[k + 2]) * log10(4))
-        for block in range(1, min(REPEAT_BLOCK, j // 2) + 1):
-            times, unit = 1, low[j - block : j]
-            while (times + 1) * block <= min(j, SPAN) and low[j - (times + 1) * block : j - times * block] == unit:
-                times += 1
-                k = j - times * block
-                if times * block > 2:
-                    cost = min(cost, best[k] + block * single + log10(times))
+                cost = min(cost, best[k] + _date_cost(low, k, j))
+        while ahead and ahead[-1][0] + WALK_MIN <= j:
+            walking.append([ahead.pop(), float("inf")])
+        if walking:
+            walking = [w for w in walking if w[0][1] >= j]
+            for w in walking:
+                (start, end, turns), before = w
+                w[1] = min(before, best[j - WALK_MIN] - TURN * turns[j - WALK_MIN + 1 - start])
+                cost = min(cost, w[1] + WALK + log10(end - start) + TURN * turns[j - 1 - start])
+        while coming and coming[0] + 2 * coming[2] <= j:
+            active.append([coming[1], coming[2], log10(coming[1] - coming[0]), float("inf")])
+            coming = next(known, None)
+        if active:
+            active = [r for r in active if r[0] >= j]
+            for r in active:
+                r[3] = min(r[3], best[j - r[1]])
+                cost = min(cost, r[3] + r[2])
         best[j] = cost
-        if j >= SPAN and min(best[j - SPAN + 1 : j + 1]) >= enough:
-            return min(best[j - SPAN + 1 : j + 1])
-    return best[n]
+    return best
+
+
+def _open(value: str, best: list[float], enough: float, longest: int) -> bool:
+    """Whether a segmentation that costs less than ``enough`` so far can still go on beyond ``value``."""
+    m, low = len(value), _lower(value)
+    cheap = [i for i, b in enumerate(best) if b < enough]
+    if cheap[-1] >= m - max(longest, DATE_MAX) or len(cheap) > LOOK:
+        return True
+    tails = []
+    for way in WAYS:
+        tail = m - 1
+        while tail and way(low[tail - 1], low[tail]):
+            tail -= 1
+        tails.append(tail)
+    return cheap[-1] >= min(tails) or any(low[i:] == low[i - p : m - p] for i in cheap for p in range(1, i + 1))
+
+
+def guess_cost(value: str, enough: float = float("inf"), ranks: Ranks = RANK) -> float:
+    """log10 of the guesses for the cheapest segmentation of ``value``; "": 0.
 
+    Pieces are single characters (the value's alphabet), words of ``ranks`` (their rank; more for capitals
+    and digits in place of letters), dates, stretches of three keys or more of a maximal keyboard walk (by keys
+    or in the alphabet: its length and the turns), and stretches of a period or more that repeat the text one period before (the
+    length of the maximal repeat). The value is looked at in growing beginnings; once no segmentation of less
+    than ``enough`` can go on, the result is ``enough``.
+    """
+    n, look = len(value), LOOK
+    single = _alphabet(value)
+    while look < n:
+        best = _cheapest(value[:look], single, ranks)
+        if not _open(value[:look], best, enough, ranks.longest):
+            return enough
+        look *= 4
+    return _cheapest(value, single, ranks)[n]
 
-def spans(text: str, costly: float = COSTLY) -> list[tuple[int, int, str]]:
+
+def spans(text: str, costly: float = COSTLY, ranks: Ranks = RANK) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets in code points, end exclusive, by start and kind.
 
     The fixed kinds are leftmost and non-overlapping within each kind. "guess" spans are the
@@ -140,11 +279,11 @@ def spans(text: str, costly: float = COSTLY) -> list[tuple[int, int, str]]:
     starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
     at = 0
     while m := CONTEXT.search(text, at):
-        a = m.start(1)
-        value = m.group(1).rstrip(".,;:!?)]}")
+        a = m.start("value")
+        value = m["value"].rstrip(".,;:!?)]}")
         b = a + len(value)
         at = a  # a cheap value can be the next context: "login: password: ..."
-        if len(value) >= 6 and guess_cost(value, costly) >= costly:
+        if len(value) >= 6 and (m["prose"] is None or MIXED.search(value)) and guess_cost(value, costly, ranks) >= costly:
             at = b
             k = bisect_right(starts, a)
             if not (k and ends[k - 1] >= b):
@@ -156,25 +295,27 @@ def listed(found: list[tuple[int, int, str]]) -> str:
     return ",".join([f"{kind}:{a}:{b}" for a, b, kind in found])
 
 
-def masked(text: str, mask: str = MASK) -> str:
+def masked(text: str, mask: str = MASK, ranks: Ranks = RANK) -> str:
     """``text`` with every secret replaced; overlapping spans are replaced once."""
     out, at = [], 0
-    for a, b, _ in spans(text):
+    for a, b, _ in spans(text, ranks=ranks):
         if a >= at:
             out += [text[at:a], mask]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", costly: float = COSTLY) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", costly: float = COSTLY, words: str | None = None) -> DataFrame:
     """One row per input row: ``id_col``, n_assign, n_access, n_hex, base_sha256, spans, n_guess.
 
-    Null and empty texts have no spans. Repeated rows and null ids are kept.
+    ``words`` is the path of a vocabulary file for dictionary(); it is read once in each worker. Null and empty texts have no spans. Repeated rows and null ids are kept.
     """
 
     def make():
+        ranks = dictionary(words)
+
         def work(ids, texts):
-            made = [spans(t or "", costly) for t in texts]
+            made = [spans(t or "", costly, ranks) for t in texts]
             base = [[x for x in m if x[2] != "guess"] for m in made]
             counts = [[sum(x[2] == kind for x in m) for m in made] for kind in KINDS]
             hashes = [hashlib.sha256(listed(b).encode()).hexdigest() for b in base]
@@ -186,13 +327,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", costly
     return map_batches(docs, [id_col, text_col], make, f"`{id_col}` {id_type(docs, id_col)}, {schema}")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mask: str = MASK, words: str | None = None) -> DataFrame:
     """``docs`` with the secrets in ``text_col`` masked; null texts stay null, other columns stay as they are."""
 
     @F.arrow_udf("string")
     def clean(texts):
         import pyarrow as pa
 
-        return pa.array([None if (t := x.as_py()) is None else masked(t, mask) for x in texts], pa.string())
+        ranks = dictionary(words)
+        return pa.array([None if (t := x.as_py()) is None else masked(t, mask, ranks) for x in texts], pa.string())
 
     return docs.withColumn(text_col, clean(F.col(text_col)))

@@ -77,19 +77,93 @@ def test_guess_costs():
     assert cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 4 and cost("2024-05-17") < 6
     assert cost("password2019") < cost("xqzvjwkb2019") < cost("xqzvjwkb7h3k")
     assert cost("kX9$vQ2!mZ7p") > 15
-    long = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(5000))
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(5000))
     assert cost(long, 8.0) >= 8.0
 
 
+def cheapest_by_hand(value, ranks):
+    """All segmentations into all pieces, each priced by its own definition."""
+    from math import inf, log10
+
+    n, low, single = len(value), value.lower(), secret_scan._alphabet(value)
+    plain = low.translate(secret_scan.LEET)
+    ways = [[None] + [way(low[k - 1], low[k]) for k in range(1, n)] for way in secret_scan.WAYS]
+
+    def cost(i, j):
+        found = single if j == i + 1 else inf
+        if j - i >= 3:
+            found = min(found, secret_scan._word_cost(value[i:j], low[i:j], plain[i:j], ranks))
+            for near in ways:
+                if not all(near[i + 1 : j]):
+                    continue
+                a, e = i, j
+                while a and near[a]:
+                    a -= 1
+                while e < n and near[e]:
+                    e += 1
+                turns = sum(near[k] != near[k - 1] for k in range(i + 2, j))
+                found = min(found, log10(47) + log10(e - a) + turns * log10(4))
+        if j - i >= 4 and low[j - 1].isdigit() and j - i <= secret_scan.DATE_MAX and secret_scan.DATE.fullmatch(low, i, j):
+            found = min(found, log10(200) if j - i == 4 else log10(365 * 120 * 4))
+        for p in range(1, i + 1):
+            if j - i >= p and low[i - p : j - p] == low[i:j]:
+                a, e = i - p, j
+                while a and low[a - 1] == low[a - 1 + p]:
+                    a -= 1
+                while e < n and low[e] == low[e - p]:
+                    e += 1
+                found = min(found, log10(e - a))
+        return found
+
+    def least(i):
+        return 0.0 if i == n else min(cost(i, j) + least(j) for j in range(i + 1, n + 1))
+
+    return least(0)
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
-    """Against all segmentations of short values into the same parts' own costs."""
+    """Against all segmentations of short values into all pieces, and with an early end against the full program."""
     rng = random.Random(3)
-    for _ in range(40):
-        value = "".join(rng.choice(["love", "1", "a", "99", "qwe", "z"]) for _ in range(3))
-        whole = secret_scan.guess_cost(value)
-        for cut in range(1, len(value)):
-            single = secret_scan._alphabet(value)
-            assert whole <= cut * single + (len(value) - cut) * single + 1e-9
+    ranks = secret_scan.Ranks(["love", "abc", "cat", "qwe", "password"])
+    for _ in range(300):
+        value = "".join(rng.choice(["love", "1", "a", "99", "qwe", "z", "ab", "c4t", "1999", "ABC", "cba", "fgh", "ü"]) for _ in range(rng.randrange(1, 5)))[:10]
+        assert secret_scan.guess_cost(value, ranks=ranks) == pytest.approx(cheapest_by_hand(value, ranks))
+    for _ in range(300):
+        unit = "".join(rng.choice("ab1xyz$Q") for _ in range(rng.randrange(1, 60)))
+        value = "".join(rng.choice([unit, unit[:7], "password", "qwertyuiop"]) for _ in range(rng.randrange(1, 9)))
+        whole, early = secret_scan.guess_cost(value, ranks=ranks), secret_scan.guess_cost(value, 8.0, ranks)
+        assert early == whole or (whole >= early >= 8.0)
+
+
+def test_repeats_and_walks_of_any_length():
+    cost = secret_scan.guess_cost
+    assert cost("a" * 200) < 4 and cost("a" * 300_000) < 8 and cost("password1" * 5) < 6 and cost("x7$kQ" * 4) < 11.5
+    assert cost("password1x" * 40) < 7.5 and cost("qwertyuiop" * 3 + "q") < 5 and cost("abcdefghijklmnopqrstuvwxyz" * 9) < 6
+    rng = random.Random(9)
+    for _ in range(200):
+        value = "".join(rng.choice("ab") for _ in range(rng.randrange(0, 24)))
+        by_hand = set()
+        for p in range(1, len(value)):
+            for a in range(len(value)):
+                e = a + p
+                while e < len(value) and value[e] == value[e - p]:
+                    e += 1
+                if e - a >= 2 * p and (a == 0 or value[a - 1] != value[a - 1 + p]):
+                    by_hand.add((a, e))
+        found = secret_scan.repeats(value)
+        assert {(a, e) for a, e, _ in found} == by_hand
+        assert all(value[a:e] == (value[a : a + p] * (e - a))[: e - a] for a, e, p in found)
+
+
+def test_prose_is_no_secret():
+    ranks = secret_scan.dictionary(WORD)
+    for text in (
+        "The password is incorrect.", "the token is required here", "bearer certificates are", "my secret is ingredients", "login: required", "the passphrase is user-defined", "credentials: incorrect",
+        "passphrase is Wrzlbrmpft", "auth: certificate",
+    ):
+        assert secret_scan.spans(text, ranks=ranks) == [], text
+    assert [k for _, _, k in secret_scan.spans("the passphrase is kX9vQ2mZ7pLw", ranks=ranks)] == ["guess"]
 
 
 def test_context_values():
@@ -114,7 +188,7 @@ def test_costly_values_over_fixed_spans(text, kinds, left):
 
 def test_every_context_value_is_costed(monkeypatch):
     seen, cost = [], secret_scan.guess_cost
-    monkeypatch.setattr(secret_scan, "guess_cost", lambda v, e: seen.append(v) or cost(v, e))
+    monkeypatch.setattr(secret_scan, "guess_cost", lambda v, *more: seen.append(v) or cost(v, *more))
     secret_scan.spans("token = 0123456789abcdef01234567 and password: S3cr#t!9xQz")
     assert seen == ["0123456789abcdef01234567", "S3cr#t!9xQz"]
 
