@@ -1,30 +1,29 @@
 """URL filters by a path-template tree for each host.
 
 Paths are cut into segments; a segment that is a number, a hex string or the like becomes a
-wildcard, and so does a level where a host has too many different segments. Branches under one
-node whose children are distributed alike are merged. Every template's labelled URLs (the ones
-a rule decides) give a smoothed share of allowed ones, with the host's and the whole table's
-share as the prior, and templates under a purity are blocked. All tables are counts of
+wildcard. Level by level, branches under one node merge if their children and their labels are
+distributed like those of its other branches; labels count a host's own URLs that a rule decides
+and, with a bounded weight, those of the same branch at other hosts. Every template's labelled URLs give a
+smoothed share of allowed ones, with the host's, the same template's at all hosts and the whole
+table's share as priors, and templates under a purity are blocked. All tables are counts of
 templates, pre-aggregated before each shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import written
 
 #: (rule, verdict); a rule is a host and a path's start.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Levels of the tree; deeper segments are part of the last one.
-DEPTH = 4
-#: A level of a host with more different segments than this becomes a wildcard.
-WIDE = 24
-#: Branches merge if the shares of their children (total variation) and of their allowed URLs
-#: differ by less than this from those of all branches of the node, up to sampling error.
+#: Branches merge if the shares of their children (total variation) differ by less than this from those of all
+#: branches of the node, and the share of their allowed URLs from that of the other ones, up to sampling error.
 ALIKE = 0.25
-#: Weight of the prior in labelled URLs, and the purity under which a template is blocked.
+#: Weight of a prior, and most weight of other hosts' labels, in labelled URLs, and the purity under which a template is blocked.
 PRIOR, PURITY = 4.0, 0.4
 #: A variable segment; merged branches.
 ANY, MERGED = "*", "{}"
@@ -54,7 +53,6 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 def segments(path: Column) -> Column:
     """The path's segments with variable ones as wildcards; a file ending and a last slash stay."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
     return F.transform(
         parts,
         lambda s: F.regexp_replace(
@@ -63,47 +61,72 @@ def segments(path: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """(host, shape) -> template, n, good, bad from rows (host, shape, verdict or null).
+def templates(urls: DataFrame, base: float) -> DataFrame:
+    """(host, shape) -> template, n, good, bad from rows (host, shape, _label).
 
-    ``shape`` is an array of segments; the result has one row per host and shape. Each level of
-    the tree ends with a checkpoint in the shared folder, so plans stay small.
+    ``shape`` is an array of segments, ``base`` the whole table's share of allowed URLs; the result has one
+    row per host and shape. A level has only the nodes that still hold two shapes or more, so long
+    paths end where they stand alone. Each level is written once in the shared folder and
+    read again, so plans stay small.
     """
-    shared_dir(urls.sparkSession)
     count = lambda v: F.count_if(F.col("_label") == v)
     shapes = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), count("allow").alias("good"), count("block").alias("bad"))
-    tree = shapes.withColumn("template", F.array().cast("array<string>")).checkpoint()
+    tree = written(shapes.withColumn("template", F.array().cast("array<string>")), "templates")
+    done, level = [], 0
+    while True:
+        # Counts are written before they are joined, here and below, so that a node with very many shapes can be split between tasks.
+        size = written(tree.groupBy("host", "template").agg(F.count("*").alias("_size")), "templates")
+        split = written(tree.join(size, ["host", "template"]).withColumn("_done", (F.col("_size") == 1) | (F.size("shape") <= level)).drop("_size"), "templates")
+        rest = F.concat("template", F.slice("shape", level + 1, F.greatest(F.lit(0), F.size("shape") - level)))
+        done.append(split.where("_done").withColumn("template", rest).drop("_done"))
+        tree = split.where("NOT _done").drop("_done")
+        if tree.isEmpty():
+            break
+        tree = written(_level(tree, level, base), "templates")
+        level += 1
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _level(tree: DataFrame, level: int, base: float) -> DataFrame:
+    """``tree`` with one more label in each template: the segment at ``level``, or MERGED."""
     node, branch = ["host", "template"], ["host", "template", "seg"]
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")]
-    for level in range(DEPTH):
-        deeper = tree.where(F.size("shape") > level).withColumn("seg", F.get("shape", F.lit(level)))
-        # One row for each node, branch and child of the branch; "" stands for no child.
-        kinds = deeper.groupBy(*branch, F.coalesce(F.get("shape", F.lit(level + 1)), F.lit("")).alias("child")).agg(*sums)
-        branches = kinds.groupBy(*branch).agg(*sums, F.bool_or(F.col("child") != "").alias("inner"))
-        nodes = branches.groupBy(*node).agg(
-            F.count("*").alias("width"), F.sum("n").alias("node_n"), F.sum("good").alias("node_good"), F.sum("bad").alias("node_bad")
-        )
-        pooled = kinds.groupBy(*node, "child").agg(F.sum("n").alias("pool_n"))
-        own, pool = F.col("child_n") / F.col("n"), F.col("pool_n") / F.col("node_n")
-        # Total variation between a branch's children and those of all branches together:
-        # children that only the others have count through 1 minus what is subtracted.
-        apart = (
-            kinds.select(*branch, "child", F.col("n").alias("child_n")).join(branches.select(*branch, "n"), branch)
-            .join(pooled, [*node, "child"]).join(nodes.select(*node, "node_n"), node)
-            .groupBy(*branch).agg(((1 + F.sum(F.abs(own - pool) - pool)) / 2).alias("distance"))
-        )
-        labelled, node_labelled = F.col("good") + F.col("bad"), F.col("node_good") + F.col("node_bad")
-        same_children = F.col("inner") & (F.col("distance") <= ALIKE + 1 / F.sqrt("n"))
-        same_labels = (labelled == 0) | (
-            F.abs(F.try_divide(F.col("good"), labelled) - F.try_divide(F.col("node_good"), node_labelled)) <= ALIKE + F.try_divide(F.lit(1.0), F.sqrt(labelled))
-        )
-        merged = (F.col("width") > WIDE) | ((F.col("width") > 1) & (F.col("seg") != ANY) & same_children & same_labels)
-        label = F.when(merged, F.lit(MERGED)).otherwise(F.col("seg"))
-        named = branches.join(nodes, node).join(apart, branch).select(*branch, label.alias("label"))
-        tree = tree.withColumn("seg", F.get("shape", F.lit(level))).join(named, branch, "left").select(
-            "host", "shape", "n", "good", "bad", F.when(F.col("label").isNull(), F.col("template")).otherwise(F.concat("template", F.array("label"))).alias("template")
-        ).checkpoint()
-    return tree
+    tree = tree.withColumn("seg", F.get("shape", F.lit(level)))
+    # One row for each node, branch and child of the branch; "" stands for no child.
+    kinds = tree.groupBy(*branch, F.coalesce(F.get("shape", F.lit(level + 1)), F.lit("")).alias("child")).agg(*sums)
+    kinds = written(kinds, "templates")
+    own = kinds.groupBy(*branch).agg(*sums)
+    # The same branch at all hosts; a host's own labels are taken off it.
+    over_all = written(own.groupBy("template", "seg").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")), "templates")
+    g, labelled = F.col("good"), F.col("good") + F.col("bad")
+    others, others_n = F.col("all_good") - g, F.col("all_good") + F.col("all_bad") - labelled
+    weight = F.least(F.lit(PRIOR), others_n)
+    branches = own.join(over_all, ["template", "seg"]).select(
+        *branch, "n", (g + weight * F.coalesce(F.try_divide(others, others_n), F.lit(0.0))).alias("allowed"), (labelled + weight).alias("known")
+    )
+    branches = written(branches, "templates")
+    nodes = written(
+        branches.groupBy(*node)
+        .agg(F.count("*").alias("width"), F.sum("n").alias("node_n"), F.sum("allowed").alias("node_allowed"), F.sum("known").alias("node_known")),
+        "templates",
+    )
+    pooled = kinds.groupBy(*node, "child").agg(F.sum("n").alias("pool_n"))
+    of_branch, pool = F.col("child_n") / F.col("n"), F.col("pool_n") / F.col("node_n")
+    # Total variation between a branch's children and those of all branches together:
+    # children that only the others have count through 1 minus what is subtracted.
+    apart = (
+        kinds.select(*branch, "child", F.col("n").alias("child_n")).join(branches.select(*branch, "n"), branch)
+        .join(pooled, [*node, "child"]).join(nodes.select(*node, "node_n"), node)
+        .groupBy(*branch).agg(((1 + F.sum(F.abs(of_branch - pool) - pool)) / 2).alias("distance"))
+    )
+    same_children = F.col("distance") <= ALIKE + 1 / F.sqrt("n")
+    # A branch's labels against those of the node's other branches.
+    rest = (F.col("node_allowed") - F.col("allowed") + PRIOR * base) / (F.col("node_known") - F.col("known") + PRIOR)
+    share = F.try_divide(F.col("allowed"), F.col("known"))
+    same_labels = (F.col("known") == 0) | (F.abs(share - rest) <= ALIKE + F.try_divide(F.lit(1.0), F.sqrt("known")))
+    merged = (F.col("width") > 1) & (F.col("seg") != ANY) & same_children & same_labels
+    named = written(branches.join(nodes, node).join(apart, branch).select(*branch, F.when(merged, F.lit(MERGED)).otherwise(F.col("seg")).alias("label")), "templates")
+    return tree.join(named, branch).select("host", "shape", "n", "good", "bad", F.concat("template", F.array("label")).alias("template"))
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, purity: float = PURITY) -> DataFrame:
@@ -121,14 +144,20 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
         .withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
         .withColumn("_label", decided).withColumn("shape", segments(F.col("path")))
     )
-    tree = templates(rows.select("host", "shape", "_label"))
-    nodes = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    hosts = nodes.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad"))
     # One row: the whole table's share of allowed among labelled URLs.
-    base = hosts.agg(((F.coalesce(F.sum("host_good"), F.lit(0)) + 1) / (F.coalesce(F.sum("host_good") + F.sum("host_bad"), F.lit(0)) + 2)).alias("base")).scalar()
-    prior = (F.col("host_good") + PRIOR * base) / (F.col("host_good") + F.col("host_bad") + PRIOR)
-    pure = (F.col("good") + PRIOR * prior) / (F.col("good") + F.col("bad") + PRIOR)
-    scored = nodes.join(hosts, "host").select("host", "template", pure.alias("purity"))
+    allowed, known = rows.agg(F.count_if(F.col("_label") == "allow"), F.count("_label")).first()
+    base = (allowed + 1) / (known + 2)
+    tree = templates(rows.select("host", "shape", "_label"), base)
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    nodes = tree.groupBy("host", "template").agg(*sums)
+    hosts = nodes.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad"))
+    alike = nodes.groupBy("template").agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    # Labels of the node's own host are in neither prior twice: first all hosts' template, then the host, then the node.
+    smooth = lambda good, bad, prior: (good + PRIOR * prior) / (good + bad + PRIOR)
+    of_template = smooth(F.col("all_good") - F.col("good"), F.col("all_bad") - F.col("bad"), F.lit(base))
+    of_host = smooth(F.col("host_good") - F.col("good"), F.col("host_bad") - F.col("bad"), of_template)
+    scored = nodes.join(written(hosts, "hosts"), "host").join(written(alike, "templates"), "template")
+    scored = written(scored.select("host", "template", smooth(F.col("good"), F.col("bad"), of_host).alias("purity")), "purity")
     by_shape = tree.select("host", "shape", "template").join(scored, ["host", "template"])
     verdict = F.coalesce("_label", F.when(F.col("purity") < purity, "block").otherwise("allow"))
     return rows.join(by_shape, ["host", "shape"]).select(

@@ -277,6 +277,110 @@ def test_templates_learn_from_labels(spark):
     assert url_templates.judged(df.limit(0)).count() == 0
 
 
+def tree_by_hand(rows, alike=url_templates.ALIKE, prior_n=url_templates.PRIOR):
+    """(host, shape) -> (template, purity) from (host, shape, label), with dictionaries."""
+    from math import sqrt
+
+    labelled = [v for _, _, v in rows if v]
+    base = (labelled.count("allow") + 1) / (len(labelled) + 2)
+    tree = {(h, s): () for h, s, _ in rows}
+    tally = lambda keep: tuple(sum(1 for h, s, v in rows if keep(h, s) and v == x) for x in ("allow", "block"))
+    todo, level, final = set(tree), 0, {}
+    while todo:
+        members = defaultdict(set)
+        for h, s in todo:
+            members[h, tree[h, s]].add((h, s))
+        for group in members.values():
+            for h, s in group:
+                if len(group) == 1 or len(s) <= level:
+                    final[h, s] = tree[h, s] + s[level:]
+        todo -= set(final)
+        members = {k: g & todo for k, g in members.items() if g & todo}
+        stats = {}
+        for (h, t), group in members.items():
+            for seg in {s[level] for _, s in group}:
+                inside = {x for x in group if x[1][level] == seg}
+                child = defaultdict(int)
+                for h2, s2, _ in rows:
+                    if (h2, s2) in inside:
+                        child[s2[level + 1] if len(s2) > level + 1 else ""] += 1
+                stats[h, t, seg] = (child, *tally(lambda h2, s2, i=inside: (h2, s2) in i))
+        share = {}
+        for (h, t, seg), (_, g, b) in stats.items():
+            og = sum(x[1] for (_, t2, s2), x in stats.items() if (t2, s2) == (t, seg)) - g
+            ob = sum(x[2] for (_, t2, s2), x in stats.items() if (t2, s2) == (t, seg)) - b
+            w = min(prior_n, og + ob)
+            share[h, t, seg] = (g + (w * og / (og + ob) if w else 0), g + b + w)
+        new = {}
+        for (h, t), group in members.items():
+            segs = {s[level] for _, s in group}
+            n = {x: sum(stats[h, t, x][0].values()) for x in segs}
+            pool = defaultdict(int)
+            for x in segs:
+                for c, k in stats[h, t, x][0].items():
+                    pool[c] += k
+            total = sum(n.values())
+            for x in segs:
+                apart = sum(abs(stats[h, t, x][0].get(c, 0) / n[x] - k / total) for c, k in pool.items()) / 2
+                q, labels = share[h, t, x]
+                rest = (sum(share[h, t, y][0] for y in segs if y != x) + prior_n * base) / (sum(share[h, t, y][1] for y in segs if y != x) + prior_n)
+                same = apart <= alike + 1 / sqrt(n[x]) and (labels == 0 or abs(q / labels - rest) <= alike + 1 / sqrt(labels))
+                new[h, t, x] = url_templates.MERGED if len(segs) > 1 and x != url_templates.ANY and same else x
+        for h, s in todo:
+            tree[h, s] += (new[h, tree[h, s], s[level]],)
+        level += 1
+    smooth = lambda g, b, p: (g + prior_n * p) / (g + b + prior_n)
+    out = {}
+    for (h, s), t in final.items():
+        g, b = tally(lambda h2, s2: h2 == h and final[h2, s2] == t)
+        ag, ab = tally(lambda h2, s2: final[h2, s2] == t)
+        hg, hb = tally(lambda h2, s2: h2 == h)
+        out[h, s] = ("/" + "/".join(t), smooth(g, b, smooth(hg - g, hb - b, smooth(ag - g, ab - b, base))))
+    return out
+
+
+def test_template_tree_against_brute_force(spark):
+    rng = random.Random(31)
+    rules = (("h0.test/bad/", "block"), ("h0.test/news/", "allow"), ("h1.test/a/b/c/bad/", "block"), ("h1.test/a/b/c/good/", "allow"), ("h2.test/s1", "allow"))
+    urls = []
+    for _ in range(500):
+        host = f"h{rng.randrange(5)}.test"
+        path = rng.choice([
+            f"bad/{rng.randrange(99)}", f"news/{rng.choice('xyz')}/item", f"s{rng.randrange(40)}/page", f"a/b/c/{rng.choice(['bad', 'good'])}/p", "", "about", f"{rng.choice('uvw')}/{rng.choice('uvw')}/{rng.choice('uvw')}/q/r",
+            f"{rng.randrange(10**9)}/bad", f"deep/{rng.choice('ab')}/" + "z/" * 9,
+        ])
+        urls.append(f"https://{host}/{path}")
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    got = url_templates.judged(df, rules=rules).collect()
+    shapes = {r.page_id: tuple(r.s) for r in df.select("page_id", url_templates.segments(url_templates.path_of(F.col("url"))).alias("s")).collect()}
+    verdict = dict(rules)
+    expected = tree_by_hand([(r.host, shapes[r.page_id], verdict.get(r.rule)) for r in got])
+    assert len(got) == len(urls)
+    for r in got:
+        template, purity = expected[r.host, shapes[r.page_id]]
+        assert (r.template, r.purity) == (template, pytest.approx(purity))
+        assert r.verdict == (verdict.get(r.rule) or ("block" if purity < url_templates.PURITY else "allow"))
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("sections", [10, 40])
+def test_width_and_depth_change_nothing(spark, sections):
+    """A blocked section stays blocked beside many others; deep branches keep their own verdicts."""
+    urls = [f"https://a.test/bad/p{x}/q" for x in "abcdefghijklmnopqrst"] + [f"https://a.test/s-{chr(97 + k // 26)}{chr(97 + k % 26)}/p/q" for k in range(sections)]
+    urls += [f"https://b.test/a/b/c/{v}/x{x}" for v in ("good", "bad") for x in "abcdefgh"]
+    rules = (*((f"a.test/bad/p{x}", "block") for x in "abcdefgh"), ("a.test/s-", "allow"))
+    rules += tuple((f"b.test/a/b/c/{v}/x{x}", "allow" if v == "good" else "block") for v in ("good", "bad") for x in "abcde")
+    got = url_templates.judged(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules=rules).collect()
+    assert {r.verdict for r in got if "/bad/" in r.path} == {"block"} and {r.verdict for r in got if "/bad/" not in r.path} == {"allow"}
+
+
+def test_urls_on_odd_rows(spark):
+    rows = [(1, "https://a.org/x/y"), (None, "https://a.org/x/y"), (1, "https://a.org/x/y"), (2, None), (3, "https://b.net/" + "d/" * 3), (4, "https://b.net/" + "d/" * 3 + "e"), (5, "http:///\x00//")]
+    df = spark.createDataFrame([(*r, "t", 1, 2) for r in rows], "page_id int, url string, template string, n int, good int")
+    got = url_templates.judged(df).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows) and got[0].verdict in ("allow", "block")
+
+
 # 4. Toxicity
 
 def test_folding():
