@@ -9,7 +9,11 @@ tokens whose end is stable, and goes on from the last stable boundary (nothing
 crosses a final boundary, so what follows it merges on its own).
 
 Decoding. Tokens are turned into text one at a time by a state machine that
-holds at most an incomplete character and a pending word end.
+holds at most an incomplete character and whether anything came before.
+
+A text is read in pieces that end before white space, and a word longer than a
+piece in stretches of symbols; ids and decoded text leave as they are made, into
+running hashes. So beside the text itself memory doesn't grow with its length.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +40,9 @@ from .token_counts import _tokenizer, byte_symbols, settled
 
 #: Entries of a worker's cache of words (one older cache of that size is kept), and the longest word in it.
 CACHE, CACHED = 1 << 16, 64
+#: Characters of a piece of a text, and symbols of a long word fed at a time.
+PIECE, STRETCH = 1 << 16, 1 << 12
+_BREAK = re.compile(r"[ \n]").search
 
 
 def lookahead(merges: list[tuple[str, str]]) -> int:
@@ -192,6 +202,15 @@ def normalized(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """``text`` in pieces of at least ``size`` characters that end before a space or a line's end."""
+    at = 0
+    while len(text) - at > size and (end := _BREAK(text, at + size)):
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:] if at else text
+
+
 class WordEncoder(dict):
     """word -> its ids as little-endian unsigned 32-bit integers; made by the transducer, kept while short."""
 
@@ -211,12 +230,7 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
-            machine, table = self.machine, self.symbols
-            # Printable ASCII characters stand for themselves in byte-level vocabularies.
-            symbols = list(word) if word.isascii() and word.isprintable() else [table[b] for b in word.encode("utf-8", "replace")]
-            tokens = machine.feed(symbols)
-            tokens += machine.finish()
-            out = b"".join([self.packed[t] for t in tokens])
+            out = b"".join(self._stream(self._symbols(word)))
         if len(word) <= CACHED:
             if len(self) >= CACHE:
                 self.older = dict(self)
@@ -224,30 +238,56 @@ class WordEncoder(dict):
             self[word] = out
         return out
 
-    def _ordinary(self, text: str) -> list[bytes]:
+    def _symbols(self, word: str) -> list[str]:
+        # Printable ASCII characters stand for themselves in byte-level vocabularies.
+        return list(word) if word.isascii() and word.isprintable() else [self.symbols[b] for b in word.encode("utf-8", "replace")]
+
+    def _stream(self, symbols: list[str]) -> Iterator[bytes]:
+        """Ids of a word's symbols as they become stable."""
+        machine, packed = self.machine, self.packed
+        for k in range(0, len(symbols), STRETCH):
+            if out := machine.feed(symbols[k : k + STRETCH] if k or len(symbols) > STRETCH else symbols):
+                yield b"".join([packed[t] for t in out])
+        yield b"".join([packed[t] for t in machine.finish()])
+
+    def _long(self, text: str) -> Iterator[list[bytes]]:
+        """Ids of a piece that holds a very long word, word by word."""
+        for found in regex.finditer(self.PATTERN, normalized(text)):
+            if found.end() - found.start() <= STRETCH:
+                yield [self[found.group()]]
+                continue
+            for k in range(found.start(), found.end(), STRETCH):
+                symbols = self._symbols(found.string[k : min(k + STRETCH, found.end())])
+                if out := self.machine.feed(symbols):
+                    yield [self.packed[t] for t in out]
+            yield [self.packed[t] for t in self.machine.finish()]
+
+    def _ordinary(self, text: str) -> Iterator[list[bytes]]:
         if settled(text):
-            return list(map(self.__getitem__, self.words(normalized(text))))
-        own, out = _tokenizer(self.path), []
+            if len(text) > 2 * PIECE:
+                yield from self._long(text)
+            else:
+                yield list(map(self.__getitem__, self.words(normalized(text))))
+            return
+        own = _tokenizer(self.path)
         for piece, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text)):
-            tokens = self.machine.feed(list(piece))
-            out.append(b"".join([self.packed[t] for t in tokens + self.machine.finish()]))
-        return out
+            yield from ([x] for x in self._stream(list(piece)))
 
-    def __call__(self, text: str) -> list[bytes]:
-        """Ids of the whole text, one block of bytes per word or added token."""
-        if self.split is None or not any(s in text for s in self.v.added):
-            return self._ordinary(text)
-        out: list[bytes] = []
-        for k, part in enumerate(self.split(text)):
-            if k % 2:
-                out.append(np.array([self.v.added[part]], dtype="<u4").tobytes())
-            else:
-                out += self._ordinary(part)
-        return out
+    def __call__(self, text: str) -> Iterator[list[bytes]]:
+        """Ids of the whole text in lists of blocks, a block for each word, part of a long word, or added token."""
+        for piece in pieces(text):
+            if self.split is None or not any(s in piece for s in self.v.added):
+                yield from self._ordinary(piece)
+                continue
+            for k, part in enumerate(self.split(piece)):
+                if k % 2:
+                    yield [self.v.added[part].to_bytes(4, "little")]
+                else:
+                    yield from self._ordinary(part)
 
 
 class TokenText(dict):
-    """Ids to text for a file without a decoder: the tokens' strings, joined by spaces.
+    """Ids to text for a file without a decoder: the tokens' strings, joined by spaces, in UTF-8.
 
     State: whether anything came before. The dict keeps the text of short blocks of ids.
     """
@@ -256,8 +296,8 @@ class TokenText(dict):
         super().__init__()
         self.v, self.begun = vocabulary, False
 
-    def __missing__(self, ids: bytes) -> str:
-        text = " ".join([self.v.token(i) for i in np.frombuffer(ids, dtype="<u4").tolist()])
+    def __missing__(self, ids: bytes) -> bytes:
+        text = " ".join([self.v.token(i) for i in np.frombuffer(ids, dtype="<u4").tolist()]).encode()
         if len(ids) <= 4 * CACHED:
             if len(self) >= CACHE:
                 self.clear()
@@ -267,51 +307,56 @@ class TokenText(dict):
     def reset(self) -> None:
         self.begun = False
 
-    def feed(self, blocks: list[bytes]) -> str:
+    def feed(self, blocks: list[bytes]) -> bytes:
         """Text of some blocks of ids; empty blocks add nothing."""
-        text = " ".join(map(self.__getitem__, filter(None, blocks)))
-        if not text:
-            return ""
-        if self.begun:
-            return " " + text
-        self.begun = True
+        text = b" ".join(map(self.__getitem__, filter(None, blocks)))
+        if text and self.begun:
+            return b" " + text
+        self.begun = self.begun or bool(text)
         return text
 
+    def finish(self) -> bytes:
+        return b""
 
-class ByteText:
-    """Ids to the encoded text: bytes pass through an incremental UTF-8 state machine.
+
+class ByteText(dict):
+    """Ids to the encoded text, in UTF-8: bytes pass through an incremental UTF-8 state machine.
 
     State: the bytes of an incomplete character, at most three. A word end becomes a
-    space. Wrong bytes become replacement characters.
+    space. Wrong bytes become replacement characters. The dict keeps the bytes of short blocks of ids.
     """
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
         self.code = {c: b for b, c in enumerate(byte_symbols())}
-        self.cache: dict[int, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def _bytes(self, i: int) -> bytes:
-        if (known := self.cache.get(i)) is None:
-            name, suffix = self.v.token(i), self.v.suffix
-            if name in self.v.added:
-                known = name.encode()
-            else:
-                ends = bool(suffix) and name.endswith(suffix)
-                core = name[: -len(suffix)] if ends else name
-                known = bytes(self.code[c] for c in core) + b" " * ends
-            self.cache[i] = known
-        return known
+        name, suffix = self.v.token(i), self.v.suffix
+        if name in self.v.added:
+            return name.encode()
+        ends = bool(suffix) and name.endswith(suffix)
+        core = name[: -len(suffix)] if ends else name
+        return bytes([self.code[c] for c in core]) + b" " * ends
+
+    def __missing__(self, ids: bytes) -> bytes:
+        raw = b"".join([self._bytes(i) for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        if len(ids) <= 4 * CACHED:
+            if len(self) >= CACHE:
+                self.clear()
+            self[ids] = raw
+        return raw
 
-    def feed(self, blocks: list[bytes]) -> str:
+    def feed(self, blocks: list[bytes]) -> bytes:
         """Text of some blocks of ids, but for an incomplete character at the end."""
-        return "".join([self.state.decode(self._bytes(i)) for ids in blocks for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        return self.state.decode(b"".join(map(self.__getitem__, blocks))).encode()
 
-    def finish(self) -> str:
-        return self.state.decode(b"", True)
+    def finish(self) -> bytes:
+        return self.state.decode(b"", True).encode()
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,7 +370,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         words = WordEncoder(tokenizer)
 
         def work(ids, texts):
-            blocks = [b"".join(words(t or "")) for t in texts]
+            blocks = [b"".join(chain.from_iterable(words(t or ""))) for t in texts]
             lists = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in blocks]
             return ids, pa.array(lists, pa.list_(pa.int32())), [len(x) for x in lists]
 
@@ -348,8 +393,8 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
         def one(x):
             machine.reset()
             block = np.array(x or [], dtype="<u4")
-            text = "".join([machine.feed([block[k : k + 64].tobytes()]) for k in range(0, len(block), 64)])
-            return text if as_tokens else text + machine.finish()
+            text = b"".join([machine.feed([block[k : k + 64].tobytes()]) for k in range(0, len(block), 64)])
+            return (text + machine.finish()).decode()
 
         return lambda ids, lists: (ids, [one(x) for x in lists])
 
@@ -360,7 +405,8 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     """Encode and decode each whole text in one pass and return digests of both (and ``ids``, if asked for).
 
     ``id_col``, ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers)
-    and ``decoded_sha256`` (UTF-8 of the decoded token text). Null text: as an empty one.
+    and ``decoded_sha256`` (UTF-8 of the decoded token text, as the file names no decoder).
+    Null text: as an empty one.
     """
 
     def make():
@@ -370,14 +416,20 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         def work(ids, texts):
             n, enc, dec, lists = [], [], [], []
             for t in texts:
-                blocks = words(t or "")
                 back.reset()
-                raw = b"".join(blocks)
-                n.append(len(raw) // 4)
+                made, decoded, size, kept = hashlib.sha256(), hashlib.sha256(), 0, []
+                for blocks in words(t or ""):
+                    raw = b"".join(blocks)
+                    size += len(raw)
+                    made.update(raw)
+                    decoded.update(back.feed(blocks))
+                    if with_ids:
+                        kept.append(raw)
+                n.append(size // 4)
+                enc.append(made.hexdigest())
+                dec.append(decoded.hexdigest())
                 if with_ids:
-                    lists.append(np.frombuffer(raw, dtype="<u4").astype(np.int32))
-                enc.append(hashlib.sha256(raw).hexdigest())
-                dec.append(hashlib.sha256(back.feed(blocks).encode()).hexdigest())
+                    lists.append(np.frombuffer(b"".join(kept), dtype="<u4").astype(np.int32))
             return (ids, n, enc, dec, *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []))
 
         return work

@@ -208,6 +208,29 @@ def test_bpe_matches_library(docs, odd, none):
     assert bpe_stream.digests(none, WORD).count() == 0
 
 
+def test_long_words_and_pieces(monkeypatch):
+    """Texts in small pieces, and words far longer than a stretch, against the library; nothing is held beyond the window."""
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(WORD)
+    monkeypatch.setattr(bpe_stream, "PIECE", 50)
+    monkeypatch.setattr(bpe_stream, "STRETCH", 40)
+    monkeypatch.setattr(bpe_stream.pieces, "__defaults__", (50,))
+    rng = random.Random(23)
+    words = bpe_stream.WordEncoder(WORD)
+    back = bpe_stream.TokenText(words.v)
+    for text in [t or "" for t in ODD] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(30_000)), "日本語" * 4000 + " x", "é " * 300, "a" * 9000 + " <|endoftext|>" + "b" * 9000]:
+        ids, decoded, longest = [], b"", 0
+        back.reset()
+        for blocks in words(text):
+            ids += np.frombuffer(b"".join(blocks), dtype="<u4").tolist()
+            decoded += back.feed(blocks)
+            longest = max(longest, len(blocks), len(words.machine.held))
+        expected = own.encode(text, add_special_tokens=False).ids
+        assert ids == expected
+        assert decoded.decode() == own.decode(expected, skip_special_tokens=False)
+        assert longest <= words.machine.window + 41
+
+
 def test_bpe_round_trip(spark):
     df = spark.createDataFrame([(1, "Hello  Wörld 😀, it's 42"), (2, None), (3, "")], "doc_id int, text string")
     back = {r.doc_id: r.text for r in bpe_stream.decode(bpe_stream.encode(df, WORD), WORD).collect()}
@@ -744,6 +767,44 @@ def test_language_edges(odd, none):
     assert langid.predict(none, langid.fit(none)).count() == 0
 
 
+def ngrams_by_hand(text):
+    """Buckets of all n-grams of the lower-case text, from the definition."""
+    codes, inside = [32], False
+    for c in text.lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif inside:
+            codes.append(32)
+        inside = c.isalpha()
+    codes.append(32)
+    out = defaultdict(int)
+    for n in langid.ORDERS:
+        for k in range(len(codes) - n + 1):
+            h = n
+            for c in codes[k : k + n]:
+                h = (h ^ c) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            out[h >> (64 - langid.BITS)] += 1
+    return out
+
+
+def test_ngrams_against_brute_force():
+    """In pieces of any size, and the score of a model against a sum over the n-grams."""
+    rng = random.Random(17)
+    texts = [t for t in ODD if t and len(t) < 2000] + ["".join(rng.choice("ab cß.İΣé7 ") for _ in range(rng.randrange(60))) for _ in range(60)]
+    table = np.random.default_rng(1).normal(size=(1 << langid.BITS, 3)).astype(np.float32)
+    model = langid.LanguageModel(["a", "b", "c"], table, np.array([0.1, 0.0, -0.1]), 1.3)
+    for text in texts:
+        by_hand = ngrams_by_hand(text)
+        for piece in (1, 2, 3, 7, 1 << 16):
+            at, counts = np.unique(np.concatenate(list(langid.ngram_buckets(text, piece))), return_counts=True)
+            assert dict(zip(at.tolist(), counts.tolist())) == by_hand
+        logits = (langid.SCALE * sum(k * table[b].astype(float) for b, k in by_hand.items()) / sum(by_hand.values()) + model.bias) / model.heat
+        p = np.exp(logits - logits.max())
+        found = model.predict(text)
+        assert found == ("und", 0.0) if not any(map(str.isalpha, text)) else found == ("abc"[p.argmax()], pytest.approx(p.max() / p.sum(), rel=1e-4))
+
+
 def test_ftrl_is_sparse_and_right():
     rng = np.random.default_rng(0)
     rows, y = [], []
@@ -758,6 +819,22 @@ def test_ftrl_is_sparse_and_right():
     assert 0.05 <= linear.temperature(np.array([[3.0, 0.0], [0.0, 3.0]]), np.array([0, 1])) < 1
 
 
+def test_scores_against_brute_force():
+    """Lexicon entries found by plain search in the folded text."""
+    rng = random.Random(5)
+    entries = [" clown ", " idio", " moron ", " trash "]
+    lexicon = toxicity.Lexicon(entries, np.array([1.0, 2.0, 3.0, 0.5]), -1.0)
+    for _ in range(200):
+        text = " ".join(rng.choice(["clown", "idi0t", "IDIOTIC", "m0ron", "trash", "can", "a", "fish", "trashy"]) for _ in range(rng.randrange(9)))
+        folded = toxicity.fold(text)
+        plain = {e: sum(folded.startswith(e, k) for k in range(len(folded))) for e in entries}
+        found = lexicon.matches(folded)
+        for k, e in enumerate(entries):
+            assert found.get(k, found.get(e, 0)) <= plain[e]
+            if "fish" not in text and "can" not in text:
+                assert found.get(k, found.get(e, 0)) == plain[e]
+
+
 # 10. Quality rules
 
 def test_quality_base_counts(docs, odd):

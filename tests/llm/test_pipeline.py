@@ -29,7 +29,7 @@ def test_stages(spark):
     ids = {r.doc_id: r.ids for r in cp.bpe(spark, masked, SF).collect()}
     words = bpe_stream.WordEncoder(cp.tokenizer_path(cp.WORD_BPE))
     for r in masked.collect():
-        assert b"".join(words(r.text)) == b"".join(i.to_bytes(4, "little") for i in ids[r.doc_id])
+        assert b"".join(b"".join(x) for x in words(r.text)) == b"".join(i.to_bytes(4, "little") for i in ids[r.doc_id])
     assert {r.doc_id for r in cp.run(spark, SF).select("doc_id").collect()} == set(before)
 
 
