@@ -27,7 +27,8 @@ ORDERS = (1, 2, 3)
 CALIBRATION = 0.2
 SCALE = 30.0
 UNKNOWN = "und"
-_PIECE = 1 << 16
+#: Characters read at a time.
+PIECE = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -40,30 +41,38 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case code points; a run of other characters becomes one boundary."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")
+def _codes(low: str, after_letter: bool) -> tuple[np.ndarray, bool]:
+    """Code points; a run of other characters becomes one boundary. ``after_letter`` says what came before, and comes back."""
+    points = np.frombuffer(low.encode("utf-32-le", "replace"), dtype="<u4")
     table = _letters()
     letter = table[np.minimum(points, len(table) - 1)]
     codes = np.where(letter, points, 32).astype(np.uint64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    return codes[keep]
-
-
-def ngram_buckets(text: str):
-    """Hash buckets of the text's character n-grams, piece by piece."""
-    for at in range(0, max(1, len(text)), _PIECE):
-        codes = _codes(text[max(0, at - 2) : at + _PIECE])
-        codes = np.concatenate([np.array([32], np.uint64), codes, np.array([32], np.uint64)])
+    if after_letter and len(keep):
+        keep[0] = True
+    return codes[keep], bool(letter[-1]) if len(letter) else after_letter
+
+
+def ngram_buckets(text: str, piece: int = PIECE):
+    """Hash buckets of the n-grams of the lower-case text between two boundaries, piece by piece: what
+    comes over a seam is carried on, so pieces of any size give the same n-grams."""
+    low, carried, after_letter = text.lower(), np.array([32], np.uint64), False
+    fresh = 1  # codes at the end of ``carried`` that no n-gram has ended on
+    for at in range(0, max(1, len(low)), piece):
+        codes, after_letter = _codes(low[at : at + piece], after_letter)
+        codes = np.concatenate([carried, codes, np.array([32] * (at + piece >= len(low)), np.uint64)])
+        old = len(carried) - fresh
         for n in ORDERS:
-            if len(codes) < n:
+            part = codes[max(0, old - n + 1) :]
+            if len(part) < n:
                 continue
-            h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
+            h = np.full(len(part) - n + 1, n, dtype=np.uint64)
             for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ part[k : len(part) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             yield (h >> np.uint64(64 - BITS)).astype(np.int64)
+        carried, fresh = codes[-(max(ORDERS) - 1) :], 0
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
