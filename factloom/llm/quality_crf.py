@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_ids, id_type, map_batches
 
-#: Bound of the labelled sample that the field is fitted on (documents), and of its lines in one document.
-SAMPLE, LINES = 3000, 200
+#: Bound of the labelled sample that the field is fitted on: documents, and lines of a document that may be in it.
+SAMPLE, LINES = 3000, 2000
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 CONTENT_SHARE = 0.5
@@ -123,15 +123,15 @@ def lines_of(text: str) -> tuple[list[list[int]], list[int]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, rounds: int = 3, epochs: int = 6) -> Field:
-    """Fit on at most ``sample`` labelled documents, chosen by a hash of the id, and at most
-    LINES lines of each. Without labels of both kinds every line counts as content."""
+    """Fit on at most ``sample`` labelled documents, chosen by a hash of the id, all their lines; documents
+    of more than LINES lines are not fitted on. Without labels of both kinds every line counts as content."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(F.col(label_col).cast("int")).alias("_label"))
     chosen = known.join(F.broadcast(bounded_ids(known, id_col, sample)), id_col)
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).where(F.col(text_col).isNotNull())
+    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).where(F.size(F.split(F.col(text_col), "\n")) <= LINES)
 
     def make():
         def work(labels, texts):
-            return labels, pa.array([np.array(lines_of(t)[0][:LINES], np.int16).ravel() for t in texts], pa.list_(pa.int16()))
+            return labels, pa.array([np.array(lines_of(t)[0], np.int16).ravel() for t in texts], pa.list_(pa.int16()))
 
         return work
 
