@@ -29,11 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is the one named in ``spark.checkpoint.dir``; only where that is unset
-    (local runs and tests) a temporary folder is made and set.
+    in a local run (tests) a temporary folder is made and set. A cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = current or tempfile.mkdtemp(prefix="spark-")
         if not current:
             spark.sparkContext.setCheckpointDir(found)

@@ -178,7 +178,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the smallest node.
 
     Alternates two star contractions, each an aggregate and a join, and stops when the
@@ -187,7 +187,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     shared_dir(edges.sparkSession)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -201,7 +201,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = after
         if changed:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(
