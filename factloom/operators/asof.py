@@ -19,14 +19,22 @@ def latest_as_of(df: DataFrame, key: list[str], observed: str, as_of: Column | N
     return latest if visible is None else latest.where(visible)
 
 
-def versions_as_of(requests: DataFrame, versions: DataFrame, key: str, at: str, observed: str, ties: list[Column]) -> DataFrame:
+def versions_as_of(requests: DataFrame, versions: DataFrame, key: str, at: str, observed: str, ties: list[Column], strict: bool = False) -> DataFrame:
     """For each request (key, instant) the version of that key visible at the instant; none: no row.
 
-    Requests need a unique ``request_id``.
+    ``strict`` leaves out versions observed at the very instant. Both tables are one timeline: a request takes
+    the last version before it in (key, time) order, so nothing is joined and a key costs what it
+    has. Among versions of one instant the first by ``ties`` counts. Columns of both tables come back.
     """
-    joined = requests.join(versions, key).where(F.col(observed) <= F.col(at))
-    order = Window.partitionBy("request_id").orderBy(F.col(observed).desc(), *ties)
-    return joined.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    best = Window.partitionBy(key, observed).orderBy(*ties)
+    version = F.struct(*(F.col(c) for c in versions.columns if c != key))
+    one = versions.withColumn("_nth", F.row_number().over(best)).where("_nth = 1").select(F.col(key).alias("_key"), F.col(observed).alias("_at"), version.alias("_version"))
+    request = F.struct(*(F.col(c) for c in requests.columns if c != key))
+    asked = requests.select(F.col(key).alias("_key"), F.col(at).alias("_at"), request.alias("_request"))
+    line = one.withColumn("_request", F.lit(None)).withColumn("_kind", F.lit(1)).unionByName(asked.withColumn("_version", F.lit(None)).withColumn("_kind", F.lit(0 if strict else 2)))
+    before = Window.partitionBy("_key").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = line.withColumn("_version", F.last("_version", ignorenulls=True).over(before)).where("_kind <> 1 AND _version IS NOT NULL")
+    return found.select(F.col("_key").alias(key), "_request.*", "_version.*")
 
 
 def in_caller_order(df: DataFrame, wanted: DataFrame, id_col: str, position: str = "position") -> DataFrame:

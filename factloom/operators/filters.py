@@ -35,13 +35,15 @@ def validity(starts: Column, ends: Column, day: date | Column, bucket: str) -> C
 
 
 # Signs that a page asks to prove access.
-CHALLENGES = ("cf-challenge", "captcha", "access denied", "verify you are human", "are you a robot", "request blocked", "bot protection", "incapsula")
+CHALLENGES = (
+    "captcha", "g-recaptcha", "hcaptcha", "cf-chl-", "cloudflare turnstile", "verify you are human", "insan oldugunuzu dogrulayin", "insan olduğunuzu doğrulayın",
+)
 
 
 def access_challenge(html: Column) -> Column:
-    """Whether the first million characters look like an access challenge or a password form."""
-    head = F.lower(F.substring(html, 1, 1_000_000))
-    out = head.rlike(r"<input[^>]+type\s*=\s*[\"']?password")
+    """Whether the first million characters of a page have one of the signs of an access challenge, A-Z in either case; null: no."""
+    head = F.translate(F.substring(html, 1, 1_000_000), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = F.lit(False)
     for mark in CHALLENGES:
         out = out | head.contains(mark)
     return F.coalesce(out, F.lit(False))

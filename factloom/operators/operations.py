@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 MINUTE, HOUR = 60, 3600
@@ -27,18 +29,33 @@ def job_state(events: DataFrame, job: str, at: str, order: list[Column], max_att
     return counted.select(job, status.alias("status"), F.col("attempts").cast("bigint").alias("attempts"))
 
 
-def capped_sessions(events: DataFrame, key: str, seconds: Column, ties: list[Column], idle: int = 30 * MINUTE, cap: int = 8 * HOUR) -> DataFrame:
-    """Adds ``session``: it ends after ``idle`` seconds without an event, or ``cap`` seconds after it began.
+def capped_sessions(events: DataFrame, key: str, seconds: Column, ties: list[Column], idle: int = 30 * MINUTE, cap: int = 8 * HOUR, touch: int = MINUTE) -> DataFrame:
+    """Adds ``session`` (from 1). An event goes on with the session while it comes before the idle deadline
+    and before ``cap`` seconds after the session's first event; otherwise it begins a new one.
 
-    The idle rule is a gap, so it splits by a window; the cap depends on where the session began,
-    so each idle session is cut into pieces of ``cap`` seconds from its first event on.
+    The deadline is ``idle`` seconds after the last write; an event writes only if the last write is
+    ``touch`` seconds or more ago. Where a session begins depends on the one before, so a key's
+    events are read in order by one task, holding one session's state; a key's rows are never
+    gathered. Null keys are one key; events without a time come first and begin a session each.
     """
-    order = Window.partitionBy(key).orderBy("_s", *ties)
-    marked = events.withColumn("_s", seconds).withColumn("_start", F.coalesce((F.col("_s") - F.lag("_s").over(order) > idle).cast("int"), F.lit(1)))
-    idle_no = marked.withColumn("_idle", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min("_s").over(Window.partitionBy(key, "_idle"))
-    pieces = idle_no.withColumn("_piece", F.floor((F.col("_s") - first) / cap))
-    return pieces.withColumn("session", F.dense_rank().over(Window.partitionBy(key).orderBy("_idle", "_piece")).cast("bigint")).drop("_s", "_start", "_idle", "_piece")
+    ordered = events.withColumn("_s", seconds.cast("bigint")).repartition(F.col(key)).sortWithinPartitions(key, "_s", *ties)
+    schema = T.StructType([*ordered.schema.fields, T.StructField("session", T.LongType())])
+
+    def run(batches):
+        now, session, began, wrote = None, 0, None, None
+        for batch in batches:
+            keys, times, numbers = batch.column(batch.schema.get_field_index(key)).to_pylist(), batch.column(batch.schema.get_field_index("_s")).to_pylist(), []
+            for k, t in zip(keys, times, strict=True):
+                if session == 0 or k != now:
+                    now, session, began, wrote = k, 1, t, t
+                elif t is None or began is None or t >= wrote + idle or t >= began + cap:
+                    session, began, wrote = session + 1, t, t
+                elif t - wrote >= touch:
+                    wrote = t
+                numbers.append(session)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "session"])
+
+    return ordered.mapInArrow(run, schema).drop("_s")
 
 
 def lockout_seconds(failures: Column) -> Column:
@@ -95,9 +112,22 @@ def dangling_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("target")), "target", "left_anti")
 
 
-def files_digest(files: DataFrame) -> DataFrame:
-    """One digest of many files (path, sha256), whatever their order."""
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n"), 256).alias("digest"))
+#: Files of one leaf of a digest.
+LEAF = 4096
+
+
+def files_digest(files: DataFrame, group: list[str] | None = None, number: str = "number") -> DataFrame:
+    """One digest for each group of files (path, sha256, ``number``), whatever their order.
+
+    ``number`` places a file (its rank or id): LEAF numbers make a leaf, whose files are hashed in the
+    order of their paths, and the leaves' hashes are hashed in order. So one task holds one leaf, and
+    in the end one hash for each leaf.
+    """
+    group = group or []
+    line = F.concat_ws(":", "path", "sha256")
+    leaves = files.groupBy(*group, F.floor(F.col(number) / LEAF).alias("_leaf")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("_hash"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_leaf", "_hash"))), lambda x: x["_hash"])
+    return leaves.groupBy(*group).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"))
 
 
 def select_relevant(rows: DataFrame, tokens: Column, keywords: list[str], structured: bool, score: Column, observed: str, id_col: str, limit: int) -> DataFrame:

@@ -28,8 +28,19 @@ def first_of_each(df: DataFrame, key: list[str], order: list[Column]) -> DataFra
 
 
 def conflicts(stored: DataFrame, incoming: DataFrame, identity: list[str], content: str) -> DataFrame:
-    """Incoming rows whose identity is stored with other content: they have to fail, not overwrite."""
-    return incoming.join(stored.select(*identity, F.col(content).alias("_stored")), identity).where(~F.col(content).eqNullSafe(F.col("_stored")))
+    """Incoming rows that have to fail, not overwrite: their identity is stored with other content or, where it
+    isn't stored, comes with several contents (all but the smallest are listed)."""
+    known = stored.select(*identity, F.col(content).alias("_stored"), F.lit(True).alias("_has"))
+    least = incoming.groupBy(*identity).agg(F.min(content).alias("_least"))
+    agreed = least.join(known, identity, "left").select(*identity, F.when(F.col("_has"), F.col("_stored")).otherwise(F.col("_least")).alias("_agreed"))
+    return incoming.join(agreed, identity).where(~F.col(content).eqNullSafe(F.col("_agreed"))).drop("_agreed")
+
+
+def hash_conflicts(stored: DataFrame, incoming: DataFrame, identity: list[str], content: str) -> DataFrame:
+    """Incoming rows whose content hash stands under another identity, stored or incoming: a copy under a second name."""
+    known = stored.select(content, F.struct(*identity).alias("_id")).unionByName(incoming.select(content, F.struct(*identity).alias("_id"))).where(F.col(content).isNotNull())
+    several = known.groupBy(content).agg(F.min("_id").alias("_a"), F.max("_id").alias("_z")).where("_a <> _z")
+    return incoming.join(several.select(content), content, "left_semi")
 
 
 def new_rows(stored: DataFrame, incoming: DataFrame, identity: list[str]) -> DataFrame:
@@ -38,12 +49,26 @@ def new_rows(stored: DataFrame, incoming: DataFrame, identity: list[str]) -> Dat
 
 
 def newer_dimension(stored: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
-    """Per key the row of the higher version; equal versions keep the stored row."""
+    """Per key the row of the higher version; equal versions keep the stored row.
+
+    What may not be stored is said by stale_dimension(); callers that have to fail ask it first.
+    """
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     order = Window.partitionBy(key).orderBy(F.desc(version), F.asc("_new"))
     return both.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_new")
 
 
+def stale_dimension(stored: DataFrame, incoming: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:
+    """(key, problem) of incoming rows that may not be stored: version_older, or version_differs where the
+    version is stored, or comes twice, with other ``columns``."""
+    content = F.to_json(F.struct(*columns))
+    known = stored.select(key, F.col(version).alias("_stored"), content.alias("_content"))
+    old = incoming.select(key, version, content.alias("_own")).join(known, key)
+    found = old.select(key, F.when(F.col(version) < F.col("_stored"), "version_older").when((F.col(version) == F.col("_stored")) & (F.col("_own") != F.col("_content")), "version_differs").alias("problem"))
+    twice = incoming.groupBy(key, version).agg(F.count_distinct(content).alias("_n")).where("_n > 1").select(key, F.lit("version_differs").alias("problem"))
+    return found.where(F.col("problem").isNotNull()).unionByName(twice).distinct()
+
+
 def seen_frontier(df: DataFrame, key: str, observed: str, label: str, id_col: str) -> DataFrame:
     """Per target the first and last time seen and the label of the last sighting."""
     return df.groupBy(key).agg(

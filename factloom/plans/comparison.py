@@ -165,7 +165,7 @@ ENTRIES = {
     ),
     "compare_rates": (
         compare_rates,
-        f"""WITH m AS (SELECT o_custkey AS request, o_orderkey AS record FROM orders WHERE o_totalprice > 350000), n AS (SELECT request, count(*) AS n FROM m GROUP BY 1),
+        f"""WITH m AS (SELECT o_custkey AS request, o_orderkey AS record FROM orders), n AS (SELECT request, count(*) AS n FROM m GROUP BY 1),
         f AS (SELECT request, record, l_returnflag AS k, l_linestatus AS p, l_quantity AS v FROM lineitem JOIN m ON l_orderkey = record),
         c1 AS (SELECT request, k FROM f JOIN n USING (request) GROUP BY ALL HAVING count(DISTINCT record) = any_value(n)),
         c2 AS (SELECT request, k, p FROM f JOIN n USING (request) GROUP BY ALL HAVING count(DISTINCT record) = any_value(n)),

@@ -47,6 +47,13 @@ def newer_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioning.newer_dimension(old, new, "k", "version").select("k", "version", "o_totalprice")
 
 
+def stale_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer as a dimension: each status' first order against the customer's last order of status O."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 1000).alias("version"), "o_orderstatus", "o_totalprice", "o_orderkey")
+    old = versioning.first_of_each(orders.where("o_orderstatus = 'O'"), ["k"], [F.desc("o_orderkey")])
+    return versioning.stale_dimension(old, orders.where("o_orderstatus <> 'O'"), "k", "version", ["o_orderstatus", "o_totalprice"])
+
+
 def seen_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = versioning.seen_frontier(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id")
     day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
@@ -117,6 +124,13 @@ ENTRIES = {
         newer_dimension,
         """SELECT o_custkey || '-' || o_orderstatus AS k, max(o_orderkey) AS version, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1""",
     ),
+    "stale_dimension": (
+        stale_dimension,
+        """WITH o AS (SELECT o_custkey AS k, o_orderkey % 1000 AS version, o_orderstatus AS s, o_totalprice AS p, o_orderkey AS id FROM orders),
+        old AS (SELECT k, arg_max(version, id) AS v, arg_max(s, id) AS s, arg_max(p, id) AS p FROM o WHERE s = 'O' GROUP BY k), n AS (SELECT * FROM o WHERE s <> 'O')
+        SELECT k, 'version_older' AS problem FROM n JOIN old USING (k) WHERE n.version < old.v UNION SELECT k, 'version_differs' FROM n JOIN old USING (k) WHERE n.version = old.v AND (n.s, n.p) <> (old.s, old.p)
+        UNION SELECT k, 'version_differs' FROM n GROUP BY k, version HAVING count(DISTINCT (s, p)) > 1""",
+    ),
     "seen_frontier": (
         seen_frontier,
         """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,

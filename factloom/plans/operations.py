@@ -20,9 +20,9 @@ def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_idle_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions that end after 3 idle hours, or 8 hours after they began."""
+    """Sessions that end after 3 idle hours, or 8 hours after they began; each event counts as seen."""
     seconds = F.expr("unix_seconds(CAST(ts AS TIMESTAMP))")
-    marked = ops.capped_sessions(table(spark, sf_dir, "events"), "user_id", seconds, [F.asc("event_id")], 3 * ops.HOUR, 8 * ops.HOUR)
+    marked = ops.capped_sessions(table(spark, sf_dir, "events"), "user_id", seconds, [F.asc("event_id")], 3 * ops.HOUR, 8 * ops.HOUR, 0)
     return marked.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
@@ -68,8 +68,8 @@ def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest for each source's documents."""
-    files = table(spark, sf_dir, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.sha2("text", 256).alias("sha256"))
-    return files.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "sha256"))), "\n"), 256).alias("digest"))
+    files = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("number"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.sha2("text", 256).alias("sha256"))
+    return ops.files_digest(files, ["source"])
 
 
 def select_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,12 +93,13 @@ ENTRIES = {
     ),
     "session_idle_cap": (
         session_idle_cap,
-        """WITH e AS (SELECT *, epoch_us(ts) // 1000000 AS s FROM events),
-        a AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) <= 10800 THEN 0 ELSE 1 END AS st FROM e),
+        """WITH RECURSIVE e AS (SELECT *, epoch_us(ts) // 1000000 AS s FROM events),
+        a AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) < 10800 THEN 0 ELSE 1 END AS st FROM e),
         b AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS idle FROM a),
-        c AS (SELECT *, (s - min(s) OVER (PARTITION BY user_id, idle)) // 28800 AS piece FROM b),
-        d AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY idle, piece) AS session FROM c)
-        SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM d GROUP BY ALL""",
+        starts AS (SELECT user_id, idle, min(s) AS s FROM b GROUP BY ALL
+            UNION ALL SELECT n.user_id, n.idle, min(b.s) FROM starts n JOIN b ON b.user_id = n.user_id AND b.idle = n.idle AND b.s >= n.s + 28800 GROUP BY n.user_id, n.idle),
+        m AS (SELECT b.user_id, b.event_id, max(n.s) AS began FROM b JOIN starts n ON n.user_id = b.user_id AND n.idle = b.idle AND n.s <= b.s GROUP BY ALL)
+        SELECT user_id, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY began) AS BIGINT) AS session, count(*) AS n, min(event_id) AS first_event FROM m GROUP BY user_id, began""",
     ),
     "lockouts": (
         lockouts,
@@ -132,7 +133,8 @@ ENTRIES = {
     "dangling_links": (dangling_links, "SELECT event_id AS source, user_id AS target FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "files_digest": (
         files_digest,
-        "SELECT source, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
+        """WITH l AS (SELECT source, doc_id // 4096 AS leaf, sha256(string_agg(lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY ALL)
+        SELECT source, sha256(string_agg(h, chr(10) ORDER BY leaf)) AS digest FROM l GROUP BY source""",
     ),
     "select_relevant": (
         select_relevant,

@@ -38,8 +38,7 @@ def version_at_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     requests = orders.select(F.col("o_orderkey").alias("request_id"), "o_custkey", F.col("o_orderdate").alias("at"))
     versions = orders.select("o_custkey", "o_orderkey", "o_orderdate")
-    # An earlier version: strictly before the request, expressed by a request a microsecond earlier.
-    found = asof.versions_as_of(requests.withColumn("at", F.col("at") - F.expr("INTERVAL '0.000001' SECOND")), versions, "o_custkey", "at", "o_orderdate", _ties())
+    found = asof.versions_as_of(requests, versions, "o_custkey", "at", "o_orderdate", _ties(), strict=True)
     return found.select("request_id", F.col("o_orderkey").alias("version_id"))
 
 
@@ -256,8 +255,10 @@ ENTRIES = {
     ),
     "known_url_exclusion": (
         known_url_exclusion,
-        """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS key FROM pages)
-        SELECT page_id, key FROM p WHERE page_id % 2 = 1 AND key NOT IN (SELECT key FROM p WHERE page_id % 2 = 0 AND key IS NOT NULL)""",
+        r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS key FROM pages),
+        l AS (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host, unnest(regexp_extract_all(html, '<a\b[^>]*?\bhref\s*=\s*["'']([^"''\\]+)["'']', 1, 'i')) AS l FROM pages),
+        k AS (SELECT regexp_replace(regexp_replace(CASE WHEN starts_with(l, '/') AND NOT starts_with(l, '//') THEN 'https://' || host || l ELSE l END, '[?#].*$', ''), '/+$', '') AS key FROM l)
+        SELECT page_id, key FROM p WHERE key IS NULL OR key NOT IN (SELECT key FROM k WHERE key IS NOT NULL)""",
     ),
     "union_first_source": (
         union_first_source,

@@ -145,7 +145,7 @@ def robots_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def challenge_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.col("html"), F.when(F.col("page_id") % 9 == 0, F.lit("<p>Verify you are human</p>")).otherwise(F.lit("")))
+    page = F.concat(F.col("html"), F.when(F.col("page_id") % 9 == 0, F.lit("<p>Verify you are human</p>")).when(F.col("page_id") % 9 == 1, F.lit("<p>insan olduğunuzu doğrulayın</p>")).when(F.col("page_id") % 9 == 2, F.lit("<script src=/cf-chl-1.js>")).otherwise(F.lit("")))
     return table(spark, sf_dir, "pages").select("page_id", filters.access_challenge(page).alias("challenge"))
 
 
@@ -276,8 +276,8 @@ ENTRIES = {
     ),
     "span_hash_verify": (
         span_hash_verify,
-        """WITH s AS (SELECT doc_id, text, substr(text, CAST(doc_id % 17 + 1 AS BIGINT), 30) AS q FROM documents WHERE n_chars > 60)
-        SELECT doc_id, (doc_id % 3 <> 0 OR upper(q) = q) AND CASE WHEN doc_id % 5 = 0 THEN sha256(text) ELSE sha256(q) END = sha256(CASE WHEN doc_id % 3 = 0 THEN upper(q) ELSE q END) AS holds FROM s""",
+        """WITH s AS (SELECT doc_id, text, substr(text, CAST(doc_id % 17 + 1 AS BIGINT), 30) AS q FROM documents)
+        SELECT doc_id, coalesce(len(q) = 30 AND (doc_id % 3 <> 0 OR upper(q) = q) AND CASE WHEN doc_id % 5 = 0 THEN sha256(text) ELSE sha256(q) END = sha256(CASE WHEN doc_id % 3 = 0 THEN upper(q) ELSE q END), false) AS holds FROM s""",
     ),
     "evidence_reasons": (
         evidence_reasons,
@@ -320,7 +320,7 @@ ENTRIES = {
     ),
     "challenge_screen": (
         challenge_screen,
-        r"""SELECT page_id, page_id % 9 = 0 OR regexp_matches(lower(html), 'cf-challenge|captcha|access denied|verify you are human|are you a robot|request blocked|bot protection|incapsula|<input[^>]+type\s*=\s*["'']?password') AS challenge FROM pages""",
+        r"""SELECT page_id, page_id % 9 < 3 OR regexp_matches(translate(substr(html, 1, 1000000), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'captcha|cf-chl-|cloudflare turnstile|verify you are human|insan oldugunuzu dogrulayin|insan olduğunuzu doğrulayın') AS challenge FROM pages""",
     ),
     "injection_screen": (
         injection_screen,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.versioning import conflicts, new_rows
+from ..operators.versioning import conflicts, hash_conflicts, new_rows, newer_dimension, stale_dimension
 
 
 class ConflictError(RuntimeError):
@@ -19,12 +19,15 @@ def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path) if exists else like.limit(0)
 
 
-def append_once(incoming: DataFrame, path: str, identity: list[str], content: str) -> int:
+def append_once(incoming: DataFrame, path: str, identity: list[str], content: str, unique_content: bool = False) -> int:
     """Append rows whose identity is new; the same identity with the same content is a no-op, with
-    other content an error. Returns the number of rows written."""
+    other content, stored or in the same batch, an error; with ``unique_content`` so is the same
+    content under another identity. Returns the number of rows written."""
     known = stored(incoming.sparkSession, path, incoming)
     if not conflicts(known, incoming, identity, content).limit(1).isEmpty():
         raise ConflictError(f"{path}: stored {', '.join(identity)} has other content")
+    if unique_content and not hash_conflicts(known, incoming, identity, content).limit(1).isEmpty():
+        raise ConflictError(f"{path}: {content} is stored under another identity")
     fresh = new_rows(known, incoming, identity).persist()
     n = fresh.count()
     if n:
@@ -33,6 +36,22 @@ def append_once(incoming: DataFrame, path: str, identity: list[str], content: st
     return n
 
 
+def upsert_dimension(incoming: DataFrame, path: str, key: str, version: str) -> None:
+    """Advance a versioned dimension kept as numbered states under ``path``: newer versions replace, equal ones
+    must be identical, older ones are an error. The new state is written beside the old one."""
+    spark = incoming.sparkSession
+    states = stored(spark, f"{path}/states", spark.createDataFrame([], "state int, at string"))
+    last = states.orderBy(F.desc("state")).limit(1).collect()
+    now = spark.read.schema(incoming.schema).parquet(last[0].at) if last else incoming.limit(0)
+    columns = [c for c in incoming.columns if c not in (key, version)]
+    bad = stale_dimension(now, incoming, key, version, columns).limit(1).collect()
+    if bad:
+        raise ConflictError(f"{path}: {bad[0][key]} {bad[0].problem}")
+    number = last[0].state + 1 if last else 1
+    newer_dimension(now, incoming.dropDuplicates([key, version]), key, version).write.mode("overwrite").parquet(f"{path}/state-{number}")
+    spark.createDataFrame([(number, f"{path}/state-{number}")], "state int, at string").write.mode("append").parquet(f"{path}/states")
+
+
 def write_bundle(tables: dict[str, DataFrame], root: str, batch_id: int) -> None:
     """Write all tables of a batch, then its commit mark: readers see whole batches only.
 

@@ -1,7 +1,9 @@
 """Plans, streams, sinks and strict readers."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,7 +55,48 @@ def test_append_once(spark, tmp_path):
     assert tables.append_once(make(("a", "1"), ("c", "3")), path, ["id"], "hash") == 1
     with pytest.raises(tables.ConflictError):
         tables.append_once(make(("a", "9")), path, ["id"], "hash")
-    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(tables.ConflictError):  # two contents in one batch
+        tables.append_once(make(("d", "4"), ("d", "5")), path, ["id"], "hash")
+    assert tables.append_once(make(("d", "4"), ("d", "4")), path, ["id"], "hash", unique_content=True) == 1
+    for twice in (make(("e", "4")), make(("e", "7"), ("f", "7"))):
+        with pytest.raises(tables.ConflictError):
+            tables.append_once(twice, path, ["id"], "hash", unique_content=True)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_dimension_advances_only(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(rows, "k string, version int, name string")
+    path = str(tmp_path / "d")
+    tables.upsert_dimension(make(("a", 1, "x"), ("b", 2, "y")), path, "k", "version")
+    tables.upsert_dimension(make(("a", 2, "z"), ("b", 2, "y"), ("c", 1, "n")), path, "k", "version")
+    now = spark.read.parquet(f"{path}/state-2").collect()
+    assert sorted(map(tuple, now)) == [("a", 2, "z"), ("b", 2, "y"), ("c", 1, "n")]
+    for bad in (("a", 1, "x"), ("b", 2, "other")):
+        with pytest.raises(tables.ConflictError):
+            tables.upsert_dimension(make(bad), path, "k", "version")
+    with pytest.raises(tables.ConflictError):
+        tables.upsert_dimension(make(("d", 1, "x"), ("d", 1, "y")), path, "k", "version")
+
+
+def test_sessions_by_hand(spark):
+    """Idle and absolute ends in order, also where the cap falls inside steady activity; touches within a minute don't write."""
+    from factloom.operators.operations import capped_sessions
+
+    steady = [*range(0, 28_441, 60), *range(29_880, 58_381, 60)]
+    rng = random.Random(2)
+    rows = [("a", t) for t in steady] + [("b", int(t)) for t in np.cumsum([rng.choice([5, 59, 60, 61, 900, 1799, 1800, 1801, 9000]) for _ in range(400)])]
+    df = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "k string, i int, t bigint")
+    expected, state = {}, {}
+    for i, (k, t) in enumerate(rows):
+        n, began, wrote = state.get(k, (0, None, None))
+        if n == 0 or t >= wrote + 1800 or t >= began + 28_800:
+            n, began, wrote = n + 1, t, t
+        elif t - wrote >= 60:
+            wrote = t
+        state[k] = (n, began, wrote)
+        expected[i] = n
+    got = {r.i: r.session for r in capped_sessions(df, "k", F.col("t"), [F.asc("i")]).collect()}
+    assert got == expected and max(expected[i] for i, (k, _) in enumerate(rows) if k == "a") == 2
 
 
 def test_bundles_show_only_when_committed(spark, tmp_path):
