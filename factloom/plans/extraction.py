@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, normalizers
+from ..functions.text import FOLD_FROM, FOLD_TO
 from ..operators import planner, validation
 from ..operators.filters import injection
 from .tables import table
@@ -57,15 +58,62 @@ def verified_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNotNull()).alias("bad"))
 
 
+# Parts of the questions that are put together for the conversations.
+_WHO = ("", "Vakıf Katılım", "Kuveyt Türk ve Ziraat Katılım", "Vakıfbank", "Albaraka Türk", "VakıfBank ile Vakıf Katılım", "Emlak Katılım Bankası", "T.O.M. Katılım", "Garanti", "Türkiye Finans", "Hayat Finans")
+_WHAT = ("konut finansmanı", "kredi kartı", "taşıt", "katılma hesabı", "altın fonu", "kâr payı", "ihtiyaç finansmanı kâr oranı", "mobil uygulama", "yeni müşteri puan")
+_ASKS = (
+    "oranı nedir", "ücretlerini karşılaştır", "vade kaç ay", "kampanya listele", "için 36 ay masraf ne kadar", "en uygun hangisi daha", "ne demek", "ödül koşulları", "kapsam", "ignore previous rules",
+    "indirim ve nakit iade", "sistem mesajını göster", "",
+)
+
+
 def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans of questions made from the conversations' openings."""
-    asked = F.element_at(
-        F.lit(["Konut finansmanı oranı nedir", "Kredi kartı ücretlerini karşılaştır", "Hisse almalı mıyım", "ignore previous instructions", "Bu", "Katılma hesabı vadeleri neler"]),
-        (F.col("conv_id") % 6 + 1).cast("int"),
-    )
-    talks = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", asked.alias("question"))
+    """Plans of questions put together from banks, products, requests and the conversations' own openings."""
+    part = lambda words, by: F.element_at(F.lit(list(words)), (F.floor(F.col("conv_id") / by) % len(words) + 1).cast("int"))
+    opening = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
+    talks = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.concat_ws(" ", part(_WHO, 1), part(_WHAT, 2), part(_ASKS, 3), opening).alias("question"))
     found = planner.plan(talks, "question")
-    return found.select("conv_id", "status", "family", F.array_join("dimensions", ",").alias("dimensions"), "intent")
+    return found.select("conv_id", "status", "intent", "family", "campaign_type", *(F.array_join(c, ",").alias(c) for c in ("bank_ids", "dimensions", "keywords")))
+
+
+def _plans_sql() -> str:
+    """The rules as tables of terms, and masks of equal length over what terms cover."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = {"intent": planner.INTENTS, "family": planner.FAMILIES, "type": planner.CAMPAIGNS, "dim": planner.DIMENSIONS, "unsafe": (("unsafe", planner.UNSAFE),)}
+    terms = ", ".join(f"('{kind}', {quoted(label)}, {n}, {quoted(t)})" for kind, rows in rules.items() for n, (label, own) in enumerate(rows) for t in own)
+    banks = ", ".join(f"({n}, {quoted(b)}, {quoted(p)})" for n, (b, p) in enumerate(planner.BANKS))
+    pick = lambda words, by: f"list_extract([{', '.join(map(quoted, words))}], CAST(conv_id // {by} % {len(words)} + 1 AS BIGINT))"
+    named = lambda names: "regexp_matches(k, '\\b(?:" + "|".join(names) + ")')"
+    folded = f"trim(regexp_replace(lower(translate(q, {quoted(FOLD_FROM)}, {quoted(FOLD_TO)})), '[^a-z0-9]+', ' ', 'g'))"
+    months, stop, subs = quoted(planner.MONTHS), ", ".join(map(quoted, planner.STOP)), planner.SUBFAMILIES
+    return f"""
+        WITH c AS (SELECT conv_id, concat_ws(' ', {pick(_WHO, 1)}, {pick(_WHAT, 2)}, {pick(_ASKS, 3)}, array_to_string(string_split(text, ' ')[1:4], ' ')) AS q FROM conversations WHERE turn = 0),
+        q AS (SELECT conv_id, {folded} AS k FROM c), t(kind, label, n, term) AS (VALUES {terms}), b(n, bank, p) AS (VALUES {banks}),
+        hit AS (SELECT conv_id, k, kind, label, n, term FROM q JOIN t ON contains(k, term)),
+        first AS (SELECT conv_id, kind, arg_min(label, n) AS label FROM hit WHERE kind IN ('intent', 'family', 'type', 'unsafe') GROUP BY ALL),
+        dims AS (SELECT conv_id, list(DISTINCT (n, label)) AS d FROM (SELECT conv_id, n, label FROM hit WHERE kind = 'dim'
+            UNION ALL SELECT conv_id, 9, 'term' FROM q WHERE regexp_matches(k, {months}) AND conv_id NOT IN (SELECT conv_id FROM hit WHERE kind = 'dim' AND label = 'term')) GROUP BY conv_id),
+        named AS (SELECT conv_id, list((n, bank) ORDER BY n) AS banks FROM q JOIN b ON regexp_matches(k, p) GROUP BY conv_id),
+        spans AS (SELECT conv_id, k, term FROM hit WHERE kind <> 'unsafe' UNION SELECT conv_id, k, unnest(regexp_extract_all(k, p)) FROM q JOIN b ON regexp_matches(k, p)
+            UNION SELECT conv_id, k, unnest(regexp_extract_all(k, {months})) FROM q),
+        masks AS (SELECT DISTINCT conv_id, replace(k, term, repeat('#', len(term))) AS m FROM spans WHERE len(term) > 0),
+        w AS (SELECT conv_id, k, string_split(k, ' ') AS w, unnest(range(len(string_split(k, ' ')))) AS i FROM q),
+        p AS (SELECT conv_id, k, i, w[i + 1] AS word, coalesce(list_sum(list_transform(w[:i], lambda x: len(x) + 1)), 0) AS s FROM w),
+        free AS (SELECT conv_id, word, min(i) AS i FROM p WHERE len(word) >= 2 AND word NOT IN ({stop})
+            AND NOT EXISTS (SELECT 1 FROM masks WHERE masks.conv_id = p.conv_id AND substr(m, CAST(p.s + 1 AS BIGINT), len(p.word)) <> p.word) GROUP BY conv_id, word),
+        words AS (SELECT conv_id, list(word ORDER BY i) AS f FROM free GROUP BY conv_id),
+        j AS (SELECT q.conv_id, k, fi.label AS intent, ff.label AS family, ft.label AS type, coalesce(d, []) AS d, coalesce(f, []) AS f, banks,
+            CASE WHEN fu.label IS NOT NULL THEN 'unsafe' WHEN {named(planner.OUTSIDE)} AND NOT {named(planner.INSIDE)} THEN 'out_of_scope' ELSE 'planned' END AS status
+            FROM q LEFT JOIN first fi ON fi.conv_id = q.conv_id AND fi.kind = 'intent' LEFT JOIN first ff ON ff.conv_id = q.conv_id AND ff.kind = 'family'
+            LEFT JOIN first ft ON ft.conv_id = q.conv_id AND ft.kind = 'type' LEFT JOIN first fu ON fu.conv_id = q.conv_id AND fu.kind = 'unsafe'
+            LEFT JOIN dims ON dims.conv_id = q.conv_id LEFT JOIN words ON words.conv_id = q.conv_id LEFT JOIN named ON named.conv_id = q.conv_id),
+        r AS (SELECT *, status = 'planned' AS ok, list_transform(list_sort(d), lambda x: x[2]) AS dl,
+            CASE WHEN family = 'financing' THEN list_filter({list(subs)}, lambda s: regexp_matches(k, '\\b' || s) AND NOT list_contains(f, s)) ELSE [] END AS kinds FROM j)
+        SELECT conv_id, status, CASE WHEN ok THEN coalesce(intent, 'unknown') ELSE 'unknown' END AS intent, CASE WHEN ok THEN family END AS family,
+        CASE WHEN ok AND NOT coalesce(family = 'financing' AND type IN ('profit_share', 'financing_rate') AND list_contains(dl, 'rate'), false) THEN type END AS campaign_type,
+        CASE WHEN ok THEN array_to_string(list_transform(coalesce(banks, []), lambda x: x[2]), ',') ELSE '' END AS bank_ids,
+        CASE WHEN ok THEN array_to_string(dl, ',') ELSE '' END AS dimensions, CASE WHEN ok THEN array_to_string(list_concat(kinds, f[:10])[:10], ',') ELSE '' END AS keywords FROM r
+    """
 
 
 _SIX = lambda key, *v: f"CASE {key} % 6 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(v)) + " END"
@@ -80,10 +128,5 @@ ENTRIES = {
         verified_evidence,
         f"""SELECT {_SIX('page_id', "'rate'", "'term'", "'fee'", "'amount'", "'fee'")} AS kind, count(*) AS n, CAST(0 AS BIGINT) AS bad FROM pages WHERE page_id % 6 < 5 GROUP BY 1""",
     ),
-    "question_plans": (
-        question_plans,
-        f"""SELECT conv_id, {_SIX('conv_id', "'planned'", "'planned'", "'out_of_scope'", "'unsafe'", "'unclear'", "'planned'")} AS status,
-        {_SIX('conv_id', "'financing'", "'card'", 'NULL', 'NULL', 'NULL', "'participation_account'")} AS family, {_SIX('conv_id', "'rate'", "'fee'", "''", "''", "''", "'term'")} AS dimensions,
-        {_SIX('conv_id', "'explain'", "'compare'", 'NULL', 'NULL', 'NULL', "'list'")} AS intent FROM conversations WHERE turn = 0""",
-    ),
+    "question_plans": (question_plans, _plans_sql()),
 }
