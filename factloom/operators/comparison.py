@@ -57,17 +57,19 @@ def gate(records: DataFrame, as_of: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Dimension:
-    """What a dimension's facts mean: the reasons of its mismatch levels (coarse first), and of several signatures or values."""
+    """What a dimension's facts mean: the reasons of its mismatch levels (coarse first), and of several
+    signatures or values. With ``single``, two facts of the signature in one record are too many even if equal."""
 
     name: str
     levels: tuple[str, ...]
     many: str
     many_values: str
+    single: bool = False
 
 
 RATE = Dimension("rate", ("rate_kind_mismatch", "rate_period_mismatch", "rate_basis_mismatch"), "multiple_rate_signatures", "multiple_rate_values_for_signature")
-FEE = Dimension("fee", ("fee_kind_mismatch", "fee_basis_mismatch", "fee_value_type_mismatch", "fee_currency_mismatch"), "multiple_fee_signatures", "multiple_fee_signatures")
-REWARD = Dimension("reward", ("reward_kind_mismatch", "reward_basis_mismatch", "reward_program_mismatch", "reward_context_mismatch"), "multiple_reward_signatures", "multiple_reward_signatures")
+FEE = Dimension("fee", ("fee_kind_mismatch", "fee_basis_mismatch", "fee_value_type_mismatch", "fee_currency_mismatch"), "multiple_fee_signatures", "multiple_fee_signatures", True)
+REWARD = Dimension("reward", ("reward_kind_mismatch", "reward_basis_mismatch", "reward_program_mismatch", "reward_context_mismatch"), "multiple_reward_signatures", "multiple_reward_signatures", True)
 TERM = Dimension("term", (), "term_ambiguous", "term_ambiguous")
 
 
@@ -76,28 +78,43 @@ def _key(*parts: Column) -> Column:
     return F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts))
 
 
+#: Values are compared as decimals.
+NUMBER = "decimal(38,12)"
+
+
+def _rate(df: DataFrame, kind: str, status: str = "status") -> tuple[Column, Column]:
+    """(issue, basis part of the signature) of a rate; columns that ``df`` lacks count as not stated."""
+    own = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    kind, period, gross = F.col(kind), F.coalesce(own("period"), F.lit("unspecified")), F.coalesce(own("gross_net_basis"), F.lit("unspecified"))
+    no_window = own("reference_starts_on").isNull() | own("reference_ends_on").isNull()
+    issue = first_reason(
+        (own(status).isin(*OPEN), "rate_basis_unknown"), (kind == "unknown", "rate_kind_unknown"), (kind == "ltv_ratio", None), (period == "unspecified", "rate_period_unknown"),
+        (kind.isin(*NEEDS_TERM) & own("term_months").isNull(), "rate_term_context_unknown"),
+        (kind.isin(*NEEDS_BASIS) & (gross == "unspecified"), "rate_gross_net_basis_unknown"), ((kind == "historical_return_rate") & no_window, "rate_reference_window_unknown"),
+    )
+    return issue, _key(gross, own("reference_starts_on"), own("reference_ends_on"), own("term_months"), fold(F.coalesce(own("basis_label"), F.lit(""))))
+
+
+def _under(pair: Column, part: str) -> Column:
+    """The key of a pair's part; "" gives what all its parts begin with."""
+    return F.concat(pair, F.lit(f"\u0001{part}"))
+
+
 def rate_facts(rates: DataFrame) -> DataFrame:
     """Facts from (request, record, index, status, value_percent, kind, period, gross_net_basis,
     reference_starts_on, reference_ends_on, term_months, basis_label, evidence_ids)."""
     kind = F.col("kind")
-    no_window = F.col("reference_starts_on").isNull() | F.col("reference_ends_on").isNull()
-    issue = first_reason(
-        (F.col("status").isin(*OPEN), "rate_basis_unknown"), (kind == "unknown", "rate_kind_unknown"), (kind == "ltv_ratio", None), (F.col("period") == "unspecified", "rate_period_unknown"),
-        (kind.isin(*NEEDS_TERM) & F.col("term_months").isNull(), "rate_term_context_unknown"),
-        (kind.isin(*NEEDS_BASIS) & (F.col("gross_net_basis") == "unspecified"), "rate_gross_net_basis_unknown"),
-        ((kind == "historical_return_rate") & no_window, "rate_reference_window_unknown"),
-    )
-    basis = _key(F.col("gross_net_basis"), F.col("reference_starts_on"), F.col("reference_ends_on"), F.col("term_months"), fold(F.coalesce("basis_label", F.lit(""))))
+    issue, basis = _rate(rates, "kind")
     return rates.select(
         "request", "record", "index", issue.alias("issue"), F.array(_key(kind), _key(kind, F.col("period")), _key(kind, F.col("period"), basis)).alias("levels"),
-        F.col("value_percent").cast("double").alias("value"), F.lit(False).alias("waived"), kind.isin(*HIGHER_RATES).alias("higher"), F.lit("percent").alias("unit"), "evidence_ids",
+        F.col("value_percent").cast(NUMBER).alias("value"), F.lit(False).alias("waived"), kind.isin(*HIGHER_RATES).alias("higher"), F.lit("percent").alias("unit"), "evidence_ids",
     )
 
 
 def term_facts(terms: DataFrame) -> DataFrame:
     """One fact for each record from (request, record, index, status, maximum_months, evidence_ids): its longest term."""
     one = terms.groupBy("request", "record").agg(
-        F.max("maximum_months").cast("double").alias("value"), F.bool_or(F.col("status").isin(*OPEN)).alias("_open"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids")
+        F.max("maximum_months").cast(NUMBER).alias("value"), F.bool_or(F.col("status").isin(*OPEN)).alias("_open"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids")
     )
     return one.select(
         "request", "record", F.lit(0).alias("index"), F.when(F.col("_open"), "term_ambiguous").alias("issue"), F.array(F.lit("term")).alias("levels"), "value", F.lit(False).alias("waived"),
@@ -111,67 +128,79 @@ def fee_facts(fees: DataFrame) -> DataFrame:
     numeric = F.col("amount").isNotNull() != F.col("percent").isNotNull()
     by_rate = F.col("percent").isNotNull()
     issue = first_reason(
-        (F.col("status").isin(*OPEN), "fee_basis_unknown"), (F.col("kind") == "unknown", "fee_kind_unknown"), (F.col("basis") == "unknown", "fee_basis_unknown"), (F.col("waived"), None),
-        (~numeric, "fee_not_numeric"), (by_rate & (F.col("period") == "unspecified") & (F.col("basis") != "percent_of_amount"), "fee_rate_context_unknown"),
+        (F.col("status").isin(*OPEN), "fee_basis_unknown"), (F.col("kind") == "unknown", "fee_kind_unknown"), (F.col("basis").isin("unknown", "unspecified"), "fee_basis_unknown"), (F.col("waived"), None),
+        (~numeric, "fee_not_numeric"), (by_rate & (F.col("period").isNull() | (F.col("period") == "unspecified") | F.col("basis_label").isNull()), "fee_rate_context_unknown"),
     )
     kind = F.when(by_rate, "rate").otherwise("money")
     detail = F.when(by_rate, _key(F.col("period"), F.col("gross_net_basis"), fold(F.coalesce("basis_label", F.lit(""))))).otherwise(_key(F.col("currency")))
     pair = (_key(F.col("kind")), _key(F.col("kind"), F.col("basis")))
     return fees.select(
         "request", "record", "index", issue.alias("issue"), F.array(*pair, _key(F.col("kind"), F.col("basis"), kind), _key(F.col("kind"), F.col("basis"), kind, detail)).alias("levels"),
-        F.coalesce(F.col("amount").cast("double"), F.col("percent").cast("double")).alias("value"), "waived", F.lit(False).alias("higher"), F.when(by_rate, "percent").otherwise(F.col("currency")).alias("unit"),
+        F.coalesce(F.col("amount").cast(NUMBER), F.col("percent").cast(NUMBER)).alias("value"), "waived", F.lit(False).alias("higher"), F.when(by_rate, "percent").otherwise(F.col("currency")).alias("unit"),
         "evidence_ids",
     )
 
 
 def reward_facts(rewards: DataFrame) -> DataFrame:
     """Facts from (request, record, index, status, kind, basis, program_name, amount, currency,
-    points, percent, period, minimum_spend, maximum_money, maximum_points, evidence_ids)."""
-    stated = sum((F.col(c).isNotNull().cast("int") for c in ("amount", "points", "percent")), F.lit(0))
-    mode = F.when(F.col("amount").isNotNull(), F.col("currency")).when(F.col("points").isNotNull(), fold(F.coalesce("program_name", F.lit("")))).otherwise(F.col("period"))
+    points, percent, period, minimum_spend, maximum_money, maximum_points, evidence_ids).
+
+    A percentage may bring the context of its rate: rate_kind (default reward_rate), rate_status,
+    gross_net_basis, reference_starts_on, reference_ends_on, term_months, basis_label; limits of spending and
+    of money their currencies: minimum_spend_currency, maximum_money_currency.
+    """
+    own = lambda c: F.col(c) if c in rewards.columns else F.lit(None).cast("string")
+    rated = rewards.withColumn("_rate_kind", F.coalesce(own("rate_kind"), F.lit("reward_rate")))
+    rate_issue, rate_basis = _rate(rated, "_rate_kind", "rate_status")
+    kind, money, points, percent = F.col("kind"), F.col("amount").isNotNull(), F.col("points").isNotNull(), F.col("percent").isNotNull()
+    program = fold(F.coalesce("program_name", F.lit("")))
     issue = first_reason(
-        (F.col("status").isin(*OPEN) | (F.col("basis") == "unknown"), "reward_basis_unknown"), (F.col("points").isNotNull() & F.col("program_name").isNull(), "reward_program_unknown"),
-        (F.col("kind").isin("free", "other") | (stated != 1), "reward_not_numeric"), (F.col("percent").isNotNull() & (F.col("period") == "unspecified"), "reward_rate_context_unknown"),
+        (F.col("status").isin(*OPEN) | F.col("basis").isin("unknown", "unspecified"), "reward_basis_unknown"), ((kind == "points") & F.col("program_name").isNull(), "reward_program_unknown"),
+        (((kind == "money") & ~money) | ((kind == "points") & ~points) | ((kind == "discount") & ~money & ~percent), "reward_not_numeric"),
+        (percent & rate_issue.isNotNull(), "reward_rate_context_unknown"), (kind.isin("free", "free_service", "other"), "reward_not_numeric"),
+    )
+    mode = (
+        F.when(kind == "points", _key(F.lit("points"), program)).when(money, _key(F.lit("money"), F.col("currency")))
+        .otherwise(_key(F.lit("rate"), F.col("_rate_kind"), F.col("period"), rate_basis))
     )
-    head = (F.col("kind"), F.col("basis"))
-    return rewards.select(
-        "request", "record", "index", issue.alias("issue"),
-        F.array(_key(F.col("kind")), _key(*head), _key(*head, mode), _key(*head, mode, F.col("minimum_spend"), F.col("maximum_money"), F.col("maximum_points"))).alias("levels"),
-        F.coalesce(F.col("amount").cast("double"), F.col("points").cast("double"), F.col("percent").cast("double")).alias("value"), F.lit(False).alias("waived"), F.lit(True).alias("higher"),
-        F.when(F.col("amount").isNotNull(), F.col("currency")).when(F.col("points").isNotNull(), "points").otherwise("percent").alias("unit"), "evidence_ids",
+    limits = (F.col("minimum_spend"), own("minimum_spend_currency"), F.col("maximum_money"), own("maximum_money_currency"), F.col("maximum_points"))
+    return rated.select(
+        "request", "record", "index", issue.alias("issue"), F.array(_key(kind), _key(kind, F.col("basis")), _key(kind, program), _key(kind, F.col("basis"), mode, *limits)).alias("levels"),
+        F.coalesce(*(F.col(c).cast(NUMBER) for c in ("amount", "points", "percent"))).alias("value"), F.lit(False).alias("waived"), F.lit(True).alias("higher"),
+        F.when(money, F.col("currency")).when(points, "points").otherwise("percent").alias("unit"), "evidence_ids",
     )
 
 
 def compared(records: DataFrame, facts: DataFrame, dimension: Dimension, gates: DataFrame | None = None) -> DataFrame:
     """(request, record, dimension, comparable, rank, value, unit, reason_code, evidence_ids).
 
-    One row for every (request, record) of ``records``. ``facts``: request, record, index,
-    issue, levels (from the coarsest key to the full signature), value, waived, higher, unit,
-    evidence_ids. A waived fact meets every signature of its (kind, basis), which are the first
-    two levels, and precedes every price.
+    One row for every (request, record) of ``records``, whose ``position`` (default: the record) orders the
+    issues. ``facts``: request, record, index, issue, levels (from the coarsest key to the full signature),
+    value, waived, higher, unit, evidence_ids. A waived fact meets every signature of its (kind, basis),
+    which are the first two levels, and precedes every price; where nobody prices the pair, it
+    is a signature of its own.
     """
     name = dimension.name
-    members = records.select("request", "record").distinct()
+    position = F.min("position" if "position" in records.columns else "record").alias("_position")
+    members = records.groupBy("request", "record").agg(position)
     sizes = members.groupBy("request").agg(F.count("*").alias("_n"))
-    own = facts.join(sizes, "request")
-    # Keys that every record has, level by level; waivers count for all finer keys under their pair.
-    held = own.select("request", "record", "_n", "waived", F.posexplode("levels").alias("level", "key"), F.get("levels", F.lit(1)).alias("pair"))
-    waivers = held.where("waived").select("request", "record", "_n", "pair").distinct()
-    finer = held.where("NOT waived AND level > 1").select("request", "level", "key", "pair").distinct()
-    keys = (
-        held.where("NOT waived OR level <= 1").select("request", "record", "_n", "level", "key")
-        .unionByName(finer.join(waivers, ["request", "pair"]).select("request", "record", "_n", "level", "key")).distinct()
-    )
+    own = facts.join(sizes, "request").join(members, ["request", "record"])
+    # Keys that every record has, level by level. A waiver has its pair, both kinds of value, and the signatures
+    # that others price under the pair.
+    held = own.select("request", "record", "_n", "waived", F.posexplode("levels").alias("level", "key"), F.get("levels", F.lit(1)).alias("pair"), (F.size("levels") - 1).alias("top"))
+    waivers = held.where("waived").select("request", "record", "_n", "pair", "top").distinct()
+    priced = held.where("NOT waived AND level = top").select("request", "key", "pair").distinct()
+    under = waivers.join(priced, ["request", "pair"], "left").select("request", "record", "_n", F.col("top").alias("level"), F.coalesce("key", _under(F.col("pair"), "waived")).alias("key"))
+    values = waivers.select("request", "record", "_n", F.lit(2).alias("level"), F.explode(F.array(_under(F.col("pair"), "money"), _under(F.col("pair"), "rate"))).alias("key"))
+    keys = held.where("NOT waived OR level <= 1").select("request", "record", "_n", "level", "key").unionByName(under).unionByName(values).distinct()
     common = keys.groupBy("request", "level", "key").agg(F.count("*").alias("_have"), F.first("_n").alias("_n")).where("_have = _n")
     depth = own.groupBy("request").agg(F.max(F.size("levels")).alias("_depth"))
     per_level = common.groupBy("request", "level").agg(F.count("*").alias("_common"), F.min("key").alias("_key"))
     levels = per_level.groupBy("request").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("_common", "_key")))).alias("_levels"))
-    priced = own.where("NOT waived").groupBy("request").agg(F.lit(True).alias("_priced"))
-    first_issue = own.where("issue IS NOT NULL").groupBy("request").agg(F.min_by("issue", F.struct("record", "index")).alias("_issue"))
-    state = sizes.join(depth, "request", "left").join(levels, "request", "left").join(priced, "request", "left").join(first_issue, "request", "left")
+    first_issue = own.where("issue IS NOT NULL").groupBy("request").agg(F.min_by("issue", F.struct("_position", "record", "index")).alias("_issue"))
+    state = sizes.join(depth, "request", "left").join(levels, "request", "left").join(first_issue, "request", "left")
     at = lambda k: F.col("_levels")[k]
-    # Nobody prices: the pair is the signature. Else it is the last level.
-    last = F.when(F.col("_priced").isNull(), F.least(F.lit(1), F.col("_depth") - 1)).otherwise(F.col("_depth") - 1)
+    last = F.col("_depth") - 1
     state = state.withColumn("_last", last).withColumn("_common", F.coalesce(at(F.col("_last"))["_common"], F.lit(0))).withColumn("_key", at(F.col("_last"))["_key"])
     mismatch = F.lit(None).cast("string")
     for level in reversed(range(len(dimension.levels))):
@@ -179,10 +208,10 @@ def compared(records: DataFrame, facts: DataFrame, dimension: Dimension, gates:
     state = state.withColumn("_mismatch", F.when(F.col("_common") == 0, F.coalesce(mismatch, F.lit(dimension.levels[-1] if dimension.levels else dimension.many))))
     chosen = (
         own.join(state.select("request", "_last", "_key"), "request")
-        .where((F.get("levels", F.col("_last")) == F.col("_key")) | (F.col("waived") & F.startswith("_key", F.get("levels", F.lit(1)))))
+        .where((F.get("levels", F.col("_last")) == F.col("_key")) | (F.col("waived") & F.startswith("_key", _under(F.get("levels", F.lit(1)), ""))))
         .groupBy("request", "record")
         .agg(
-            F.count_distinct(F.struct("waived", F.coalesce("value", F.lit(0.0)))).alias("_values"), F.min("value").alias("value"), F.bool_and("waived").alias("waived"), F.first("higher").alias("higher"),
+            (F.count("*") if dimension.single else F.count_distinct(F.struct("waived", F.coalesce("value", F.lit(0).cast(NUMBER))))).alias("_values"), F.min("value").alias("value"), F.bool_and("waived").alias("waived"), F.first("higher").alias("higher"),
             F.first("unit").alias("unit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"),
         )
     )
@@ -202,11 +231,11 @@ def compared(records: DataFrame, facts: DataFrame, dimension: Dimension, gates:
         reason = F.coalesce(F.col("gate"), reason)
     rows = rows.withColumn("_reason", reason)
     lead = F.when(F.col("waived"), 0).otherwise(1)
-    price = F.when(F.col("waived"), 0.0).otherwise(F.when(F.col("higher"), -F.col("value")).otherwise(F.col("value")))
+    price = F.when(F.col("waived"), F.lit(0).cast(NUMBER)).otherwise(F.when(F.col("higher"), -F.col("value")).otherwise(F.col("value")))
     ok = F.col("_reason").isNull()
     rank = F.dense_rank().over(request.orderBy(lead, price))
     return rows.withColumn("_rank", rank).select(
-        "request", "record", F.lit(name).alias("dimension"), ok.alias("comparable"), F.when(ok, F.col("_rank").cast("bigint")).alias("rank"), F.when(ok & ~F.col("waived"), F.col("value")).alias("value"),
+        "request", "record", F.lit(name).alias("dimension"), ok.alias("comparable"), F.when(ok, F.col("_rank").cast("bigint")).alias("rank"), F.when(ok & ~F.col("waived"), F.col("value").cast("double")).alias("value"),
         F.when(ok, F.col("unit")).alias("unit"), F.coalesce("_reason", F.when(F.col("higher"), "ranked_higher_is_better").otherwise("ranked_lower_is_better")).alias("reason_code"),
         F.when(ok, F.col("evidence_ids")).alias("evidence_ids"),
     )

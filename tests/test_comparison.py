@@ -17,8 +17,8 @@ def rate(request, record, value, kind="financing_profit_rate", period="monthly",
     return (request, record, index, status, value, kind, period, "unspecified", None, None, term, label, list(evidence))
 
 
-def fee(request, record, amount=None, waived=False, kind="allocation", basis="one_time", currency="TRY", percent=None, evidence=("e",)):
-    return (request, record, 0, "stated", kind, basis, waived, amount, currency, percent, "monthly", "unspecified", None, list(evidence))
+def fee(request, record, amount=None, waived=False, kind="allocation", basis="one_time", currency="TRY", percent=None, evidence=("e",), label="kalan anapara", index=0):
+    return (request, record, index, "stated", kind, basis, waived, amount, currency, percent, "monthly", "unspecified", label, list(evidence))
 
 
 def outcomes(spark, members, rows, schema, build, dimension):
@@ -49,12 +49,16 @@ def test_fees(spark):
     rows = [
         fee(1, "a", 500.0), fee(1, "b", waived=True), fee(1, "c", 0.0), fee(2, "a", waived=True), fee(2, "b", waived=True), fee(3, "a", 5.0), fee(3, "b", 5.0, currency="USD"), fee(4, "a", 5.0), fee(4, "b", percent=2.0),
         fee(5, "a", 5.0), fee(5, "b", 5.0, kind="annual"), fee(6, "a", 5.0), fee(6, "b", waived=True, kind="annual"), fee(7, "a"), fee(7, "b", 1.0),
+        # A pair that nobody prices is a second signature; a waiver beside a price, or a fee stated twice, is one too many.
+        fee(8, "a", 5.0), fee(8, "a", waived=True, kind="annual", index=1), fee(8, "b", 6.0), fee(8, "b", waived=True, kind="annual", index=1), fee(9, "a", 5.0), fee(9, "a", waived=True, index=1), fee(9, "b", 5.0),
+        fee(10, "a", 5.0), fee(10, "a", 5.0, index=1), fee(10, "b", 5.0), fee(11, "a", 5.0, basis="one"), fee(11, "b", waived=True, basis="one_time"), fee(12, "a", percent=1.0, label=None), fee(12, "b", percent=1.0),
     ]
     got = outcomes(spark, sorted({(r[0], r[1]) for r in rows}), rows, FEE, c.fee_facts, c.FEE)
     assert [got[1, k][0] for k in "abc"] == [3, 1, 2] and got[1, "b"][2] is None
     assert {got[2, k][0] for k in "ab"} == {1}
     assert got[3, "a"][1] == "fee_currency_mismatch" and got[4, "a"][1] == "fee_value_type_mismatch" and got[5, "a"][1] == "fee_kind_mismatch" and got[6, "b"][1] == "fee_kind_mismatch"
     assert got[7, "a"][1] == got[7, "b"][1] == "fee_not_numeric"
+    assert got[8, "a"][1] == got[9, "b"][1] == got[10, "a"][1] == "multiple_fee_signatures" and got[11, "a"][1] == "fee_basis_mismatch" and got[12, "b"][1] == "fee_rate_context_unknown"
 
 
 def test_terms_and_rewards(spark):
@@ -65,6 +69,10 @@ def test_terms_and_rewards(spark):
     reward = lambda q, r, points, program="Bonus", spend=None: (q, r, 0, "stated", "points", "per_campaign", program, None, None, points, None, None, spend, None, None, ["e"])
     rows = [reward(1, "a", 100.0), reward(1, "b", 300.0), reward(2, "a", 1.0), reward(2, "b", 1.0, program="World"), reward(3, "a", 1.0), reward(3, "b", 1.0, spend=50.0), reward(4, "a", 1.0, program=None), reward(4, "b", 1.0)]
     got = outcomes(spark, sorted({(r[0], r[1]) for r in rows}), rows, REWARD, c.reward_facts, c.REWARD)
+    percent = lambda q, r, value, period="monthly", basis="per_campaign": (q, r, 0, "stated", "discount", basis, None, None, None, None, value, period, None, None, None, ["e"])
+    rows2 = [percent(1, "a", 5.0), percent(1, "b", 7.0), percent(2, "a", 5.0), percent(2, "b", 5.0, period="annual"), percent(3, "a", 5.0, period="unspecified"), percent(3, "b", 5.0), percent(4, "a", 5.0, basis="unspecified"), percent(4, "b", 5.0)]
+    got2 = outcomes(spark, sorted({(r[0], r[1]) for r in rows2}), rows2, REWARD, c.reward_facts, c.REWARD)
+    assert got2[1, "b"][0] == 1 and got2[2, "a"][1] == "reward_context_mismatch" and got2[3, "b"][1] == "reward_rate_context_unknown" and got2[4, "b"][1] == "reward_basis_unknown"
     assert got[1, "b"][0] == 1 and got[2, "a"][1] == "reward_program_mismatch" and got[3, "a"][1] == "reward_context_mismatch" and got[4, "a"][1] == "reward_program_unknown"
 
 
@@ -86,6 +94,14 @@ def test_gate(spark, change, reason):
     assert c.gate(spark.createDataFrame(rows, GATE), F.expr(AS_OF)).first().gate == reason
 
 
+def test_issues_in_the_request_s_order(spark):
+    rows = [rate(1, "a", 1.0, term=None), rate(1, "b", 1.0, kind="unknown")]
+    facts = c.rate_facts(spark.createDataFrame(rows, RATE))
+    for positions, reason in (((1, 2), "rate_term_context_unknown"), ((2, 1), "rate_kind_unknown")):
+        records = spark.createDataFrame([(1, "a", positions[0]), (1, "b", positions[1])], "request int, record string, position int")
+        assert {r.reason_code for r in c.compared(records, facts, c.RATE).collect()} == {reason}
+
+
 def test_order_does_not_matter(spark):
     rows = [rate(q, r, float(v)) for q in range(5) for v, r in enumerate("abc")]
     records = spark.createDataFrame([(r[0], r[1]) for r in rows], "request int, record string")
