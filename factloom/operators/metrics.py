@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.strict import ensure_checkpoint_dir
 
 #: Ids of a class of equal texts that are ordered in one task.
 SLICE = 1024
@@ -69,8 +74,25 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case words."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), 1))
+    """Distinct lower-case words, as sorted 64-bit hashes."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+#: Tokens whose numbers of sets are known to every task (16 bytes each); all others are rarer than these.
+FREQUENT = 200_000
+
+
+def token_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, set, key) of each row, and (rep, key), the smallest id of each class of equal sets.
+
+    Both are written once in the checkpoint folder, so texts are read once. ``key`` is a 128-bit hash of the set.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    sets = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("set"))
+    key = F.concat(F.hex(F.xxhash64("set")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "set")))
+    sets = sets.withColumn("key", key).checkpoint()
+    return sets, sets.groupBy("key").agg(F.min("id").alias("rep")).checkpoint()
 
 
 def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -82,28 +104,45 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -
     Copies come back by membership: pairs are between representatives, plus one pair from each
     copy to its representative (the smallest id).
     """
-    sets = df.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("set"))
-    named = sets.groupBy("set").agg(F.min("id").alias("rep"))
-    copies = sets.join(named, "set").where("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("score"))
-    return linked(named, threshold).unionByName(copies)
-
-
-def linked(named: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, right_id, score) of all pairs of representatives, (set, rep), left before right."""
-    reps = named.where(F.size("set") > 0)
-    long = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("token"))
-    rare = long.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = long.join(rare, "token").groupBy("rep", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("ordered"))
-    # A set of n tokens shares one of its first n - ceil(t * n) + 1 rarest ones with any partner.
-    width = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
-    prefix = ordered.select("rep", "n", F.explode(F.slice("ordered", F.lit(1), width)).alias("token"))
+    sets, reps = token_sets(df, id_col, text_col)
+    copies = sets.select("id", "key").join(reps, "key").where("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("score"))
+    return linked(sets, reps, threshold).unionByName(copies)
+
+
+def _prefixes(sets: DataFrame, counts: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """(rep, n, token): of each set (rep, set) its n - ceil(threshold * n) + 1 rarest tokens; any partner shares one."""
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    schema = T.StructType([sets.schema["rep"], T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType())])
+
+    def run(batches):
+        known, numbers = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(ends)), ends)
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            number = np.where(known[at] == flat, numbers[at], 0) if len(known) else np.zeros(len(flat), np.int64)
+            order = np.lexsort((flat, number, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
+            width = ends - np.ceil(threshold * ends - 1e-9).astype(np.int64) + 1
+            kept = order[place < np.repeat(width, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[kept])), pa.array(ends[row[kept]].astype(np.int32)), pa.array(flat[kept])], names=["rep", "n", "token"])
+
+    return sets.mapInArrow(run, schema)
+
+
+def linked(sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, score) of all pairs of representatives of token_sets(), left before right."""
+    own = sets.where(F.size("set") > 0).join(reps.withColumnRenamed("rep", "id"), ["id", "key"], "left_semi").select(F.col("id").alias("rep"), "set").dropDuplicates(["rep"]).checkpoint()
+    often = own.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    prefix = _prefixes(own, (often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)), threshold)
     left, right = prefix.alias("l"), prefix.alias("r")
     candidates = (
         left.join(right, F.col("l.token") == F.col("r.token"))
         .where((F.col("l.rep") < F.col("r.rep")) & (F.least("l.n", "r.n") >= F.lit(threshold) * F.greatest("l.n", "r.n")))
         .select(F.col("l.rep").alias("left_id"), F.col("r.rep").alias("right_id")).distinct()
     )
-    a, b = reps.select(F.col("rep").alias("left_id"), F.col("set").alias("_a")), reps.select(F.col("rep").alias("right_id"), F.col("set").alias("_b"))
+    a, b = own.select(F.col("rep").alias("left_id"), F.col("set").alias("_a")), own.select(F.col("rep").alias("right_id"), F.col("set").alias("_b"))
     both = candidates.join(a, "left_id").join(b, "right_id").withColumn("_common", F.size(F.array_intersect("_a", "_b")))
     score = F.col("_common") / (F.size("_a") + F.size("_b") - F.col("_common"))
     return both.select("left_id", "right_id", score.alias("score")).where(F.col("score") >= threshold)
@@ -135,15 +174,13 @@ def leakage(df: DataFrame, id_col: str, text_col: str, threshold: float, split:
     counts give the pairs across slices; only ids of one slice are ordered one by one.
     """
     slot = F.floor(F.col("id") / SLICE).cast("bigint")
-    sets = df.select(F.col(id_col).cast("bigint").alias("id"), F.array_sort(tokens(F.col(text_col))).alias("set"))
-    # The digest stands for the set, so a large class needs no join by its set.
-    members = sets.select("id", F.sha2(F.to_json("set"), 256).alias("key"), slot.alias("slot"), split(F.col("id")).alias("split"))
-    named = sets.groupBy("set").agg(F.min("id").alias("rep"))
+    sets, named = token_sets(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), "id", "text")
+    members = sets.select("id", "key", slot.alias("slot"), split(F.col("id")).alias("split"))
     counts = members.groupBy("key", "slot", "split").agg(F.count("*").alias("n"))
     size = counts.groupBy("key").agg(F.sum("n").alias("size"))
-    classes = named.select("rep", F.sha2(F.to_json("set"), 256).alias("key")).join(size, "key")
+    classes = named.join(size, "key")
     left, right = (classes.select(F.col("rep").alias(f"{x}_id"), F.col("key").alias(x[0]), F.col("size").alias(f"{x}_size")) for x in ("left", "right"))
-    links = linked(named, threshold).join(left, "left_id").join(right, "right_id").select("left_id", "right_id", "l", "r", (F.greatest("left_size", "right_size") > 1).alias("many")).persist()
+    links = linked(sets, named, threshold).join(left, "left_id").join(right, "right_id").select("left_id", "right_id", "l", "r", (F.greatest("left_size", "right_size") > 1).alias("many")).persist()
     single = links.where("NOT many").select(split(F.col("left_id")).alias("split_a"), split(F.col("right_id")).alias("split_b"), F.lit(1).cast("bigint").alias("n")).where("split_a <> split_b")
     many = links.where("many").select("l", "r").unionByName(size.where("size > 1").select(F.col("key").alias("l"), F.col("key").alias("r")))
 

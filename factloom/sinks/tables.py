@@ -66,7 +66,7 @@ def write_bundle(tables: dict[str, DataFrame], root: str, batch_id: int) -> None
 def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of the committed batches of a table."""
     marks = spark.read.parquet(f"{root}/_committed/*").select(F.col("batch_id").cast("int").alias("batch_id")).distinct()
-    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").join(F.broadcast(marks), "batch_id", "left_semi")
+    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").join(marks, "batch_id", "left_semi")
 
 
 def export_public(df: DataFrame, path: str, order: list[str], status: str = "status", wanted: str = "validated") -> DataFrame:

@@ -13,9 +13,13 @@ from pyspark.sql.window import Window
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """Use the cluster's shared checkpoint folder; a temporary one only in a local run where none is set."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
 
 
 def parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
