@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import comparison, ranking
+from ..operators import answers, comparison, ranking
 from .tables import table
 
 
@@ -159,6 +159,12 @@ def eligibility_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("request", "record", "comparable", "reason_code")
 
 
+def dimension_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners and reasons of the fee and the term dimension of each request."""
+    both = fee_comparison(spark, sf_dir).withColumn("dimension", F.lit("fee")).unionByName(term_comparison(spark, sf_dir).withColumn("dimension", F.lit("term")))
+    return answers.verdicts(both.withColumn("rank", F.when(F.col("comparable"), F.col("rank"))))
+
+
 def _compared_sql(facts: str, name: str, levels: tuple[str, ...], many: str, single: bool, higher: bool) -> str:
     """DuckDB SQL of a comparison from ``facts``: request, record, idx, issue, ks (keys from coarse to fine), v, waived, ev."""
     top = max(0, len(levels) - 1)
@@ -314,3 +320,10 @@ ENTRIES = {
         ),
     ),
 }
+
+ENTRIES["dimension_verdicts"] = (
+    dimension_verdicts,
+    f"""WITH o AS (SELECT *, 'fee' AS dimension FROM ({ENTRIES["fee_comparison"][1]}) UNION ALL SELECT *, 'term' FROM ({ENTRIES["term_comparison"][1]}))
+    SELECT request, dimension, CASE WHEN bool_and(comparable) THEN arg_min(record, (rank, record)) END AS winner, CASE WHEN NOT bool_or(comparable) THEN arg_min(reason_code, record) END AS reason
+    FROM o GROUP BY request, dimension HAVING count(*) > 1""",
+)

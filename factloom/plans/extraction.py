@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, normalizers
 from ..functions.text import FOLD_FROM, FOLD_TO
-from ..operators import planner, validation
+from ..operators import answers, planner, validation
 from ..operators.filters import injection
 from .tables import table
 
@@ -76,6 +76,46 @@ def question_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "status", "intent", "family", "campaign_type", *(F.array_join(c, ",").alias(c) for c in ("bank_ids", "dimensions", "keywords")))
 
 
+_ASKED = (("rate",), ("term", "fee"), ("reward",), ("fee", "rate", "term"), ())
+
+
+def answer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of orders as records: lines by flag are rates, terms, fees; cheap ones are rewards, taxless ones amounts; part numbers state the evidence's status."""
+    line = table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_partkey") % 3 == 0, "stated").when(F.col("l_partkey") % 3 == 1, "inferred").otherwise("unknown")
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_extendedprice", status.alias("status"))))
+    # Line numbers repeat within an order, so the lines are numbered anew.
+    orders = line.groupBy("l_orderkey").agg(F.transform(rows, lambda r, i: r.withField("l_linenumber", i + 1)).alias("rows"))
+    of = lambda flag: F.filter("rows", lambda r: r["l_returnflag"] == flag)
+    ev = lambda rows, at: F.transform(rows, lambda r, i: F.struct(F.concat(F.lit(at[0]), r["l_linenumber"].cast("string")).alias("id"), F.concat(F.lit(f"/data/{at}/"), i.cast("string"), F.lit("/raw")).alias("pointer"), r["status"].alias("status")))
+    cheap, free = F.filter("rows", lambda r: r["l_extendedprice"] < 20000), F.filter("rows", lambda r: r["l_tax"] == 0)
+    records = orders.select(
+        "l_orderkey", F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in _ASKED)), (F.col("l_orderkey") % len(_ASKED) + 1).cast("int")).alias("dimensions"), (F.col("l_orderkey") % 50 + 1).alias("wanted_months"),
+        F.transform(of("R"), lambda r: F.struct(F.lit("financing_profit_rate").alias("kind"), F.when(r["l_linestatus"] == "F", F.when(r["l_partkey"] % 2 == 0, "monthly").otherwise("annual")).alias("period"), r["l_quantity"].cast("bigint").alias("term_months"), r["l_partkey"].cast("string").alias("raw"))).alias("rates"),
+        F.transform(of("A"), lambda r: F.struct(r["l_quantity"].cast("bigint").alias("maximum_months"))).alias("terms"), F.transform(of("N"), lambda r: F.struct(r["l_suppkey"].cast("string").alias("raw"))).alias("fees"),
+        F.transform(cheap, lambda r: F.struct(r["l_partkey"].cast("string").alias("raw"))).alias("rewards"), F.transform(free, lambda r: F.struct(r["l_partkey"].cast("string").alias("raw"))).alias("financing_amounts"),
+        F.concat(ev(of("R"), "rates"), ev(of("A"), "terms"), ev(of("N"), "fees"), ev(cheap, "rewards"), ev(free, "financing_amounts")).alias("evidence"),
+    )
+    said = F.transform("facts", lambda f: F.concat_ws("=", f["label"], f["value"], F.array_join(f["evidence_ids"], "+")))
+    return answers.answer_facts(records).select("l_orderkey", F.array_join(said, "|").alias("facts"))
+
+
+_ANSWERS_SQL = """WITH l AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_returnflag, l_linestatus, l_quantity, l_discount, l_tax, l_partkey, l_extendedprice) AS l_linenumber),
+    CASE l_partkey % 3 WHEN 0 THEN 'stated' WHEN 1 THEN 'inferred' ELSE 'unknown' END AS st FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM l WHERE l_returnflag = 'R'),
+    b AS (SELECT l_orderkey, arg_min((l_partkey, l_linenumber, st), (CASE WHEN l_linestatus = 'F' AND l_partkey % 2 = 0 THEN CASE WHEN l_quantity = l_orderkey % 50 + 1 THEN 0 ELSE 1 END ELSE 2 END, i)) AS x FROM r GROUP BY 1),
+    rate AS (SELECT l_orderkey, 'rate=' || x[1] || '=r' || x[2] AS rate FROM b WHERE x[3] IN ('stated', 'inferred')),
+    term AS (SELECT l_orderkey, 'term=' || CAST(max(l_quantity) AS BIGINT) || '=' || array_to_string(list_sort(list('t' || l_linenumber) FILTER (st = 'stated')), '+') AS term FROM l WHERE l_returnflag = 'A' GROUP BY 1 HAVING bool_or(st = 'stated')),
+    fee AS (SELECT l_orderkey, 'fee=' || string_agg(l_suppkey, '; ' ORDER BY l_linenumber) || '=' || array_to_string(list_sort(list('f' || l_linenumber) FILTER (st = 'stated')), '+') AS fee FROM l WHERE l_returnflag = 'N' GROUP BY 1 HAVING bool_or(st = 'stated')),
+    reward AS (SELECT l_orderkey, 'reward=' || string_agg(l_partkey, '; ' ORDER BY l_linenumber) || '=' || array_to_string(list_sort(list('r' || l_linenumber) FILTER (st = 'stated')), '+') AS reward FROM l WHERE l_extendedprice < 20000 GROUP BY 1 HAVING bool_or(st = 'stated')),
+    amount AS (SELECT l_orderkey, 'amount=' || arg_min(l_partkey, l_linenumber) || '=' || array_to_string(list_sort(list('f' || l_linenumber) FILTER (st = 'stated')), '+') AS amount FROM l WHERE l_tax = 0 GROUP BY 1 HAVING bool_or(st = 'stated')),
+    o AS (SELECT DISTINCT l_orderkey, l_orderkey % 5 AS k FROM l),
+    j AS (SELECT *, list_filter(CASE k WHEN 0 THEN [rate] WHEN 1 THEN [term, fee] WHEN 2 THEN [reward] WHEN 3 THEN [fee, rate, term] ELSE [] END, lambda x: x IS NOT NULL) AS asked
+    FROM o LEFT JOIN rate USING (l_orderkey) LEFT JOIN term USING (l_orderkey) LEFT JOIN fee USING (l_orderkey) LEFT JOIN reward USING (l_orderkey) LEFT JOIN amount USING (l_orderkey))
+    SELECT l_orderkey, array_to_string(CASE WHEN len(asked) > 0 THEN list_concat(asked, list_filter([rate, term], lambda x: x IS NOT NULL AND NOT list_contains(asked, x)))[1:3]
+    ELSE list_filter([rate, amount, term], lambda x: x IS NOT NULL)[1:2] END, '|') AS facts FROM j"""
+
+
 def _plans_sql() -> str:
     """The rules as tables of terms, and masks of equal length over what terms cover."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -129,4 +169,5 @@ ENTRIES = {
         f"""SELECT {_SIX('page_id', "'rate'", "'term'", "'fee'", "'amount'", "'fee'")} AS kind, count(*) AS n, CAST(0 AS BIGINT) AS bad FROM pages WHERE page_id % 6 < 5 GROUP BY 1""",
     ),
     "question_plans": (question_plans, _plans_sql()),
+    "answer_facts": (answer_facts, _ANSWERS_SQL),
 }
