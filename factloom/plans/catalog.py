@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, comparison, extraction, history, operations, projections, quality, selection, texts, wording
+from . import blocks, candidates, comparison, extraction, history, operations, projections, quality, selection, texts, wording
 
-_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES | wording.ENTRIES | blocks.ENTRIES
+_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES | wording.ENTRIES | blocks.ENTRIES | candidates.ENTRIES
 
 
 def queries() -> dict:
