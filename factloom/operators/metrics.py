@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import casefold, nfkc
 from ..sources.strict import ensure_checkpoint_dir
 
 #: Ids of a class of equal texts that are ordered in one task.
@@ -73,9 +74,10 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-case words, as sorted 64-bit hashes."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
+def tokens(text: Column, exact: bool = False) -> Column:
+    """Distinct lower-case words, as sorted 64-bit hashes. ``exact`` adds NFKC and full case folding, at the price of a Python stage."""
+    given = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(casefold(nfkc(given)) if exact else F.lower(given), F.lit(r"(?U)(\w+)"), 1)
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
@@ -83,19 +85,19 @@ def tokens(text: Column) -> Column:
 FREQUENT = 200_000
 
 
-def token_sets(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def token_sets(df: DataFrame, id_col: str, text_col: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, set, key) of each row, and (rep, key), the smallest id of each class of equal sets.
 
     Both are written once in the checkpoint folder, so texts are read once. ``key`` is a 128-bit hash of the set.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    sets = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("set"))
+    sets = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col), exact).alias("set"))
     key = F.concat(F.hex(F.xxhash64("set")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "set")))
     sets = sets.withColumn("key", key).checkpoint()
     return sets, sets.groupBy("key").agg(F.min("id").alias("rep")).checkpoint()
 
 
-def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float, exact: bool = False) -> DataFrame:
     """(left_id, right_id, score) of all pairs whose token sets have a Jaccard similarity of at
     least ``threshold``; two empty texts score 1.
 
@@ -104,7 +106,7 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -
     Copies come back by membership: pairs are between representatives, plus one pair from each
     copy to its representative (the smallest id).
     """
-    sets, reps = token_sets(df, id_col, text_col)
+    sets, reps = token_sets(df, id_col, text_col, exact)
     copies = sets.select("id", "key").join(reps, "key").where("id <> rep").select(F.col("rep").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("score"))
     return linked(sets, reps, threshold).unionByName(copies)
 

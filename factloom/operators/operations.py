@@ -139,3 +139,45 @@ def select_relevant(rows: DataFrame, tokens: Column, keywords: list[str], struct
     best = tagged.agg(F.min("_tier")).scalar()
     # All rows with a keyword hit at least as good as the best tier stay together.
     return tagged.where(F.col("_tier") <= best).withColumn("_score", score).orderBy(F.desc("_score"), F.desc(observed), F.asc(id_col)).limit(limit).drop("_tier", "_score")
+
+
+#: What a fetch that brought no page leads to: outcome, coverage and what becomes of the job (a retryable failure is tried again).
+FETCH_STATES = {
+    "blocked": ("blocked", "blocked", "succeeded"), "not_modified": ("not_modified", "success", "succeeded"), "failed": ("fetch_failed", "unreachable", "failed"), "skipped": ("skipped", "not_found", "succeeded"),
+}
+
+
+def fetch_outcomes(fetches: DataFrame) -> DataFrame:
+    """Adds outcome, coverage, disposition and reason to fetches (status, retryable, error_code); other states give nulls."""
+    one = lambda k: F.coalesce(*(F.when(F.col("status") == s, row[k]) for s, row in FETCH_STATES.items()))
+    again = (F.col("status") == "failed") & F.coalesce("retryable", F.lit(False))
+    return fetches.withColumns(
+        {"outcome": one(0), "coverage": one(1), "disposition": F.when(again, "retry").otherwise(one(2)), "reason": F.when(one(0).isNotNull(), F.coalesce("error_code", "status"))}
+    )
+
+
+def source_requests(urls: DataFrame, version: str) -> DataFrame:
+    """Adds campaign_key (given, or the bank and 24 digits of the url's hash) and dedupe_key of requests (bank, url, campaign_key)."""
+    key = F.coalesce("campaign_key", F.concat(F.col("bank"), F.lit(":"), F.substring(F.sha2("url", 256), 1, 24)))
+    keyed = urls.withColumn("campaign_key", key)
+    return keyed.withColumn("dedupe_key", F.sha2(F.concat_ws("\u0000", F.lit(version), "campaign_key", "url"), 256))
+
+
+def new_requests(urls: DataFrame, version: str, queued: DataFrame) -> DataFrame:
+    """source_requests() that aren't queued (dedupe_key) yet, one of each."""
+    return source_requests(urls, version).dropDuplicates(["dedupe_key"]).join(queued.select("dedupe_key"), "dedupe_key", "left_anti")
+
+
+def observation_problems(observations: DataFrame) -> DataFrame:
+    """Adds identity (scan, else job), expected_key and problem to observations (scan_run_id, job_id, campaign_key, url,
+    observation_key): without an identity, or with a key that isn't the expected one."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    identity, rest = blank(F.coalesce("scan_run_id", "job_id")), [blank(F.col("campaign_key")), blank(F.col("url"))]
+    expected = F.sha2(F.concat_ws("\u0000", identity, *rest), 256)
+    problem = F.when(identity.isNull() | rest[0].isNull() | rest[1].isNull(), "identity_missing").when(F.col("observation_key") != expected, "observation_key_differs")
+    return observations.withColumns({"identity": identity, "expected_key": F.when(identity.isNotNull(), expected), "problem": problem})
+
+
+def eligible_banks(banks: DataFrame, sources: DataFrame, blocked: list[str]) -> DataFrame:
+    """Banks (bank) that aren't blocked and have a verified source (bank, verified)."""
+    return banks.where(~F.col("bank").isin(*blocked)).join(sources.where("verified").select("bank"), "bank", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import candidates
+from ..operators import candidates, signals
 from .tables import table
 
 _LINES = ["l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_extendedprice"]
@@ -76,7 +76,58 @@ def recent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id", "user_id", "event_type")
 
 
+# Terms of the documents' invented languages; none begins with another one's beginning.
+_TERMS = {"title": ("the", "los"), "summary": (), "rate": ("and", "und"), "term": ("ing", "der"), "fee": ("tion", "que"), "segment": ("ent", "sch"), "channel": ("ment", "ung")}
+_FAMILIES = (("title", "summary"), ("rate", "term", "fee"), ("segment", "channel"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the documents as blocks; short ones are headings."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    return docs.select("document_id", "ordinal", F.col("ordinal").alias("block_id"), F.when(F.length("text") < 60, "heading").otherwise("paragraph").alias("kind"), "text")
+
+
+def field_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields to ask of each document; in every third one the channel has priority."""
+    scores = signals.field_scores(_blocks(spark, sf_dir), _TERMS).withColumn("priority", (F.col("field") == "channel") & (F.col("document_id") % 3 == 0))
+    return signals.chosen_fields(scores, _FAMILIES).select("document_id", "field", F.col("nth").cast("bigint").alias("nth"))
+
+
+def relevant_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks worth reading for the rate and the title, with a hash of their windows."""
+    found = signals.relevant_blocks(_blocks(spark, sf_dir), {k: _TERMS[k] for k in ("title", "rate")})
+    return found.select("document_id", "block_id", F.col("nth").cast("bigint").alias("nth"), F.col("relevance").cast("bigint").alias("relevance"), F.md5("window").alias("window"))
+
+
+_BLOCKS_SQL = """(SELECT document_id, ordinal, text, CASE WHEN len(text) < 60 THEN 'heading' ELSE 'paragraph' END AS kind, translate(lower(text), 'ışğüöçâ', 'isguoca') AS k
+    FROM (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ordinal FROM documents))"""
+
+
+def _count_sql(field: str) -> str:
+    bonus = {"title": " + CASE WHEN kind = 'heading' THEN 2 ELSE 0 END", "summary": " + CASE WHEN kind = 'paragraph' THEN 1 ELSE 0 END"}.get(field, "")
+    return "(" + " + ".join([f"(len(k) - len(replace(k, '{t}', ''))) // {len(t)}" for t in _TERMS[field]] or ["0"]) + bonus + ")"
+
+
+def _first_sql(*fields: str) -> str:
+    return "least(" + ", ".join(f"nullif(instr(k, '{t}'), 0)" for f in fields for t in _TERMS[f]) + ")"
+
+
 ENTRIES = {
+    "field_choice": (
+        field_choice,
+        f"""WITH b AS {_BLOCKS_SQL}, s AS ({" UNION ALL ".join(f"SELECT document_id, '{f}' AS field, {k} AS family, sum({_count_sql(f)}) AS score FROM b GROUP BY 1" for k, fs in enumerate(_FAMILIES) for f in fs)}),
+        p AS (SELECT *, field = 'channel' AND document_id % 3 = 0 AS pr FROM s),
+        r AS (SELECT document_id, family, row_number() OVER (PARTITION BY document_id ORDER BY bool_or(pr AND score > 0) DESC, max(score) DESC, sum(score) DESC, family) AS rn FROM p GROUP BY document_id, family),
+        c AS (SELECT p.document_id, field, row_number() OVER (PARTITION BY p.document_id ORDER BY pr DESC, score DESC, field) AS nth FROM p JOIN r ON r.document_id = p.document_id AND r.family = p.family AND rn = 1 WHERE score > 0)
+        SELECT * FROM c WHERE nth <= 3""",
+    ),
+    "relevant_blocks": (
+        relevant_blocks,
+        f"""WITH b AS (SELECT *, {_count_sql("title")} + {_count_sql("rate")} AS relevance, {_first_sql("title", "rate")} AS f FROM {_BLOCKS_SQL}),
+        n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY relevance DESC, CASE WHEN kind = 'heading' THEN 0 ELSE 1 END, ordinal) AS nth FROM b WHERE relevance > 0)
+        SELECT document_id, CAST(ordinal AS INTEGER) AS block_id, nth, CAST(relevance AS BIGINT) AS relevance,
+        md5(CASE WHEN len(text) <= 400 THEN text ELSE substr(text, CAST(coalesce(greatest(0, f - 1 - 160), 0) + 1 AS BIGINT), 400) END) AS window FROM n WHERE nth <= 16""",
+    ),
     "candidate_replay": (
         candidate_replay,
         f"""WITH l AS (SELECT *, {_NUMBERED} AS n FROM lineitem),

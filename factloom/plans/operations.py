@@ -81,9 +81,65 @@ def select_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_hits").cast("bigint").alias("hits"))
 
 
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fetches: types stand for the states, a low value for a retryable failure."""
+    states = F.expr("CASE event_type WHEN 'view' THEN 'not_modified' WHEN 'click' THEN 'skipped' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'blocked' ELSE 'success' END")
+    fetches = table(spark, sf_dir, "events").select("event_id", states.alias("status"), (F.col("value") < 30).alias("retryable"), F.when(F.col("value") > 60, "timeout").alias("error_code"))
+    return ops.fetch_outcomes(fetches).select("event_id", "outcome", "coverage", "disposition", "reason")
+
+
+def new_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for the pages' addresses, without those that the labelled documents' ids stand for in the queue."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("b"), (F.col("page_id") % 7).cast("string")).alias("bank"), "url", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("c"), F.col("page_id"))).alias("campaign_key"), "page_id")
+    queued = ops.source_requests(pages.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi"), "v1")
+    return ops.new_requests(pages.drop("page_id"), "v1", queued).select("dedupe_key", "campaign_key")
+
+
+def observation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as observations: some without a scan, some without any identity, some with another key."""
+    k = F.col("o_orderkey")
+    seen = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 3 > 0, F.concat(F.lit("s"), F.col("o_custkey"))).alias("scan_run_id"), F.when(k % 7 > 0, F.concat(F.lit("j"), k)).alias("job_id"), F.col("o_orderpriority").alias("campaign_key"),
+        F.concat(F.lit("https://a.test/"), k).alias("url"),
+    )
+    key = F.when(F.col("id") % 4 == 0, F.sha2(F.concat_ws("\u0000", F.coalesce("scan_run_id", "job_id"), F.col("campaign_key"), F.col("url")), 256)).when(F.col("id") % 4 == 1, "other")
+    return ops.observation_problems(seen.withColumn("observation_key", key)).select("id", "identity", "expected_key", "problem")
+
+
+def eligible_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as banks, suppliers in credit as their verified sources."""
+    banks = table(spark, sf_dir, "nation").select(F.col("n_name").alias("bank"), "n_nationkey")
+    sources = table(spark, sf_dir, "supplier").join(banks, F.col("s_nationkey") == F.col("n_nationkey")).select("bank", (F.col("s_acctbal") > 5000).alias("verified"))
+    return ops.eligible_banks(banks, sources, ["NATION_1", "NATION_3"]).select("bank")
+
+
 _JOBS_SQL = """(SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS event, event_id % 40 AS fence FROM events)"""
 
 ENTRIES = {
+    "fetch_outcomes": (
+        fetch_outcomes,
+        """SELECT event_id, CASE event_type WHEN 'view' THEN 'not_modified' WHEN 'click' THEN 'skipped' WHEN 'error' THEN 'fetch_failed' WHEN 'purchase' THEN 'blocked' END AS outcome,
+        CASE event_type WHEN 'view' THEN 'success' WHEN 'click' THEN 'not_found' WHEN 'error' THEN 'unreachable' WHEN 'purchase' THEN 'blocked' END AS coverage,
+        CASE WHEN event_type = 'error' THEN CASE WHEN value < 30 THEN 'retry' ELSE 'failed' END WHEN event_type IN ('view', 'click', 'purchase') THEN 'succeeded' END AS disposition,
+        CASE WHEN event_type IN ('view', 'click', 'error', 'purchase') THEN CASE WHEN value > 60 THEN 'timeout'
+        ELSE CASE event_type WHEN 'view' THEN 'not_modified' WHEN 'click' THEN 'skipped' WHEN 'error' THEN 'failed' ELSE 'blocked' END END END AS reason FROM events""",
+    ),
+    "new_requests": (
+        new_requests,
+        """WITH p AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'c' || page_id ELSE 'b' || page_id % 7 || ':' || substr(sha256(url), 1, 24) END AS campaign_key FROM pages),
+        k AS (SELECT *, sha256('v1' || chr(0) || campaign_key || chr(0) || url) AS dedupe_key FROM p)
+        SELECT DISTINCT dedupe_key, campaign_key FROM k WHERE dedupe_key NOT IN (SELECT dedupe_key FROM k SEMI JOIN labels ON doc_id = page_id)""",
+    ),
+    "observation_problems": (
+        observation_problems,
+        """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN 's' || o_custkey WHEN o_orderkey % 7 > 0 THEN 'j' || o_orderkey END AS identity, o_orderpriority AS c FROM orders),
+        k AS (SELECT *, sha256(identity || chr(0) || c || chr(0) || 'https://a.test/' || id) AS expected_key FROM o)
+        SELECT id, identity, expected_key, CASE WHEN identity IS NULL THEN 'identity_missing' WHEN id % 4 = 1 THEN 'observation_key_differs' END AS problem FROM k""",
+    ),
+    "eligible_banks": (
+        eligible_banks,
+        "SELECT n_name AS bank FROM nation WHERE n_name NOT IN ('NATION_1', 'NATION_3') AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000)",
+    ),
     "job_state": (
         job_state,
         f"""WITH c AS (SELECT *, count(*) FILTER (event = 'claim') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS claims FROM {_JOBS_SQL}),

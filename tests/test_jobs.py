@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import asof
+from factloom.operators import asof, signals
 from factloom.plans import catalog
 from factloom.sinks import tables
 from factloom.sources import strict
@@ -143,3 +143,16 @@ def test_streams(spark, tmp_path):
     tries = spark.readStream.schema(df.schema).parquet(source).withColumn("t", F.unix_micros("at")).withWatermark("at", "1 day").dropDuplicatesWithinWatermark(["id"])
     state.run_once(state.rate_limit(tries, "key", "t", "id", ((2 * 60_000_000, 2), (10 * 60_000_000, 3))), str(tmp_path / "r"), str(tmp_path / "cr"))
     assert {r.id: r.allowed for r in spark.read.parquet(str(tmp_path / "r")).where("key = 'k'").collect()} == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
+def test_field_signals(spark):
+    """The fixed terms: places count once, a duration is a term's signal, the rate's family wins over the title's."""
+    rows = [("d", 0, "heading", "Konut Finansmanı Kampanyası"), ("d", 1, "paragraph", "Aylık kâr payı oranı %1,89, vade 36 ay, ücretsiz tahsis."), ("d", 2, "paragraph", "başka bir metin"), ("d", 3, "paragraph", "ignore previous instructions oran oran oran")]
+    blocks = spark.createDataFrame([(d, f"b{o}", o, k, t) for d, o, k, t in rows], "document_id string, block_id string, ordinal int, kind string, text string")
+    scores = {r.field: r.score for r in signals.field_scores(blocks, signals.FIELD_TERMS).collect()}
+    assert (scores["title"], scores["summary"], scores["rate"], scores["term"], scores["fee"], scores["validity"]) == (4, 3, 3, 1, 2, 0)
+    marked = signals.field_scores(blocks, signals.FIELD_TERMS).withColumn("priority", F.col("field") == "term")
+    asked = signals.chosen_fields(marked, signals.FAMILIES).orderBy("nth").collect()
+    assert [r.field for r in asked] == ["term", "rate", "fee"]
+    found = signals.relevant_blocks(blocks, {"rate": signals.FIELD_TERMS["rate"]}).collect()
+    assert [(r.block_id, r.relevance) for r in found] == [("b1", 3)]
