@@ -21,7 +21,14 @@ def facts(blocks: DataFrame, document: str, block: str, text: str) -> DataFrame:
     own = blocks.withColumn("_id", F.struct(F.col(document).alias("document_id"), F.col(block).alias("block_id"))).where(~injection(F.col(text)))
     found = html.sentences(own, "_id", text).select("_id.*", "quote", "start", "end")
     terms = F.when(normalizers.search_text(F.col("quote")).rlike(r"\b(?:ay|yil|vade)\b"), normalizers.term(F.col("quote")))
-    made = found.withColumns({"_rate": normalizers.rate(F.col("quote")), "_money": normalizers.money(F.col("quote")), "_term": terms, "_fee": normalizers.fee(F.col("quote"))})
+    # Amounts and rates have digits and fees a word for them: other sentences aren't parsed.
+    digits = F.col("quote").rlike("[0-9]")
+    made = found.withColumns(
+        {
+            "_rate": F.when(digits, normalizers.rate(F.col("quote"))), "_money": F.when(digits, normalizers.money(F.col("quote"))), "_term": terms,
+            "_fee": F.when(normalizers.search_text(F.col("quote")).rlike(normalizers.FEE_MARK), normalizers.fee(F.col("quote"))),
+        }
+    )
     entry = lambda ok, kind, value: F.when(ok, F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value")))
     every = F.array_compact(
         F.array(
