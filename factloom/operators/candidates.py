@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalizers
 
@@ -65,3 +66,27 @@ def unique_quotes(blocks: DataFrame, quotes: DataFrame, document: str = "documen
     )
     only = F.col("n") == 1
     return found.select(document, "quote", "n", F.when(only, F.col("_at.block_id")).alias("block_id"), F.when(only, F.col("_at.start")).alias("start"))
+
+
+def without(value: Column, kind: T.DataType, name: str) -> Column:
+    """``value`` without any field called ``name``, at whatever depth; other fields by name. Null structs stay null."""
+    if isinstance(kind, T.StructType):
+        kept = [without(value[f.name], f.dataType, name).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name) if f.name != name]
+        return F.when(value.isNotNull(), F.struct(*kept))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: without(x, kind.elementType, name))
+    return value
+
+
+def derived_rows(records: DataFrame, data: str = "data", name: str = "raw") -> DataFrame:
+    """Public rows of records: ``data`` without its source forms, and ``derived_id``, a hash of the rest in a fixed order."""
+    public = records.withColumn(data, without(F.col(data), records.schema[data].dataType, name))
+    line = F.to_json(data, {"ignoreNullFields": "false"})
+    return public.withColumn("derived_id", F.concat(F.lit("derived:"), F.sha2(line, 256)))
+
+
+def fetch_states(pages: DataFrame, processed: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``state`` to pages: not_modified where a row of the same ``key`` (address, content hash, processing
+    identity) was processed already, else process. A page without an address or hash is always processed."""
+    known = processed.select(*key).distinct().withColumn("_known", F.lit(True))
+    return pages.join(known, key, "left").withColumn("state", F.when(F.col("_known"), "not_modified").otherwise("process")).drop("_known")

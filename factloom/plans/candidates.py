@@ -76,6 +76,24 @@ def recent_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id", "user_id", "event_type")
 
 
+def derived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with nested rates, published without their source forms."""
+    rates = F.transform(
+        F.array_sort(F.collect_list(F.struct(*_LINES))),
+        lambda r: F.struct(r["l_partkey"].cast("string").alias("raw"), r["l_suppkey"].alias("value"), F.struct(r["l_returnflag"].alias("raw"), F.when(r["l_linestatus"] == "O", "open").alias("kind")).alias("basis")),
+    )
+    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.struct(F.concat(F.lit("Order "), F.col("l_orderkey")).alias("title"), rates.alias("rates")).alias("data"))
+    return candidates.derived_rows(own).select("l_orderkey", "derived_id")
+
+
+def fetch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against what was processed of them: labelled ones, some under an older identity or with other content."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("clean_sha256"), F.lit("v2").alias("identity"))
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality", "toxic")
+    done = pages.join(marks, "page_id").select("url", F.when(F.col("toxic") == 0, F.col("clean_sha256")).otherwise("other").alias("clean_sha256"), F.when(F.col("quality") == 1, "v2").otherwise("v1").alias("identity"))
+    return candidates.fetch_states(pages, done, ["url", "clean_sha256", "identity"]).select("page_id", "state")
+
+
 # Terms of the documents' invented languages; none begins with another one's beginning.
 _TERMS = {"title": ("the", "los"), "summary": (), "rate": ("and", "und"), "term": ("ing", "der"), "fee": ("tion", "que"), "segment": ("ent", "sch"), "channel": ("ment", "ung")}
 _FAMILIES = (("title", "summary"), ("rate", "term", "fee"), ("segment", "channel"))
@@ -128,6 +146,18 @@ ENTRIES = {
         SELECT document_id, CAST(ordinal AS INTEGER) AS block_id, nth, CAST(relevance AS BIGINT) AS relevance,
         md5(CASE WHEN len(text) <= 400 THEN text ELSE substr(text, CAST(coalesce(greatest(0, f - 1 - 160), 0) + 1 AS BIGINT), 400) END) AS window FROM n WHERE nth <= 16""",
     ),
+    "derived_rows": (
+        derived_rows,
+        f"""WITH l AS (SELECT *, {_NUMBERED} AS n FROM lineitem),
+        r AS (SELECT l_orderkey, list({{'basis': {{'kind': CASE WHEN l_linestatus = 'O' THEN 'open' END}}, 'value': l_suppkey}} ORDER BY n) AS rates FROM l GROUP BY 1)
+        SELECT l_orderkey, 'derived:' || sha256(CAST(to_json({{'rates': rates, 'title': 'Order ' || l_orderkey}}) AS VARCHAR)) AS derived_id FROM r""",
+    ),
+    "fetch_states": (
+        fetch_states,
+        """WITH p AS (SELECT page_id, url, sha256(html) AS h FROM pages),
+        d AS (SELECT url, h FROM p JOIN labels ON doc_id = page_id WHERE toxic = 0 AND quality = 1)
+        SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.url = p.url AND d.h = p.h) THEN 'not_modified' ELSE 'process' END AS state FROM p""",
+    ),
     "candidate_replay": (
         candidate_replay,
         f"""WITH l AS (SELECT *, {_NUMBERED} AS n FROM lineitem),
