@@ -92,15 +92,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     made = (
         op1_secret_scans, op2_bpe_encoding_decoding, op3_url_filters, op4_toxicity, op5_benchmark_decontamination,
         op6_simhash_near_dedup, op7_token_counts, op8_substring_dedup, op9_language_id, op10_quality_rules,
+        op13_embedding_near_dedup,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     from .decontam import overlaps_sql
+    from .embedding_dedup import near_duplicates_sql
 
-    return {"op5_benchmark_decontamination": overlaps_sql()}
+    return {"op5_benchmark_decontamination": overlaps_sql(), "op13_embedding_near_dedup": near_duplicates_sql()}
