@@ -92,6 +92,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
 
@@ -102,13 +108,18 @@ def queries() -> dict:
     made = (
         op1_secret_scans, op2_bpe_encoding_decoding, op3_url_filters, op4_toxicity, op5_benchmark_decontamination,
         op6_simhash_near_dedup, op7_token_counts, op8_substring_dedup, op9_language_id, op10_quality_rules,
-        op13_embedding_near_dedup,
+        op12_conversation_prefix_trie, op13_embedding_near_dedup,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .conversation_trie import prefix_trie_sql
     from .decontam import overlaps_sql
     from .embedding_dedup import near_duplicates_sql
 
-    return {"op5_benchmark_decontamination": overlaps_sql(), "op13_embedding_near_dedup": near_duplicates_sql()}
+    return {
+        "op5_benchmark_decontamination": overlaps_sql(),
+        "op12_conversation_prefix_trie": prefix_trie_sql(),
+        "op13_embedding_near_dedup": near_duplicates_sql(),
+    }
