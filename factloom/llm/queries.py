@@ -92,6 +92,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation_trie import prefix_trie
 
@@ -108,7 +114,7 @@ def queries() -> dict:
     made = (
         op1_secret_scans, op2_bpe_encoding_decoding, op3_url_filters, op4_toxicity, op5_benchmark_decontamination,
         op6_simhash_near_dedup, op7_token_counts, op8_substring_dedup, op9_language_id, op10_quality_rules,
-        op12_conversation_prefix_trie, op13_embedding_near_dedup,
+        op11_ranked_lexical_search, op12_conversation_prefix_trie, op13_embedding_near_dedup,
     )
     return {f.__name__: f for f in made}
 
@@ -117,9 +123,11 @@ def oracle_sql() -> dict[str, str]:
     from .conversation_trie import prefix_trie_sql
     from .decontam import overlaps_sql
     from .embedding_dedup import near_duplicates_sql
+    from .lexical_search import ranked_sql
 
     return {
         "op5_benchmark_decontamination": overlaps_sql(),
+        "op11_ranked_lexical_search": ranked_sql(),
         "op12_conversation_prefix_trie": prefix_trie_sql(),
         "op13_embedding_near_dedup": near_duplicates_sql(),
     }
