@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import fold
+from ..sources.strict import ensure_checkpoint_dir
 from .ranking import first_reason, optional_axis
 
 # Rate kinds by what they need and by which direction is better.
@@ -74,8 +75,8 @@ TERM = Dimension("term", (), "term_ambiguous", "term_ambiguous")
 
 
 def _key(*parts: Column) -> Column:
-    """One comparable string of some parts; nulls count as a value."""
-    return F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("\u0002")) for p in parts))
+    """One comparable string of some parts as a JSON array, which escapes control characters; nulls count as a value."""
+    return F.to_json(F.array(*(p.cast("string") for p in parts)))
 
 
 #: Values are compared as decimals.
@@ -95,9 +96,9 @@ def _rate(df: DataFrame, kind: str, status: str = "status") -> tuple[Column, Col
     return issue, _key(gross, own("reference_starts_on"), own("reference_ends_on"), own("term_months"), fold(F.coalesce(own("basis_label"), F.lit(""))))
 
 
-def _under(pair: Column, part: str) -> Column:
-    """The key of a pair's part; "" gives what all its parts begin with."""
-    return F.concat(pair, F.lit(f"\u0001{part}"))
+def _under(pair: Column, part: str | Column) -> Column:
+    """The key of a pair's part; "" gives what all its parts begin with. No key holds U+0001 itself."""
+    return F.concat(pair, F.lit("\u0001"), F.lit(part) if isinstance(part, str) else part)
 
 
 def rate_facts(rates: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def fee_facts(fees: DataFrame) -> DataFrame:
     detail = F.when(by_rate, _key(F.col("period"), F.col("gross_net_basis"), fold(F.coalesce("basis_label", F.lit(""))))).otherwise(_key(F.col("currency")))
     pair = (_key(F.col("kind")), _key(F.col("kind"), F.col("basis")))
     return fees.select(
-        "request", "record", "index", issue.alias("issue"), F.array(*pair, _key(F.col("kind"), F.col("basis"), kind), _key(F.col("kind"), F.col("basis"), kind, detail)).alias("levels"),
+        "request", "record", "index", issue.alias("issue"), F.array(*pair, _under(pair[1], kind), _under(_under(pair[1], kind), detail)).alias("levels"),
         F.coalesce(F.col("amount").cast(NUMBER), F.col("percent").cast(NUMBER)).alias("value"), "waived", F.lit(False).alias("higher"), F.when(by_rate, "percent").otherwise(F.col("currency")).alias("unit"),
         "evidence_ids",
     )
@@ -178,13 +179,15 @@ def compared(records: DataFrame, facts: DataFrame, dimension: Dimension, gates:
     issues. ``facts``: request, record, index, issue, levels (from the coarsest key to the full signature),
     value, waived, higher, unit, evidence_ids. A waived fact meets every signature of its (kind, basis),
     which are the first two levels, and precedes every price; where nobody prices the pair, it
-    is a signature of its own.
+    is a signature of its own. Of issues at one index the first by name counts. The facts are written once
+    in the checkpoint folder, for several steps read them.
     """
     name = dimension.name
+    ensure_checkpoint_dir(records.sparkSession)
     position = F.min("position" if "position" in records.columns else "record").alias("_position")
     members = records.groupBy("request", "record").agg(position)
     sizes = members.groupBy("request").agg(F.count("*").alias("_n"))
-    own = facts.join(sizes, "request").join(members, ["request", "record"])
+    own = facts.join(sizes, "request").join(members, ["request", "record"]).checkpoint()
     # Keys that every record has, level by level. A waiver has its pair, both kinds of value, and the signatures
     # that others price under the pair.
     held = own.select("request", "record", "_n", "waived", F.posexplode("levels").alias("level", "key"), F.get("levels", F.lit(1)).alias("pair"), (F.size("levels") - 1).alias("top"))
@@ -194,11 +197,11 @@ def compared(records: DataFrame, facts: DataFrame, dimension: Dimension, gates:
     values = waivers.select("request", "record", "_n", F.lit(2).alias("level"), F.explode(F.array(_under(F.col("pair"), "money"), _under(F.col("pair"), "rate"))).alias("key"))
     keys = held.where("NOT waived OR level <= 1").select("request", "record", "_n", "level", "key").unionByName(under).unionByName(values).distinct()
     common = keys.groupBy("request", "level", "key").agg(F.count("*").alias("_have"), F.first("_n").alias("_n")).where("_have = _n")
-    depth = own.groupBy("request").agg(F.max(F.size("levels")).alias("_depth"))
     per_level = common.groupBy("request", "level").agg(F.count("*").alias("_common"), F.min("key").alias("_key"))
     levels = per_level.groupBy("request").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("_common", "_key")))).alias("_levels"))
-    first_issue = own.where("issue IS NOT NULL").groupBy("request").agg(F.min_by("issue", F.struct("_position", "record", "index")).alias("_issue"))
-    state = sizes.join(depth, "request", "left").join(levels, "request", "left").join(first_issue, "request", "left")
+    place = F.when(F.col("issue").isNotNull(), F.struct("_position", "record", "index", "issue"))
+    first = own.groupBy("request").agg(F.max(F.size("levels")).alias("_depth"), F.min(place)["issue"].alias("_issue"))
+    state = sizes.join(first, "request", "left").join(levels, "request", "left")
     at = lambda k: F.col("_levels")[k]
     last = F.col("_depth") - 1
     state = state.withColumn("_last", last).withColumn("_common", F.coalesce(at(F.col("_last"))["_common"], F.lit(0))).withColumn("_key", at(F.col("_last"))["_key"])
@@ -215,7 +218,7 @@ def compared(records: DataFrame, facts: DataFrame, dimension: Dimension, gates:
             F.first("unit").alias("unit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"),
         )
     )
-    has = facts.select("request", "record").distinct().withColumn("_has", F.lit(True))
+    has = own.select("request", "record").distinct().withColumn("_has", F.lit(True))
     rows = members.join(has, ["request", "record"], "left").join(state, "request").join(chosen, ["request", "record"], "left")
     request = Window.partitionBy("request")
     missing = F.col("_has").isNull()

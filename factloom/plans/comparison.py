@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import answers, comparison, ranking
 from .tables import table
@@ -104,18 +105,19 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fact for each order, flag and status of its lines; the first line of a group counts."""
+    """One fact for each order, flag and status of its lines, numbered inside the order."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_returnflag", "l_linestatus"))
     line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linestatus").agg(
-        F.min("l_linenumber").alias("index"), F.min("l_extendedprice").alias("price"), F.max("l_quantity").alias("quantity"), F.min("l_discount").alias("discount"), F.min("l_partkey").alias("part"),
-    )
+        F.min("l_extendedprice").alias("price"), F.max("l_quantity").alias("quantity"), F.min("l_discount").alias("discount"), F.min("l_partkey").alias("part"),
+    ).withColumn("index", number)
     return line.join(_requests(spark, sf_dir).select("request", "record"), F.col("l_orderkey") == F.col("record")).withColumn(
         "evidence_ids", F.when(F.col("part") % 50 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("part").cast("string")))
     )
 
 
 def _facts_sql() -> str:
-    return f"""(SELECT request, record, l_returnflag AS flag, l_linestatus AS st, min(l_linenumber) AS idx, min(l_extendedprice) AS price, max(l_quantity) AS quantity, min(l_discount) AS discount,
-        min(l_partkey) AS part, min(l_partkey) % 50 <> 0 AS ev FROM lineitem JOIN {_REQUESTS_SQL} ON l_orderkey = record GROUP BY ALL)"""
+    return f"""(SELECT request, record, l_returnflag AS flag, l_linestatus AS st, row_number() OVER (PARTITION BY record ORDER BY l_returnflag, l_linestatus) AS idx, min(l_extendedprice) AS price, max(l_quantity) AS quantity, min(l_discount) AS discount,
+        min(l_partkey) AS part, min(l_partkey) % 50 <> 0 AS ev FROM lineitem JOIN {_REQUESTS_SQL} ON l_orderkey = record GROUP BY request, record, l_returnflag, l_linestatus)"""
 
 
 def term_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,7 @@ def _compared_sql(facts: str, name: str, levels: tuple[str, ...], many: str, sin
             UNION SELECT f.request, record, {top}, coalesce(p.key, ks[2] || '|waived') FROM f LEFT JOIN priced p ON p.request = f.request AND p.pair = ks[2] WHERE waived),
         c AS (SELECT request, lvl, key FROM held JOIN n USING (request) GROUP BY ALL HAVING count(DISTINCT record) = any_value(n)),
         s AS (SELECT request, list(DISTINCT lvl) AS lv, count(*) FILTER (lvl = {top}) AS common, min(key) FILTER (lvl = {top}) AS key FROM c GROUP BY request),
-        i AS (SELECT request, arg_min(issue, (-record, idx)) AS issue FROM f WHERE issue IS NOT NULL GROUP BY request),
+        i AS (SELECT request, arg_min(issue, (-record, idx, issue)) AS issue FROM f WHERE issue IS NOT NULL GROUP BY request),
         x AS (SELECT f.request, record, {count} AS cnt, min(v) AS v, bool_and(waived) AS waived, bool_or(ev) AS ev FROM f JOIN s USING (request)
             WHERE ks[{top + 1}] = key OR (waived AND starts_with(key, ks[2] || '|')) GROUP BY ALL),
         j AS (SELECT m.request, m.record, m.record IN (SELECT record FROM f) AS has, issue, lv, coalesce(common, 0) AS common, cnt, v, x.waived, coalesce(ev, false) AS ev
@@ -313,7 +315,7 @@ ENTRIES = {
             WHEN flag = 'R' AND part % 3 <> 0 AND part % 7 = 0 THEN 'reward_rate_context_unknown' END AS issue,
             [flag, flag || basis, flag || program, flag || basis || CASE WHEN flag = 'N' THEN program WHEN flag = 'A' OR part % 3 = 0 THEN 'm' || CASE WHEN part % 5 = 0 THEN 'USD' ELSE 'TRY' END
             ELSE 'r' || CASE WHEN part % 7 = 0 THEN 'u' ELSE 'm' END END || CASE WHEN part % 8 = 0 THEN '100' ELSE '' END] AS ks,
-            CASE WHEN flag = 'A' OR (flag = 'R' AND part % 3 = 0) THEN price WHEN flag = 'N' THEN quantity ELSE discount * 100 END AS v, false AS waived, ev
+            CASE WHEN flag = 'A' OR (flag = 'R' AND part % 3 = 0) THEN price WHEN flag = 'N' THEN quantity ELSE round(discount * 100, 6) END AS v, false AS waived, ev
             FROM (SELECT *, CASE WHEN part % 61 = 0 THEN 'u' WHEN st = 'O' THEN 'c' ELSE 't' END AS basis, CASE WHEN flag = 'N' AND part % 43 > 0 THEN CASE WHEN part % 2 = 0 THEN 'bonus' ELSE 'world' END ELSE '' END AS program
             FROM {_facts_sql()})""",
             "reward", comparison.REWARD.levels, comparison.REWARD.many, True, True,
