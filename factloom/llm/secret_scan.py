@@ -33,9 +33,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: capital inside counts.
 CONTEXT = re.compile(
     r"(?ai)(?:pass(?:word|wd|phrase|code|key)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?|login)"
-    r"(?:[\"']?[\x20\t]*(?:=>|->|[:=]{1,2})[\x20\t]*|(?P<prose>[\x20\t]+is[\x20\t]+|(?<=bearer)[\x20\t]+))[\"']?(?P<value>[^\s\"'<>]{6,})"
+    r"(?:[\"']?[\x20\t]*(?:=>|->|[:=]{1,2})[\x20\t]*|(?P<prose>[\x20\t]+is[\x20\t]+|(?<=bearer)[\x20\t]+))[\"']?(?P<value>[^\s\"'<>]{6})"
 )
+#: What a value, whose first six characters CONTEXT holds, goes on with.
+RUN = re.compile(r"[^\s\"'<>]*")
 
+#: What a login may be without being secret; a credential context inside a URL is judged for itself.
+URL, MAIL = re.compile(r"(?i)[a-z][a-z0-9+.-]{1,20}://"), re.compile(r"[^\s@:/]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}")
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 
 # Common password words, most common first; a word's rank is its cost in guesses.
@@ -55,6 +59,9 @@ class Ranks(dict):
     def __init__(self, words):
         super().__init__((w, k + 1) for k, w in enumerate(words))
         self.longest = max(map(len, self), default=1)
+        #: What words begin and end with, so that a look for words stops early.
+        self.starts = {w[:k] for w in self for k in range(1, len(w) + 1)}
+        self.ends = {w[k:] for w in self for k in range(len(w))}
 
 
 RANK = Ranks(WORDS)
@@ -107,10 +114,28 @@ def in_alphabet(a: str, b: str) -> int | None:
 WAYS = (on_keys, in_alphabet)
 
 
+#: Kinds of characters, and how many of each a guess would try.
+CLASSES = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26), (lambda c: not c.isalnum(), 33))
+
+
 def _alphabet(value: str) -> float:
     """log10 of the characters a brute-force guess would try at each place."""
-    n = 10 * any(c.isdigit() for c in value) + 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value)
-    return log10(max(10, n + 33 * any(not c.isalnum() for c in value)))
+    return log10(max(10, sum(n for kind, n in CLASSES if any(map(kind, value)))))
+
+
+class _Run:
+    """A cheap value, and the costs of its ends for the contexts inside it."""
+
+    def __init__(self, text: str, start: int, end: int, ranks: Ranks):
+        self.value, self.start, self.ranks, self.costs = text[start:end], start, ranks, {}
+        self.last = [next((k for k in range(len(self.value) - 1, -1, -1) if kind(self.value[k])), -1) for kind, _ in CLASSES]
+
+    def cost(self, at: int) -> float:
+        k = at - self.start
+        single = log10(max(10, sum(n for last, (_, n) in zip(self.last, CLASSES) if last >= k)))
+        if single not in self.costs:
+            self.costs[single] = costs_to_go(self.value, single, self.ranks)
+        return self.costs[single][k]
 
 
 def _alike(value: str, i: int, j: int, way: int) -> int:
@@ -198,6 +223,7 @@ def _cheapest(value: str, single: float, ranks: Ranks) -> list[float]:
     """Least cost of each beginning of ``value``."""
     n, low = len(value), _lower(value)
     plain = low.translate(LEET)
+    leet = plain != low
     best = [0.0] + [float("inf")] * n
     known = iter(sorted(repeats(low), key=lambda r: r[0] + 2 * r[2]))
     coming, active = next(known, None), []
@@ -205,8 +231,10 @@ def _cheapest(value: str, single: float, ranks: Ranks) -> list[float]:
     walking: list[list] = []  # walk and the least cost before it, less the turns up to there
     for j in range(1, n + 1):
         cost = best[j - 1] + single
-        for k in range(max(0, j - ranks.longest), j - 2):
-            if best[k] < cost:
+        for k in range(j - 2, max(0, j - ranks.longest) - 1, -1):
+            if low[k:j] not in ranks.ends and not (leet and plain[k:j] in ranks.ends):
+                break
+            if j - k > 2 and best[k] < cost:
                 cost = min(cost, best[k] + _word_cost(value[k:j], low[k:j], plain[k:j], ranks))
         if low[j - 1].isdigit():
             for k in range(max(0, j - DATE_MAX), j - 3):
@@ -231,6 +259,51 @@ def _cheapest(value: str, single: float, ranks: Ranks) -> list[float]:
     return best
 
 
+def costs_to_go(value: str, single: float, ranks: Ranks = RANK) -> list[float]:
+    """Least cost of each end of ``value``, by the pieces of ``_cheapest``: one pass from the end gives all starts.
+
+    Walks, repeats and their lengths are those of the whole ``value``, so an end may repeat what stands before it.
+    """
+    n, low = len(value), _lower(value)
+    plain = low.translate(LEET)
+    leet = plain != low
+    best = [float("inf")] * n + [0.0]
+    # Each with the least cost after it so far; the nearest to the end is last.
+    behind = sorted(repeats(low), key=lambda r: r[1] - r[2])
+    ahead = sorted((w for way in WAYS for w in walks(low, way)), key=lambda w: w[1])
+    active: list[list] = []
+    walking: list[list] = []
+    for i in range(n - 1, -1, -1):
+        cost = best[i + 1] + single
+        for j in range(i + 2, min(n, i + ranks.longest) + 1):
+            if low[i:j] not in ranks.starts and not (leet and plain[i:j] in ranks.starts):
+                break
+            if j - i > 2 and best[j] < cost:
+                cost = min(cost, best[j] + _word_cost(value[i:j], low[i:j], plain[i:j], ranks))
+        if low[i].isdigit():
+            for j in range(i + 4, min(n, i + DATE_MAX) + 1):
+                if low[j - 1].isdigit():
+                    cost = min(cost, best[j] + _date_cost(low, i, j))
+        while ahead and ahead[-1][1] - WALK_MIN >= i:
+            walking.append([ahead.pop(), float("inf")])
+        if walking:
+            walking = [w for w in walking if w[0][0] <= i]
+            for w in walking:
+                (start, end, turns), after = w
+                w[1] = min(after, best[i + WALK_MIN] + TURN * turns[i + WALK_MIN - 1 - start])
+                cost = min(cost, w[1] + WALK + log10(end - start) - TURN * turns[i + 1 - start])
+        while behind and behind[-1][1] - behind[-1][2] >= i:
+            a, e, p = behind.pop()
+            active.append([a + p, p, log10(e - a), float("inf")])
+        if active:
+            active = [r for r in active if r[0] <= i]
+            for r in active:
+                r[3] = min(r[3], best[i + r[1]])
+                cost = min(cost, r[3] + r[2])
+        best[i] = cost
+    return best
+
+
 def _open(value: str, best: list[float], enough: float, longest: int) -> bool:
     """Whether a segmentation that costs less than ``enough`` so far can still go on beyond ``value``."""
     m, low = len(value), _lower(value)
@@ -270,24 +343,32 @@ def spans(text: str, costly: float = COSTLY, ranks: Ranks = RANK) -> list[tuple[
 
     The fixed kinds are leftmost and non-overlapping within each kind. "guess" spans are the
     values of credential contexts that cost at least 10^costly guesses and aren't wholly inside
-    one of the fixed spans; they may overlap those.
+    one of the fixed spans; they may overlap those. A value that is an e-mail address or a URL without a
+    password is none. Where contexts stand inside a cheap value, their values are its ends and are all costed in one
+    pass as parts of it.
     """
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     base = sorted(found)
     starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
-    at = 0
+    at, stop, b, sign, run = 0, 0, 0, -1, None
     while m := CONTEXT.search(text, at):
-        a = m.start("value")
-        value = m["value"].rstrip(".,;:!?)]}")
-        b = a + len(value)
-        at = a  # a cheap value can be the next context: "login: password: ..."
-        if len(value) >= 6 and (m["prose"] is None or MIXED.search(value)) and guess_cost(value, costly, ranks) >= costly:
+        at = a = m.start("value")  # a cheap value can be the next context: "login: password: ..."
+        if a >= stop:
+            stop, run = RUN.match(text, a).end(), None
+            b = a + len(text[a:stop].rstrip(".,;:!?)]}"))
+            sign = text.rfind("@", a, b)
+        if b - a < 6 or (m["prose"] is not None and not MIXED.search(text, a, b)) or MAIL.fullmatch(text, a, b) or (sign < a and URL.match(text, a)):
+            continue
+        cost = run.cost(a) if run else guess_cost(text[a:b], costly, ranks)
+        if cost >= costly:
             at = b
             k = bisect_right(starts, a)
             if not (k and ends[k - 1] >= b):
                 found.append((m.start(), b, "guess"))
+        else:
+            run = run or _Run(text, a, b, ranks)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

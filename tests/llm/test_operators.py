@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import defaultdict
@@ -82,11 +83,11 @@ def test_guess_costs():
     assert cost(long, 8.0) >= 8.0
 
 
-def cheapest_by_hand(value, ranks):
-    """All segmentations into all pieces, each priced by its own definition."""
+def cheapest_by_hand(value, ranks, start=0, single=None):
+    """All segmentations from ``start`` on into all pieces, each priced by its own definition."""
     from math import inf, log10
 
-    n, low, single = len(value), value.lower(), secret_scan._alphabet(value)
+    n, low, single = len(value), value.lower(), single or secret_scan._alphabet(value)
     plain = low.translate(secret_scan.LEET)
     ways = [[None] + [way(low[k - 1], low[k]) for k in range(1, n)] for way in secret_scan.WAYS]
 
@@ -119,7 +120,33 @@ def cheapest_by_hand(value, ranks):
     def least(i):
         return 0.0 if i == n else min(cost(i, j) + least(j) for j in range(i + 1, n + 1))
 
-    return least(0)
+    return least(start)
+
+
+def test_costs_of_all_ends_in_one_pass():
+    rng = random.Random(8)
+    ranks = secret_scan.Ranks(["love", "abc", "cat", "qwe", "password"])
+    for _ in range(150):
+        value = "".join(rng.choice(["love", "1", "a", "99", "qwe", "z", "ab", "c4t", "1999", "ABC", "cba", "fgh", "ü", "abab"]) for _ in range(rng.randrange(1, 5)))[:10]
+        found = secret_scan.costs_to_go(value, 1.5, ranks)
+        for k in range(len(value)):
+            assert found[k] == pytest.approx(cheapest_by_hand(value, ranks, k, 1.5))
+
+
+def test_long_runs_of_contexts_stay_linear():
+    ranks = secret_scan.dictionary(WORD)
+    for unit in ("password=", "login:", "token=aaaa;"):
+        began = time.process_time()
+        secret_scan.spans(unit * (60_000 // len(unit)), ranks=ranks)
+        assert time.process_time() - began < 12, unit
+    assert [k for *_, k in secret_scan.spans("login:" * 500 + "kX9v!Q2m#Z7pLw", ranks=ranks)] == ["guess"]
+
+
+def test_addresses_are_no_secrets():
+    for text in ("login: https://example.org/sign-in/Xy7kQpRt9", "Login: jane.doe+x9Kq2@mail.example.org"):
+        assert secret_scan.spans(text) == []
+    assert [k for *_, k in secret_scan.spans("login: https://jane:kX9vQ2mZ7pLw@example.org")] == ["guess"]
+    assert [k for *_, k in secret_scan.spans("login: https://example.org/?session_token=kX9v!Q2mZ7pLw")] == ["guess"]
 
 
 def test_guess_cost_is_the_cheapest_segmentation():
