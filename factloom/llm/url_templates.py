@@ -1,7 +1,7 @@
 """URL filters by a path-template tree for each host.
 
 Paths are cut into segments; a segment that is a number, a hex string or the like becomes a
-wildcard. Level by level, branches under one node merge if their children and their labels are
+wildcard. Level by level, as far as levels branch, branches under one node merge if their children and their labels are
 distributed like those of its other branches; labels count a host's own URLs that a rule decides
 and, with a bounded weight, those of the same branch at other hosts. Every template's labelled URLs give a
 smoothed share of allowed ones, with the host's, the same template's at all hosts and the whole
@@ -61,24 +61,37 @@ def segments(path: Column) -> Column:
     )
 
 
+#: Levels whose finished templates are gathered in one table.
+GATHER = 16
+
+
 def templates(urls: DataFrame, base: float) -> DataFrame:
     """(host, shape) -> template, n, good, bad from rows (host, shape, _label).
 
     ``shape`` is an array of segments, ``base`` the whole table's share of allowed URLs; the result has one
     row per host and shape. A level has only the nodes that still hold two shapes or more, so long
-    paths end where they stand alone. Each level is written once in the shared folder and
-    read again, so plans stay small.
+    paths end where they stand alone; levels at which no node branches and no shape ends are passed in one step, for a
+    single branch keeps its name. Each level is written once in the shared folder and read again, so plans stay small.
     """
     count = lambda v: F.count_if(F.col("_label") == v)
     shapes = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), count("allow").alias("good"), count("block").alias("bad"))
     tree = written(shapes.withColumn("template", F.array().cast("array<string>")), "templates")
     done, level = [], 0
     while True:
+        ahead = F.slice("shape", level + 1, F.greatest(F.lit(0), F.size("shape") - level))
         # Counts are written before they are joined, here and below, so that a node with very many shapes can be split between tasks.
-        size = written(tree.groupBy("host", "template").agg(F.count("*").alias("_size")), "templates")
-        split = written(tree.join(size, ["host", "template"]).withColumn("_done", (F.col("_size") == 1) | (F.size("shape") <= level)).drop("_size"), "templates")
-        rest = F.concat("template", F.slice("shape", level + 1, F.greatest(F.lit(0), F.size("shape") - level)))
-        done.append(split.where("_done").withColumn("template", rest).drop("_done"))
+        size = written(tree.groupBy("host", "template").agg(F.count("*").alias("_size"), F.min(ahead).alias("_low"), F.max(ahead).alias("_high")), "templates")
+        # What the first and the last shape in order share, all between them share; shapes of merged branches can be equal from here on.
+        unlike = F.array_position(F.zip_with("_low", "_high", lambda a, b: ~a.eqNullSafe(b)), True)
+        shared = size.where("_size > 1").agg(F.min(F.when(unlike > 0, (unlike - 1).cast("int")).otherwise(F.size("_low")))).first()[0]
+        if shared:
+            tree = tree.withColumn("template", F.concat("template", F.slice("shape", level + 1, shared)))
+            level += shared
+            continue
+        split = written(tree.join(size.select("host", "template", "_size"), ["host", "template"]).withColumn("_done", (F.col("_size") == 1) | (F.size("shape") <= level)).drop("_size"), "templates")
+        done.append(split.where("_done").withColumn("template", F.concat("template", ahead)).drop("_done"))
+        if len(done) == GATHER:
+            done = [written(functools.reduce(DataFrame.unionByName, done), "templates")]
         tree = split.where("NOT _done").drop("_done")
         if tree.isEmpty():
             break
