@@ -4,7 +4,8 @@ Fixed masks select some of a window's tokens and ignore the others, so a substit
 a hole leaves the window's hash unchanged. The benchmark's windows are a hash table of bounded
 size in every task; training texts are cut into slices of so many tokens, and a slice's windows
 are made, looked up and laid on the item's tokens one after another, so memory is bounded
-whatever a text repeats. Neither windows nor texts are shuffled; only overlaps leave the task.
+whatever a text repeats. A seed that very many items share, as exam questions with one opening do, is not laid on
+each of them: the tokens about a hit are looked up by parts, one of which is equal if they are alike enough. Neither windows nor texts are shuffled; only overlaps leave the task.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ NO_SEED = 0
 #: Seeds of one broadcast (at most 300 bytes each); a larger benchmark is searched in so many passes.
 BLOCK_SEEDS = 200_000
 BROADCAST_IDS = 1_000_000
+#: Classes of compared tokens that one seed leads to directly; those of a seed with more are found by parts of the tokens.
+HOT_CLASSES = 32
 #: Words are what stands between white space and punctuation, lower-cased.
 SEPARATORS = r"[\s\p{Punct}\p{P}\p{Z}]+"
 #: In scripts written without spaces (Thai, Lao, Burmese, Khmer, Han and kana) every character is a word.
@@ -82,11 +85,46 @@ def seeds(items: DataFrame, item_id: str = "item_id", text_col: str = "text") ->
     return made.select("seed", "item_id", (F.col("at") - first).alias("offset"), F.slice("_tokens", first + 1, AROUND).alias("near")).distinct(), lengths
 
 
-def _verified(docs: DataFrame, keys: list[Column], text_col: str, items: DataFrame, similarity: float, block: int) -> DataFrame:
+def _parts(near: Column, size: Column, similarity: float, token) -> Column:
+    """Hashes of the parts of ``size`` compared tokens, place p in part p modulo their number; ``token`` gives the token at a place.
+
+    There is one part more than tokens that may differ, so two token lists that are alike enough have an equal part. Places
+    of a part lie far from each other: lists that begin or end alike have few equal parts. A part with a missing token is null.
+    """
+    parts = size - F.ceil(similarity * size - F.lit(1e-9)).cast("int") + 1
+
+    def one(g):
+        own = F.transform(F.filter(F.sequence(F.lit(0), size - 1), lambda p: p % parts == g), token)
+        return F.when(~F.exists(own, lambda x: x.isNull()), F.xxhash64(near, size, g, own))
+
+    return F.transform(F.sequence(F.lit(0), parts - 1), one)
+
+
+def _tables(found: DataFrame, similarity: float, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a window's seed leads to, what a part of the compared tokens leads to, and the items of each class.
+
+    Seeds with the same place and the same compared tokens are one class, whatever number of items has it. A seed
+    of up to ``hot`` classes leads to each of them; one of more leads to the places and sizes of its classes only, and each
+    part of the tokens about a window then leads to the classes that have it.
+    """
+    classes = found.select("seed", "offset", "near", "cls").distinct()
+    often = classes.groupBy("seed").count().where(F.col("count") > hot).select("seed")
+    plain = classes.join(often, "seed", "left_anti").select("seed", "offset", "near", "cls", F.lit(None).cast("int").alias("size"))
+    many = classes.join(often, "seed").withColumn("size", F.size("near"))
+    places = many.select("seed", "offset", F.lit(None).cast("array<bigint>").alias("near"), F.lit(None).cast("bigint").alias("cls"), "size").distinct()
+    marked = F.xxhash64("seed", "offset")
+    parts = many.select("seed", F.explode(_parts(marked, F.col("size"), similarity, lambda p: F.get("near", p))).alias("part"), F.col("near").alias("part_near"), F.col("cls").alias("part_cls"))
+    return plain.unionByName(places).checkpoint(), parts.checkpoint(), found.select("cls", "item_id").distinct()
+
+
+def _verified(docs: DataFrame, keys: list[Column], text_col: str, items: DataFrame, similarity: float, block: int, hot: int) -> DataFrame:
     """(_key0, _key1 ..., item_id, first_token, overlap): keys and items with a verified hit."""
+    shared_dir(docs.sparkSession)
     names = [f"_key{k}" for k in range(len(keys))]
     found, lengths = seeds(items)
-    blocks = max(1, -(-found.count() // block))
+    found = found.withColumn("cls", F.xxhash64("seed", "offset", "near")).checkpoint()
+    lookup, parts_of, items_of = _tables(found, similarity, hot)
+    blocks = max(1, -(-max(lookup.count(), parts_of.count()) // block))
     texts = docs.select(*(c.alias(n) for c, n in zip(keys, names, strict=True)), token_hashes(F.col(text_col)).alias("_all"))
     # A slice has the tokens of its windows and those compared around them; its first window is at ``_lead``.
     n = F.size("_all")
@@ -97,19 +135,24 @@ def _verified(docs: DataFrame, keys: list[Column], text_col: str, items: DataFra
     windows = _windows(parts, lengths, lead, F.least(F.lit(SLICE), F.size("_tokens") - lead))
     start = F.col("at") - F.col("offset")
     # Only AROUND tokens leave the loop with a hit; ``lead`` of the item's tokens come before the text begins.
-    laid = [(start - lead + F.col("_base")).alias("start"), F.col("near"), F.slice("_tokens", F.greatest(start, F.lit(0)) + 1, AROUND).alias("around"), F.greatest(-start, F.lit(0)).alias("lead")]
+    laid = [(start - lead + F.col("_base")).alias("start"), F.slice("_tokens", F.greatest(start, F.lit(0)) + 1, AROUND).alias("around"), F.greatest(-start, F.lit(0)).alias("lead")]
+    around = lambda p: F.when(p >= F.col("lead"), F.get("around", p - F.col("lead")))
+    asked = F.when(F.col("size").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(_parts(F.xxhash64("seed", "offset"), F.col("size"), similarity, around))
     hits = None
     for b in range(blocks):
-        some = found if blocks == 1 else found.where(F.pmod("seed", F.lit(blocks)) == b)
-        of_block = windows.join(F.broadcast(some), "seed").select(*names, "item_id", *laid)
+        mine = F.pmod("seed", F.lit(blocks)) == b
+        of_block = windows.join(F.broadcast(lookup.where(mine)), "seed").select(*names, "seed", "offset", "near", "cls", "size", *laid)
+        of_block = of_block.withColumn("part", F.explode(asked)).join(F.broadcast(parts_of.where(mine).drop("seed")), "part", "left")
         hits = of_block if hits is None else hits.unionByName(of_block)
-    alike = F.filter(F.sequence(F.lit(0), F.size("near") - 1), lambda k: (k - F.col("lead") < F.size("around")) & (F.get("near", k) == F.get("around", k - F.col("lead"))))
-    shared = hits.select(*names, "item_id", "start", (F.size(alike) / F.size("near")).alias("share"))
-    first = F.min(F.when(F.col("share") >= similarity, F.greatest(F.lit(0), F.col("start"))))
-    return shared.groupBy(*names, "item_id").agg(first.alias("first_token"), F.max("share").alias("overlap")).where(F.col("overlap") >= similarity)
+    hits = hits.select(*names, "start", "around", "lead", F.coalesce("near", "part_near").alias("near"), F.coalesce("cls", "part_cls").alias("cls")).where("near IS NOT NULL")
+    alike = F.filter(F.sequence(F.lit(0), F.size("near") - 1), lambda k: (k - F.col("lead") < F.size("around")) & (F.get("near", k) == around(k)))
+    shared = hits.select(*names, "cls", "start", (F.size(alike) / F.size("near")).alias("share")).where(F.col("share") >= similarity)
+    best = lambda first: (F.min(first).alias("first_token"), F.max("share").alias("share"))
+    of_class = shared.groupBy(*names, "cls").agg(*best(F.greatest(F.lit(0), F.col("start")))).withColumnRenamed("first_token", "first")
+    return of_class.join(items_of, "cls").groupBy(*names, "item_id").agg(*best("first")).withColumnRenamed("share", "overlap")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS, hot: int = HOT_CLASSES) -> DataFrame:
     """One row per (document, benchmark item) that overlap: ``id_col``, ``item_id``,
     first_token (smallest start of a verified overlap in the document's tokens), overlap (largest
     share of equal tokens).
@@ -120,11 +163,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     count as that document; items that repeat an id count as that item.
     """
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    hits = _verified(docs.where(F.col(id_col).isNotNull()), [F.col(id_col)], text_col, items, similarity, block_seeds)
+    hits = _verified(docs.where(F.col(id_col).isNotNull()), [F.col(id_col)], text_col, items, similarity, block_seeds, hot)
     return hits.select(F.col("_key0").alias(id_col), "item_id", "first_token", "overlap")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS, hot: int = HOT_CLASSES) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item; all their columns.
 
     Rows are matched by a 128-bit hash of their text, so ids may be null or repeated. The hashes
@@ -134,7 +177,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     shared_dir(docs.sparkSession)
     marks = [F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col))]
     items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text).alias("text"))
-    bad = _verified(docs, marks, text_col, items, similarity, block_seeds).select("_key0", "_key1").checkpoint()
+    bad = _verified(docs, marks, text_col, items, similarity, block_seeds, hot).select("_key0", "_key1").checkpoint()
     same = (marks[0] == F.col("_key0")) & (marks[1] == F.col("_key1"))
     return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, same, "left_anti")
 
