@@ -286,46 +286,16 @@ class WordEncoder(dict):
                     yield from self._ordinary(part)
 
 
-class TokenText(dict):
-    """Ids to text for a file without a decoder: the tokens' strings, joined by spaces, in UTF-8.
-
-    State: whether anything came before. The dict keeps the text of short blocks of ids.
-    """
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.v, self.begun = vocabulary, False
-
-    def __missing__(self, ids: bytes) -> bytes:
-        text = " ".join([self.v.token(i) for i in np.frombuffer(ids, dtype="<u4").tolist()]).encode()
-        if len(ids) <= 4 * CACHED:
-            if len(self) >= CACHE:
-                self.clear()
-            self[ids] = text
-        return text
-
-    def reset(self) -> None:
-        self.begun = False
-
-    def feed(self, blocks: list[bytes]) -> bytes:
-        """Text of some blocks of ids; empty blocks add nothing."""
-        text = b" ".join(map(self.__getitem__, filter(None, blocks)))
-        if text and self.begun:
-            return b" " + text
-        self.begun = self.begun or bool(text)
-        return text
-
-    def finish(self) -> bytes:
-        return b""
-
-
 class ByteText(dict):
-    """Ids to the encoded text, in UTF-8: bytes pass through an incremental UTF-8 state machine.
+    """Ids to the encoded text, in UTF-8: bytes pass through an incremental byte-to-text state machine.
 
-    State: the bytes of an incomplete character, at most three. A word end becomes a
-    space. Wrong bytes become replacement characters. The dict keeps the bytes of short blocks of ids.
+    State: the bytes of an incomplete character, at most three, and whether anything came before. A word end
+    becomes a space. Wrong bytes become replacement characters. The dict keeps the bytes of short blocks of ids.
     """
 
+    #: What stands between two tokens.
+    between = b""
+
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
@@ -333,7 +303,7 @@ class ByteText(dict):
         self.reset()
 
     def reset(self) -> None:
-        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+        self.state, self.begun = codecs.getincrementaldecoder("utf-8")("replace"), False
 
     def _bytes(self, i: int) -> bytes:
         name, suffix = self.v.token(i), self.v.suffix
@@ -344,7 +314,7 @@ class ByteText(dict):
         return bytes([self.code[c] for c in core]) + b" " * ends
 
     def __missing__(self, ids: bytes) -> bytes:
-        raw = b"".join([self._bytes(i) for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        raw = self.between.join([self._bytes(i) for i in np.frombuffer(ids, dtype="<u4").tolist()])
         if len(ids) <= 4 * CACHED:
             if len(self) >= CACHE:
                 self.clear()
@@ -352,13 +322,26 @@ class ByteText(dict):
         return raw
 
     def feed(self, blocks: list[bytes]) -> bytes:
-        """Text of some blocks of ids, but for an incomplete character at the end."""
-        return self.state.decode(b"".join(map(self.__getitem__, blocks))).encode()
+        """Text of some blocks of ids, but for an incomplete character at the end; empty blocks add nothing."""
+        raw = self.between.join(map(self.__getitem__, filter(None, blocks)))
+        if raw and self.begun:
+            raw = self.between + raw
+        self.begun = self.begun or bool(raw)
+        return self.state.decode(raw).encode()
 
     def finish(self) -> bytes:
         return self.state.decode(b"", True).encode()
 
 
+class TokenText(ByteText):
+    """The same machine for a file without a decoder: the bytes are those of the tokens' own strings, joined by spaces."""
+
+    between = b" "
+
+    def _bytes(self, i: int) -> bytes:
+        return self.v.token(i).encode()
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, ``ids`` (array of int), ``n_tokens``.
 
@@ -425,6 +408,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
                     decoded.update(back.feed(blocks))
                     if with_ids:
                         kept.append(raw)
+                decoded.update(back.finish())
                 n.append(size // 4)
                 enc.append(made.hexdigest())
                 dec.append(decoded.hexdigest())
