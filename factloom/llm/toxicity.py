@@ -10,8 +10,10 @@ is normalised by its length before the logistic link.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +97,10 @@ class Lexicon:
         found = list(self.machine().iter(folded)) if len(self.machine()) else []
         if not found:
             return Counter()
-        free = [(end - n + 1, end + 1) for end, (k, n) in found if k < 0]
-        return Counter(k for end, (k, n) in found if k >= 0 and not any(a <= end - n + 1 and end < b for a, b in free))
+        free = sorted((end - n + 1, end) for end, (k, n) in found if k < 0)
+        starts, reach = [a for a, _ in free], [-1, *accumulate((b for _, b in free), max)]
+        # Inside a phrase: of the phrases that begin no later, one reaches as far.
+        return Counter(k for end, (k, n) in found if k >= 0 and reach[bisect_right(starts, end - n + 1)] < end)
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         folded = fold(text or "")
@@ -135,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn the lexicon from at most ``sample`` labelled documents, chosen by a hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     chosen = known.join(F.broadcast(bounded_ids(known, id_col, sample)), id_col)
-    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([text_col]).select(text_col, "_label").persist()
+    texts = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(text_col).agg(F.max("_label").alias("_label")).persist()
     try:
         sizes = {r._label: r.n for r in texts.groupBy("_label").agg(F.count("*").alias("n")).collect()}
         n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
