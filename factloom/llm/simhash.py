@@ -183,15 +183,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two star contractions, each an aggregate and a join, and stops when the
     edges no longer change. Every round is checkpointed in the shared folder, so a lost
-    executor costs one round. Nodes without edges don't appear.
+    executor costs one round. The smallest neighbours are written before each join, so that the side
+    of a node with very many edges can be split. Nodes without edges don't appear.
     """
     shared_dir(edges.sparkSession)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).checkpoint()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().checkpoint()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).checkpoint()
         small = (
             large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
