@@ -2,8 +2,8 @@
 
 import hashlib
 import random
-import time
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -424,6 +424,17 @@ def test_width_and_depth_change_nothing(spark, sections):
     assert {r.verdict for r in got if "/bad/" in r.path} == {"block"} and {r.verdict for r in got if "/bad/" not in r.path} == {"allow"}
 
 
+def test_long_shared_paths_are_one_step(spark):
+    """Levels at which nothing branches cost no jobs."""
+    trap = "/".join(f"s{chr(97 + k % 26)}" for k in range(1000))
+    urls = [f"https://a.test/{trap}/{x}" for x in ("p", "q/r", "q/s")] + ["https://b.test/" + trap]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    began = time.time()
+    got = {r.page_id: r.template for r in url_templates.judged(df, rules=()).collect()}
+    assert time.time() - began < 60
+    assert got[3] == f"/{trap}" and all(got[k].startswith(f"/{trap}/") for k in range(3))
+
+
 def test_urls_on_odd_rows(spark):
     rows = [(1, "https://a.org/x/y"), (None, "https://a.org/x/y"), (1, "https://a.org/x/y"), (2, None), (3, "https://b.net/" + "d/" * 3), (4, "https://b.net/" + "d/" * 3 + "e"), (5, "http:///\x00//")]
     df = spark.createDataFrame([(*r, "t", 1, 2) for r in rows], "page_id int, url string, template string, n int, good int")
@@ -445,6 +456,21 @@ def test_exception_phrases():
     assert lexicon.score("clown " + "word " * 5000) < lexicon.score("clown")
 
 
+def test_matches_inside_exception_phrases():
+    lexicon = toxicity.Lexicon([" trash ", " tra", " can "], np.ones(3), 0.0, ("trash can", "can and trash can", "and tra"))
+    rng = random.Random(2)
+    for _ in range(100):
+        folded = toxicity.fold(" ".join(rng.choice(["trash", "can", "and", "tray"]) for _ in range(12)))
+        at = lambda entry: [k for k in range(len(folded)) if folded.startswith(entry, k)]
+        free = [(k, k + len(p) + 2) for p in lexicon.exceptions for k in at(f" {p} ")]
+        by_hand = {n: sum(not any(a <= k and k + len(e) <= b for a, b in free) for k in at(e)) for n, e in enumerate(lexicon.entries)}
+        found = lexicon.matches(folded)
+        assert {n: found[n] for n in by_hand} == by_hand
+    began = time.process_time()
+    lexicon.matches(toxicity.fold("trash can and trash " * 40_000))
+    assert time.process_time() - began < 5
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
@@ -545,18 +571,33 @@ def test_overlaps_against_brute_force(spark):
     docs += [(90, "go " * 70), (91, "stop go " * 40)]
     df, bench = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
     expected = overlaps_by_hand(docs, items)
-    for block in (decontam.BLOCK_SEEDS, 400):
-        got = {(r.doc_id, r.item_id): (r.first_token, r.overlap) for r in decontam.overlaps(df, bench, block_seeds=block).collect()}
+    for options in ({}, {"block_seeds": 400}, {"hot": 0}, {"hot": 2, "block_seeds": 900}):
+        got = {(r.doc_id, r.item_id): (r.first_token, r.overlap) for r in decontam.overlaps(df, bench, **options).collect()}
         assert got == expected
     assert len(expected) > 30
 
 
+def test_items_with_one_opening(spark):
+    """Documents that only share the opening of very many items are not laid on each of them."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    opening = "choose the one best answer to the question below"
+    items = [(k, f"{opening} " + " ".join(rng.choices(words, k=25))) for k in range(1500)]
+    docs = [(k, f"{opening} " + " ".join(rng.choices(words, k=60))) for k in range(300)] + [(1000 + k, items[k * 7][1].replace("question", "task")) for k in range(20)]
+    df, bench = spark.createDataFrame(docs, "doc_id int, text string").repartition(4), spark.createDataFrame(items, "item_id int, text string")
+    found = decontam.overlaps(df, bench).where("overlap >= 0.9")
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(1000 + k, k * 7) for k in range(20)]
+    laid = decontam._tables(decontam.seeds(bench)[0].withColumn("cls", F.xxhash64("seed", "offset", "near")), decontam.SIMILARITY, decontam.HOT_CLASSES)
+    assert laid[0].groupBy("seed").count().agg(F.max("count")).first()[0] <= decontam.HOT_CLASSES
+    assert laid[1].groupBy("part").count().agg(F.max("count")).first()[0] <= 40
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "labels"):
+    for table in ("documents", "benchmark", "pages", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     expected = con.execute(queries.oracle_sql()[name])
     columns = sorted(c[0] for c in expected.description)
