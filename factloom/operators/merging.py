@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import marks, normalizers, wording
 from ..functions.text import search_text
+from ..sources.strict import ensure_checkpoint_dir
 from .candidates import occurrences, rate_question_open
 from .filters import injection
 from .ranking import first_reason
@@ -199,10 +200,12 @@ def merge(
     source's own marks, ``claimed``: the value of GROUNDABLE that the proposal names. ``marked``: document, value, block_id, start, end of those marks.
 
     Facts come back with ``origin`` (draft or model) and ``nth`` inside the field; the summary has accepted, issues and unresolved.
-    Scalars come by field name, each field's rejections in order before its conflict; then lists in order, abstentions, the outcome,
+    The proposals are written once in the checkpoint folder. Scalars come by field name, each field's rejections in order before its conflict; then lists in order, abstentions, the outcome,
     and fields that stay open. An issue that is known already isn't repeated.
     """
-    own = proposals.withColumn("_scalar", F.col("field").isin(*scalars)).withColumn("_valid", F.col("code").isNull())
+    ensure_checkpoint_dir(proposals.sparkSession)
+    # Written once: grounding and reading are dear, and several steps use them.
+    own = proposals.withColumn("_scalar", F.col("field").isin(*scalars)).withColumn("_valid", F.col("code").isNull()).checkpoint()
     by_field = Window.partitionBy(document, "field")
     single = own.where("_scalar").withColumn("_good", F.count_if(F.col("_valid")).over(by_field))
     # A value whose quote fails is bound to the source's own mark, once, where nothing else settles the field.
