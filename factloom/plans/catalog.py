@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, candidates, comparison, drafts, extraction, history, operations, projections, proposals, quality, selection, texts, wording
+from . import blocks, candidates, comparison, drafts, extraction, history, operations, projections, proposals, quality, records, selection, texts, wording
 
-_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES | wording.ENTRIES | blocks.ENTRIES | candidates.ENTRIES | proposals.ENTRIES | drafts.ENTRIES
+_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES | wording.ENTRIES | blocks.ENTRIES | candidates.ENTRIES | proposals.ENTRIES | drafts.ENTRIES | records.ENTRIES
 
 
 def queries() -> dict:
