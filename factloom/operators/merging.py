@@ -264,3 +264,59 @@ def merge(
         document, F.coalesce("accepted", F.lit(0)).cast("bigint").alias("accepted"), F.coalesce("_issues", none).alias("issues"), F.array_sort(F.array_except("unresolved", settled_fields)).alias("unresolved"),
     )
     return merged, summary
+
+
+#: The newer form of responses: quotes only, one fact for each field, no outcome and no abstentions; and its longest quote.
+QUOTES_ONLY, QUOTE_MOST = "model-extraction/1.1", 500
+# The claims that a field's proposal may carry, and claims that say nothing.
+CLAIMS = {
+    "product_family": ("product_family",), "campaign_type": ("campaign_type",), "rate": ("rate_kind", "rate_period", "gross_net_basis"), "fee": ("fee_kind", "fee_basis"), "reward": ("reward_kind", "reward_basis"),
+    "sales_channel": ("sales_channel",), "new_customer_only": ("boolean_value",),
+}
+EMPTY_CLAIMS = {
+    "product_family": "unknown", "campaign_type": "unknown", "sales_channel": "unknown", "rate_kind": "unknown", "rate_period": "unspecified", "gross_net_basis": "unspecified", "fee_kind": "unknown", "fee_basis": "unspecified",
+}
+
+
+def contract_problems(responses: DataFrame, proposals: DataFrame, sent: DataFrame, document: str = "document_id", longest: int = QUOTE_MOST) -> DataFrame:
+    """(document, problem, nth): the first thing in a response that breaks its contract, and the proposal it is in; null where all holds.
+
+    ``responses``: document, schema_version, outcome, abstentions, requested (arrays). ``proposals``: document, nth, field, quote, block_id, raw_text,
+    evidence_quote, evidence_block, hint (map of claims). ``sent``: document, block_id, visible: the windows that the request showed.
+
+    Each proposal is checked for itself first, then the response as a whole, then each one against the request: the field was asked for, the block
+    was sent, and the quote stands in what was shown of it. Of a proposal in both forms, quote and block have to agree; claims have to belong to
+    the field and to say something.
+    """
+    hint = F.coalesce("hint", F.create_map().cast("map<string,string>"))
+    claims = F.map_keys(F.map_filter(hint, lambda k, v: v.isNotNull()))
+    allowed = F.coalesce(F.element_at(F.create_map(*(x for f, own in CLAIMS.items() for x in (F.lit(f), F.lit(list(own))))), F.col("field")), F.array().cast("array<string>"))
+    empty = F.lit(False)
+    for name, value in EMPTY_CLAIMS.items():
+        empty = empty | F.coalesce(hint[name] == value, F.lit(False))
+    quote, block = F.coalesce("quote", "evidence_quote"), F.coalesce("block_id", "evidence_block")
+    own_problem = first_reason(
+        (F.coalesce(F.col("quote") != F.col("evidence_quote"), F.lit(False)), "quote_contradicts_evidence"), (F.coalesce(F.col("block_id") != F.col("evidence_block"), F.lit(False)), "block_contradicts_evidence"),
+        (F.col("raw_text").isNotNull() & quote.isNull(), "quote_missing"), (F.coalesce(F.col("raw_text") != quote, F.lit(False)), "raw_text_is_no_quote"), (F.size(F.array_except(claims, allowed)) > 0, "hint_not_permitted"), (empty, "hint_says_nothing"),
+    )
+    place = lambda phase, nth: F.struct(F.lit(phase).alias("phase"), nth.cast("bigint").alias("nth"))
+    asked = proposals.withColumns({"_quote": quote, "_block": block, "_own": own_problem, "_bare": F.col("quote").isNotNull() & F.col("block_id").isNull() & F.col("raw_text").isNull() & F.col("evidence_quote").isNull() & F.col("evidence_block").isNull() & (F.size(claims) == 0)})
+    single = asked.where("_own IS NOT NULL").select(document, place(0, F.col("nth")).alias("at"), F.col("_own").alias("problem"), "nth")
+
+    facts = asked.groupBy(document).agg(F.count("*").alias("_n"), F.count_distinct("field").alias("_fields"), F.min(F.when(~F.col("_bare"), F.col("nth"))).alias("_full"), F.min(F.when(F.length("quote") > longest, F.col("nth"))).alias("_long"))
+    whole = responses.join(facts, document, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    newer, extracted = F.col("schema_version") == QUOTES_ONLY, F.coalesce(F.col("outcome") == "extracted", F.lit(False))
+    problem = first_reason(
+        (newer & (F.col("outcome").isNotNull() | (F.size("abstentions") > 0)), "outcome_or_abstentions_not_allowed"), (newer & (F.col("_n") > F.col("_fields")), "several_facts_of_a_field"), (newer & F.col("_full").isNotNull(), "not_quote_only"),
+        (newer & F.col("_long").isNotNull(), "quote_too_long"), (extracted & (F.col("_n") == 0), "extracted_without_facts"), (F.col("outcome").isNotNull() & ~extracted & (F.col("_n") > 0), "facts_without_extraction"),
+    )
+    of_response = whole.select(document, place(1, F.lit(0)).alias("at"), problem.alias("problem"), F.lit(None).cast(proposals.schema["nth"].dataType).alias("nth")).where("problem IS NOT NULL")
+
+    shown = sent.select(F.col(document).alias("_doc"), F.col("block_id").alias("_sent"), "visible")
+    met = asked.join(shown, (F.col(document) == F.col("_doc")) & (F.col("_block").isNull() | (F.col("_block") == F.col("_sent"))), "left")
+    seen = met.groupBy(document, "nth", "field", "_block").agg(F.count("_sent").alias("_blocks"), F.coalesce(F.bool_or(F.contains("visible", "_quote")), F.lit(False)).alias("_there"))
+    judged = seen.join(responses.select(document, "requested"), document)
+    late = first_reason((~F.array_contains("requested", F.col("field")), "field_not_requested"), (F.col("_block").isNotNull() & (F.col("_blocks") == 0), "block_not_sent"), (~F.col("_there"), "quote_not_in_window"))
+    against = judged.select(document, place(2, F.col("nth")).alias("at"), late.alias("problem"), "nth").where("problem IS NOT NULL")
+    first = single.unionByName(of_response).unionByName(against).groupBy(document).agg(F.min(F.struct("at", "problem", "nth")).alias("_first"))
+    return responses.select(document).join(first, document, "left").select(document, F.col("_first.problem").alias("problem"), F.col("_first.nth").alias("nth"))

@@ -43,6 +43,22 @@ def proposal_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir).select("document_id", "nth", "field", *(F.when(placed, F.col(c)).alias(c) for c in ("at_block", "start", "end")), "code", "value")
 
 
+def proposal_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first thing in each document's response that breaks its contract; the request showed the first 25 characters of each line."""
+    d, none = F.col("document_id"), F.lit(None).cast("string")
+    own = _proposals(spark, sf_dir).select(
+        "document_id", "nth", "field", "quote", "block_id", F.when((d % 19 == 0) & (F.col("nth") == 2), "other").alias("raw_text"), none.alias("evidence_quote"), F.lit(None).cast("int").alias("evidence_block"),
+        F.when((d % 23 == 0) & (F.col("nth") == 1), F.create_map(F.lit("fee_kind"), F.lit("annual"))).when((d % 29 == 0) & (F.col("nth") == 1), F.create_map(F.lit("campaign_type"), F.lit("unknown"))).alias("hint"),
+    )
+    responses = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 31 == 0, merging.QUOTES_ONLY).otherwise("model-extraction/1.0").alias("schema_version"), F.when(F.col("doc_id") % 17 == 0, "partial").alias("outcome"), F.array().cast("array<string>").alias("abstentions"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit(["title", "campaign_type", "term", "customer_segment"])).otherwise(F.lit(["title", "campaign_type", "term"])).alias("requested"),
+    )
+    # A document without a line that is long enough has fewer proposals, never none.
+    sent = _blocks(spark, sf_dir).where("ordinal % 5 < 4").select("document_id", "block_id", F.substring("text", 1, 25).alias("visible"))
+    return merging.contract_problems(responses, own, sent)
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = _blocks(spark, sf_dir)
     d = F.col("document_id")
@@ -113,6 +129,17 @@ _MERGE_SQL = f"""{_READ_SQL},
 
 ENTRIES = {
     "proposal_grounding": (proposal_grounding, f"""WITH {_READ_SQL} SELECT document_id, nth, field, at_block, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", code, value FROM r"""),
+    "proposal_contract": (
+        proposal_contract,
+        f"""WITH {_READ_SQL},
+        v AS (SELECT p.document_id, p.nth, p.field, p.b, count(l.o) AS n, coalesce(bool_or(contains(left(l.text, 25), q)), false) AS there FROM p LEFT JOIN l ON l.document_id = p.document_id AND (b IS NULL OR b = l.o) AND l.o % 5 < 4 GROUP BY ALL),
+        x AS (SELECT document_id, 2 AS phase, nth, CASE WHEN field = 'customer_segment' AND document_id % 2 = 1 THEN 'field_not_requested' WHEN b IS NOT NULL AND n = 0 THEN 'block_not_sent' WHEN NOT there THEN 'quote_not_in_window' END AS problem FROM v
+            UNION ALL SELECT document_id, 0, nth, CASE WHEN document_id % 19 = 0 AND nth = 2 AND q <> 'other' THEN 'raw_text_is_no_quote' WHEN document_id % 23 = 0 AND nth = 1 THEN 'hint_not_permitted' WHEN document_id % 29 = 0 AND nth = 1 THEN 'hint_says_nothing' END FROM p
+            UNION ALL SELECT doc_id, 1, 0, CASE WHEN doc_id % 31 = 0 AND doc_id % 17 = 0 THEN 'outcome_or_abstentions_not_allowed' WHEN doc_id % 31 = 0 AND EXISTS (SELECT 1 FROM p WHERE document_id = doc_id) THEN 'several_facts_of_a_field'
+                WHEN doc_id % 17 = 0 AND EXISTS (SELECT 1 FROM p WHERE document_id = doc_id) THEN 'facts_without_extraction' END FROM documents),
+        f AS (SELECT document_id, arg_min(problem, (phase, nth)) AS problem, min((phase, nth)) AS pl FROM x WHERE problem IS NOT NULL GROUP BY 1)
+        SELECT doc_id AS document_id, problem, CAST(CASE WHEN pl[1] <> 1 THEN pl[2] END AS INTEGER) AS nth FROM documents LEFT JOIN f ON document_id = doc_id""",
+    ),
     "merged_facts": (
         merged_facts,
         f"""WITH {_MERGE_SQL} SELECT document_id, field, row_number() OVER (PARTITION BY document_id, field ORDER BY origin, nth) AS nth, md5(value) AS value, block_id,

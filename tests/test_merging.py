@@ -154,3 +154,24 @@ def test_cells_slice_the_source(spark, text):
 
     made = spark.createDataFrame([(text,)], "t string").select(marks.cells(F.col("t")).alias("s")).first().s
     assert [m.quote for m in made] == [c.strip(" ") for c in text.split("|")] and all(text[m.start : m.end] == m.quote for m in made)
+
+
+def test_contract(spark):
+    ask = ["rate", "title", "fee"]
+    new, old = merging.QUOTES_ONLY, "model-extraction/1.0"
+    q = lambda field, quote, **more: {"field": field, "quote": quote, **more}
+    cases = [
+        (new, None, [], [q("rate", "oran %2"), q("title", "Ba")], (None, None)), (new, "extracted", [], [q("rate", "oran")], ("outcome_or_abstentions_not_allowed", None)), (new, None, [], [q("rate", "oran"), q("rate", "%2")], ("several_facts_of_a_field", None)),
+        (new, None, [], [q("rate", "oran", block_id="a")], ("not_quote_only", None)), (new, None, [], [q("rate", "oran " * 200)], ("quote_too_long", None)), (new, None, [], [q("term", "oran")], ("field_not_requested", 0)),
+        (new, None, [], [q("title", "Ba"), q("rate", "görünmez")], ("quote_not_in_window", 1)), (old, "extracted", [], [], ("extracted_without_facts", None)), (old, "partial", ["x"], [q("rate", "oran")], ("facts_without_extraction", None)),
+        (old, "extracted", ["x"], [q("rate", "oran", block_id="z")], ("block_not_sent", 0)), (old, None, [], [q("rate", "oran", block_id="b")], ("quote_not_in_window", 0)), (old, None, [], [q("rate", "oran", block_id="a", hint={"rate_kind": "x"})], (None, None)),
+        (old, None, [], [q("rate", "oran", hint={"fee_kind": "x"})], ("hint_not_permitted", 0)), (old, None, [], [q("fee", "oran", hint={"fee_basis": "unspecified"})], ("hint_says_nothing", 0)), (old, None, [], [q("rate", "oran", evidence_quote="oran %2")], ("quote_contradicts_evidence", 0)),
+        (old, None, [], [q("rate", None, evidence_quote="oran", evidence_block="a", raw_text="oran")], (None, None)), (old, None, [], [q("rate", "oran", block_id="a", evidence_block="b")], ("block_contradicts_evidence", 0)), (old, None, [], [q("rate", "oran", raw_text="or")], ("raw_text_is_no_quote", 0)),
+        (old, "partial", [], [q("term", "oran"), q("rate", "oran", hint={"x": "y"})], ("hint_not_permitted", 1)), (old, "abstained", ["x"], [], (None, None)),
+    ]
+    names = ("field", "quote", "block_id", "raw_text", "evidence_quote", "evidence_block", "hint")
+    responses = spark.createDataFrame([(d, v, o, a, ask) for d, (v, o, a, _, _) in enumerate(cases)], "document_id int, schema_version string, outcome string, abstentions array<string>, requested array<string>")
+    proposals = spark.createDataFrame([(d, n, *(p.get(c) for c in names)) for d, (*_, ps, _) in enumerate(cases) for n, p in enumerate(ps)], "document_id int, nth int, field string, quote string, block_id string, raw_text string, evidence_quote string, evidence_block string, hint map<string,string>")
+    sent = spark.createDataFrame([(d, b, t) for d in range(len(cases)) for b, t in (("a", "aylık oran %2"), ("b", "Başlık"))], "document_id int, block_id string, visible string")
+    made = {r.document_id: (r.problem, r.nth) for r in merging.contract_problems(responses, proposals, sent).collect()}
+    assert made == {d: want for d, (*_, want) in enumerate(cases)}
