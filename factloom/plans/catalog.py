@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blocks, candidates, comparison, dialogue, drafts, extraction, history, operations, projections, proposals, quality, records, scanning, selection, stores, texts, wording
+from . import blocks, candidates, comparison, dialogue, drafts, evaluation, extraction, history, operations, projections, proposals, quality, records, scanning, selection, stores, texts, wording
 
-_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES | wording.ENTRIES | blocks.ENTRIES | candidates.ENTRIES | proposals.ENTRIES | drafts.ENTRIES | records.ENTRIES | dialogue.ENTRIES | stores.ENTRIES | scanning.ENTRIES
+_ENTRIES = selection.ENTRIES | history.ENTRIES | comparison.ENTRIES | quality.ENTRIES | texts.ENTRIES | extraction.ENTRIES | operations.ENTRIES | projections.ENTRIES | wording.ENTRIES | blocks.ENTRIES | candidates.ENTRIES | proposals.ENTRIES | drafts.ENTRIES | records.ENTRIES | dialogue.ENTRIES | stores.ENTRIES | scanning.ENTRIES | evaluation.ENTRIES
 
 
 def queries() -> dict:
