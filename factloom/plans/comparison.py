@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import answers, comparison, ranking
+from ..operators import answers, comparison, messages, ranking
 from .tables import table
 
 
@@ -167,6 +167,12 @@ def dimension_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.verdicts(both.withColumn("rank", F.when(F.col("comparable"), F.col("rank"))))
 
 
+def explained_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader is told about each record's fee and term, and how often."""
+    both = fee_comparison(spark, sf_dir).withColumn("dimension", F.lit("fee")).unionByName(term_comparison(spark, sf_dir).withColumn("dimension", F.lit("term")))
+    return both.groupBy("dimension", messages.explanation(F.col("reason_code")).alias("explanation")).agg(F.count("*").alias("n"))
+
+
 def _compared_sql(facts: str, name: str, levels: tuple[str, ...], many: str, single: bool, higher: bool) -> str:
     """DuckDB SQL of a comparison from ``facts``: request, record, idx, issue, ks (keys from coarse to fine), v, waived, ev."""
     top = max(0, len(levels) - 1)
@@ -329,3 +335,10 @@ ENTRIES["dimension_verdicts"] = (
     SELECT request, dimension, CASE WHEN bool_and(comparable) THEN arg_min(record, (rank, record)) END AS winner, CASE WHEN NOT bool_or(comparable) THEN arg_min(reason_code, record) END AS reason
     FROM o GROUP BY request, dimension HAVING count(*) > 1""",
 )
+
+_TOLD = " ".join(f"WHEN '{code}' THEN '{text}'" for code, text in messages.REASONS)
+ENTRIES["explained_outcomes"] = (
+    explained_outcomes,
+    f"""WITH o AS (SELECT reason_code, 'fee' AS dimension FROM ({ENTRIES["fee_comparison"][1]}) UNION ALL SELECT reason_code, 'term' FROM ({ENTRIES["term_comparison"][1]}))
+    SELECT dimension, CASE reason_code {_TOLD} END AS explanation, count(*) AS n FROM o GROUP BY ALL""",
+)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import bundles
+from ..operators import bundles, relevance
 from .tables import table
 
 _CHARS, _SPARE = 1_500, 100
@@ -35,7 +35,41 @@ def answer_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("request", F.md5("answer").alias("answer"), F.length("answer").alias("length"), "insufficient", F.md5(cites).alias("citations"), F.size("citations").alias("n"), F.array_join("warnings", ";").alias("warnings"), "compose_allowed")
 
 
+_QUESTIONS = ("", "konut finansmani", "vakif katilim bankasi icin", "emlak oranlari", "tasit kuveyt turk", "kuveyt turk")
+_KEYWORDS = ((), ("urgent",), ("urgent", "konut"), ("nosuchword",), ("med",))
+_BANKS = (("vakif-katilim", "Vakıf Katılım Bankası A.Ş."), ("kuveyt-turk", "Kuveyt Türk"), ("emlak", "Emlak Anonim Şirketi"), ("x", "A.Ş."))
+_KINDS = ("konut", "tasit", "ihtiyac")
+
+
+def selected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of their orders answer each customer's question."""
+    c, o = F.col("c_custkey"), F.col("o_orderkey")
+    pick = lambda values, k: F.element_at(F.lit(list(values)), (k % len(values) + 1).cast("int"))
+    words = F.element_at(F.array(*(F.lit(list(k)).cast("array<string>") for k in _KEYWORDS)), (c % len(_KEYWORDS) + 1).cast("int"))
+    requests = table(spark, sf_dir, "customer").select(c.alias("request"), pick(_QUESTIONS, c).alias("question"), words.alias("keywords"), F.when(c % 3 == 0, F.lit(["rate", "term"])).otherwise(F.lit(["fee"])).alias("dimensions"), (c % 2 == 0).alias("structured"), F.lit(5).alias("most"))
+    records = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("request"), o.alias("record"), pick([b for b, _ in _BANKS], o).alias("bank_id"), pick([n for _, n in _BANKS], o).alias("bank_name"),
+        F.concat(F.split(F.lower("o_orderpriority"), "[^a-z]+"), F.array(pick(_KINDS, o), F.lit("finansman"))).alias("tokens"), F.when(o % 5 == 0, F.lit(["rate", "fee"])).when(o % 5 == 1, F.lit(["term"])).otherwise(F.array().cast("array<string>")).alias("present"), F.col("o_orderdate").alias("observed_at"),
+    )
+    return relevance.selected(requests, records).select("request", "record", F.col("nth").cast("bigint").alias("nth"), F.col("score").cast("bigint").alias("score"))
+
+
+_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
 ENTRIES = {
+    "selected_records": (
+        selected_records,
+        f"""WITH q AS (SELECT c_custkey AS request, ' ' || {_LIST(_QUESTIONS)}[c_custkey % {len(_QUESTIONS)} + 1] || ' ' AS q, [{", ".join(_LIST(k) + "::VARCHAR[]" for k in _KEYWORDS)}][c_custkey % {len(_KEYWORDS)} + 1] AS ks, CASE WHEN c_custkey % 3 = 0 THEN ['rate', 'term'] ELSE ['fee'] END AS dims, c_custkey % 2 = 0 AS st FROM customer),
+        r AS (SELECT o_custkey AS request, o_orderkey AS record, o_orderdate AS seen, o_orderkey % 4 AS b, list_concat(string_split_regex(lower(o_orderpriority), '[^a-z]+'), [{_LIST(_KINDS)}[o_orderkey % 3 + 1], 'finansman']) AS ts,
+            CASE o_orderkey % 5 WHEN 0 THEN ['rate', 'fee'] WHEN 1 THEN ['term'] ELSE [] END AS present FROM orders),
+        h AS (SELECT *, len(list_filter(ks, lambda k: len(list_filter(ts, lambda t: (starts_with(t, k) OR starts_with(k, t)) AND least(len(t), len(k)) >= 3)) > 0)) AS hits FROM r JOIN q USING (request)),
+        t AS (SELECT *, CASE WHEN hits = len(ks) THEN 0 WHEN NOT st THEN NULL WHEN hits > 0 THEN 1 ELSE 2 END AS tier FROM h),
+        k AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY request) AS best FROM t WHERE tier IS NOT NULL) WHERE tier = best AND (NOT regexp_matches(q, '\b(konut|tasit|ihtiyac)')
+            OR (contains(q, ' konut') AND list_contains(ts, 'konut')) OR (contains(q, ' tasit') AND list_contains(ts, 'tasit')))),
+        n AS (SELECT *, CASE b WHEN 0 THEN contains(q, ' vakif katilim ') WHEN 1 THEN contains(q, ' kuveyt turk ') WHEN 2 THEN contains(q, ' emlak ') ELSE contains(q, ' x ') OR contains(q, ' a s ') END AS named FROM k),
+        m AS (SELECT *, 3 * len(list_filter(dims, lambda d: list_contains(present, d))) + hits AS score FROM (SELECT *, bool_or(named) OVER (PARTITION BY request) AS some FROM n) WHERE named OR NOT some)
+        SELECT request, record, nth, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, seen DESC, record) AS nth FROM m) WHERE nth <= 5""",
+    ),
     "answer_bundles": (
         answer_bundles,
         f"""WITH RECURSIVE q AS (SELECT c_custkey AS request, ['{"', '".join(_INTENTS)}'][c_custkey % 5 + 1] AS intent, c_custkey % 3 > 0 AS scoped,
