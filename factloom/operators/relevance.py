@@ -43,7 +43,7 @@ def selected(requests: DataFrame, records: DataFrame, least: int = LEAST) -> Dat
     asked dimension that is there and one for each keyword; then the newest, then the smallest record.
     """
     own = requests.withColumns({
-        "_question": F.concat(F.lit(" "), fold(F.coalesce("question", F.lit(""))), F.lit(" ")), "_keys": F.filter(F.transform("keywords", fold), lambda k: F.length(k) >= least),
+        "_question": F.concat(F.lit(" "), fold(F.coalesce("question", F.lit(""))), F.lit(" ")), "_keys": F.filter(F.transform("keywords", lambda k: fold(k)), lambda k: F.length(k) >= least),
     })
     own = own.withColumn("_kinds", F.array_compact(F.array(*(F.when(F.col("_question").rlike(rf"\b{s}"), s) for s in SUBFAMILIES))))
     both = own.join(records, "request").withColumn("_hits", F.size(F.filter("_keys", lambda k: keyword_hit(F.col("tokens"), k, least))))

@@ -64,10 +64,10 @@ ENTRIES = {
             CASE o_orderkey % 5 WHEN 0 THEN ['rate', 'fee'] WHEN 1 THEN ['term'] ELSE [] END AS present FROM orders),
         h AS (SELECT *, len(list_filter(ks, lambda k: len(list_filter(ts, lambda t: (starts_with(t, k) OR starts_with(k, t)) AND least(len(t), len(k)) >= 3)) > 0)) AS hits FROM r JOIN q USING (request)),
         t AS (SELECT *, CASE WHEN hits = len(ks) THEN 0 WHEN NOT st THEN NULL WHEN hits > 0 THEN 1 ELSE 2 END AS tier FROM h),
-        k AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY request) AS best FROM t WHERE tier IS NOT NULL) WHERE tier = best AND (NOT regexp_matches(q, '\b(konut|tasit|ihtiyac)')
+        k AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY request) AS best FROM t WHERE tier IS NOT NULL) WHERE tier = best AND (NOT regexp_matches(q, ' (konut|tasit|ihtiyac)')
             OR (contains(q, ' konut') AND list_contains(ts, 'konut')) OR (contains(q, ' tasit') AND list_contains(ts, 'tasit')))),
         n AS (SELECT *, CASE b WHEN 0 THEN contains(q, ' vakif katilim ') WHEN 1 THEN contains(q, ' kuveyt turk ') WHEN 2 THEN contains(q, ' emlak ') ELSE contains(q, ' x ') OR contains(q, ' a s ') END AS named FROM k),
-        m AS (SELECT *, 3 * len(list_filter(dims, lambda d: list_contains(present, d))) + hits AS score FROM (SELECT *, bool_or(named) OVER (PARTITION BY request) AS some FROM n) WHERE named OR NOT some)
+        m AS (SELECT *, 3 * len(list_filter(dims, lambda d: list_contains(present, d))) + hits AS score FROM (SELECT *, bool_or(named) OVER (PARTITION BY request) AS anyone FROM n) WHERE named OR NOT anyone)
         SELECT request, record, nth, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, seen DESC, record) AS nth FROM m) WHERE nth <= 5""",
     ),
     "answer_bundles": (
