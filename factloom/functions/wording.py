@@ -33,17 +33,29 @@ def reward(raw: Column) -> Column:
     In order: one points value; branded or refunded money; a voucher that isn't raffled; a discount as a rate, else as money.
     """
 
+    return let(raw, _reward)
+
+
+def _reward(raw: Column) -> Column:
     def parts(text: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(POINTS), 1)
+        found = F.when(text.contains("puan"), F.regexp_extract_all(text, F.lit(POINTS), 1))
+        as_money = text.rlike(MONEY_REWARDS) | (text.rlike(VOUCHER) & ~text.rlike(RAFFLE))
+        points = let(found, lambda f: F.when(F.size(f) == 1, F.translate(F.get(f, F.lit(0)), ",", ".").try_cast("decimal(20,4)")))
+        return let(points, lambda n: F.struct(n.alias("points"), F.when(n.isNull(), as_money).alias("as_money"), F.when(n.isNull(), text.contains("indirim")).alias("discount")))
+
+    def valued(p: Column) -> Column:
+        """Money and percentages are read only where the words before them leave the reward open."""
         amount, percent = money(raw)["value"], rate(raw, kind_hint=F.lit("discount_rate"))["value"]
-        return F.struct(
-            F.size(found).alias("n"), F.translate(F.get(found, F.lit(0)), ",", ".").try_cast("decimal(20,4)").alias("points"),
-            (text.rlike(MONEY_REWARDS) | (text.rlike(VOUCHER) & ~text.rlike(RAFFLE))).alias("as_money"), text.contains("indirim").alias("discount"), amount.alias("money"), percent.alias("rate"),
-        )
+
+        def after(refund: Column) -> Column:
+            percent_of = F.when(p["discount"] & refund.isNull(), percent)
+            return let(percent_of, lambda r: F.struct(p["points"].alias("points"), p["as_money"].alias("as_money"), p["discount"].alias("discount"), F.when(refund.isNotNull(), refund).when(p["discount"] & ~p["as_money"] & r.isNull(), amount).alias("money"), r.alias("rate")))
+
+        return let(F.when(p["as_money"], amount), after)
 
     def judged(p: Column) -> Column:
         case = (
-            F.when((p["n"] == 1) & p["points"].isNotNull(), "points").when(p["as_money"] & p["money"].isNotNull(), "money")
+            F.when(p["points"].isNotNull(), "points").when(p["as_money"] & p["money"].isNotNull(), "money")
             .when(p["discount"] & (p["rate"].isNotNull() | p["money"].isNotNull()), "discount")
         )
         return let(
@@ -57,7 +69,7 @@ def reward(raw: Column) -> Column:
             ),
         )
 
-    return let(let(search_text(raw), parts), judged)
+    return let(let(let(search_text(raw), parts), valued), judged)
 
 
 def channel(raw: Column) -> Column:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import html, normalizers, text, urls
+from factloom.functions import html, normalizers, text, urls, wording
 from factloom.operators import filters, metrics, paging, ranking, versioning
 
 
@@ -180,3 +180,11 @@ def test_sitemaps_of_a_large_host_are_read_whole(spark, tmp_path, monkeypatch):
     for slices in (texts.SITEMAP_SLICES, 1):
         monkeypatch.setattr(texts, "SITEMAP_SLICES", slices)
         assert {r.host: r.n for r in texts.sitemap_locs(spark, str(tmp_path)).collect()} == {"a.example": 12001, "b.example": 2}
+
+
+def test_a_normalizer_binds_its_text_once(spark):
+    """Each further copy of a long statement would be computed again for every row."""
+    df = spark.createDataFrame([("x",)], "statement string")
+    for read in (normalizers.money, normalizers.rate, normalizers.term, normalizers.date, normalizers.validity, normalizers.fee, wording.reward):
+        plan = df.select(read(F.col("statement")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.split("\n")[0].count("statement#") == 1, read.__name__
