@@ -111,43 +111,93 @@ def jaccard_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float, e
     return linked(sets, reps, threshold).unionByName(copies)
 
 
+#: Longs of the sketch that goes with each token of a prefix, and of the one that goes with a pair; copies that are known to every task (more are taken out by a shuffle join).
+SKETCH, WIDE, COPIES = 4, 32, 400_000
+#: Pairs that are known to every task (16 bytes each), so that the sets of their left sides needn't be shuffled.
+PAIRS = 1_000_000
+
+
+def _sketches(flat: np.ndarray, row: np.ndarray, rows: int, longs: int) -> np.ndarray:
+    """A sketch of each row's tokens: each token turns over one bit, so two sketches differ in no more bits than the sets in tokens."""
+    bits = longs * 64
+    odd = np.bincount(row * bits + flat % bits, minlength=rows * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, row of each, length of each row) of a list column."""
+    ends = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ends)), ends), ends
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(rep, n, w): of each set (rep, set) its size and its wide sketch as an array."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                flat, row, ends = _flat(part.column(1))
+                sketch = _sketches(flat, row, len(ends), WIDE)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ends) + 1) * WIDE, WIDE, dtype=np.int32)), pa.array(sketch.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends.astype(np.int32)), lists], names=["rep", "n", "w"])
+
+    return sets.mapInArrow(run, T.StructType([sets.schema["rep"]]).add("n", "integer").add("w", T.ArrayType(T.LongType())))
+
+
 def _prefixes(sets: DataFrame, counts: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    """(rep, n, token): of each set (rep, set) its n - ceil(threshold * n) + 1 rarest tokens; any partner shares one."""
+    """(rep, n, token, s0, s1, ...): of each set (rep, set) its n - ceil(threshold * n) + 1 rarest tokens; any partner shares one.
+
+    The s are a sketch of the set.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(counts)
-    schema = T.StructType([sets.schema["rep"], T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType())])
+    schema = T.StructType([sets.schema["rep"], T.StructField("n", T.IntegerType()), T.StructField("token", T.LongType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(SKETCH))])
 
     def run(batches):
         known, numbers = shared.value
         for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(ends)), ends)
+            flat, row, ends = _flat(batch.column(1))
             at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
             number = np.where(known[at] == flat, numbers[at], 0) if len(known) else np.zeros(len(flat), np.int64)
             order = np.lexsort((flat, number, row))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
             width = ends - np.ceil(threshold * ends - 1e-9).astype(np.int64) + 1
             kept = order[place < np.repeat(width, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[kept])), pa.array(ends[row[kept]].astype(np.int32)), pa.array(flat[kept])], names=["rep", "n", "token"])
+            sketch = _sketches(flat, row, len(ends), SKETCH)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[kept])), pa.array(ends[row[kept]].astype(np.int32)), pa.array(flat[kept]), *(pa.array(sketch[row[kept], k]) for k in range(SKETCH))], names=[f.name for f in schema]
+            )
 
     return sets.mapInArrow(run, schema)
 
 
 def linked(sets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, right_id, score) of all pairs of representatives of token_sets(), left before right."""
-    own = sets.where(F.size("set") > 0).join(reps.withColumnRenamed("rep", "id"), ["id", "key"], "left_semi").select(F.col("id").alias("rep"), "set").dropDuplicates(["rep"]).checkpoint()
+    """(left_id, right_id, score) of all pairs of representatives of token_sets(), left before right.
+
+    Representatives that share a token of their prefixes are compared by their sketches first: in a pair of the
+    threshold the sets differ in at most (1 - threshold) / (1 + threshold) of their tokens. Pairs that pass are compared by wider
+    sketches, and only for those that pass again are whole sets joined.
+    """
+    copies = sets.select("id", "key").join(reps.withColumnRenamed("rep", "id"), ["id", "key"], "left_anti").distinct().checkpoint()
+    copies = F.broadcast(copies) if copies.count() <= COPIES else copies
+    own = sets.where((F.size("set") > 0) & F.col("id").isNotNull()).join(copies, ["id", "key"], "left_anti").select(F.col("id").alias("rep"), "set")
     often = own.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
     prefix = _prefixes(own, (often["token"].to_numpy(np.int64), often["n"].to_numpy(np.int64)), threshold)
     left, right = prefix.alias("l"), prefix.alias("r")
-    candidates = (
-        left.join(right, F.col("l.token") == F.col("r.token"))
-        .where((F.col("l.rep") < F.col("r.rep")) & (F.least("l.n", "r.n") >= F.lit(threshold) * F.greatest("l.n", "r.n")))
-        .select(F.col("l.rep").alias("left_id"), F.col("r.rep").alias("right_id")).distinct()
-    )
+    differ = sum((F.bit_count(F.col(f"l.s{k}").bitwiseXOR(F.col(f"r.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("l.s0").bitwiseXOR(F.col("r.s0"))))
+    most = F.lit((1 - threshold) / (1 + threshold))
+    near = (F.least("l.n", "r.n") >= F.lit(threshold) * F.greatest("l.n", "r.n")) & (differ <= (F.col("l.n") + F.col("r.n")) * most + 1e-6)
+    candidates = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.rep") < F.col("r.rep")) & near).select(F.col("l.rep").alias("left_id"), F.col("r.rep").alias("right_id")).distinct()
+    wide = _wide(own)
+    u, v = (wide.select(F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("w").alias(f"{x}_w")) for x in ("left", "right"))
+    turned = F.aggregate(F.zip_with("left_w", "right_w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    candidates = candidates.join(u, "left_id").join(v, "right_id").where(turned <= (F.col("left_n") + F.col("right_n")) * most + 1e-6).select("left_id", "right_id").distinct().checkpoint()
     a, b = own.select(F.col("rep").alias("left_id"), F.col("set").alias("_a")), own.select(F.col("rep").alias("right_id"), F.col("set").alias("_b"))
-    both = candidates.join(a, "left_id").join(b, "right_id").withColumn("_common", F.size(F.array_intersect("_a", "_b")))
+    known = F.broadcast(candidates) if candidates.count() <= PAIRS else candidates
+    both = a.join(known, "left_id").join(b, "right_id").withColumn("_common", F.size(F.array_intersect("_a", "_b")))
     score = F.col("_common") / (F.size("_a") + F.size("_b") - F.col("_common"))
-    return both.select("left_id", "right_id", score.alias("score")).where(F.col("score") >= threshold)
+    # An id may stand in the table more than once.
+    return both.select("left_id", "right_id", score.alias("score")).where(F.col("score") >= threshold).distinct()
 
 
 def _ordered(rows: DataFrame, part: list[str], order: str, splits: list) -> DataFrame:

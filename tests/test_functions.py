@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,16 @@ def test_a_normalizer_binds_its_text_once(spark):
     for read in (normalizers.money, normalizers.rate, normalizers.term, normalizers.date, normalizers.validity, normalizers.fee, wording.reward):
         plan = df.select(read(F.col("statement")).alias("x"))._jdf.queryExecution().analyzed().toString()
         assert plan.split("\n")[0].count("statement#") == 1, read.__name__
+
+
+def test_pairs_are_compared_by_sketches_before_whole_sets(spark):
+    """Near copies around the threshold against brute force; the sets themselves go only with pairs that two sketches let pass."""
+    texts = [" ".join(f"w{(k * 7 + j) % (40 + k % 5)}x{k // 6}" for j in range(20 + k % 6)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    sets = [set(t.split()) for t in texts]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6 and sets[a] != sets[b]}
+    own, reps = metrics.token_sets(df, "id", "text")
+    found = metrics.linked(own, reps, 0.6)
+    assert want and {(r.left_id, r.right_id) for r in found.collect()} == want
+    sketched = metrics._prefixes(own.select(F.col("id").alias("rep"), "set"), (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0.6)
+    assert {f"s{k}" for k in range(metrics.SKETCH)} <= set(sketched.columns)
