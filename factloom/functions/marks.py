@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .normalizers import let
+from .normalizers import holds, let
 from .text import search_text
 from .wording import CHANNEL_NO, CHANNEL_YES, CUSTOMER, ONLY, SEGMENT_NO, SEGMENT_YES
 
@@ -46,6 +46,14 @@ CHANNELS = (
 )
 ELIGIBLE = r"\b(?:yararlanabilir|yararlanmak|kosul|sart|gerekmektedir|zorunlu|yalnizca|sadece|uye\s+isyeri)\b"
 AMOUNT = r"(?:₺\s*\d[\d.,]*|\d[\d.,]*\s*(?:(?:bin|milyon|milyar)\s+)?(?:tl|try|turk\s+lirasi|usd|euro|eur|dolar))"
+#: Parts of words without one of which a label's patterns aren't there: a plain search saves the patterns.
+WORDS = {
+    "financing": ("finansman",), "card": ("kart", "paraf"), "participation_account": ("katilma", "katilim", "dagitim"), "investment": ("yatirim", "altin"),
+    "cashback": ("iade",), "discount": ("indirim",), "points": ("puan", "bonus", "parafpara"), "fee_waiver": ("masrafsiz", "ucret"), "welcome": ("geldin", "musteri"), "installment": ("taksit",),
+    "financing_rate": ("finansman",), "profit_share": ("dagitim", "paylasim"),
+    "bireysel": ("bireysel", "gercek"), "ticari": ("ticari",), "kobi": ("kobi",), "emekli": ("emekli",), "genc": ("genc",), "kadin_girisimci": ("girisimci",), "yeni_musteri": ("musteri",),
+    "mobile": ("mobil",), "web": ("internet", "web"), "branch": ("sube",), "digital": ("dijital",),
+}
 #: Longest span of a mark.
 MOST = 500
 
@@ -90,27 +98,29 @@ def _first(key: Column, patterns: tuple[str, ...]) -> Column:
 
 def first_places(text: Column, table) -> Column:
     """array<struct<label, start, end>>: for each label of the table that the text names, its first place, in the table's order."""
+    return let(search_text(text), lambda key: places(key, table))
 
-    def placed(key: Column) -> Column:
-        one = lambda label, patterns: let(_first(key, patterns), lambda p: F.when(p.isNotNull(), F.struct(F.lit(label).alias("label"), p["start"].alias("start"), p["end"].alias("end"))))
-        return F.array_compact(F.array(*(one(label, patterns) for label, patterns in table)))
 
-    return let(search_text(text), placed)
+def places(key: Column, table) -> Column:
+    """first_places() of a text given as search_text()."""
+    one = lambda label, patterns: let(F.when(holds(key, *WORDS[label]), _first(key, patterns)), lambda p: F.when(p.isNotNull(), F.struct(F.lit(label).alias("label"), p["start"].alias("start"), p["end"].alias("end"))))
+    return F.array_compact(F.array(*(one(label, patterns) for label, patterns in table)))
 
 
-def campaign_places(text: Column, heading: Column) -> Column:
-    """first_places() of the campaign types with their vetoes: a free side service names no waiver outside a heading unless the text has
+def campaign_places(key: Column, heading: Column) -> Column:
+    """places() of the campaign types with their vetoes: a free side service names no waiver outside a heading unless the text has
     a fee noun too; a capped financing rate, or one among amount brackets, is a share of a value unless it names the profit."""
     plain = tuple((label, p) for label, p in CAMPAIGNS if label != "financing_rate")
     names = [label for label, _ in CAMPAIGNS]
 
     def judged(key: Column) -> Column:
         waiver = heading | key.rlike(FEE_NOUN)
-        rates = F.when(key.rlike(BRACKET), first_places(text, (("financing_rate", PRICED),))).otherwise(first_places(text, (("financing_rate", UNCAPPED),)))
-        kept = F.filter(first_places(text, plain), lambda m: (m["label"] != "fee_waiver") | waiver)
+        stated = F.when(key.rlike(BRACKET), places(key, (("financing_rate", PRICED),))).otherwise(places(key, (("financing_rate", UNCAPPED),)))
+        rates = F.when(holds(key, *WORDS["financing_rate"]), stated).otherwise(F.array().cast("array<struct<label:string,start:int,end:int>>"))
+        kept = F.filter(places(key, plain), lambda m: (m["label"] != "fee_waiver") | waiver)
         return F.array_sort(F.concat(kept, rates), lambda a, b: F.array_position(F.lit(names), a["label"]).cast("int") - F.array_position(F.lit(names), b["label"]).cast("int"))
 
-    return let(search_text(text), judged)
+    return let(key, judged)
 
 
 def named(text: Column, table) -> Column:
@@ -123,40 +133,55 @@ def channel_places(sentence: Column) -> Column:
 
     A place that says by itself what is positive is the mark, else the whole sentence is.
     """
+    return let(search_text(sentence), channels)
+
+
+def channels(key: Column) -> Column:
+    """channel_places() of a sentence given as search_text()."""
 
     def judged(key: Column) -> Column:
-        both = _first(key, (BOTH_DIGITAL,))
+        both = F.when(holds(key, "mobil"), _first(key, (BOTH_DIGITAL,)))
         # What the joint wording covers names no channel of its own.
-        kept = F.filter(first_places(sentence, CHANNELS), lambda m: both.isNull() | (m["end"] <= both["start"]) | (m["start"] >= both["end"]))
+        kept = F.filter(places(key, CHANNELS), lambda m: both.isNull() | (m["end"] <= both["start"]) | (m["start"] >= both["end"]))
         own = F.concat(F.array_compact(F.array(F.when(both.isNotNull(), F.struct(F.lit("digital").alias("label"), both["start"].alias("start"), both["end"].alias("end"))))), kept)
-        said = F.transform(
+        said = lambda own: F.transform(
             own,
             lambda m: F.when(F.substr(key, m["start"] + 1, m["end"] - m["start"]).rlike(CHANNEL_YES), m).otherwise(F.struct(m["label"].alias("label"), F.lit(0).alias("start"), F.length(key).alias("end"))),
         )
         priority = F.when(key.rlike(ONLY), 2).otherwise(1)
-        return F.when(key.rlike(CHANNEL_YES) & ~key.rlike(CHANNEL_NO) & (F.size(own) > 0), F.struct(priority.alias("priority"), said.alias("places")))
+        return let(own, lambda x: F.when((F.size(x) > 0) & key.rlike(CHANNEL_YES) & ~key.rlike(CHANNEL_NO), F.struct(priority.alias("priority"), said(x).alias("places"))))
 
-    return let(search_text(sentence), judged)
+    return let(key, judged)
 
 
-def segment_places(text: Column) -> Column:
-    """Segments that a text states positively; new customers only where the text restricts itself to them."""
+def segment_places(key: Column) -> Column:
+    """Segments that a text (given as search_text()) states positively; new customers only where the text restricts itself to them."""
 
     def judged(key: Column) -> Column:
         positive, restricted = key.rlike(SEGMENT_YES) & ~key.rlike(SEGMENT_NO), _first(key, RESTRICTED)
-        return F.filter(first_places(text, SEGMENTS), lambda m: F.when(m["label"] == "yeni_musteri", restricted.isNotNull()).otherwise(positive))
+        return F.filter(places(key, SEGMENTS), lambda m: F.when(m["label"] == "yeni_musteri", restricted.isNotNull()).otherwise(positive))
 
-    return let(search_text(text), judged)
+    return let(key, judged)
 
 
 def restriction(text: Column) -> Column:
     """struct<start, end> of the wording that restricts an offer to new customers, else null."""
-    return let(search_text(text), lambda key: _first(key, RESTRICTED))
+    return let(search_text(text), restricted)
+
+
+def restricted(key: Column) -> Column:
+    """restriction() of a text given as search_text()."""
+    return F.when(holds(key, "musteri"), _first(key, RESTRICTED))
 
 
 def universal(sentence: Column) -> Column:
     """struct<start, end> of the wording that opens an offer to everyone, null in a negative sentence."""
-    return let(search_text(sentence), lambda key: F.when(~key.rlike(SEGMENT_NO) & ~key.rlike(CHANNEL_NO), _first(key, UNIVERSAL)))
+    return let(search_text(sentence), universally)
+
+
+def universally(key: Column) -> Column:
+    """universal() of a sentence given as search_text()."""
+    return F.when(holds(key, "musteri") & ~key.rlike(SEGMENT_NO) & ~key.rlike(CHANNEL_NO), _first(key, UNIVERSAL))
 
 
 def eligible(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import html, marks, normalizers, wording
-from ..functions.normalizers import let
+from ..functions.normalizers import holds, let
 from ..functions.text import search_text
 from ..sources.strict import ensure_checkpoint_dir
 from .blocks import table_context
@@ -37,6 +37,10 @@ GENERIC, CAP = r"\b(?:aylik\s+)?kar\s+(?:payi\s+)?orani\b", r"\b(?:azami\s+)?fin
 MECHANISM = r"karz\s*[-‐‑‒]\s*i\s+hasen"
 MECHANISM_CONTEXT = (rf"\b(?:finansman|kart|urun|hesap)[^.!?;\n]{{0,80}}\(\s*{MECHANISM}\s*\)", rf"\b(?:finansman|urun)\s+(?:yontemi|modeli|mekanizmasi)\s*(?:olarak|:)?\s*{MECHANISM}\b")
 
+#: Parts of words without one of which a pattern above isn't there.
+PERCENT_WORDS, AMOUNT_WORDS, FEE_WORDS = ("%", "‰", "yuzde", "binde", "puan"), ("finansman", "kullandirim", "tutar"), ("ucret", "masraf", "tahsis", "aidat", "komisyon")
+ELIGIBLE_WORDS = ("yararlan", "kosul", "sart", "gerekmektedir", "zorunlu", "yalnizca", "sadece", "isyeri")
+
 _HINT = "struct<kind:string,period:string,at:int,width:int,sole:boolean,term_at:int,in_months:boolean>"
 
 
@@ -73,7 +77,7 @@ def rate_hints(blocks: DataFrame, document: str = "document_id") -> DataFrame:
     A header row speaks for the rows under it in the same table, a label of a profit rate for its own block; a header row
     that says nothing takes the last one's word away.
     """
-    key, row = search_text(F.col("text")), F.col("kind") == "table_row"
+    key, row = F.col("_key"), F.col("kind") == "table_row"
     has = lambda name: F.array_contains("families", name)
     only_financing, financing = (F.size("families") == 1) & has("financing"), has("financing") & ~has("participation_account")
     in_context = ~key.rlike(DEPOSIT) & (financing | key.rlike(FINANCING))
@@ -83,10 +87,10 @@ def rate_hints(blocks: DataFrame, document: str = "document_id") -> DataFrame:
     monthly = F.when(F.regexp_extract(key, GENERIC, 0).rlike(r"\baylik\b"), "monthly")
     generic = F.when((only_financing | key.rlike(FINANCING)) & ~key.rlike(DEPOSIT), _general("financing_profit_rate", monthly))
     cap = F.when(key.rlike(CAP) & key.rlike(marks.BRACKET), _general("ltv_ratio", F.lit(None)))
-    is_generic = key.rlike(GENERIC)
+    is_generic = holds(key, "orani") & key.rlike(GENERIC)
     of_row = F.when(columns.isNotNull(), columns).when(is_generic, generic).otherwise(cap)
     heads = columns.isNotNull() | is_generic | cap.isNotNull() | (key.rlike("[a-z]") & ~key.rlike(r"\d"))
-    judged = blocks.withColumns({"_own": F.when(row, of_row).when(is_generic, generic), "_heads": row & heads})
+    judged = blocks.withColumn("_key", search_text(F.col("text"))).withColumns({"_own": F.when(row, of_row).when(is_generic, generic), "_heads": row & heads}).drop("_key")
     placed = table_context(judged, document, "ordinal", row, F.col("_heads"), F.col("_own"))
     return placed.withColumn("hint", F.coalesce("_own", "context")).drop("_own", "_heads", "context")
 
@@ -124,7 +128,7 @@ def _rates(day: Column) -> Column:
         return F.struct(public.alias("value"), cell["start"].alias("start"), cell["end"].alias("end"))
 
     cell = F.when(hint["at"].isNotNull(), _hinted_cell(quote, hint))
-    stated = key.rlike(PERCENT) & ~key.rlike(FEE_CONTEXT) & ~(key.rlike(DATE) & out_of_force(quote, day))
+    stated = holds(key, *PERCENT_WORDS) & key.rlike(PERCENT) & ~key.rlike(FEE_CONTEXT) & ~(key.rlike(DATE) & out_of_force(quote, day))
     wide = F.length("quote")
     return F.when(stated, let(let(cell, made), lambda r: F.when(r["value"].isNotNull(), F.array(_fact("rate", r["value"], F.coalesce(r["start"], F.lit(0)), F.coalesce(r["end"], wide))))))
 
@@ -132,7 +136,7 @@ def _rates(day: Column) -> Column:
 def _amounts() -> Column:
     key = F.col("_key")
     one = lambda found: let(F.get(found, F.lit(0)), lambda s: let(normalizers.money(s["quote"])["value"], lambda v: F.when(v.isNotNull(), F.array(_fact("financing_amount", F.to_json(v), s["start"], s["end"])))))
-    stated = key.rlike(MONEY) & key.rlike(AMOUNT_CONTEXT) & ~key.rlike(OTHER_AMOUNT)
+    stated = holds(key, *AMOUNT_WORDS) & key.rlike(MONEY) & key.rlike(AMOUNT_CONTEXT) & ~key.rlike(OTHER_AMOUNT)
     return F.when(stated, let(marks.spans(F.col("quote"), marks.AMOUNT), lambda found: F.when(F.size(found) == 1, one(found))))
 
 
@@ -143,12 +147,13 @@ def sentence_facts(sentences: DataFrame, day: Column, document: str = "document_
     fees = let(normalizers.fee(quote), lambda v: F.when(v.isNotNull(), F.array(_fact("fee", F.to_json(v)))))
     rewards = let(wording.reward(quote), lambda v: F.when(v.isNotNull(), F.array(_fact("reward", F.to_json(v)))))
     read = (
-        _rates(day), _amounts(), F.when(key.rlike(TERM), terms), F.when(key.rlike(normalizers.FEE_MARK), fees),
-        F.when(key.rlike(r"puan|iade|indirim|hediye|alisveris"), rewards), F.when(key.rlike(marks.ELIGIBLE), F.array(_fact("eligibility_condition", quote))),
+        _rates(day), _amounts(), F.when((holds(key, "vade") | (key.rlike("[0-9]") & holds(key, "ay", "yil", "sene"))) & key.rlike(TERM), terms), F.when(holds(key, *FEE_WORDS) & key.rlike(normalizers.FEE_MARK), fees),
+        F.when(holds(key, "puan", "iade", "indirim", "hediye", "alisveris"), rewards), F.when(holds(key, *ELIGIBLE_WORDS) & key.rlike(marks.ELIGIBLE), F.array(_fact("eligibility_condition", quote))),
     )
     none = F.array().cast("array<struct<field:string,value:string,start:int,end:int>>")
     own = sentences.withColumn("_key", search_text(quote)).withColumn("_facts", F.array_distinct(F.concat(*(F.coalesce(x, none) for x in read))))
-    return own.select(document, "ordinal", "block_id", "no", F.posexplode("_facts").alias("k", "f")).select(document, "ordinal", "no", "k", "f.field", "f.value", "block_id", "f.start", "f.end")
+    # An inner explode would infer a filter on the array, which would read each sentence a second time.
+    return own.select(document, "ordinal", "block_id", "no", F.posexplode_outer("_facts").alias("k", "f")).where("f IS NOT NULL").select(document, "ordinal", "no", "k", "f.field", "f.value", "block_id", "f.start", "f.end")
 
 
 def draft(blocks: DataFrame, day: Column | None = None, document: str = "document_id") -> tuple[DataFrame, DataFrame]:
@@ -163,11 +168,12 @@ def draft(blocks: DataFrame, day: Column | None = None, document: str = "documen
     text = F.coalesce("text", F.lit(""))
     own = blocks.select(document, "block_id", "ordinal", "kind", text.alias("text"))
     heading = F.col("kind") == "heading"
-    own = own.withColumn("_bad", injection(F.col("text")))
+    own = own.withColumns({"_bad": injection(F.col("text")), "_key": search_text(F.col("text"))})
+    key, fair = F.col("_key"), ~F.col("_bad")
     read = own.withColumns({
-        "_families": F.when(~F.col("_bad"), marks.first_places(F.col("text"), marks.FAMILIES)), "_types": F.when(~F.col("_bad"), marks.campaign_places(F.col("text"), heading)),
-        "_segments": F.when(~F.col("_bad"), marks.segment_places(F.col("text"))), "_new": F.when(~F.col("_bad"), marks.restriction(F.col("text"))),
-    }).checkpoint()
+        "_families": F.when(fair, marks.places(key, marks.FAMILIES)), "_types": F.when(fair, marks.campaign_places(key, heading)), "_segments": F.when(fair, marks.segment_places(key)),
+        "_new": F.when(fair, marks.restricted(key)), "_mechanism": fair & key.contains("hasen"),
+    }).drop("_key").checkpoint()
     safe = read.where("NOT _bad")
     spot = lambda m: F.struct("ordinal", "block_id", m["start"].alias("start"), m["end"].alias("end"))
     ids = read.select(document).distinct()
@@ -190,7 +196,8 @@ def draft(blocks: DataFrame, day: Column | None = None, document: str = "documen
     none = F.array().cast("array<string>")
     hinted = rate_hints(safe.select(document, "block_id", "ordinal", "kind", "text").join(named, document, "left").withColumn("families", F.coalesce("families", none)), document)
     cut = html.sentences(hinted.select(F.struct(document, "ordinal", "block_id", "hint").alias("_id"), "text"), "_id", "text").select("_id.*", "no", "quote", "start", "end")
-    cut = cut.withColumns({"_channel": marks.channel_places(F.col("quote")), "_all": marks.universal(F.col("quote")), "_window": F.when(search_text(F.col("quote")).rlike(DATE), normalizers.validity(F.col("quote"), day)["value"])}).checkpoint()
+    dated = (key.rlike("[0-9]") | holds(key, *normalizers.MONTHS, "sonuna")) & key.rlike(DATE)
+    cut = cut.withColumn("_key", search_text(F.col("quote"))).withColumns({"_channel": marks.channels(key), "_all": marks.universally(key), "_window": F.when(dated, normalizers.validity(F.col("quote"), day)["value"])}).drop("_key").checkpoint()
     listed = sentence_facts(cut, day, document).checkpoint()
     place = lambda m: F.struct("ordinal", "no", "block_id", (F.col("start") + m["start"]).alias("start"), (F.col("start") + m["end"]).alias("end"))
 
@@ -201,7 +208,7 @@ def draft(blocks: DataFrame, day: Column | None = None, document: str = "documen
     mechanism = F.coalesce(*(F.when(key_at > 0, key_at) for key_at in (F.regexp_instr(search_text(F.col("text")), F.lit(p)) for p in MECHANISM_CONTEXT)))
     inner = lambda at: let(F.regexp_instr(search_text(F.substr("text", at, F.lit(1 << 30))), F.lit(MECHANISM)), lambda k: at - 1 + k - 1)
     length = lambda start: F.length(F.regexp_extract(search_text(F.substr("text", start + 1, F.lit(1 << 30))), MECHANISM, 0))
-    mechanisms = safe.withColumn("_at", mechanism).where("_at IS NOT NULL").withColumn("start", inner(F.col("_at"))).withColumn("end", F.col("start") + length(F.col("start")))
+    mechanisms = safe.where("_mechanism").withColumn("_at", mechanism).where("_at IS NOT NULL").withColumn("start", inner(F.col("_at"))).withColumn("end", F.col("start") + length(F.col("start")))
     mechanisms = mechanisms.groupBy(document).agg(F.min(F.struct("ordinal", F.lit("karz_i_hasen").alias("value"), "block_id", "start", "end")).alias("product_mechanism"))
 
     state = ids.join(titles, document, "left").join(only(families, "product_family"), document, "left").join(only(labels("_types"), "campaign_type"), document, "left").join(only(channels, "sales_channel"), document, "left")

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.normalizers import holds, let
+
 
 def equal_filters(filters: dict[str, object]) -> Column:
     """Conjunction of equalities; a filter whose value is None doesn't apply."""
@@ -49,27 +51,34 @@ def access_challenge(html: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-# Phrases by which a text tries to take over instructions.
+# Phrases by which a text tries to take over instructions, each behind parts of words without one of which it isn't there.
 INJECTIONS = (
-    r"\bignore\s+(?:all\s+)?(?:previous|prior)\s+instructions?\b",
-    r"\b(?:onceki|önceki)\s+(?:(?:tum|tüm)\s+)?(?:talimatlari|talimatları|yonergeleri|yönergeleri)\s+(?:yoksay|yok\s+say|unut|gormezden\s+gel|görmezden\s+gel)",
-    r"\b(?:sistem|system)\s+(?:mesajini|mesajını|promptunu)\s+(?:yoksay|yok\s+say|gormezden\s+gel|görmezden\s+gel)",
-    r"\b(?:system|developer|assistant)\s*(?:prompt|message|mesaji|mesajı)\b",
-    r"\b(?:return|output|çıktı|cikti)\s+(?:only\s+)?json\b",
-    r"\b(?:tool|function)\s*(?:call|çağrısı|cagrisi)\b",
-    r"\b(?:execute|run|çalıştır|calistir)\s+(?:this\s+)?(?:sql|shell|command)",
-    r"\bcurl\s+https?://",
-    r"(?:/etc/passwd|api[_ -]?key|secret[_ -]?key|parolayi?\s+goster)",
-    r"\b(?:yönetici|yonetici|admin|sistem|system)[^\n]{0,48}(?:parola|şifre|sifre|api[_ -]?key|secret[_ -]?key)[^\n]{0,80}"
-    r"(?:cevap|yanıt|yanit|başlık|baslik|çıktı|cikti|output)[^\n]{0,48}(?:ekle|yaz|göster|goster|döndür|dondur|paylaş|paylas)",
-    r"\b(?:kaynakta|kanıtta|kanitta)\s+(?:yazmasa|olmasa|bulunmasa)\s+da\b",
-    r"\b(?:sahte|uydur(?:ulmuş|ulmus)?)\b[^\n]{0,48}(?:citation(?:_id)?|atıf|atif|kaynak)[^\n]{0,48}(?:üret|uret|ekle|yaz|döndür|dondur)",
+    (("ignore",), r"\bignore\s+(?:all\s+)?(?:previous|prior)\s+instructions?\b"),
+    (("nceki",), r"\b(?:onceki|önceki)\s+(?:(?:tum|tüm)\s+)?(?:talimatlari|talimatları|yonergeleri|yönergeleri)\s+(?:yoksay|yok\s+say|unut|gormezden\s+gel|görmezden\s+gel)"),
+    (("mesaj", "promptunu"), r"\b(?:sistem|system)\s+(?:mesajini|mesajını|promptunu)\s+(?:yoksay|yok\s+say|gormezden\s+gel|görmezden\s+gel)"),
+    (("prompt", "message", "mesaj"), r"\b(?:system|developer|assistant)\s*(?:prompt|message|mesaji|mesajı)\b"),
+    (("json",), r"\b(?:return|output|çıktı|cikti)\s+(?:only\s+)?json\b"),
+    (("tool", "function"), r"\b(?:tool|function)\s*(?:call|çağrısı|cagrisi)\b"),
+    (("sql", "shell", "command"), r"\b(?:execute|run|çalıştır|calistir)\s+(?:this\s+)?(?:sql|shell|command)"),
+    (("curl",), r"\bcurl\s+https?://"),
+    (("/etc/passwd", "key", "parolay"), r"(?:/etc/passwd|api[_ -]?key|secret[_ -]?key|parolayi?\s+goster)"),
+    (("parola", "ifre", "key"), r"\b(?:yönetici|yonetici|admin|sistem|system)[^\n]{0,48}(?:parola|şifre|sifre|api[_ -]?key|secret[_ -]?key)[^\n]{0,80}"
+    r"(?:cevap|yanıt|yanit|başlık|baslik|çıktı|cikti|output)[^\n]{0,48}(?:ekle|yaz|göster|goster|döndür|dondur|paylaş|paylas)"),
+    (("masa",), r"\b(?:kaynakta|kanıtta|kanitta)\s+(?:yazmasa|olmasa|bulunmasa)\s+da\b"),
+    (("sahte", "uydur"), r"\b(?:sahte|uydur(?:ulmuş|ulmus)?)\b[^\n]{0,48}(?:citation(?:_id)?|atıf|atif|kaynak)[^\n]{0,48}(?:üret|uret|ekle|yaz|döndür|dondur)"),
 )
+#: Letters that are equal to one of a-z in either case although their lower case isn't.
+ALIKE_FROM, ALIKE_TO = "\u0131\u0130\u017f\u212a", "iisk"
 
 
 def injection(text: Column) -> Column:
     """Whether a text carries an obvious takeover phrase; null: no."""
-    out = F.lit(False)
-    for pattern in INJECTIONS:
-        out = out | text.rlike(f"(?iU){pattern}")
-    return F.coalesce(out, F.lit(False))
+
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for words, pattern in INJECTIONS:
+            # A plain search for a part of the phrase saves most patterns.
+            out = out | (holds(low, *words) & text.rlike(f"(?iU){pattern}"))
+        return F.coalesce(out, F.lit(False))
+
+    return let(F.lower(F.translate(text, ALIKE_FROM, ALIKE_TO)), found)

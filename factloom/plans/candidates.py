@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import candidates, signals
-from .tables import table
+from .tables import spread, table
 
 _LINES = ["l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_extendedprice"]
 _NUMBERED = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINES)})"
@@ -102,7 +102,7 @@ _FAMILIES = (("title", "summary"), ("rate", "term", "fee"), ("segment", "channel
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents as blocks; short ones are headings."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
-    return docs.select("document_id", "ordinal", F.col("ordinal").alias("block_id"), F.when(F.length("text") < 60, "heading").otherwise("paragraph").alias("kind"), "text")
+    return spread(docs, "document_id", "ordinal").select("document_id", "ordinal", F.col("ordinal").alias("block_id"), F.when(F.length("text") < 60, "heading").otherwise("paragraph").alias("kind"), "text")
 
 
 def field_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
