@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import marks
 from factloom.functions.text import search_text
-from factloom.operators import filters
+from factloom.operators import comparison, filters
 from factloom.plans.candidates import _blocks
 
 
@@ -38,3 +38,17 @@ def test_searches_before_patterns_lose_no_mark(spark):
         named = F.array_compact(F.array(*(F.when(F.coalesce(*(F.nullif(F.col("key").rlike(p), F.lit(False)) for p in patterns)), label) for label, patterns in table)))
         for row in rows.select("t", F.transform(marks.places(F.col("key"), table), lambda m: m["label"]).alias("found"), named.alias("named")).collect():
             assert row.found == row.named, row.t
+
+
+def test_a_comparison_shuffles_records_and_facts_once(spark):
+    records = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (2, 3), (None, 4)], "request long, record long")
+    facts = spark.createDataFrame(
+        [(1, 1, 0, None, ["k", "k/a"], 2.0, False, False, "percent", ["e1"]), (1, 2, 0, None, ["k", "k/a"], 1.0, False, False, "percent", ["e2"]), (2, 3, 0, None, ["k", "k/b"], 3.0, False, False, "percent", ["e3"]), (2, 9, 0, "x", ["k", "k/b"], 3.0, False, False, "percent", ["e4"])],
+        "request long, record long, index int, issue string, levels array<string>, value double, waived boolean, higher boolean, unit string, evidence_ids array<string>",
+    ).withColumn("value", F.col("value").cast(comparison.NUMBER))
+    found = comparison.compared(records, facts, comparison.RATE)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    assert sorted((r.request, r.record, r.comparable, r["rank"], r.reason_code, tuple(r.evidence_ids)) for r in found.collect()) == [
+        (1, 1, True, 2, "ranked_lower_is_better", ("e1",)), (1, 2, True, 1, "ranked_lower_is_better", ("e2",)), (2, 3, True, 1, "ranked_lower_is_better", ("e3",)),
+    ]
