@@ -1,10 +1,13 @@
 """What has to hold for large tables: work spread over tasks, plain searches before patterns, bounded state."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.functions import marks
 from factloom.functions.text import search_text
-from factloom.operators import comparison, filters
+from factloom.operators import comparison, filters, ranking
+from factloom.plans import tables
 from factloom.plans.candidates import _blocks
 
 
@@ -52,3 +55,26 @@ def test_a_comparison_shuffles_records_and_facts_once(spark):
     assert sorted((r.request, r.record, r.comparable, r["rank"], r.reason_code, tuple(r.evidence_ids)) for r in found.collect()) == [
         (1, 1, True, 2, "ranked_lower_is_better", ("e1",)), (1, 2, True, 1, "ranked_lower_is_better", ("e2",)), (2, 3, True, 1, "ranked_lower_is_better", ("e3",)),
     ]
+
+
+def test_tasks_grow_with_the_table_and_not_in_size(spark):
+    assert tables.tasks(spark.range(10)) == spark.sparkContext.defaultParallelism
+    assert tables.tasks(spark.range(tables.TASK_ROWS * 9 + 1)) == 10
+
+
+def test_waivers_cover_prices_without_a_join(spark):
+    rows, draw = [], random.Random(5)
+    for _ in range(900):
+        rows.append((draw.randrange(60), draw.randrange(3), draw.choice("ab"), draw.choice("xy"), draw.random() < 0.4))
+    facts = spark.createDataFrame(rows[:400], "request long, record long, p string, s string, w boolean")
+    found = ranking.common_fee_signatures(facts, "request", "record", ["p"], ["s"], "w", 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = set()
+    for r in {x[0] for x in rows[:400]}:
+        own = [x for x in rows[:400] if x[0] == r]
+        records = {x[1] for x in own}
+        for p in {x[2] for x in own}:
+            waivers, prices = {x[1] for x in own if x[2] == p and x[4]}, [x for x in own if x[2] == p and not x[4]]
+            want |= {(r, p, s) for s in {x[3] for x in prices} if waivers | {x[1] for x in prices if x[3] == s} == records}
+            want |= {(r, p, None)} if not prices and waivers == records else set()
+    assert {tuple(x) for x in found.collect()} == want and found.count() == len(want)
