@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..operators import blocks as ops
-from .tables import table
+from .tables import spread, table, tasks
 
 
 def table_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as blocks: R lines are header rows (quantity decides the hint), A lines rows, N lines other text."""
     rank = F.row_number().over(ops.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity", rank.alias("ordinal"))
+    line = table(spark, sf_dir, "lineitem")
+    lines = spread(line, "l_orderkey", n=tasks(line)).select("l_orderkey", "l_returnflag", "l_quantity", rank.alias("ordinal"))
     said = F.when(F.col("l_quantity") % 3 == 0, F.lit("Kâr payı oranı")).when(F.col("l_quantity") % 3 == 1, F.lit("Yıllık maliyet oranı")).otherwise(F.lit("Vade"))
     found = ops.table_context(lines, "l_orderkey", "ordinal", F.col("l_returnflag") != "N", F.col("l_returnflag") == "R", ops.header_hint(said))
     return found.where("l_returnflag = 'A'").select("l_orderkey", F.col("ordinal").cast("bigint").alias("ordinal"), "context")
