@@ -9,7 +9,7 @@ from ..functions import html, normalizers
 from ..functions.text import FOLD_FROM, FOLD_TO
 from ..operators import answers, planner, validation
 from ..operators.filters import injection
-from .tables import table
+from .tables import spread, table, tasks
 
 
 def facts(blocks: DataFrame, document: str, block: str, text: str) -> DataFrame:
@@ -89,6 +89,7 @@ _ASKED = (("rate",), ("term", "fee"), ("reward",), ("fee", "rate", "term"), ())
 def answer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of orders as records: lines by flag are rates, terms, fees; cheap ones are rewards, taxless ones amounts; part numbers state the evidence's status."""
     line = table(spark, sf_dir, "lineitem")
+    line = spread(line, "l_orderkey", n=tasks(line))
     status = F.when(F.col("l_partkey") % 3 == 0, "stated").when(F.col("l_partkey") % 3 == 1, "inferred").otherwise("unknown")
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax", "l_partkey", "l_extendedprice", status.alias("status"))))
     # Line numbers repeat within an order, so the lines are numbered anew.

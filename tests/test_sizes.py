@@ -2,12 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import marks
 from factloom.functions.text import search_text
 from factloom.operators import comparison, filters, ranking
-from factloom.plans import tables
+from factloom.plans import blocks, extraction, tables
 from factloom.plans.candidates import _blocks
 
 
@@ -78,3 +79,10 @@ def test_waivers_cover_prices_without_a_join(spark):
             want |= {(r, p, s) for s in {x[3] for x in prices} if waivers | {x[1] for x in prices if x[3] == s} == records}
             want |= {(r, p, None)} if not prices and waivers == records else set()
     assert {tuple(x) for x in found.collect()} == want and found.count() == len(want)
+
+
+@pytest.mark.parametrize("query", [blocks.table_context, extraction.answer_facts])
+def test_lines_are_spread_by_order_over_tasks_of_bounded_size(spark, query):
+    found = query(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression [l_orderkey" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
