@@ -32,16 +32,17 @@ def sitemap_walk(sources: DataFrame, bodies: DataFrame, allowed, source: str = "
     ``sources``: source, roots (array of arrays: the first sitemaps of each host in order). ``bodies``: url, locs (array, in order), one row for each
     sitemap that was landed. ``allowed`` tells from (source row's columns, url) whether an address may be used. A host's sitemaps are a queue; sitemaps found
     go to its end unless they wait there already, the next host begins when it is empty, and each one taken from it,
-    landed or not, spends one of ``fetches``. The walk ends with them or with ``pool`` addresses. It takes one join a fetch.
+    landed or not, spends one of ``fetches``. The walk ends with them or with ``pool`` addresses. It takes one join a fetch; ``bodies`` are
+    made and dealt by address once, before the first, so a fetch only deals the sources by the sitemap they take next.
     """
     ensure_checkpoint_dir(sources.sparkSession)
     item = "array<struct<host:int,url:string>>"
     seeds = F.flatten(F.transform("roots", lambda urls, h: F.transform(urls, lambda u: F.struct(h.alias("host"), u.alias("url")))))
     fit = lambda q: F.filter(q, lambda x: allowed(x["url"]))
     state = sources.withColumns({"_queue": fit(seeds).cast(item), "_found": F.array().cast("array<string>")}).drop("roots").checkpoint()
+    landed = bodies.select(F.col("url").alias("_url"), F.col("locs").alias("_locs")).repartition("_url").checkpoint()
     for _ in range(fetches):
         head = F.get("_queue", F.lit(0))
-        landed = bodies.select(F.col("url").alias("_url"), F.col("locs").alias("_locs"))
         step = state.withColumns({"_head": head["url"], "_host": head["host"]}).join(landed, F.col("_head") == F.col("_url"), "left")
         rest = F.slice("_queue", 2, F.greatest(F.size("_queue") - 1, F.lit(0)))
         is_map = lambda u: F.endswith(F.lower(u), F.lit(".xml"))

@@ -20,12 +20,15 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders are the sitemaps of two hosts; an order lists its parts, and some parts are sitemaps of suppliers."""
     order, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     o = F.col("o_orderkey")
-    name = F.concat(F.lit("o"), o, F.lit(".xml"))
-    half = lambda k: F.transform(F.array_sort(F.collect_list(F.when(o % 2 == k, F.struct(o.alias("o"), name.alias("n"))))), lambda x: x["n"])
+    name = lambda key: F.concat(F.lit("o"), key, F.lit(".xml"))
+    half = lambda k: F.transform(F.sort_array(F.collect_list(F.when(o % 2 == k, o))), name)
     sources = order.groupBy(F.col("o_custkey").alias("source_id")).agg(F.array(half(0), half(1)).alias("roots"))
-    part = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("s"), F.col("l_suppkey"), F.lit(".xml"))).otherwise(F.concat(F.lit("p"), F.col("l_partkey")))
-    listed = lambda rows, key: rows.groupBy(key.alias("url")).agg(F.transform(F.array_sort(F.collect_set(F.struct("l_partkey", part.alias("u")))), lambda x: x["u"]).alias("locs"))
-    bodies = listed(line.where("l_orderkey % 4 > 0"), F.concat(F.lit("o"), "l_orderkey", F.lit(".xml"))).unionByName(listed(line.where("l_partkey % 7 = 0"), F.concat(F.lit("s"), "l_suppkey", F.lit(".xml"))))
+    # Keys are grouped as numbers; only what a sitemap lists in the end becomes text.
+    name_of = lambda x: F.when(x["p"] % 5 == 0, F.concat(F.lit("s"), x["s"], F.lit(".xml"))).otherwise(F.concat(F.lit("p"), x["p"]))
+    item = F.struct(F.col("l_partkey").alias("p"), F.when(F.col("l_partkey") % 5 == 0, F.col("l_suppkey")).alias("s"))
+    in_order = lambda items: F.transform(F.sort_array(F.transform(items, lambda x: F.struct(x["p"].alias("p"), name_of(x).alias("u")))), lambda x: x["u"])
+    listed = lambda rows, key, kind: rows.groupBy(key).agg(F.collect_set(item).alias("items")).select(F.concat(F.lit(kind), key, F.lit(".xml")).alias("url"), in_order(F.col("items")).alias("locs"))
+    bodies = listed(line.where("l_orderkey % 4 > 0"), "l_orderkey", "o").unionByName(listed(line.where("l_partkey % 7 = 0"), "l_suppkey", "s"))
     walked = scans.sitemap_walk(sources, bodies, lambda u: ~F.endswith(u, F.lit("3")), fetches=_FETCHES, pool=_POOL)
     return walked.select("source_id", F.col("nth").cast("bigint").alias("nth"), "url")
 

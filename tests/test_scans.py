@@ -100,3 +100,18 @@ def test_security(spark):
     assert got[3] == (False, False, ["decision_mismatch", "network_attempted", "product_outcome_invalid", "product_path_incomplete"])
     assert tuple(security.security_gate(made).first()) == ("insufficient_data", 6, 2, 0, 2)
     assert security.security_gate(made.where("case_id < 2"), 2).first().status == "fail" and security.security_gate(made.where("case_id < 1"), 1).first().status == "pass"
+
+
+def test_a_walk_makes_its_bodies_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    bodies = spark.createDataFrame([("a.xml", ["b.xml", "p1"]), ("b.xml", ["c.xml", "p2"]), ("c.xml", ["p3"])], "url string, locs array<string>")
+    sources = spark.createDataFrame([(1, [["a.xml"]])], "source_id int, roots array<array<string>>")
+    walked = scans.sitemap_walk(sources, bodies.mapInArrow(seen, bodies.schema), lambda u: F.lit(True), fetches=3, pool=9)
+    assert [r.url for r in walked.orderBy("nth").collect()] == ["p1", "p2", "p3"]
+    assert made.value == 3
