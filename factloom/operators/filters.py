@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.normalizers import holds, let
+from ..functions.text import swapped
 
 
 def equal_filters(filters: dict[str, object]) -> Column:
@@ -81,4 +82,4 @@ def injection(text: Column) -> Column:
             out = out | (holds(low, *words) & text.rlike(f"(?iU){pattern}"))
         return F.coalesce(out, F.lit(False))
 
-    return let(F.lower(F.translate(text, ALIKE_FROM, ALIKE_TO)), found)
+    return let(F.lower(swapped(text, ALIKE_FROM, ALIKE_TO)), found)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .filters import injection
-from .signals import BLOCKS, relevant_blocks
+from .signals import BLOCKS, read_blocks
 
 SCHEMA = "untrusted-document/1.0"
 #: Bytes of the whole request text, and characters of one block's window.
@@ -55,7 +55,8 @@ def budgeted(ranked: DataFrame, base: Column, budget: int = BUDGET, document: st
     first_over = F.min(F.when(F.col("_after") > budget, F.col("nth"))).over(Window.partitionBy(document))
     shown = summed.withColumn("_over", first_over).where("_over IS NULL OR nth <= _over")
     visible = F.when(F.col("_after") <= budget, F.col("window")).otherwise(fitting(F.col("window"), F.col("_room")))
-    return shown.withColumn("visible", visible).where("visible <> ''").drop("_around", "_size", "_after", "_room", "_over")
+    # Exploded, so that a text is cut once: a filter behind it would be moved before it and cut the text anew.
+    return shown.withColumn("visible", F.explode(F.filter(F.array(visible), lambda v: v != ""))).drop("_around", "_size", "_after", "_room", "_over")
 
 
 def packages(
@@ -68,7 +69,7 @@ def packages(
     order of relevance, each as one window. ``error`` says where even a request without blocks is beyond the budget; then nothing is sent.
     """
     bad = blocks.where(injection(F.col("text"))).groupBy(document).agg(F.array_sort(F.collect_list("block_id")).alias("_bad"))
-    ranked = relevant_blocks(blocks, terms, document, most, width).join(blocks.select(document, "block_id", "kind"), [document, "block_id"])
+    ranked = read_blocks(blocks, terms, document, most, width)
     empty = F.array().cast(f"array<struct<block_id:{blocks.schema['block_id'].dataType.simpleString()},kind:string,text:string>>")
     sized = documents.withColumn("_base", F.octet_length(frame(F.col(document), F.col("bank_id"), list(terms), empty)))
     kept = budgeted(ranked.join(sized.select(document, "_base"), document), F.col("_base"), budget, document)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.normalizers import let
+from ..functions.text import swapped
 from .filters import injection
 
 #: Characters before a window's first signal, and blocks and fields taken at most.
@@ -32,7 +34,7 @@ FAMILIES = (
 
 def plain(text: Column) -> Column:
     """Lower case with the Turkish letters as plain ones."""
-    return F.translate(F.lower(text), "ışğüöçâ", "isguoca")
+    return let(F.lower(text), lambda low: swapped(low, "ışğüöçâ", "isguoca"))
 
 
 def _pattern(terms: tuple[str, ...]) -> str:
@@ -40,14 +42,27 @@ def _pattern(terms: tuple[str, ...]) -> str:
     return "(?:" + "|".join(t[:-1] if t.endswith("$") else re.escape(t) for t in terms) + ")"
 
 
+def _apart(terms: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The terms without those that begin with another one, for a place counts once; None where patterns or terms that may overlap themselves need a pattern."""
+    if any(t.endswith("$") or any(t[:k] == t[-k:] for k in range(1, len(t))) for t in terms):
+        return None
+    return tuple(t for t in dict.fromkeys(terms) if not any(o != t and t.startswith(o) for o in terms))
+
+
 def signal_count(key: Column, terms: tuple[str, ...]) -> Column:
     """Number of places where one of the terms begins, each place once, in a text that plain() made."""
-    return F.regexp_count(key, F.lit(f"(?={_pattern(terms)})")) if terms else F.lit(0)
+    if (apart := _apart(terms)) is None:
+        return F.regexp_count(key, F.lit(f"(?={_pattern(terms)})"))
+    # What a text loses without a term tells how often it is there: a plain search, no pattern.
+    times = lambda t: F.floor((F.octet_length(key) - F.octet_length(F.replace(key, F.lit(t), F.lit("")))) / len(t.encode())).cast("int")
+    return sum((times(t) for t in apart), F.lit(0))
 
 
 def first_signal(key: Column, terms: tuple[str, ...]) -> Column:
     """Place of the first term, from 0; none: null."""
-    return F.nullif(F.regexp_instr(key, F.lit(_pattern(terms))), F.lit(0)) - 1 if terms else F.lit(None).cast("int")
+    if _apart(terms) is None:
+        return F.nullif(F.regexp_instr(key, F.lit(_pattern(terms))), F.lit(0)) - 1
+    return F.least(*(F.nullif(F.instr(key, F.lit(t)), F.lit(0)) for t in terms), *[F.lit(None).cast("int")] * 2) - 1
 
 
 def _bonus(field: str, kind: Column) -> Column:
@@ -78,17 +93,26 @@ def chosen_fields(scores: DataFrame, families: tuple[tuple[str, ...], ...], docu
     return asked.where(F.col("nth") <= most).select(document, "field", "nth")
 
 
+def read_blocks(blocks: DataFrame, terms: dict[str, tuple[str, ...]], document: str = "document_id", most: int = BLOCKS, width: int = 400) -> DataFrame:
+    """relevant_blocks() with the kind of each."""
+
+    def read(key: Column) -> Column:
+        relevance = sum((signal_count(key, t) + _bonus(f, F.col("kind")) for f, t in terms.items()), F.lit(0))
+        first = F.least(*(first_signal(key, t) for t in terms.values()), *[F.lit(None).cast("int")] * 2)
+        start = F.coalesce(F.greatest(F.lit(0), first - LEAD), F.lit(0))
+        return F.struct(relevance.alias("relevance"), F.when(F.length("text") <= width, F.col("text")).otherwise(F.substr("text", start + 1, F.lit(width))).alias("window"))
+
+    order = Window.partitionBy(document).orderBy(F.desc("relevance"), F.when(F.col("kind") == "heading", 0).otherwise(1), F.asc("ordinal"))
+    # An exploded row is read once; a filter behind it would be moved before it and read the text anew.
+    signalled = F.filter(F.array(let(plain(F.col("text")), read)), lambda r: r["relevance"] > 0)
+    safe = blocks.where(~injection(F.col("text"))).select(document, "block_id", "ordinal", "kind", F.inline(signalled))
+    return safe.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(document, "block_id", "nth", "relevance", "window", "kind")
+
+
 def relevant_blocks(blocks: DataFrame, terms: dict[str, tuple[str, ...]], document: str = "document_id", most: int = BLOCKS, width: int = 400) -> DataFrame:
     """(document, block_id, nth, relevance, window): the blocks (document, block_id, ordinal, kind, text) worth reading for the fields of ``terms``.
 
     Blocks come by falling relevance, headings first, then in order; blocks without a signal and
     quarantined ones don't come. The window of a long block begins up to LEAD characters before its first signal.
     """
-    safe = blocks.where(~injection(F.col("text"))).withColumn("_key", plain(F.col("text")))
-    relevance = sum((signal_count(F.col("_key"), t) + _bonus(f, F.col("kind")) for f, t in terms.items()), F.lit(0))
-    first = F.least(*(first_signal(F.col("_key"), t) for t in terms.values()), F.lit(None).cast("int"))
-    start = F.coalesce(F.greatest(F.lit(0), first - LEAD), F.lit(0))
-    window = F.when(F.length("text") <= width, F.col("text")).otherwise(F.substr("text", start + 1, F.lit(width)))
-    order = Window.partitionBy(document).orderBy(F.desc("relevance"), F.when(F.col("kind") == "heading", 0).otherwise(1), F.asc("ordinal"))
-    scored = safe.withColumns({"relevance": relevance, "window": window}).where("relevance > 0").withColumn("nth", F.row_number().over(order))
-    return scored.where(F.col("nth") <= most).select(document, "block_id", "nth", "relevance", "window")
+    return read_blocks(blocks, terms, document, most, width).drop("kind")

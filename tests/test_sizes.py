@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import marks
 from factloom.functions.text import search_text
-from factloom.operators import comparison, filters, ranking
+from factloom.operators import comparison, filters, prompts, ranking, signals
 from factloom.plans import blocks, extraction, tables
 from factloom.plans.candidates import _blocks
 
@@ -86,3 +86,26 @@ def test_lines_are_spread_by_order_over_tasks_of_bounded_size(spark, query):
     found = query(spark, "/root/testdata/sf0.001")
     assert "RepartitionByExpression [l_orderkey" in found._jdf.queryExecution().optimizedPlan().toString()
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_signals_are_counted_and_placed_by_plain_searches(spark):
+    draw = random.Random(3)
+    rows = spark.createDataFrame([("".join(draw.choices(["the", "und", "a", "an", "aa", "b", "İ", "ş", "ö", " ", "que"], k=draw.randrange(30))),) for _ in range(200)], "t string")
+    key = signals.plain(F.col("t"))
+    for row in rows.select("t", key.alias("k"), F.translate(F.lower("t"), "ışğüöçâ", "isguoca").alias("w")).collect():
+        assert row.k == row.w
+    for terms in (("the", "que"), ("an", "a"), ("aa", "b"), ("s", "o", "the"), ()):
+        pattern = signals._pattern(terms) if terms else "(?!)"
+        want = F.regexp_count(key, F.lit(f"(?={pattern})")), F.nullif(F.regexp_instr(key, F.lit(pattern)), F.lit(0)) - 1
+        for row in rows.select("t", signals.signal_count(key, terms).alias("n"), signals.first_signal(key, terms).alias("at"), want[0].alias("wn"), want[1].alias("wat")).collect():
+            assert (row.n, row.at) == (row.wn, row.wat), (terms, row.t)
+
+
+def test_a_package_reads_each_block_once(spark):
+    lines = spark.createDataFrame([(1, 0, 0, "heading", "the que"), (1, 1, 1, "paragraph", "x" * 500 + " the")], "document_id long, block_id int, ordinal int, kind string, text string")
+    documents = spark.createDataFrame([(1, "b")], "document_id long, bank_id string")
+    found = prompts.packages(documents, lines, {"title": ("the",), "fee": ("que",)}, budget=400)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # No pattern for plain terms, and no second reading of the blocks for their kind.
+    assert "(?=" not in plan and plan.count("Join ") == 3, plan
+    assert [x.block_id for x in found.first().included] == [0, 1]
