@@ -54,7 +54,8 @@ def signal_count(key: Column, terms: tuple[str, ...]) -> Column:
     if (apart := _apart(terms)) is None:
         return F.regexp_count(key, F.lit(f"(?={_pattern(terms)})"))
     # What a text loses without a term tells how often it is there: a plain search, no pattern.
-    times = lambda t: F.floor((F.octet_length(key) - F.octet_length(F.replace(key, F.lit(t), F.lit("")))) / len(t.encode())).cast("int")
+    lost = lambda t: F.octet_length(key) - F.octet_length(F.replace(key, F.lit(t), F.lit("")))
+    times = lambda t: F.when(key.contains(t), F.floor(lost(t) / len(t.encode())).cast("int")).otherwise(0)
     return sum((times(t) for t in apart), F.lit(0))
 
 
@@ -85,11 +86,13 @@ def chosen_fields(scores: DataFrame, families: tuple[tuple[str, ...], ...], docu
     name, at most ``most``.
     """
     number = F.coalesce(*(F.when(F.col("field").isin(*f), k) for k, f in enumerate(families)))
-    own = scores.withColumn("_family", number).where(F.col("_family").isNotNull())
-    rank = own.groupBy(document, "_family").agg(F.bool_or(F.col("priority") & (F.col("score") > 0)).alias("p"), F.max("score").alias("peak"), F.sum("score").alias("total"))
-    best = rank.groupBy(document).agg(F.max(F.struct("p", "peak", "total", (-F.col("_family")).alias("no"))).alias("_best")).select(document, (-F.col("_best.no")).alias("_family"))
-    order = Window.partitionBy(document).orderBy(F.desc("priority"), F.desc("score"), F.asc("field"))
-    asked = own.join(best, [document, "_family"]).where("score > 0").withColumn("nth", F.row_number().over(order))
+    own = scores.withColumn("_family", number).where(F.col(document).isNotNull() & F.col("_family").isNotNull())
+    # Windows, not a join with the best families: that would read the texts behind the scores twice.
+    family, whole = Window.partitionBy(document, "_family"), Window.partitionBy(document)
+    rank = F.struct(F.bool_or(F.col("priority") & (F.col("score") > 0)).over(family).alias("p"), F.max("score").over(family).alias("peak"), F.sum("score").over(family).alias("total"), (-F.col("_family")).alias("no"))
+    best = own.withColumn("_rank", rank).withColumn("_best", F.max("_rank").over(whole)).where("_rank.no = _best.no")
+    order = whole.orderBy(F.desc("priority"), F.desc("score"), F.asc("field"))
+    asked = best.where("score > 0").withColumn("nth", F.row_number().over(order))
     return asked.where(F.col("nth") <= most).select(document, "field", "nth")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import marks
 from factloom.functions.text import search_text
 from factloom.operators import comparison, filters, prompts, ranking, signals
-from factloom.plans import blocks, extraction, tables
+from factloom.plans import blocks, candidates, extraction, tables
 from factloom.plans.candidates import _blocks
 
 
@@ -109,3 +109,18 @@ def test_a_package_reads_each_block_once(spark):
     # No pattern for plain terms, and no second reading of the blocks for their kind.
     assert "(?=" not in plan and plan.count("Join ") == 3, plan
     assert [x.block_id for x in found.first().included] == [0, 1]
+
+
+def test_takeovers_are_searched_behind_the_only_shuffle(spark):
+    found = candidates.field_choice(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The texts are read once, and the filter of lines isn't left to the tasks that read the table.
+    assert plan.count("Relation ") == 1 and "Join" not in plan, plan
+    assert "RLIKE" in plan and "RLIKE" not in plan[plan.index("RepartitionByExpression") :], plan
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_one_family_is_asked_and_documents_without_an_id_are_not(spark):
+    scores = [(1, "title", 3, False), (1, "rate", 2, False), (1, "fee", 2, False), (2, "title", 3, False), (2, "summary", 0, False), (2, "fee", 1, True), (3, "rate", 0, True), (3, "title", 0, False), (None, "title", 5, False), (4, "other", 9, True)]
+    made = signals.chosen_fields(spark.createDataFrame(scores, "document_id int, field string, score long, priority boolean"), (("title", "summary"), ("rate", "fee")))
+    assert sorted(tuple(r) for r in made.collect()) == [(1, "title", 1), (2, "fee", 1)]
