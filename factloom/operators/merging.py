@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import marks, normalizers, wording
 from ..functions.text import search_text
 from ..sources.strict import ensure_checkpoint_dir
-from .candidates import occurrences, rate_question_open
+from .candidates import rate_question_open
 from .filters import injection
 from .ranking import first_reason
 
@@ -35,14 +35,24 @@ def grounded(proposals: DataFrame, blocks: DataFrame, document: str = "document_
     document, block_id, kind, text. A quote has to stand exactly once, overlapping places counted, in the blocks asked for; offsets that
     the model added have to agree; and neither the quote nor its block may try to take over instructions.
     """
+    text = F.col("text")
     lines = blocks.select(F.col(document).alias("_doc"), F.col("block_id").alias("_block"), "kind", "text")
-    asked = (F.col(document) == F.col("_doc")) & (F.col("block_id").isNull() | (F.col("block_id") == F.col("_block")))
-    n = F.coalesce(occurrences(F.col("text"), F.col("quote")), F.lit(0))
-    start = F.instr("text", F.col("quote")) - 1
-    place = F.when(F.col("_n") > 0, F.struct(F.col("_block").alias("at_block"), start.alias("start"), (start + F.length("quote")).alias("end"), "kind", injection(F.col("text")).alias("bad")))
-    met = proposals.select(document, "nth", "quote", "block_id").join(lines, asked, "left").withColumn("_n", n)
-    found = met.groupBy(document, "nth").agg(F.count("_block").alias("_blocks"), F.sum("_n").alias("_hits"), F.max(place).alias("_at"))
-    own = proposals.join(found, [document, "nth"])
+    known = proposals.where(F.col(document).isNotNull() & F.col("nth").isNotNull())
+    # One row for all proposals of a document: a block meets them once, and only what is found goes on, without the text.
+    asked = known.groupBy(document).agg(F.collect_list(F.struct("nth", "quote", "block_id")).alias("_asked"))
+    holds = lambda p: F.coalesce((F.length(p["quote"]) > 0) & F.contains(text, p["quote"]), F.lit(False))
+
+    def place(p: Column) -> Column:
+        # Whether it stands once or more often is all that counts.
+        hits = lambda at: F.when(at.isNull(), 0).when(F.position(p["quote"], text, at + 1) > 0, 2).otherwise(1)
+        return normalizers.let(F.when(holds(p), F.instr(text, p["quote"])), lambda at: F.struct(p["nth"].alias("nth"), hits(at).alias("_n"), (at - 1).alias("start"), (at - 1 + F.length(p["quote"])).alias("end")))
+
+    met = lines.join(asked.hint("shuffle_hash"), F.col(document) == F.col("_doc"))
+    met = met.withColumn("_meant", F.filter("_asked", lambda p: (p["block_id"] == F.col("_block")) | (p["block_id"].isNull() & holds(p))))
+    met = met.withColumn("bad", F.when(F.exists("_meant", holds), injection(text))).select(document, "_block", "kind", "bad", F.inline(F.transform("_meant", place)))
+    best = F.max(F.when(F.col("_n") > 0, F.struct(F.col("_block").alias("at_block"), "start", "end", "kind", "bad")))
+    found = met.groupBy(document, "nth").agg(F.count("_block").alias("_blocks"), F.sum("_n").alias("_hits"), best.alias("_at"))
+    own = known.join(found, [document, "nth"], "left").withColumns({"_blocks": F.coalesce("_blocks", F.lit(0)), "_hits": F.coalesce("_hits", F.lit(0))})
     contradicts = F.coalesce((F.col("said_start") != F.col("_at.start")) | (F.col("said_end") != F.col("_at.end")), F.lit(False))
     code = first_reason(
         (F.col("block_id").isNotNull() & (F.col("_blocks") == 0), "source_block_missing"), (F.col("_hits") > 1, "evidence_quote_non_unique"), (F.col("_hits") == 0, "evidence_quote_missing"),

@@ -99,11 +99,14 @@ _TERMS = {"title": ("the", "los"), "summary": (), "rate": ("and", "und"), "term"
 _FAMILIES = (("title", "summary"), ("rate", "term", "fee"), ("segment", "channel"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents over all tasks, before they are split: a filter of lines would be moved before a shuffle of lines, and steps by document need no second one."""
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), "document_id")
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents as blocks; short ones are headings."""
-    # Spread before they are split: a filter of lines would be moved before a shuffle of lines, and steps by document need no second one.
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), "document_id")
-    lines = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+    lines = _texts(spark, sf_dir).select("document_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
     return lines.select("document_id", "ordinal", F.col("ordinal").alias("block_id"), F.when(F.length("text") < 60, "heading").otherwise("paragraph").alias("kind"), "text")
 
 

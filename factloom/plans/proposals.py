@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import merging, prompts
-from .candidates import _BLOCKS_SQL, _TERMS, _blocks, _count_sql, _first_sql
+from .candidates import _BLOCKS_SQL, _TERMS, _blocks, _count_sql, _first_sql, _texts
 from .tables import table
 
 #: Fields of a document's proposals in order; fields of their own, so that SQL can read them.
@@ -23,9 +22,12 @@ _READERS = {
 
 def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight quotes of each document: pieces of its lines, some asked for in the wrong block or with the wrong offsets."""
-    lines = _blocks(spark, sf_dir)
-    counted = lines.withColumn("_n", F.count("*").over(Window.partitionBy("document_id")))
-    asked = counted.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(len(_FIELDS) - 1)))).where(F.col("ordinal") == (F.col("nth") * 3) % F.col("_n"))
+    docs = _texts(spark, sf_dir)
+    # Lines are counted and taken out of whole texts: no shuffle of lines and no sort.
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    counted = docs.join(docs.groupBy("document_id").agg(F.sum(n).alias("_n")).hint("shuffle_hash"), "document_id").select("document_id", "_n", F.split("text", "\n").alias("_lines"))
+    asked = counted.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(len(_FIELDS) - 1)))).withColumn("ordinal", ((F.col("nth") * 3) % F.col("_n")).cast("int"))
+    asked = asked.where(F.col("ordinal") < F.size("_lines")).withColumn("text", F.get("_lines", F.col("ordinal")))
     return asked.select(
         "document_id", "nth", F.element_at(F.lit(list(_FIELDS)), F.col("nth") + 1).alias("field"), F.substr("text", F.lit(1) + 5 * (F.col("nth") % 3), 9 + F.col("nth")).alias("quote"),
         F.when(F.col("nth") % 2 == 1, F.when(F.col("document_id") % 11 == 0, 1_000_000).otherwise(F.col("ordinal"))).alias("block_id"), F.when(F.col("nth") == 4, 5).alias("said_start"), F.lit(None).cast("int").alias("said_end"),
@@ -60,19 +62,21 @@ def proposal_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = _blocks(spark, sf_dir)
     d = F.col("document_id")
     drafts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("page_was_cut"))).otherwise(F.array().cast("array<string>")).alias("issues"), F.lit(["campaign_type", "customer_segment", "term", "title"]).alias("unresolved"),
         F.when(F.col("doc_id") % 3 == 0, "partial").otherwise("extracted").alias("outcome"), F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("no rate"), F.lit("no rate"))).otherwise(F.array().cast("array<string>")).alias("abstentions"),
     )
-    first = lines.where("ordinal = 0")
-    fact = lambda rows, field, nth, value, end: rows.select("document_id", F.lit(field).alias("field"), F.lit(nth).alias("nth"), value.alias("value"), "block_id", F.lit(0).alias("start"), end.alias("end"))
-    facts = (
-        fact(first.where(d % 3 == 0), "title", 1, F.col("text"), F.length("text")).unionByName(fact(first, "term", 1, F.lit("12"), F.lit(12))).unionByName(fact(first, "term", 2, F.lit("3"), F.lit(3)))
-        .unionByName(fact(first.where(d % 4 == 0), "customer_segment", 1, F.lit("T"), F.lit(1)))
+    # First lines are cut off the texts where they are read.
+    first = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("document_id"), F.substring_index("text", "\n", 1).alias("text"))
+    fact = lambda field, nth, value, end, where: F.struct(
+        F.lit(field).alias("field"), F.lit(nth).alias("nth"), value.alias("value"), F.lit(0).alias("block_id"), F.lit(0).alias("start"), end.alias("end"), where.alias("stated")
     )
-    marked = first.where(d % 6 == 0).select("document_id", F.lit("early").alias("value"), "block_id", F.lit(0).alias("start"), F.lit(5).alias("end"))
+    stated = F.array(
+        fact("title", 1, F.col("text"), F.length("text"), d % 3 == 0), fact("term", 1, F.lit("12"), F.lit(12), F.lit(True)), fact("term", 2, F.lit("3"), F.lit(3), F.lit(True)), fact("customer_segment", 1, F.lit("T"), F.lit(1), d % 4 == 0),
+    )
+    facts = first.select("document_id", F.inline(F.filter(stated, lambda f: f["stated"]))).drop("stated")
+    marked = first.where(d % 6 == 0).select("document_id", F.lit("early").alias("value"), F.lit(0).alias("block_id"), F.lit(0).alias("start"), F.lit(5).alias("end"))
     return merging.merge(drafts, facts, _read(spark, sf_dir), marked, scalars=_SCALARS, sets=_SETS, incomplete={"term": lambda values: F.exists(values, lambda v: v == "14")})
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import marks
 from factloom.functions.text import search_text
-from factloom.operators import comparison, filters, prompts, ranking, signals
-from factloom.plans import blocks, candidates, extraction, tables
+from factloom.operators import comparison, filters, merging, prompts, ranking, signals
+from factloom.plans import blocks, candidates, extraction, proposals, tables
 from factloom.plans.candidates import _blocks
 
 
@@ -124,3 +124,30 @@ def test_one_family_is_asked_and_documents_without_an_id_are_not(spark):
     scores = [(1, "title", 3, False), (1, "rate", 2, False), (1, "fee", 2, False), (2, "title", 3, False), (2, "summary", 0, False), (2, "fee", 1, True), (3, "rate", 0, True), (3, "title", 0, False), (None, "title", 5, False), (4, "other", 9, True)]
     made = signals.chosen_fields(spark.createDataFrame(scores, "document_id int, field string, score long, priority boolean"), (("title", "summary"), ("rate", "fee")))
     assert sorted(tuple(r) for r in made.collect()) == [(1, "title", 1), (2, "fee", 1)]
+
+
+def test_a_block_meets_the_proposals_of_its_document_once(spark):
+    draw = random.Random(11)
+    lines = [(d, b, draw.choice(["heading", "paragraph"]), "".join(draw.choices(["a", "b", "İ", "𝄞", " ", "ignore previous instructions "], weights=[9, 9, 2, 2, 2, 1], k=draw.randrange(8)))) for d in range(40) for b in range(draw.randrange(5))]
+    asked = [(d, n, draw.choice(["", "a", "aa", "ab", "aba", "𝄞", "İ", None, ".*", "\\E"]), draw.choice([None, None, *range(5)]), draw.choice([None, 0, 1])) for d in range(42) for n in range(6)]
+    rows = spark.createDataFrame(asked, "document_id int, nth int, quote string, block_id int, said_start int").withColumn("said_end", F.lit(None).cast("int"))
+    found = merging.grounded(rows, spark.createDataFrame(lines, "document_id int, block_id int, kind string, text string"))
+    want = {}
+    for d, n, quote, block, said in asked:
+        own = [x for x in lines if x[0] == d and block in (None, x[1])]
+        hits = [(b, i, k, t) for _, b, k, t in own for i in range(len(t)) if quote and t.startswith(quote, i)]
+        at = max(((h[0], h[3].index(quote), h[2], h[3]) for h in hits), default=None)
+        code = "source_block_missing" if block is not None and not own else "evidence_quote_non_unique" if len(hits) > 1 else "evidence_quote_missing" if not hits else None
+        if code is None:
+            code = "legacy_offsets_contradict_quote" if said not in (None, at[1]) else "prompt_injection_evidence_rejected" if "ignore previous instructions" in at[3] else None
+        want[d, n] = (code, *((at[0], at[1], at[1] + len(quote), at[2]) if at else (None,) * 4))
+    assert {(r.document_id, r.nth): (r.code, r.at_block, r.start, r.end, r.kind) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # No row for each pair of a block and a proposal, no pattern made of a quote, and no text in what is grouped.
+    assert "isnull(block_id" not in next(x for x in plan.split("\n") if "Join Inner" in x) and "(?=" not in plan, plan
+
+
+def test_proposals_are_cut_out_of_whole_texts(spark):
+    plan = proposals._read(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Lines are neither sorted nor shuffled; only documents are, all by the same key.
+    assert "Window" not in plan and plan.count("RepartitionByExpression [document_id") == plan.count("RepartitionByExpression") == plan.count("Relation "), plan
